@@ -17,6 +17,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import near_text
+
+    return near_text.near_pairs(_table(spark, sf_dir, "documents"))
+
+
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import decontam
 
@@ -30,7 +36,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_decontamination, op6_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
