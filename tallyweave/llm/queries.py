@@ -17,6 +17,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import pii
+
+    return pii.find_pii(_table(spark, sf_dir, "documents"))
+
+
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import near_text
 
@@ -29,6 +35,18 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import langid
+
+    return langid.identify(_table(spark, sf_dir, "documents"))
+
+
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import licenses
+
+    return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import packing
 
@@ -36,10 +54,10 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_pii_weak_supervision, op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op7_language_id, op8_license_scan, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from tallyweave.llm import decontam
+    from tallyweave.llm import decontam, licenses
 
-    return {"op5_decontamination": decontam.leaks_sql()}
+    return {"op5_decontamination": decontam.leaks_sql(), "op8_license_scan": licenses.licenses_sql()}
