@@ -93,14 +93,15 @@ def _feature_rows(batches):
             )
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int) -> DataFrame:
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int | dict[int, int]) -> DataFrame:
     """(text, label) of a bounded, repeatable choice of labelled documents of both classes."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.min(target).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
     keep = F.lit(False)
     for label, size in sizes.items():
-        keep = keep | ((F.col("label") == label) & _text.by_hash("doc_id", min(1.0, per_class / size)))
-    # at most about 2 * per_class rows of two integers, whatever the corpus
+        most = per_class[label] if isinstance(per_class, dict) else per_class
+        keep = keep | ((F.col("label") == label) & _text.by_hash("doc_id", min(1.0, most / size)))
+    # the bounded number of rows of two integers, whatever the corpus
     return docs.select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id").select("text", "label")
 
 

@@ -47,6 +47,12 @@ def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op9_toxic_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import toxicity
+
+    return toxicity.find_toxic(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import packing
 
@@ -54,7 +60,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii_weak_supervision, op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op7_language_id, op8_license_scan, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op3_pii_weak_supervision, op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op7_language_id, op8_license_scan, op9_toxic_spans, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
