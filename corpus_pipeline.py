@@ -1,14 +1,16 @@
 """Corpus pipeline: quality filter, near-duplicate removal, decontamination, PII masking, packing.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor kept; all but
-the last return the columns of documents.
+the last return the columns of documents. Nulls, empty and repeated rows have the results that the
+operators define: quality drops texts without a token, of repeated documents one row stays.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyweave.llm import quality
+from tallyweave.llm import decontam, near_text, packing, pii, quality
+from tallyweave.llm._cut import cut
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,15 +18,43 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return quality.keep_good(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
-STAGES = [("quality", quality_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of documents with similar n-gram sets."""
+    return near_text.drop_near(docs)
 
-#: Trained models and greedy packing can't be stated in SQL; the tests hold run() against a brute-force version.
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontam.drop_leaked(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data and secrets replaced by their kind."""
+    return pii.mask(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Bins of documents for training."""
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: Trained models and greedy packing can't be stated in SQL; the tests hold the stages against brute-force versions.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, one after the other, over the documents of sf_dir."""
     out = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, out, sf_dir)
+        if k + 1 < len(STAGES):  # stages scan their input several times
+            out = cut(out)
     return out

@@ -17,6 +17,18 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
 
+def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import embeddings
+
+    return embeddings.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op2_kd_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tallyweave.llm import sharding
+
+    return sharding.shard(_table(spark, sf_dir, "documents"))
+
+
 def op3_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tallyweave.llm import pii
 
@@ -60,7 +72,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii_weak_supervision, op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op7_language_id, op8_license_scan, op9_toxic_spans, op10_best_fit_packing)}
+    return {f.__name__: f for f in (op1_embedding_near_dedup, op2_kd_sharding, op3_pii_weak_supervision, op4_ngram_jaccard_join, op5_decontamination, op6_quality_classifier, op7_language_id, op8_license_scan, op9_toxic_spans, op10_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
