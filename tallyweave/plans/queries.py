@@ -1284,7 +1284,13 @@ def pipeline_parse_and_merge(t):
     return R.merge_duplicates(parsed).select("receipt_id", "product_code", "quantity", "needs_review")
 
 
+def _all() -> None:
+    from tallyweave.plans import more_queries  # noqa: F401  # registers itself
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _all()
+
     def bind(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             ship(spark)
@@ -1296,4 +1302,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

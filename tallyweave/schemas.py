@@ -1,33 +1,32 @@
-"""Schemas of the engine's tables, their version, and additive evolution between versions."""
+"""Schemas of the engine's tables as DDL, their version, and additive evolution between versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 SCHEMA_VERSION = 5
 
-PRODUCTS = T.StructType.fromDDL(
+PRODUCTS = (
     "product_code string NOT NULL, product_name string, category string, unit string, unit_price double, is_active boolean"
 )
-RECEIPTS = T.StructType.fromDDL(
+RECEIPTS = (
     "id long NOT NULL, receipt_number string, scan_date date, store_name string, bill_total double, processing_status string, created_at timestamp"
 )
-ITEMS = T.StructType.fromDDL(
+ITEMS = (
     "receipt_id long NOT NULL, pos int, product_code string, product_name string, quantity double, unit string, confidence double,"
     " manually_edited boolean, unit_price double, line_total double"
 )
-CORRECTIONS = T.StructType.fromDDL(
+CORRECTIONS = (
     "receipt_id long, original_code string, corrected_code string, original_qty double, corrected_qty double, created_at timestamp"
 )
-LOGS = T.StructType.fromDDL("id long, receipt_id long, stage string, status string, duration_ms double, ts timestamp")
-DETECTIONS = T.StructType.fromDDL("receipt_id long, det_id int, bbox array<array<double>>, text string, confidence double, needs_review boolean")
-LINES = T.StructType.fromDDL("receipt_id long, line_no int, text string, confidence double, y_center double")
-LABELS = T.StructType.fromDDL(
+LOGS = ("id long, receipt_id long, stage string, status string, duration_ms double, ts timestamp")
+DETECTIONS = ("receipt_id long, det_id int, bbox array<array<double>>, text string, confidence double, needs_review boolean")
+LINES = ("receipt_id long, line_no int, text string, confidence double, y_center double")
+LABELS = (
     "receipt_id string, image_file string, items array<struct<code string, quantity double>>, total_quantity double, receipt_type string, notes string, added_at timestamp"
 )
-USAGE = T.StructType.fromDDL("ts timestamp, model string, pages int, success boolean, cost double")
+USAGE = ("ts timestamp, model string, pages int, success boolean, cost double")
 
 #: Columns that a version added, with their default: (version, table, column, type, default).
 ADDED = [
@@ -41,6 +40,11 @@ ADDED = [
 ]
 
 
+def columns(ddl: str) -> list[str]:
+    """Column names of a flat DDL schema."""
+    return [part.split()[0] for part in ddl.split(",")]
+
+
 def evolve(df: DataFrame, table: str, version: int = SCHEMA_VERSION) -> DataFrame:
     """df with every column that versions up to `version` added to the table and that it lacks."""
     for since, name, column, kind, default in ADDED:

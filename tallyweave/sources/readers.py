@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyweave.schemas import LABELS, LOGS, USAGE
+from tallyweave.schemas import LABELS, LOGS, USAGE, columns
 
 IMAGE_GLOB = "*.{jpg,jpeg,png,bmp,tif,tiff,webp}"
 MAX_BYTES = 20 << 20
@@ -45,7 +45,7 @@ def usage_json(spark: SparkSession, path: str) -> DataFrame:
     call = "array<struct<timestamp:timestamp,model:string,pages:int,success:boolean,cost:double>>"
     df = spark.read.schema(f"days map<string, struct<calls:{call}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
     rows = df.select(F.explode("days").alias("day", "d")).select("day", F.inline("d.calls"))
-    return rows.withColumnRenamed("timestamp", "ts").select("day", *USAGE.fieldNames())
+    return rows.withColumnRenamed("timestamp", "ts").select("day", *columns(USAGE))
 
 
 def rules_json(spark: SparkSession, path: str) -> DataFrame:
