@@ -83,7 +83,7 @@ def validate(items: DataFrame, products: DataFrame, history: DataFrame, max_reas
     zero = qty <= 0
     big = ~zero & (qty > max_reasonable) & (price == 0)
     fill = (price == 0) & (cat > 0)
-    off = ~fill & (cat > 0) & (price > 0) & ((price / cat > deviation) | (price / cat < 1 / deviation))
+    off = ~fill & (cat > 0) & (price > 0) & ((F.try_divide(price, cat) > deviation) | (F.try_divide(price, cat) < 1 / deviation))
     bad_line = (price > 0) & (_zero("line_total") > 0) & ~line_check_validator(qty, price, _zero("line_total"))
     twice = (F.count("*").over(same) > 1) & (F.row_number().over(same.orderBy("pos")) == 1)
     odd = (F.col("_avg") > 0) & (F.col("_max") > 0) & (qty > 3 * F.col("_max"))

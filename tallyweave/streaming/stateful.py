@@ -90,13 +90,13 @@ def health(requests: DataFrame, key: str = "service") -> DataFrame:
 
 def window_counts(rows: DataFrame, ts: str, by: list[str], minutes: int = 5, watermark: str = WATERMARK) -> DataFrame:
     """Counts per window and label with a watermark; the same plan serves batch tables."""
-    g = rows.withWatermark(ts, watermark).groupBy(F.window(ts, f"{minutes} minutes").alias("w"), *by).agg(F.count("*").alias("n"))
+    g = rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, watermark).groupBy(F.window(ts, f"{minutes} minutes").alias("w"), *by).agg(F.count("*").alias("n"))
     return g.select(F.col("w.start").alias("window_start"), *by, "n")
 
 
 def first_of_key(rows: DataFrame, ts: str, key: str, ttl: str = "24 hours") -> DataFrame:
     """First row of each key within the time to live: exact duplicates and cached results."""
-    return rows.withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
+    return rows.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, ttl).dropDuplicatesWithinWatermark([key])
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, hours: int = 24, distance: int = 5) -> DataFrame:
