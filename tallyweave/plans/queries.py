@@ -229,7 +229,7 @@ def snk14_data_sheet(t):
     return R.data_sheet(t.receipts, t.items)
 
 
-_SUM = f"SELECT product_code, count(DISTINCT receipt_id) AS n_receipts, count(*) AS n_items, sum(quantity) AS quantity, {r('sum(line_total)', 2)} AS amount FROM items GROUP BY ROLLUP (product_code)"
+_SUM = f"SELECT product_code, count(DISTINCT receipt_id) AS n_receipts, count(*) AS n_items, sum(quantity) AS quantity, {r('sum(line_total)', 2)} AS amount FROM items GROUP BY ROLLUP (product_code) HAVING count(*) > 0"
 
 
 @query(_SUM, "items")
