@@ -7,10 +7,17 @@ templates with |B| between t/(2-t) |A| and (2-t)/t |A| can match, and a match ne
 t (|A| + |B|) / 2 common bigrams; segments that can't reach that with any template
 drop out before a set is built.
 
+Runs of consecutive sentences, over paragraphs too, and runs of consecutive lines are segments as well, so
+that a license of several paragraphs and a license sentence within a longer line are found. They are built only where a text
+has enough bigrams of a template, and up to the largest size that it allows. Runs overlap each other and
+lines and paragraphs; of overlapping ones, that counts which has most common bigrams beyond those
+it needs, 2 |A and B| - t (|A| + |B|), then the longer; a line and its paragraph both count.
+
 A segment belongs to the license of its best template alone.
 
 Result: doc_id, license_id, dice (the best of the document's segments), n_segments (segments
-of that license). A paragraph of a single line is that line and counts once.
+of that license). A paragraph of a single line is that line and counts once. The SQL
+has lines and paragraphs, but no runs.
 
 The templates are broadcast; they don't grow with the corpus.
 
@@ -70,6 +77,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
 ]
 
+_STOP = np.zeros(256, bool)
+_STOP[list(b".!?;:()")] = True
+
 SCHEMA = "doc_id long, license_id string, dice double, n_segments long"
 
 
@@ -131,11 +141,82 @@ class Scanner:
                     if dice >= self.t:
                         row = int(np.searchsorted(words.first, a, "right") - 1)
                         key = (row, self.ids[k], (a, b))
-                        out[key] = max(dice, out.get(key, 0.0))
-        best: dict[tuple[int, int], float] = {}
-        for (_, _, span), dice in out.items():
-            best[span] = max(dice, best.get(span, 0.0))
-        return [(row, lic, dice, span) for (row, lic, span), dice in out.items() if dice == best[span]]
+                        out[key] = max((dice, (dice - self.t) * (len(own) + len(other))), out.get(key, (0.0, 0.0)))
+        return self._resolve(out, self._runs(words, g, at, line, para), len(words))
+
+    def _runs(self, words: _text.Words, g: np.ndarray, at: np.ndarray, line: np.ndarray, para: np.ndarray) -> dict:
+        """Matches of runs of sentences and of lines: (row, license, span) to Dice and what it has beyond the threshold."""
+        found: dict[tuple[int, str, tuple[int, int]], tuple[float, float]] = {}
+        text_of = words.text_of
+        stop, blank = (np.concatenate([[0], np.cumsum(x)]) for x in (_STOP[words.buf], words.buf <= 32))
+        ended = (stop[words.starts[1:]] > stop[words.ends[:-1]]) & (blank[words.starts[1:]] > blank[words.ends[:-1]])
+        marks = [np.concatenate([[True], x]) for x in (ended | (para[1:] != para[:-1]), line[1:] != line[:-1])]
+        for k, other in enumerate(self.sets):
+            if not len(other):
+                continue
+            need, most = self.t / (2 - self.t) * len(other) - 1e-9, (2 - self.t) / self.t * len(other) + 1e-9
+            mine = at[np.isin(g[at], other)]
+            rows, first, counts = np.unique(text_of[mine], return_index=True, return_counts=True)
+            for row, f, n in zip(rows.tolist(), first.tolist(), counts.tolist(), strict=True):
+                hits = mine[f : f + n]
+                if n < need or len(np.unique(g[hits])) < need:
+                    continue
+                lo, hi = int(words.first[row]), int(words.first[row + 1])
+                pairs, template = g[lo : hi - 1].tolist(), set(other.tolist())
+                for mark in marks:
+                    cuts = np.append(np.flatnonzero(mark[lo:hi]), hi - lo)
+                    # a run that begins or ends with a unit without a hit's word is worse than the run without that unit
+                    units = np.unique(np.searchsorted(cuts, np.concatenate([hits, hits + 1]) - lo, "right") - 1)
+                    left = n - np.searchsorted(hits, cuts[units] + lo)
+                    for a, b, size, common in _walk(pairs, template, cuts.tolist(), units[left >= need].tolist(), units.tolist(), most):
+                        dice = 2 * common / (size + len(other))
+                        if dice >= self.t:
+                            key = (row, self.ids[k], (a + lo, b + lo))
+                            found[key] = max((dice, (dice - self.t) * (size + len(other))), found.get(key, (0.0, 0.0)))
+        return found
+
+    @staticmethod
+    def _resolve(whole: dict, runs: dict, n_words: int) -> list[tuple[int, str, float, tuple[int, int]]]:
+        """Lines and paragraphs, and the runs that no better segment overlaps; these replace worse lines and paragraphs."""
+        spans: dict[tuple[int, int], list] = {}
+        old = {span for _, _, span in whole}
+        for (row, lic, span), (dice, beyond) in [*whole.items(), *((k, v) for k, v in runs.items() if k[2] not in old)]:
+            spans.setdefault(span, []).append((dice, beyond, row, lic))
+        taken, by_run = np.zeros(n_words, bool), np.zeros(n_words, bool)
+        out = []
+        for span in sorted(spans, key=lambda x: (-round(max(spans[x])[1], 9), x[0] - x[1], x[0])) if len(old) < len(spans) else spans:
+            a, b = span
+            if (by_run if span in old else taken)[a:b].any():
+                continue
+            taken[a:b] = True
+            by_run[a:b] |= span not in old
+            best = max(spans[span])[0]
+            out += [(row, lic, dice, span) for dice, _, row, lic in spans[span] if dice == best]
+        return out
+
+
+def _walk(pairs: list[int], template: set[int], cuts: list[int], starts: list[int], units: list[int], most: float):
+    """(first word, end, different bigrams, common ones) of the runs of units that have at most `most` bigrams."""
+    place = {u: i for i, u in enumerate(units)}
+    for u in starts:
+        a, head = cuts[u], cuts[u + 1]
+        seen: set[int] = set()
+        common, upto = 0, a
+        for v in units[place[u] :]:
+            b = cuts[v + 1]
+            for x in pairs[upto : b - 1]:
+                if x not in seen:
+                    seen.add(x)
+                    common += x in template
+                    if len(seen) > most:
+                        break
+            if len(seen) > most:
+                break
+            upto = max(upto, b - 1)
+            yield a, b, len(seen), common
+            # once the first unit returns, longer runs are no better than those without it
+            if v > u and pairs[cuts[v] : b - 1] == pairs[a : head - 1] and (pairs[head - 1] not in template or pairs[b - 1 : b] == pairs[head - 1 : head]):
+                break
 
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
