@@ -18,7 +18,7 @@ Result of ``find_pii``: doc_id, start_char, end_char (half open, in characters),
 
 Defined results: null and empty texts have no spans and stay as they are; a null doc_id is carried
 along; repeated rows give repeated spans; overlapping candidates: the leftmost, then the
-longest, wins; an empty table gives an empty result; other columns are ignored by the search and
+first of KINDS wins, except that grouped card numbers go before phone numbers; an empty table gives an empty result; other columns are ignored by the search and
 kept by the masking.
 """
 
@@ -45,13 +45,14 @@ CONTEXT = 48
 KINDS = ("EMAIL", "SECRET", "KEY", "IP", "SSN", "IBAN", "PHONE", "CARD", "NUMBER")
 CANDIDATE = re.compile(
     r"""(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
-    |(?P<SECRET>\b(?:[A-Za-z]+[_-])?(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|passphrase)\b["']?\s*[=:]\s*["']?[^\s"',;]{4,}["']?)
+    |(?P<SECRET>(?<![^\W_])(?<![^\W_][_-])(?:[^\W_]+[_-])*(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|passphrase)\b["']?\s*[=:]\s*["']?[^\s"',;]{4,}["']?)
     |(?P<KEY>\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{16,}|sk-[\w-]{16,}|xox[abp]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w.-]{10,}|(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,})\b(?<![ ]\d{16})(?<!\d{16}))
     |(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))
     |(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<IBAN>\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?\b)
-    |(?P<PHONE>(?<![\w.])(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w))
-    |(?P<CARD>(?<![\w.])\d(?:[ -]?\d){12,18}(?![\w-]))
+    |(?P<CARD>(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))
+    |(?P<PHONE>(?<![\w.])(?!\d{2,3}[ ](?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w))
+    |(?P<CARD_>(?<![\w.])(?!\d{1,3}[ ](?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))\d(?:[ -]?\d){12,18}(?![\w-]))
     |(?P<NUMBER>\d[\w.,:/-]*)""",
     re.X,
 )
@@ -63,7 +64,7 @@ STRICT = {
     "SSN": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
     "IBAN": re.compile(r"[A-Z]{2}\d{2}[ 0-9A-Z]{11,34}"),
     "PHONE": re.compile(r"\+\d[\d ().-]{7,}|\(\d{3}\)[ .-]?\d{3}[ .-]\d{4}|\d{3}[ .-]\d{3}[ .-]\d{4}"),
-    "CARD": re.compile(r"[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}"),
+    "CARD": re.compile(r"[3-6]\d{3}(?:[ -]?\d{4}){2}[ -]?\d{1,7}|[3-6]\d{3}(?:[ -]\d{4}){3}[ -]\d{1,3}|3\d{3}[ -]?\d{6}[ -]?\d{4,5}"),
 }
 #: Gazetteer: first digits of card issuers, top-level domains, key prefixes, country calling codes.
 CARD_PREFIX = tuple("4 51 52 53 54 55 22 23 24 25 26 27 34 37 6011 65 35 30 36 38".split())
@@ -108,7 +109,7 @@ def votes(kind: str, span: str, before: str) -> tuple[int, ...]:
     elif kind == "CARD":
         place = 1 if digits.startswith(CARD_PREFIX) else -1
     elif kind in ("KEY", "SECRET"):
-        place = 1 if span.startswith(KEY_PREFIX) or re.match(r"(?i)\W*(?:\w+[_-])?(pass|pwd|secret|token|api|access)", span) else 0
+        place = 1 if span.startswith(KEY_PREFIX) or re.match(r"(?i)\W*(?:[^\W_]+[_-])*(pass|pwd|secret|token|api|access)", span) else 0
     elif kind == "PHONE":
         place = 1 if span.startswith("+") and digits.startswith(CALLING) else 0
     elif kind == "IBAN":
@@ -121,6 +122,13 @@ def votes(kind: str, span: str, before: str) -> tuple[int, ...]:
     return strict, check, place, context, size
 
 
+def _card_length(span: str) -> int:
+    """Characters of the card number at the span's start: without its last group, such as a security code, if only the rest passes the checksum."""
+    rest = re.sub(r"[ -]\d{1,3}$", "", span)
+    good = [_luhn(d) and len(d) >= 13 for d in (re.sub(r"\D", "", x) for x in (span, rest))]
+    return len(rest) if good == [False, True] else len(span)
+
+
 def candidates(text: str, spots: list[int]) -> list[tuple[int, int, str]]:
     """Candidate spans of a text, given the character positions of its digits and signs."""
     out: list[tuple[int, int, str]] = []
@@ -139,8 +147,11 @@ def candidates(text: str, spots: list[int]) -> list[tuple[int, int, str]]:
                 b += 1
             if k == len(spots) or spots[k] >= b:
                 break
-        for m in CANDIDATE.finditer(text, a, b):
-            out.append((m.start(), m.end(), m.lastgroup))
+        while m := CANDIDATE.search(text, a, b):
+            kind, a = m.lastgroup.rstrip("_"), m.end()
+            if kind == "CARD":
+                a = m.start() + _card_length(m.group())
+            out.append((m.start(), a, kind))
         done = b
     return out
 

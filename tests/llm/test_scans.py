@@ -164,3 +164,24 @@ def test_windows_lose_no_candidate(parts):
     spots = [k for k, c in enumerate(text) if c in "0123456789@=:"]
     whole = {m.span() for m in pii.CANDIDATE.finditer(text)}
     assert {(a, b) for a, b, _ in pii.candidates(text, spots)} == whole
+
+
+def test_grouped_cards_and_prefixed_secrets():
+    def found(text):
+        return [(text[a:b], kind) for a, b, kind in pii.candidates(text, [k for k, c in enumerate(text) if c in "0123456789@=:"])]
+
+    for card in ("4111 1111 1111 1111", "4111-1111-1111-1111", "3782 822463 10005", "6304 0000 0000 0000 000"):
+        assert found(f"card {card}, thanks") == [(card, "CARD")]
+        assert pii.votes("CARD", card, "card ")[0] == 1
+    assert found("5500 0000 0000 0004 4111 1111 1111 1111") == [("5500 0000 0000 0004", "CARD"), ("4111 1111 1111 1111", "CARD")]
+    assert found("visa 17 4111 1111 1111 1111 123") == [("17", "NUMBER"), ("4111 1111 1111 1111", "CARD"), ("123", "NUMBER")]
+    assert found("212 555 0187 212 555 0188 or +1 (212) 555-0187") == [("212 555 0187", "PHONE"), ("212 555 0188", "PHONE"), ("+1 (212) 555-0187", "PHONE")]
+    for secret in ("AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI/K7MDENG", "DB_ADMIN_PASSWORD=hunter2hunter2", "S3_DB-ADMIN_PASSWORD: hunter2hunter2", "password=hunter2hunter2"):
+        assert found(f"--{secret} x") == [(secret, "SECRET")]
+        assert pii.votes("SECRET", secret, "")[2] == 1
+
+
+def test_grouped_cards_and_prefixed_secrets_are_masked(spark, docs):
+    rows = [(900_001, "My card is 4111 1111 1111 1111 now"), (900_002, "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI7K7MDENG"), (900_003, "DB_ADMIN_PASSWORD=hunter2hunter2"), (900_004, "My card is 3782 822463 10005 now")]
+    got = {r.doc_id: r.text for r in pii.mask(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id > 900000").collect()}
+    assert got == {900_001: "My card is [CARD] now", 900_002: "[SECRET]", 900_003: "[SECRET]", 900_004: "My card is [CARD] now"}
