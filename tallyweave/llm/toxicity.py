@@ -9,8 +9,9 @@ arrays, many sentences in step.
 Labelled tokens come from the document labels, by a test over the words of at most MAX_TOXIC toxic
 and MAX_CLEAN clean labelled documents, chosen by a hash of doc_id: a word is toxic if the share of toxic
 documents among those that contain it is PURITY at least, if that is no accident (a Chernoff
-bound, corrected for the number of words tested), and if it occurs there in about as many different
-contexts as documents. The last point keeps out rare words that copies of one toxic document repeat.
+bound, corrected for the number of words tested), and if LEAST toxic documents have it. Copies and near
+copies (found by MinHash over word 3-grams) count once in all this, so neither do they carry
+the rare words of one toxic document into the lexicon nor can they keep a word out.
 
 Result: doc_id, toxicity, starts, ends (character offsets of the offending spans, half open) of
 documents whose score reaches THRESHOLD.
@@ -29,13 +30,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyweave.llm import _text
+from tallyweave.llm import _text, near_text
 from tallyweave.llm.quality import labelled_sample
 
 BITS = 20
 MAX_TOXIC = 4000
 MAX_CLEAN = 8000
 PURITY = 0.8
+LEAST = 3
+#: Bands, rows and n of the MinHash that joins near copies: 0.98 of the pairs at Jaccard 0.7, 0.05 at 0.3.
+COPIES = (22, 5, 3)
 THRESHOLD = 0.5
 N_FEATURES = 6
 _MASK = np.uint64((1 << BITS) - 1)
@@ -153,42 +157,64 @@ def fit_crf(features: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs:
     return Crf(w.astype(np.float32), float(other[0]), other[1:].reshape(2, 2))
 
 
-def _word_counts(batches):
-    """Per word: toxic documents, clean documents, different contexts in toxic ones (as their hashes)."""
-    for batch in batches:
-        rows = []
-        for a, b in _text.slices(batch.column("text")):
-            s = Sentences(batch.column("text").slice(a, b - a))
-            if not len(s.words):
-                continue
-            label = batch.column("label").slice(a, b - a).to_numpy()[s.words.text_of]
-            t = pd.DataFrame({"word": s.hash.view(np.int64), "head": s.head.view(np.int64), "doc": s.words.text_of, "label": label, "ctx": _text.mix(s.before * np.uint64(3) + s.after).view(np.int64)})
-            per = t.drop_duplicates(["word", "doc"]).groupby("word").agg(head=("head", "first"), toxic=("label", "sum"), docs=("label", "size"))
-            ctx = t[t.label == 1].drop_duplicates(["word", "ctx"])[["word", "head", "ctx"]]
-            rows.append(per.reset_index().assign(ctx=None)[["word", "head", "toxic", "docs", "ctx"]])
-            rows.append(pd.DataFrame({"word": ctx.word, "head": ctx["head"], "toxic": 0, "docs": 0, "ctx": ctx.ctx}))
-        if rows:
-            t = pd.concat(rows)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(t.word, pa.int64()), pa.array(t["head"], pa.int64()), pa.array(t.toxic.astype("int64"), pa.int64()), pa.array(t.docs.astype("int64"), pa.int64()), pa.array(t.ctx.astype("Int64"), pa.int64())],
-                names=["word", "head", "toxic", "docs", "ctx"],
-            )
+def _families(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted hashes of the sample's texts that have a word, and the group of copies and near copies of each."""
+    rows = near_text.signatures(sample.select(F.xxhash64("text").alias("doc_id"), "text").dropDuplicates(["doc_id"]), *COPIES).select("doc_id", "bands").toArrow().sort_by("doc_id")
+    keys = rows.column("doc_id").to_numpy()
+    parent = np.arange(len(keys))
+
+    def root(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = parent[parent[k]]
+            k = int(parent[k])
+        return k
+
+    seen: dict[int, int] = {}
+    for k, bands in enumerate(rows.column("bands").to_pylist()):
+        for x in bands:
+            parent[root(k)] = root(seen.setdefault(x, k))
+    return keys, np.array([root(k) for k in range(len(keys))], np.int64)
+
+
+def _word_rows(keys: np.ndarray, family: np.ndarray):
+    """Words of the texts of each label and family."""
+
+    def run(batches):
+        for batch in batches:
+            for a, b in _text.slices(batch.column("text")):
+                s = Sentences(batch.column("text").slice(a, b - a))
+                if not len(s.words):
+                    continue
+                label, key = (batch.column(c).slice(a, b - a).to_numpy() for c in ("label", "key"))
+                of = family[np.minimum(np.searchsorted(keys, key), len(keys) - 1)][s.words.text_of]
+                t = pd.DataFrame({"word": s.hash.view(np.int64), "head": s.head.view(np.int64), "label": label[s.words.text_of].astype("int64"), "family": of}).drop_duplicates(["word", "label", "family"])
+                yield pa.RecordBatch.from_pandas(t, preserve_index=False)
+
+    return run
 
 
 def toxic_words(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words that the labels show to be toxic, and of their first 4 bytes."""
-    sizes = {r["label"]: r["n"] for r in sample.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    if not sizes.get(1) or not sizes.get(0):
-        return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    none = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    sample = sample.where(F.col("text").isNotNull()).withColumn("key", F.xxhash64("text"))
+    keys, family = _families(sample)
+    if not len(keys):
+        return none
+    known = sample.select("key", "label").distinct().toArrow()  # at most the sample's rows, two integers each
+    key, label = known.column("key").to_numpy(), known.column("label").to_numpy()
+    at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+    sizes = {x: len(np.unique(family[at[(label == x) & (keys[at] == key)]])) for x in (0, 1)}
+    if not sizes[1] or not sizes[0]:
+        return none
     share = sizes[1] / (sizes[0] + sizes[1])
-    rows = sample.mapInArrow(_word_counts, "word long, head long, toxic long, docs long, ctx long")
-    words = rows.groupBy("word").agg(F.min("head").alias("head"), F.sum("toxic").alias("toxic"), F.sum("docs").alias("docs"), F.countDistinct("ctx").alias("contexts"))
+    rows = sample.mapInArrow(_word_rows(keys, family), "word long, head long, label long, family long").groupBy("word", "label", "family").agg(F.min("head").alias("head"))
+    words = rows.groupBy("word").agg(F.min("head").alias("head"), F.sum("label").alias("toxic"), F.count("*").alias("docs"))
     p = F.col("toxic") / F.col("docs")
     q = F.lit(share)
     bound = F.col("docs") * (p * F.log(p / q) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - q))).otherwise(0.0))
     # the share among equally many toxic and clean documents, so that the sample's mixture doesn't matter
     pure = F.col("toxic") / sizes[1] / (F.col("toxic") / sizes[1] + (F.col("docs") - F.col("toxic")) / sizes[0])
-    likely = words.where(F.col("toxic") >= 3).withColumn("pure", pure).where((F.col("pure") >= PURITY) & (F.col("contexts") >= 0.6 * F.col("toxic")))
+    likely = words.where(F.col("toxic") >= LEAST).withColumn("pure", pure).where(F.col("pure") >= PURITY)
     n_words = words.count()
     chosen = likely.where(bound > F.log(F.lit(100.0 * max(1, n_words)))).select("word", "head").toArrow()
     return tuple(np.unique(chosen.column(c).to_numpy().view(np.uint64)) for c in ("word", "head"))

@@ -119,3 +119,17 @@ def test_toxic_awkward(spark, awkward, empty, labels):
     assert toxicity.find_toxic(awkward, labels).count() == 0
     assert toxicity.find_toxic(empty, labels).count() == 0
     assert toxicity.find_toxic(awkward, labels.limit(0)).count() == 0
+
+
+def test_toxic_words_of_copies_and_fixed_phrases(spark):
+    rng = np.random.default_rng(5)
+    prose = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+    fixed = [(f"{prose(20)} go kill yourself {prose(20)}", 1) for _ in range(60)]  # one context of the middle word
+    insult = [(f"{prose(20)} moronix {prose(20)}", 1) for _ in range(40)]
+    base = f"{prose(30)} moronix {prose(30)} rareword {prose(30)}"
+    copies = [(base, 1)] * 300 + [(f"{base} {prose(2)}", 1) for _ in range(100)]
+    clean = [(prose(41), 0) for _ in range(300)]
+    sample = spark.createDataFrame([*fixed, *insult, *copies, *clean], "text string, label int")
+    lexicon, _ = toxicity.toxic_words(sample)
+    hashes = dict(zip(("kill", "moronix", "rareword"), toxicity.Sentences(pa.array(["kill moronix rareword"])).hash, strict=True))
+    assert {w: h in lexicon for w, h in hashes.items()} == {"kill": True, "moronix": True, "rareword": False}
