@@ -143,12 +143,26 @@ def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
     return piped.select("receipt_id", "line_no", "part", F.posexplode(cut("text")).alias("piece", "text"))
 
 
+def _letters(c: str):
+    """Each letter with how often it came before: the common elements of two such arrays are the common letters."""
+    at = F.split(F.col(c), "")
+    return F.transform(at, lambda x, i: F.concat(x, F.size(F.filter(F.slice(at, 1, i), lambda y: y == x)).cast("string")))
+
+
+def similar_pairs(a: DataFrame, b: DataFrame, x: str, y: str, cut) -> DataFrame:
+    """All pairs with similarity `ratio` of x and y at least `cut`.
+
+    2M/T is at most 2 min(|x|, |y|) / T and at most 2 (common letters) / T; pairs under the cut by these drop out before the comparison.
+    """
+    left = a.withColumns({"_nx": F.length(x), "_lx": _letters(x)})
+    right = b.withColumns({"_ny": F.length(y), "_ly": _letters(y)})
+    total = (F.col("_nx") + F.col("_ny")) * (cut - 1e-9)
+    pairs = left.crossJoin(right).where(2 * F.least("_nx", "_ny") >= total).where(2 * F.size(F.array_intersect("_lx", "_ly")) >= total)
+    return pairs.drop("_nx", "_ny", "_lx", "_ly").withColumn("ratio", M.similarity(x, y)).where(F.col("ratio") >= cut)
+
+
 def best_similar(codes: DataFrame, catalog: DataFrame, n: int = 1, cut: float = 0.65) -> DataFrame:
-    """The n most similar catalog codes of each code; ties by the larger code. Candidates share the first or the last two letters."""
-    a = codes.select("code").distinct()
-    keys = lambda c: F.array(F.concat(F.lit("<"), F.substring(c, 1, 2)), F.concat(F.substring(c, -2, 2), F.lit(">")))
-    left = a.select("code", F.explode(keys("code")).alias("k"))
-    right = catalog.select("product_code", F.explode(keys("product_code")).alias("k"))
-    pairs = left.join(right, "k").select("code", "product_code").distinct().withColumn("ratio", M.similarity("code", "product_code")).where(F.col("ratio") >= cut)
+    """The n most similar catalog codes of each code; ties by the larger code."""
+    pairs = similar_pairs(codes.select("code").distinct(), catalog.select("product_code").distinct(), "code", "product_code", F.lit(cut))
     r = F.row_number().over(W.partitionBy("code").orderBy(F.desc("ratio"), F.desc("product_code")))
     return pairs.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")
