@@ -118,29 +118,27 @@ def parse_lines(lines: DataFrame) -> DataFrame:
 
 
 def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Lines with several catalog codes divided before each code but the first, and lines divided at pipes."""
-    piped = lines.select("receipt_id", "line_no", F.posexplode(F.split("text", "[|]")).alias("part", "text")).where(F.trim("text") != "")
-    names = [r[0] for r in catalog.select("product_code").distinct().limit(BROADCAST_BYTES // 64).collect()]
-    shared = lines.sparkSession.sparkContext.broadcast(set(names))
+    """Lines with several catalog codes divided before each code but the first, and lines divided at pipes.
+
+    Tokens meet the catalog in an equi-join, so its size doesn't matter.
+    """
 
     @F.pandas_udf("array<string>")
-    def cut(s: pd.Series) -> pd.Series:
-        known = shared.value
-
-        def one(t: str) -> list[str]:
-            out: list[list[str]] = [[]]
-            seen = False
-            for w in t.split():
-                if w.upper() in known:
-                    if seen:
-                        out.append([])
-                    seen = True
-                out[-1].append(w)
-            return [" ".join(x) for x in out if x]
-
-        return s.map(one)
-
-    return piped.select("receipt_id", "line_no", "part", F.posexplode(cut("text")).alias("piece", "text"))
+    def words(s: pd.Series) -> pd.Series:
+        return s.map(str.split)
+
+    @F.pandas_udf("string")
+    def upper(s: pd.Series) -> pd.Series:
+        return s.str.upper()
+
+    line = ["_id", "receipt_id", "line_no", "part"]
+    piped = lines.select("receipt_id", "line_no", F.posexplode(F.split("text", "[|]")).alias("part", "text")).where(F.trim("text") != "")
+    tokens = piped.withColumn("_id", F.monotonically_increasing_id()).select(*line, F.posexplode(words("text")).alias("_pos", "_w"))
+    known = catalog.select(F.col("product_code").alias("_code")).distinct()
+    hits = tokens.withColumn("_u", upper("_w")).join(small(known), F.col("_u") == F.col("_code"), "left")
+    nth = F.count("_code").over(W.partitionBy("_id").orderBy("_pos"))
+    pieces = hits.withColumn("piece", F.greatest(nth - 1, F.lit(0)).cast("int")).groupBy(*line, "piece").agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_t"))
+    return pieces.select("receipt_id", "line_no", "part", "piece", F.concat_ws(" ", F.col("_t._w")).alias("text"))
 
 
 def _letters(c: str):

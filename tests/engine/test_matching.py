@@ -21,3 +21,10 @@ def test_best_similar_against_brute_force(spark):
     got = matching.best_similar(spark.createDataFrame([(c,) for c in [*codes, None]], "code string"), _catalog(spark, [(p, "") for p in catalog]), n=3)
     assert {(r["code"], r["product_code"], r["ratio"]) for r in got.collect()} == want
     assert ("XBCDE17", "ABCDE18") in {x[:2] for x in want}
+
+
+def test_split_lines_with_a_large_catalog(spark, monkeypatch):
+    monkeypatch.setattr(matching, "BROADCAST_BYTES", 64)  # formerly one code
+    lines = spark.createDataFrame([(1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (2, 1, "one two AB1"), (3, 1, " \t |"), (4, 1, None)], "receipt_id long, line_no long, text string")
+    got = sorted(tuple(r) for r in matching.split_lines(lines, _catalog(spark, [(c, "") for c in ("AB1", "CD2", "EF3", "GH4")])).collect())
+    assert got == sorted([(1, 1, 0, 0, "AB1 2"), (1, 1, 0, 1, "cd2 3 x"), (1, 1, 0, 2, "EF3"), (1, 1, 1, 0, "GH4 1")] * 2 + [(2, 1, 0, 0, "one two AB1")])
