@@ -53,9 +53,11 @@ def trailing_tier(codes: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def match_descriptions(texts: DataFrame, catalog: DataFrame) -> DataFrame:
-    """(id, matched_code, match_type) of descriptions: a token that is a code, else a contained product name, else unmatched.
+    """(id, matched_code, match_type) of descriptions: a token that is a code, else a contained product name, else a contained code, else the most similar name, else unmatched.
 
-    Tokens meet the catalog in an equi-join and so do names, by their first word, so no pair of all with all is built.
+    Tokens meet the catalog in an equi-join and so do names, by their first word. Of the different texts that are left, all
+    substrings as long as a code meet the codes in an equi-join (the longest code, then the least, wins), and only texts
+    without one are compared with all names, at the cutoff for the text's length (the larger name, then the larger code, wins ties).
     """
     t = texts.select("id", F.upper("text").alias("text"))
     tokens = t.select("id", F.explode(F.array_distinct(F.split("text", "[^A-Z0-9]+"))).alias("token"))
@@ -65,7 +67,19 @@ def match_descriptions(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     hit = tokens.join(small(names), tokens["token"] == names["head"]).join(t, "id").where(F.contains("text", "name"))
     by_name = hit.groupBy("id").agg(F.min_by("product_code", F.struct(-F.length("name"), F.col("product_code"))).alias("named"))
     j = t.join(by_code, "id", "left").join(by_name, "id", "left")
-    return j.select("id", F.coalesce("code", "named").alias("matched_code"), F.when(F.col("code").isNotNull(), "exact").when(F.col("named").isNotNull(), "contains").otherwise("unmatched").alias("match_type"))
+    rest = j.where(F.col("code").isNull() & F.col("named").isNull() & (F.trim("text") != "")).select("text").distinct()
+    sizes = sorted(r[0] for r in cat.select(F.length("product_code")).distinct().collect() if r[0])  # a few numbers
+    parts = F.flatten(F.array(*[F.when(F.length("text") >= n, F.expr(f"transform(sequence(1, length(text) - {n - 1}), i -> substring(text, i, {n}))")).otherwise(F.array().cast("array<string>")) for n in sizes]))
+    pieces = rest.select("text", F.explode(F.array_distinct(parts)).alias("_piece")) if sizes else rest.select("text", F.lit(None).cast("string").alias("_piece"))
+    inside = pieces.join(small(cat), F.col("_piece") == F.col("product_code")).groupBy("text").agg(F.min_by("product_code", F.struct(-F.length("product_code"), F.col("product_code"))).alias("inside"))
+    n = F.length("text")
+    cutoff = F.when(n <= 3, 0.88).when(n <= 4, 0.82).when(n <= 6, 0.72).otherwise(0.65)  # as match.cutoff
+    by_likeness = similar_pairs(cat.where("name IS NOT NULL").groupBy("name").agg(F.max("product_code").alias("_like")), rest.join(inside, "text", "left_anti"), "name", "text", cutoff)
+    like = by_likeness.groupBy("text").agg(F.max_by("_like", F.struct("ratio", "name")).alias("like"))
+    out = j.join(inside, "text", "left").join(like, "text", "left")
+    # a text that has a code or name of its own isn't among those of `inside` and `like`
+    how = F.when(F.col("code").isNotNull(), "exact").when(F.coalesce("named", "inside").isNotNull(), "contains").when(F.col("like").isNotNull(), "fuzzy").otherwise("unmatched")
+    return out.select("id", F.coalesce("code", "named", "inside", "like").alias("matched_code"), how.alias("match_type"))
 
 
 def catalog_rate(lines: DataFrame, catalog: DataFrame) -> DataFrame:

@@ -28,3 +28,11 @@ def test_split_lines_with_a_large_catalog(spark, monkeypatch):
     lines = spark.createDataFrame([(1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (2, 1, "one two AB1"), (3, 1, " \t |"), (4, 1, None)], "receipt_id long, line_no long, text string")
     got = sorted(tuple(r) for r in matching.split_lines(lines, _catalog(spark, [(c, "") for c in ("AB1", "CD2", "EF3", "GH4")])).collect())
     assert got == sorted([(1, 1, 0, 0, "AB1 2"), (1, 1, 0, 1, "cd2 3 x"), (1, 1, 0, 2, "EF3"), (1, 1, 1, 0, "GH4 1")] * 2 + [(2, 1, 0, 0, "one two AB1")])
+
+
+def test_descriptions_by_contained_code_and_similar_name(spark):
+    catalog = _catalog(spark, [("AB1", "Blue paint"), ("AB12", "Yellow brush"), ("ZZ9", "Green ladder"), ("ZZ8", None)])
+    texts = [(1, "one AB1 please"), (2, "a yellow brush, new"), (3, "xxAB12yy"), (4, "Gren laddr"), (5, "something else"), (6, "yelow brush"), (7, None), (8, "")]
+    got = {tuple(r) for r in matching.match_descriptions(spark.createDataFrame(texts, "id long, text string"), catalog).collect()}
+    none = {(k, None, "unmatched") for k in (5, 7, 8)}
+    assert got == {(1, "AB1", "exact"), (2, "AB12", "contains"), (3, "AB12", "contains"), (4, "ZZ9", "fuzzy"), (6, "AB12", "fuzzy")} | none
