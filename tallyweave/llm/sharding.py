@@ -1,8 +1,8 @@
 """Sharding by k-d tree: weighted median splits along the widest metadata dimension.
 
 Every document has a weight, the bytes of its text, and a point: doc_id, source, lang and
-the logarithm of its length. Strings become numbers by their first six bytes, which keeps
-their order without a dictionary. A node over the target bytes is divided at the weighted
+the logarithm of its length. Strings become their numbers in the order of the table's different strings,
+a sort of these over all executors. A node over the target bytes is divided at the weighted
 median of the dimension that is widest relative to the whole table; the halves are
 divided again until each leaf has at most the target.
 
@@ -31,26 +31,42 @@ from tallyweave.llm._cut import cut
 TARGET_BYTES = 64 << 20
 DIMENSIONS = ("d0", "d1", "d2", "d3")
 BUCKETS = 256
+#: Different strings with their ranks are broadcast up to this size.
+RANKS_BYTES = 16 << 20
 #: A split may leave this share of the node's weight off the exact median.
 TOLERANCE = 0.005
 
 
-def _ordered(column: str):
-    """Order-preserving number of a string's first six bytes."""
-    return F.coalesce(F.conv(F.rpad(F.hex(F.substring(F.encode(F.col(column), "UTF-8"), 1, 6)), 12, "0"), 16, 10).cast("double"), F.lit(0.0))
+def _numbered(docs: DataFrame, column: str) -> DataFrame:
+    """docs with the strings of a column as their ranks among its different strings, from 1; null is 0."""
+    spark = docs.sparkSession
+    values = cut(docs.select(F.col(column).alias("_value")).where(F.col("_value").isNotNull()).distinct().orderBy("_value"))
+    at = F.monotonically_increasing_id()  # the partition's number, then the row's within it
+    part = F.shiftright(at, 33)
+    sizes = sorted((r["p"], r["n"], r["b"]) for r in values.groupBy(part.alias("p")).agg(F.count("*").alias("n"), F.sum(F.octet_length("_value")).alias("b")).collect())
+    before, starts = 0, []
+    for p, n, _ in sizes:
+        starts.append((p, before))
+        before += n
+    offset = F.broadcast(spark.createDataFrame(starts, "_part long, _before long"))  # one row a partition
+    ranks = values.select("_value", part.alias("_part"), (at.bitwiseAND(F.lit((1 << 33) - 1)) + 1).alias("_row")).join(offset, "_part").select("_value", (F.col("_row") + F.col("_before")).cast("double").alias("_rank"))
+    if sum(b + 32 * n for _, n, b in sizes) <= RANKS_BYTES:
+        ranks = F.broadcast(ranks)
+    return docs.join(ranks, F.col(column) == F.col("_value"), "left").withColumn(column, F.coalesce("_rank", F.lit(0.0))).drop("_value", "_rank")
 
 
 def metadata(docs: DataFrame) -> DataFrame:
     """doc_id, weight and the point of every document."""
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("long")
-    return docs.select(
+    rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         size.alias("weight"),
         F.coalesce(F.col("doc_id").cast("double"), F.lit(float(-(2**63)))).alias("d0"),
-        _ordered("source").alias("d1"),
-        _ordered("lang").alias("d2"),
+        F.col("source").alias("d1"),
+        F.col("lang").alias("d2"),
         F.log2(size.cast("double")).alias("d3"),
     )
+    return _numbered(_numbered(rows, "d1"), "d2")
 
 
 class Tree:

@@ -143,3 +143,17 @@ def test_embedding_awkward(spark):
     got = {(r[0], r[1]) for r in embeddings.near_vectors(df).collect()}
     assert got == {(1, 2), (1, 10), (2, 10)}
     assert embeddings.near_vectors(df.limit(0)).count() == 0
+
+
+def test_sharding_by_sources_that_begin_alike(spark, monkeypatch):
+    names = ["common-crawl-2024", "wikipedia_de", "common-crawl-2023", "wikipedia_en"]
+    rows = [(k, "x" * 100, "en", names[k % 4]) for k in range(40)]
+    docs = spark.createDataFrame([*rows, (40, "x", "en", None), (41, "x", None, "")], "doc_id long, text string, lang string, source string").repartition(5)
+    want = {None: 0.0, "": 1.0} | {x: k + 2.0 for k, x in enumerate(sorted(names))}
+    for most in (sharding.RANKS_BYTES, 0):
+        monkeypatch.setattr(sharding, "RANKS_BYTES", most)
+        got = {r.doc_id: (r.d1, r.d2) for r in sharding.metadata(docs).collect()}
+        assert got == {r.doc_id: (want[r.source], 0.0 if r.lang is None else 1.0) for r in docs.collect()}
+    # only the source differs enough to be the widest: no shard mixes sources
+    same = spark.createDataFrame([(7, "x" * 100, "en", names[k % 4]) for k in range(40)], "doc_id long, text string, lang string, source string")
+    assert sorted(r["count"] for r in sharding.shard(same, 1000).groupBy("shard_id").count().collect()) == [10] * 4
