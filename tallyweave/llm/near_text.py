@@ -5,25 +5,27 @@ n-gram). Band and row counts follow from the threshold and the target recall: fo
 exactly at the threshold, 1 - (1 - t**rows)**bands >= recall.
 
 1. One scan computes, per document, a 128-bit fingerprint of its set and its band hashes.
-   Equal sets collapse to one row with the list of their documents, so a text copied a million times
-   is one row from here on.
+   Equal sets collapse to one row with their smallest document, combined before the shuffle, so a text
+   copied a million times is one row from here on.
 2. A shuffle on band hashes brings rows that share a band together; hashes that occur once
-   drop out before any pair is made.
+   drop out before any pair is made. A hash of more than HOT rows is dealt to tiles of two blocks of
+   about HOT rows each, so every pair is still made, but no task makes more than a few tiles' pairs at once.
 3. Every pair goes to one tile, named after the smallest partners of its two ends. Members of a
    group of copies share that partner, so the group's sets travel once rather than
    once per pair. Large groups are divided into blocks, so a tile is bounded.
 4. Tiles verify their pairs on the full n-gram sets. The sets are recomputed from the text,
-   which is joined by fingerprint only with those that are needed.
+   which is joined by id and text hash only with those that are needed.
 
-Result of ``near_pairs``: rows (doc_ids, jaccard). A row is either all documents with one and the
-same set (jaccard 1.0) or a pair of the smallest doc_ids of two different sets that are
-similar. Every other pair follows from these; ``expand`` writes them out. This form is exact
-and stays linear in the number of copies.
+Result of ``near_pairs``: rows (doc_a, doc_b, jaccard), doc_a < doc_b, each pair once. Documents with one and
+the same set are pairs of the smallest doc_id of the set with each other one (jaccard 1.0); different
+sets that are similar are a pair of the smallest doc_ids of both. Every other pair follows from these;
+``expand`` writes them out. This form is exact and stays linear in the number of copies.
 
 Defined results: null and empty texts, and texts without a word, have an empty set and are
-never similar to anything; rows with a null doc_id are left out of pairs, and removal keeps them;
-repeated rows of one doc_id count once; if one doc_id has several different texts, each takes
-part; an empty table gives no pairs; other columns are ignored by the join and kept by the removal.
+never similar to anything, and removal keeps them; so are rows with a null doc_id;
+repeated rows of one doc_id count once and removal keeps one of them; if one doc_id has several different texts, each takes
+part under that id, and removal decides about each text by itself; a pair exactly at the threshold counts; an
+empty table gives no pairs; other columns are ignored by the join and kept by the removal.
 """
 
 from __future__ import annotations
@@ -42,8 +44,10 @@ NGRAM = 3
 THRESHOLD = 0.5
 RECALL = 0.95
 ROWS = 4
-#: Documents of one group of copies that are verified against each other in one task.
+#: Sets of one group of similar ones that are verified against each other in one task.
 BLOCK = 1024
+#: Rows of one band hash that are paired in one place; more are dealt to tiles.
+HOT = 1024
 
 
 def bands_for(threshold: float, recall: float, rows: int) -> int:
@@ -117,12 +121,12 @@ class Signer:
 
 
 def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """(doc_id, f1, f2, bands) of every document with a word and an id."""
+    """(doc_id, mark, f1, f2, bands) of every document with a word and an id; mark is a hash of the text."""
 
     def run(batches):
         signer = Signer(bands, rows, n)
         for batch in batches:
-            ids, text = batch.column("doc_id"), batch.column("text")
+            ids, marks, text = batch.column("doc_id"), batch.column("mark"), batch.column("text")
             for a, b in _text.slices(text, 1 << 20):
                 size, mark, out = signer.sign(text.slice(a, b - a))
                 keep = np.flatnonzero(size > 0)
@@ -130,21 +134,27 @@ def signatures(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(a, b - a).take(pa.array(keep)),
+                        marks.slice(a, b - a).take(pa.array(keep)),
                         pa.array(mark[keep, 0].view(np.int64)),
                         pa.array(mark[keep, 1].view(np.int64)),
                         pa.ListArray.from_arrays(pa.array(np.arange(len(keep) + 1, dtype=np.int32) * bands), flat),
                     ],
-                    names=["doc_id", "f1", "f2", "bands"],
+                    names=["doc_id", "mark", "f1", "f2", "bands"],
                 )
 
+    return _texts(docs).mapInArrow(run, "doc_id long, mark long, f1 long, f2 long, bands array<long>")
+
+
+def _texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, mark, text) of the documents that have an id and a text."""
     known = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    return known.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, f1 long, f2 long, bands array<long>")
+    return known.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("mark"), "text")
 
 
-def distinct_sets(docs: DataFrame, bands: int, rows: int, n: int) -> DataFrame:
-    """One row per different set: sid, its fingerprint, all its documents and the band hashes; kept."""
-    one = signatures(docs, bands, rows, n).groupBy("f1", "f2").agg(F.collect_set("doc_id").alias("doc_ids"), F.first("bands").alias("bands"))
-    return cut(one.withColumn("doc_ids", F.array_sort("doc_ids")).withColumn("sid", F.monotonically_increasing_id()))
+def distinct_sets(signed: DataFrame) -> DataFrame:
+    """One row per different set: sid, its fingerprint, its smallest document, its number of rows and the band hashes; kept."""
+    one = signed.groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "mark")).alias("least"), F.count("*").alias("n"), F.first("bands").alias("bands"))
+    return cut(one.select("f1", "f2", "least.doc_id", "least.mark", "n", "bands").withColumn("sid", F.monotonically_increasing_id()))
 
 
 def candidates(sets: DataFrame) -> DataFrame:
@@ -152,10 +162,20 @@ def candidates(sets: DataFrame) -> DataFrame:
     rows = sets.select("sid", F.explode("bands").alias("bh"))
     # the count's shuffle and sort on bh serve the grouping too
     counted = rows.withColumn("m", F.expr("count(1) OVER (PARTITION BY bh)")).where("m > 1")
-    groups = counted.groupBy("bh").agg(F.array_sort(F.collect_list("sid")).alias("s"))
+    groups = counted.where(F.col("m") <= HOT).groupBy("bh").agg(F.array_sort(F.collect_list("sid")).alias("s"))
     firsts = groups.select(F.posexplode("s").alias("i", "a"), "s").where(F.col("i") < F.size("s") - 1)
-    pairs = firsts.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b"))
-    return pairs.where("a < b").distinct()
+    pairs = firsts.select("a", F.explode(F.slice("s", F.col("i") + 2, F.size("s"))).alias("b")).where("a < b")
+    return pairs.union(hot_pairs(counted.where(F.col("m") > HOT))).distinct()
+
+
+def hot_pairs(rows: DataFrame) -> DataFrame:
+    """All pairs (a < b) of sids within each band hash of (bh, sid, m), by tiles of two blocks of the m rows."""
+    blocks = F.ceil(F.col("m") / HOT).cast("int")
+    dealt = rows.select("bh", "sid", F.pmod(F.xxhash64("sid", "bh"), blocks).cast("int").alias("own"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+    tiles = dealt.select("bh", "sid", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).repartition("bh", "i", "j")
+    sides = tiles.groupBy("bh", "i", "j").agg(*[F.collect_list(F.when(F.col("own") == F.col(k), F.col("sid"))).alias(side) for k, side in (("i", "left"), ("j", "right"))])
+    ends = sides.select((F.col("i") == F.col("j")).alias("one"), F.explode("left").alias("x"), "right").select("one", "x", F.explode("right").alias("y"))
+    return ends.where("NOT one OR x < y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def tiled(pairs: DataFrame) -> DataFrame:
@@ -177,13 +197,8 @@ def _set_rows(n: int):
             text = batch.column("text")
             for a, b in _text.slices(text):
                 h, bounds = gram_sets(text.slice(a, b - a), n)
-                sets = [np.unique(h[bounds[k] : bounds[k + 1]]) for k in range(b - a)]
-                mark = np.array([np.add.reduce(s) for s in sets], np.uint64).view(np.int64)
-                # a doc_id may have other texts too; only the one with this fingerprint counts
-                same = np.flatnonzero(mark == batch.column("f1").slice(a, b - a).to_numpy())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("sid").slice(a, b - a).take(pa.array(same)), pa.array([sets[k].tobytes() for k in same], pa.binary())], names=["sid", "grams"]
-                )
+                sets = [np.unique(h[bounds[k] : bounds[k + 1]]).tobytes() for k in range(b - a)]
+                yield pa.RecordBatch.from_arrays([batch.column("sid").slice(a, b - a), pa.array(sets, pa.binary())], names=["sid", "grams"])
 
     return run
 
@@ -238,9 +253,9 @@ def similar_sets(docs: DataFrame, sets: DataFrame, threshold: float, n: int) ->
     """(a, b, jaccard) of all candidate pairs of sids at or over the threshold; kept."""
     pairs = cut(tiled(candidates(sets)))
     needs = pairs.select("tile", F.explode(F.array("a", "b")).alias("sid")).distinct()
-    wanted = needs.select("sid").distinct().join(sets.select("sid", F.element_at("doc_ids", 1).alias("doc_id"), "f1"), "sid")
-    texts = docs.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(wanted.select("doc_id", "sid", "f1"), "doc_id").select("sid", "f1", "text").mapInArrow(_set_rows(n), "sid long, grams binary")
+    wanted = needs.select("sid").distinct().join(sets.select("sid", "doc_id", "mark"), "sid")
+    found = _texts(docs).join(wanted, ["doc_id", "mark"]).select("sid", "text").mapInArrow(_set_rows(n), "sid long, grams binary")
+    found = found.groupBy("sid").agg(F.first("grams").alias("grams"))  # repeated rows have one set
     shipped = needs.join(found, "sid").select("tile", "sid", F.lit(None).cast("long").alias("other"), "grams")
     asked = pairs.select("tile", F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(None).cast("binary").alias("grams"))
     rows = shipped.union(asked).repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull())
@@ -248,26 +263,30 @@ def similar_sets(docs: DataFrame, sets: DataFrame, threshold: float, n: int) ->
 
 
 def near_pairs(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = NGRAM) -> DataFrame:
-    """Rows (doc_ids, jaccard): documents with equal sets, and pairs of different similar sets."""
-    sets = distinct_sets(docs, bands_for(threshold, recall, rows), rows, n)
+    """Rows (doc_a, doc_b, jaccard): copies with the first of their set, and first documents of different similar sets."""
+    signed = cut(signatures(docs, bands_for(threshold, recall, rows), rows, n))
+    sets = distinct_sets(signed)
     similar = similar_sets(docs, sets, threshold, n)
-    first = sets.select("sid", F.element_at("doc_ids", 1).alias("doc_id"))
+    first = sets.select("sid", "doc_id")
     named = similar.join(first.select(F.col("sid").alias("a"), F.col("doc_id").alias("x")), "a").join(first.select(F.col("sid").alias("b"), F.col("doc_id").alias("y")), "b")
-    near = named.where("x <> y").select(F.array_sort(F.array("x", "y")).alias("doc_ids"), "jaccard")
-    return sets.where(F.size("doc_ids") > 1).select("doc_ids", F.lit(1.0).alias("jaccard")).union(near)
+    near = named.where("x <> y").select(F.least("x", "y").alias("doc_a"), F.greatest("x", "y").alias("doc_b"), "jaccard")
+    several = sets.where("n > 1").select("f1", "f2", F.col("doc_id").alias("doc_a"))
+    copies = signed.select("f1", "f2", F.col("doc_id").alias("doc_b")).join(several, ["f1", "f2"]).where("doc_a <> doc_b").select("doc_a", "doc_b", F.lit(1.0).alias("jaccard"))
+    # an id with several texts may form a pair more than once
+    return copies.union(near).groupBy("doc_a", "doc_b").agg(F.max("jaccard").alias("jaccard"))
 
 
 def expand(found: DataFrame) -> DataFrame:
-    """All similar pairs (doc_a < doc_b, jaccard) of documents that the rows of near_pairs stand for."""
-    copies = found.where("jaccard = 1.0")
-    near = found.where("jaccard < 1.0").select(F.col("doc_ids")[0].alias("x"), F.col("doc_ids")[1].alias("y"), "jaccard")
-    member = copies.select(F.col("doc_ids")[0].alias("first"), F.explode("doc_ids").alias("doc"))
-    side = near
+    """All similar pairs (doc_a < doc_b, jaccard) of documents that the rows of near_pairs stand for, if each id has one text."""
+    copies = found.where("jaccard = 1.0").select(F.col("doc_a").alias("first"), F.col("doc_b").alias("doc"))
+    side = found.where("jaccard < 1.0").select(F.col("doc_a").alias("x"), F.col("doc_b").alias("y"), "jaccard")
     for end in ("x", "y"):
-        names = member.select(F.col("first").alias(end), F.col("doc").alias(f"{end}m"))
-        side = side.join(names, end, "left").withColumn(f"{end}m", F.coalesce(f"{end}m", end))
+        members = side.select(F.col(end).alias("first")).distinct()
+        names = copies.join(members, "first", "left_semi").union(members.select("first", F.col("first").alias("doc")))
+        side = side.join(names.select(F.col("first").alias(end), F.col("doc").alias(f"{end}m")), end)
     spread = side.select(F.least("xm", "ym").alias("doc_a"), F.greatest("xm", "ym").alias("doc_b"), "jaccard")
-    same = copies.select(F.explode("doc_ids").alias("doc_a"), "doc_ids").select("doc_a", F.explode("doc_ids").alias("doc_b")).where("doc_a < doc_b")
+    same = copies.join(copies.select("first", F.col("doc").alias("other")), "first").where("doc < other").select(F.col("doc").alias("doc_a"), F.col("other").alias("doc_b"))
+    same = same.union(copies.select("first", "doc"))
     return same.select("doc_a", "doc_b", F.lit(1.0).alias("jaccard")).union(spread)
 
 
@@ -291,17 +310,20 @@ def components(edges: DataFrame) -> DataFrame:
 def drop_near(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, rows: int = ROWS, n: int = NGRAM) -> DataFrame:
     """One document of each group of similar documents, the one with the smallest doc_id; all columns stay.
 
-    Groups are connected components over similar pairs. Rows that repeat the kept doc_id
-    are dropped too if they have the same text.
+    Groups are connected components over similar pairs. Rows are told apart by doc_id and text, so another text
+    of a removed document's id stays if it is similar to nothing that stays. Of equal rows one stays.
     """
-    sets = distinct_sets(docs, bands_for(threshold, recall, rows), rows, n)
+    signed = cut(signatures(docs, bands_for(threshold, recall, rows), rows, n))
+    sets = distinct_sets(signed)
     roots = components(similar_sets(docs, sets, threshold, n))
-    member = sets.join(roots, sets["sid"] == roots["node"], "left").select(F.coalesce("root", "sid").alias("root"), "doc_ids")
-    grouped = member.groupBy("root").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("doc_ids")))).alias("ids"))
-    gone = grouped.where(F.size("ids") > 1).select(F.explode(F.slice("ids", 2, F.size("ids"))).alias("_gone")).distinct()
-    kept = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
-    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")))
+    placed = sets.join(roots, sets["sid"] == roots["node"], "left").select("f1", "f2", F.coalesce("root", "sid").alias("root"))
+    member = signed.select("doc_id", "mark", "f1", "f2").join(placed, ["f1", "f2"]).select("root", "doc_id", "mark")
+    kept = member.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("best"), F.count("*").alias("n")).where("n > 1")
+    lost = member.join(kept, "root").where((F.col("doc_id") != F.col("best.doc_id")) | (F.col("mark") != F.col("best.mark")))
+    gone = lost.select(F.col("doc_id").alias("_gone_id"), F.col("mark").alias("_gone_mark")).distinct()
+    left = docs.join(gone, (docs["doc_id"] == gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_mark"]), "left_anti")
+    repeated = cut(signed.groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).count().where("count > 1").select("_id", "_mark"))
     if repeated.isEmpty():
-        return kept
-    again = kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, kept["doc_id"] == repeated["_again"], "left_anti").unionByName(again)
+        return left
+    same = (left["doc_id"] == repeated["_id"]) & (F.xxhash64(left["text"]) == repeated["_mark"])
+    return left.join(repeated, same, "left_anti").unionByName(left.join(repeated, same, "left_semi").dropDuplicates(["doc_id", "text"]))

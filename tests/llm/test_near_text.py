@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import itertools
+import re
 from collections import Counter, defaultdict
 
 import pyarrow as pa
@@ -57,8 +58,9 @@ def test_matches_brute_force(docs):
 def test_copies_stay_linear(spark):
     rows = [(k, "the same words again and again in one long line") for k in range(50)] + [(100 + k, f"something else {k} entirely with number {k * 7}") for k in range(20)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    found = N.near_pairs(df).collect()
-    assert [len(r[0]) for r in found if r[1] == 1.0] == [50]
+    found = N.near_pairs(df)
+    assert found.columns == ["doc_a", "doc_b", "jaccard"] and dict(found.dtypes)["doc_a"] == "bigint"
+    assert sorted((r[0], r[1]) for r in found.collect() if r[2] == 1.0) == [(0, k) for k in range(1, 50)]
     assert N.expand(N.near_pairs(df)).where("jaccard = 1.0").count() == 50 * 49 // 2
     assert N.drop_near(df).where("doc_id < 100").count() == 1
 
@@ -73,6 +75,43 @@ def test_large_groups_are_divided(spark, monkeypatch):
     assert len(got & want) >= 0.9 * len(want) and not got - want
 
 
+def test_hot_bands_make_every_pair(spark, monkeypatch):
+    monkeypatch.setattr(N, "HOT", 16)
+    rows = [(7, k, 300) for k in range(300)] + [(8, 1000 + k, 17) for k in range(17)]
+    got = [tuple(r) for r in N.hot_pairs(spark.createDataFrame(rows, "bh long, sid long, m long")).collect()]
+    assert sorted(got) == [*itertools.combinations(range(300), 2), *itertools.combinations(range(1000, 1017), 2)]
+    shared = spark.createDataFrame([(k, [5, 100 + k // 2, 1000 + k]) for k in range(40)], "sid long, bands array<long>")
+    assert sorted(tuple(r) for r in N.candidates(shared).collect()) == [*itertools.combinations(range(40), 2)]
+
+
+def test_removal_is_by_text_of_an_id(spark):
+    a, b = "one text with quite a few words in it to be compared", "another story altogether about ships and the sea"
+    df = spark.createDataFrame([(1, a), (2, a), (2, b), (2, b), (3, b.upper())], "doc_id long, text string")
+    assert sorted(tuple(r) for r in N.drop_near(df).collect()) == [(1, a), (2, b)]
+    assert sorted((r[0], r[1]) for r in N.near_pairs(df).collect()) == [(1, 2), (2, 3)]
+
+
+def test_tie_at_the_threshold(spark):
+    # 3-grams of 6 words: 4 each, of which 3 more words share; 2 common of 4 in the union is exactly 0.5
+    df = spark.createDataFrame([(1, "a b c d e"), (2, "b c d e f x"), (3, "b c d e"), (4, "q r s t u v w")], "doc_id long, text string")
+    got = {(r[0], r[1]): r[2] for r in N.near_pairs(df, recall=0.999999).collect()}
+    assert got == {(1, 3): 2 / 3, (2, 3): 0.5}
+
+
+def test_hashes_against_plain_sets(docs):
+    """The operator's n-gram hashes say the same about similarity as sets of the words themselves."""
+    texts = [r.text for r in docs.select("text").limit(120).collect()]
+    plain = []
+    for t in texts:
+        w = re.findall(r"[a-z0-9_\u0080-\U0010ffff]+", (t or "").lower())
+        plain.append({tuple(w[k : k + 3]) for k in range(max(1, len(w) - 2))} if w else set())
+    h, b = N.gram_sets(pa.array(texts, pa.string()))
+    mine = [set(h[b[k] : b[k + 1]].tolist()) for k in range(len(texts))]
+    assert [len(x) for x in mine] == [len(x) for x in plain]
+    for x, y in itertools.combinations(range(len(texts)), 2):
+        assert len(mine[x] & mine[y]) == len(plain[x] & plain[y])
+
+
 def test_awkward_rows(awkward, empty):
     got = N.expand(N.near_pairs(awkward)).collect()
     assert got == []  # a repeated row is no pair; empty sets are similar to nothing
