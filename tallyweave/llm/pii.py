@@ -9,7 +9,8 @@
    Expectation-maximisation on those counts estimates each labeler's reliability within each
    kind of candidate and gives every pattern a posterior.
 4. A logistic regression over shape, kind and context features is trained with the posteriors as
-   soft labels, on at most MAX_TRAIN candidates chosen by hash, and decides about every candidate.
+   soft labels, on about MAX_TRAIN candidates chosen by a 64-bit hash, equally many of each kind as far as there are
+   so many, and decides about every candidate.
 
 Two scans of the text, nothing but counts and the sample is shuffled.
 
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 
 import numpy as np
 import pandas as pd
@@ -43,22 +45,27 @@ BITS = 14
 CONTEXT = 48
 
 KINDS = ("EMAIL", "SECRET", "KEY", "IP", "SSN", "IBAN", "PHONE", "CARD", "NUMBER")
+#: Every alternative either starts where a run of its own characters starts or has bounded parts, so a search
+#: takes time linear in the text even where the text has no blanks.
 CANDIDATE = re.compile(
-    r"""(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
-    |(?P<SECRET>(?<![^\W_])(?<![^\W_][_-])(?:[^\W_]+[_-])*(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|passphrase)\b["']?\s*[=:]\s*["']?[^\s"',;]{4,}["']?)
-    |(?P<KEY>\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{16,}|sk-[\w-]{16,}|xox[abp]-[\w-]{10,}|eyJ[\w-]{10,}\.[\w.-]{10,}|(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,})\b(?<![ ]\d{16})(?<!\d{16}))
-    |(?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))
-    |(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
+    r"""(?<![^\W_])(?:
+     (?<![\w.+-])(?P<EMAIL>[\w.+-]+@[\w-]+(?:\.[\w-]+)+)
+    |(?P<SECRET>(?<![^\W_][_-])(?:[^\W_]+[_-])*(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key|passphrase)\b["']?\s*[=:]\s*["']?[^\s"',;]{4,}["']?)
+    |(?P<KEY>\b(?:AKIA[0-9A-Z]{12,}|gh[pousr]_\w{16,}|sk-[\w-]{16,}|xox[abp]-[\w-]{10,}|(?<!-)eyJ[\w-]{10,}\.[\w.-]{10,}|(?=[0-9a-fA-F]*[0-9])[0-9a-fA-F]{16,})\b(?<![ ]\d{16})(?<!\d{16}))
     |(?P<IBAN>\b[A-Z]{2}\d{2}(?:[ ]?[0-9A-Z]{4}){3,7}(?:[ ]?[0-9A-Z]{1,3})?\b)
+    )|(?=[\d+(])(?:
+     (?P<IP>(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d.]*\d))
+    |(?P<SSN>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))
     |(?P<CARD>(?<![\w.])(?:\d{4}(?:[ -]\d{4}){3}(?:[ -]\d{1,3})?|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))
     |(?P<PHONE>(?<![\w.])(?!\d{2,3}[ ](?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))(?:\+\d{1,3}[ .-]?)?(?:\(\d{2,4}\)[ .-]?|\d{2,4}[ .-])\d{3,4}[ .-]?\d{3,4}(?!\w)|(?<![\w.])\+\d{8,15}(?!\w))
     |(?P<CARD_>(?<![\w.])(?!\d{1,3}[ ](?:\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{4,5})(?!\w))\d(?:[ -]?\d){12,18}(?![\w-]))
-    |(?P<NUMBER>\d[\w.,:/-]*)""",
+    |(?P<NUMBER>\d[\w.,:/-]*)
+    )""",
     re.X,
 )
 STRICT = {
     "EMAIL": re.compile(r"[A-Za-z0-9][\w.+-]*@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,24}"),
-    "SECRET": re.compile(r"(?s).*[=:]\s*[\"']?(?=[^\s\"']*\d)[^\s\"']{8,}[\"']?"),
+    "SECRET": re.compile(r"[^=:]*[=:]\s*[\"']?(?=[^\s\"']*\d)[^\s\"']{8,}[\"']?"),
     "KEY": re.compile(r"AKIA[0-9A-Z]{16}|gh[pousr]_\w{20,}|sk-[\w-]{20,}|xox[abp]-[\w-]{10,}|eyJ.*|[0-9a-fA-F]{32,}"),
     "IP": re.compile(r"\d{1,3}(?:\.\d{1,3}){3}"),
     "SSN": re.compile(r"(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}"),
@@ -176,9 +183,11 @@ def scan(column: pa.Array):
                 yield a + int(rows[0]), text, found
 
 
+_SHAPE = str.maketrans(dict.fromkeys(string.ascii_lowercase, "a") | dict.fromkeys(string.ascii_uppercase, "A") | dict.fromkeys(string.digits, "d"))
+
+
 def shape(span: str) -> str:
-    out = re.sub(r"[0-9]", "d", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", span)))
-    return re.sub(r"(.)\1{2,}", r"\1\1+", out)
+    return re.sub(r"(.)\1{2,}", r"\1\1+", span.translate(_SHAPE))
 
 
 def features(kind: str, span: str, before: str, vote: tuple[int, ...]) -> list[str]:
@@ -236,20 +245,29 @@ def _count_votes(batches):
 
 
 def _collect_features(rates: dict[str, float]):
+    """Features of a share of the candidates of each kind, chosen by a hash of document, place and words."""
     import xxhash
 
+    most = {kind: int(rate * (1 << 64)) for kind, rate in rates.items()}
+
     def run(batches):
         for batch in batches:
-            kinds, vs, idx = [], [], []
-            for _, text, found in scan(batch.column("text")):
+            ids = batch.column("doc_id")
+            key, kinds, vs, idx = [], [], [], []
+            for r, text, found in scan(batch.column("text")):
                 for a, b, kind in found:
                     span, before = text[a:b], text[max(0, a - CONTEXT) : a]
-                    if xxhash.xxh64_intdigest(before + span) >> 44 < rates.get(kind, 0) * (1 << 20):
+                    h = xxhash.xxh64_intdigest(f"{ids[r].as_py()} {a} {before}{span}")
+                    if h < most.get(kind, 0):
                         v = votes(kind, span, before)
+                        key.append(h)
                         kinds.append(kind)
                         vs.append(v)
                         idx.append(_bucket(features(kind, span, before, v)))
-            yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(vs, pa.list_(pa.int32())), pa.array(idx, pa.list_(pa.int64()))], names=["kind", "votes", "idx"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.array(key, np.uint64).view(np.int64)), pa.array(kinds, pa.string()), pa.array(vs, pa.list_(pa.int32())), pa.array(idx, pa.list_(pa.int64()))],
+                names=["key", "kind", "votes", "idx"],
+            )
 
     return run
 
@@ -266,7 +284,8 @@ def train(docs: DataFrame, max_train: int = MAX_TRAIN) -> tuple[np.ndarray, floa
     known = {(k, v): p for k, v, p in zip(counts["kind"], counts["votes"], counts["p"], strict=True)}
     sizes = counts.groupby("kind")["n"].sum()
     rates = {k: min(1.0, max_train / len(sizes) / n) for k, n in sizes.items()}
-    rows = text.mapInArrow(_collect_features(rates), "kind string, votes array<int>, idx array<long>").toArrow()
+    chosen = docs.select("doc_id", "text").where(F.col("text").isNotNull()).mapInArrow(_collect_features(rates), "key long, kind string, votes array<int>, idx array<long>")
+    rows = chosen.dropDuplicates(["key"]).toArrow()  # a repeated row counts once, so about max_train rows come whatever the corpus
     data = []
     for kind, v, i in zip(rows.column("kind").to_pylist(), rows.column("votes").to_pylist(), rows.column("idx"), strict=True):
         data.append((np.asarray(i.values), known[kind, tuple(v)]))

@@ -2,8 +2,10 @@ from __future__ import annotations
 
 import random
 import re
+import time
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -185,3 +187,26 @@ def test_grouped_cards_and_prefixed_secrets_are_masked(spark, docs):
     rows = [(900_001, "My card is 4111 1111 1111 1111 now"), (900_002, "AWS_SECRET_ACCESS_KEY=wJalrXUtnFEMI7K7MDENG"), (900_003, "DB_ADMIN_PASSWORD=hunter2hunter2"), (900_004, "My card is 3782 822463 10005 now")]
     got = {r.doc_id: r.text for r in pii.mask(docs.select("doc_id", "text").unionByName(spark.createDataFrame(rows, "doc_id long, text string"))).where("doc_id > 900000").collect()}
     assert got == {900_001: "My card is [CARD] now", 900_002: "[SECRET]", 900_003: "[SECRET]", 900_004: "My card is [CARD] now"}
+
+
+def test_long_texts_without_blanks_are_linear():
+    n = 2_000_000
+    rng = random.Random(1)
+    texts = ["a" * n + "1", "a@" * (n // 2), "a-" * (n // 2) + "1", "1a" * (n // 2), "eyJ-" * (n // 4) + "1", "password=" + "=" * n, "1." * (n // 2), "a_" * (n // 2) + "1", f"{rng.getrandbits(n * 4):x}", "." * n + "jane.doe@example.com"]
+    for text in texts:
+        began = time.process_time()
+        found = [x for _, t, f in pii.scan(pa.array([text])) for x in pii.accepted(t, f, (np.zeros(1 << pii.BITS), 0.0), 0.5)]
+        assert time.process_time() - began < 6, text[:20]
+        assert len(found) <= 1
+
+
+def test_training_sample_is_bounded_at_any_rate(spark):
+    rows = [(k, f"call +1 (212) 555-{k:04d} or 10{k % 7} now") for k in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+
+    def chosen(rate):
+        return df.mapInArrow(pii._collect_features({"PHONE": rate, "NUMBER": rate}), "key long, kind string, votes array<int>, idx array<long>").count()
+
+    assert chosen(1e-9) == 0 and chosen(1.0) == 6000 and 450 < chosen(0.1) < 750
+    same = spark.createDataFrame([(1, "call +1 (212) 555-0187 now")] * 500, "doc_id long, text string")
+    assert pii.find_pii(same).count() in (0, 500)
