@@ -1,27 +1,33 @@
 """Embedding near-dedup by collision counting over many sorted one-dimensional projections.
 
-Vectors are scaled to length 1. Each is projected on `m` random directions. Two vectors collide
-in a direction if their projections are at most `w` apart: each lies in the window centred on
-the other. A pair whose cosine is THRESHOLD is at distance r = sqrt(2 - 2 THRESHOLD), so it
-collides with probability p1 = P(|N(0, r^2/d)| <= w) per direction (directions have length about 1 in d dimensions), and the number of
-collisions is binomial. The needed count is the largest c with P(Binomial(m, p1) >= c) >= RECALL. Pairs that reach
-it are verified by their exact cosine.
-
-Counting every collision of every pair would make quadratically many rows. So the directions form `groups` of
-`g`; in each group a vector goes to the cell that g - 1 of its projections select on a
-randomly shifted grid, and the remaining projection is the sorted one, along which query-centred windows slide over
-the cell. What two vectors of one window have in common is then counted over all m directions at
-once. A near pair shares its cell with a known probability, so the number of groups follows from the recall target like the needed
-count does; g grows with the logarithm of the number of vectors, which keeps cells small.
-
-Result: vec_a < vec_b and their cosine, for each pair at or over the threshold, once.
-
-Defined results: null, empty and all-zero vectors, vectors with a null or non-finite component, and
-vectors of another length than the commonest are not similar to anything; rows with a null
+Vectors are scaled to length 1 and projected on random directions. Two vectors collide
+in a direction if their projections are at most `half` apart: each lies in the window centred on
+the other. A pair whose cosine is the threshold is at distance r = sqrt(2 - 2 threshold), so it
+collides with probability p1 = P(|N(0, r^2/d)| <= half) per direction (d dimensions), and the number of
+collisions over DIRECTIONS directions is binomial. The needed count is the largest c with
+P(Binomial(DIRECTIONS, p1) >= c) >= sqrt(recall). Pairs that reach it are verified by their exact cosine.
+
+Windows along one direction hold a fixed share of all vectors (0.44 of unrelated ones at 0.95), so joining
+the table with itself along each sorted projection would make quadratically many rows. So
+each of `groups` sorted projections is divided by g - 1 more directions: a vector goes to the
+cell that these select on a randomly shifted grid, and query-centred windows slide along the sorted projection
+within the cell. Every pair of a window has its collisions counted at once, over
+all DIRECTIONS directions. A near pair shares its cell with a known probability, so the number of groups follows
+from the recall target like the needed count does; g grows with the logarithm of the number of vectors, which
+keeps cells small.
+
+What travels per group is a cell, a position and the projections as one byte each in steps of half / STEPS, not the
+vector. Vectors are fetched once the counting is done, by tiles of similar pairs as in the n-gram join.
+
+Result: rows (vec_a, vec_b, cosine), vec_a < vec_b, each pair once. Ids with one and the same vector are pairs of the
+smallest of them with each other one (cosine 1.0); different vectors that are similar are a pair of the smallest ids
+of both. Every other pair follows; ``expand`` writes them out.
+
+Defined results: null, empty and all-zero vectors and vectors with a null or non-finite component are not
+similar to anything, nor are vectors of different lengths; rows with a null
 vec_id are left out; repeated rows count once, and if a vec_id has several different vectors the pair has the
-greatest cosine; a pair exactly at the threshold counts; an empty table gives an empty result;
-other columns are ignored. Equal vectors form one entry, however many there are, and pairs
-among them are written out at the end with those of their partners.
+greatest cosine; a pair exactly at the threshold counts (cosines are sums in double precision, so 1e-12 is allowed
+for their rounding); an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,42 +39,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyweave.llm import near_text
 from tallyweave.llm._cut import cut
 
 THRESHOLD = 0.95
-RECALL = 0.98
+RECALL = 0.97
+#: Directions over which collisions are counted.
+DIRECTIONS = 32
 #: Half window in standard deviations of a pair at the threshold, and cell width in half windows.
 WINDOW = 2.6
 CELL = 4.0
+#: Steps of the byte codes in half a window, and the largest code; values beyond it collide all the more.
+STEPS = 8
+CLIP = 60
 #: Vectors that a cell should hold, by which g is chosen, and rows swept together.
 OCCUPANCY = 512
 SWEEP = 2048
+_ROUNDING = 1e-12
+_SCHEMA = "vec_a long, vec_b long, cosine double"
 
 
 class Plan:
-    """Numbers of directions, groups and needed collisions for n vectors."""
+    """Directions, numbers of groups and needed collisions for n vectors."""
 
     def __init__(self, n: int, dim: int, threshold: float = THRESHOLD, recall: float = RECALL):
         self.threshold, self.dim = threshold, dim
-        r = math.sqrt(max(1e-12, 2 - 2 * threshold))
-        sigma = r / math.sqrt(dim)
+        sigma = math.sqrt(max(1e-12, 2 - 2 * threshold)) / math.sqrt(dim)
         self.half = WINDOW * sigma
         self.side = CELL * self.half
         p1 = math.erf(WINDOW / math.sqrt(2))
         near = 1 - math.sqrt(2 / math.pi) / (CELL * WINDOW)  # both of a pair at the threshold in one cell, per direction
         apart = math.sqrt(2 / dim)  # deviation of the projected difference of two unrelated vectors
         far = min(0.95, max(0.05, 1 - math.sqrt(2 / math.pi) * apart / self.side, self.side / (2 * math.sqrt(math.pi) / math.sqrt(dim)) / 2))
-        self.g = 1 + min(64, max(1, math.ceil(math.log(max(1.0, n / OCCUPANCY)) / -math.log(far))))
+        self.g = 1 + max(1, math.ceil(math.log(max(1.0, n / OCCUPANCY)) / -math.log(far)))
         each = math.sqrt(recall)  # both losses, by cells and by counting, get the same share
         self.groups = max(2, math.ceil(math.log(1 - each) / math.log(1 - near ** (self.g - 1))))
-        self.m = self.groups * self.g
-        self.needed = needed_collisions(self.m, p1, each)
+        self.needed = needed_collisions(DIRECTIONS, p1, each)
         rng = np.random.default_rng(11)
-        self.directions = rng.standard_normal((dim, self.m))
-        self.directions /= np.linalg.norm(self.directions, axis=0)
-        self.directions = self.directions.astype(np.float32)
-        self.shift = rng.random(self.m) * self.side
-        self.weights = rng.integers(1, 1 << 62, self.m) | 1
+
+        def directions(count: int) -> np.ndarray:
+            x = rng.standard_normal((dim, count))
+            return (x / np.linalg.norm(x, axis=0)).astype(np.float32)
+
+        self.counted = directions(DIRECTIONS)
+        self.directions = directions(self.groups * self.g)
+        self.offset = rng.random(DIRECTIONS)
+        self.shift = rng.random(self.groups * self.g) * self.side
+        self.weights = rng.integers(1, 1 << 62, self.groups * self.g) | 1
 
 
 def needed_collisions(m: int, p: float, recall: float) -> int:
@@ -81,66 +98,77 @@ def needed_collisions(m: int, p: float, recall: float) -> int:
     return 0
 
 
-def _unit(column: pa.Array) -> np.ndarray:
-    x = np.stack(column.to_numpy(zero_copy_only=False)).astype(np.float64)
-    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """The vectors as rows, in double precision."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _cells(plan_shared):
-    """Each vector once per group, with its cell and its place along the sorted projection."""
+    """Each vector once per group: its cell, its place along the sorted projection, and its codes."""
 
     def run(batches):
         plan = plan_shared.value
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                x = _unit(part.column("v"))
+                x = _matrix(part.column("v"), plan.dim)
+                x = (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+                codes = np.clip(np.floor(x @ plan.counted * (STEPS / plan.half) + plan.offset), -CLIP, CLIP).astype(np.int8)
+                packed = pa.FixedSizeBinaryArray.from_buffers(pa.binary(DIRECTIONS), len(x), [None, pa.py_buffer(codes.tobytes())]).cast(pa.binary())
                 proj = x @ plan.directions
-                code = np.floor((proj + plan.shift) / plan.side).astype(np.int64) * plan.weights
-                vec = pa.array([row.tobytes() for row in x], pa.binary())
+                grid = np.floor((proj + plan.shift) / plan.side).astype(np.int64) * plan.weights
                 for k in range(plan.groups):
                     first = k * plan.g
-                    cell = code[:, first + 1 : first + plan.g].sum(1) + k
-                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(proj[:, first].astype(np.float64)), part.column("sid"), vec], names=["cell", "pos", "sid", "vec"])
+                    cell = grid[:, first + 1 : first + plan.g].sum(1) + k
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(proj[:, first], pa.float32()), part.column("sid"), packed], names=["cell", "pos", "sid", "codes"])
 
     return run
 
 
 def _sweep(plan_shared):
-    """Pairs of a cell: windows slide along the sorted projection, collisions are counted, pairs verified."""
+    """Pairs of a cell that collide often enough: windows slide along the sorted projection."""
 
     def run(batches):
         plan = plan_shared.value
-        half, needed = np.float32(plan.half), plan.needed
+        reach, misses = np.float32(plan.half * (1 + 1e-5)), DIRECTIONS - plan.needed
+        early = DIRECTIONS // 4
 
         def match(new, old, same):
             """Pairs of a new row and an older one within half a window; if new is old, each once."""
-            lo = np.searchsorted(old[0], new[0] - plan.half - 1e-6, "left")
+            lo = np.searchsorted(old[0], new[0] - reach, "left")
             hi = np.arange(len(new[0])) if same else np.full(len(new[0]), len(old[0]))
             size = np.maximum(hi - lo, 0)
+            ends = np.cumsum(size)
             at = 0
             while at < len(size):  # about 64k pairs at a time
-                to = max(at + 1, int(np.searchsorted(np.cumsum(size[at:]), 1 << 16)) + at)
+                to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + (1 << 16), "right")))
                 n = size[at:to]
-                i = np.repeat(np.arange(at, at + len(n)), n)
+                i = np.repeat(np.arange(at, to), n)
                 j = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + np.repeat(lo[at:to], n)
                 at = to
-                good = np.count_nonzero(np.abs(new[2][i] - old[2][j]) <= half, axis=1) >= needed
-                i, j = i[good], j[good]
-                cos = np.einsum("ij,ij->i", new[3][i].astype(np.float64), old[3][j].astype(np.float64))
-                keep = cos >= plan.threshold - 1e-6
-                s, t = new[1][i[keep]], old[1][j[keep]]
-                yield np.minimum(s, t), np.maximum(s, t), cos[keep]
+                for part in (slice(0, early), slice(early, None)):  # too many misses in the first directions already decide
+                    missed = np.count_nonzero(np.abs(new[2][i, part] - old[2][j, part]) > STEPS, axis=1)
+                    good = missed <= misses
+                    i, j = i[good], j[good]
+                    if part.start == 0:
+                        before = missed[good]
+                    else:
+                        fine = missed[good] + before[good] <= misses
+                        i, j = i[fine], j[fine]
+                s, t = new[1][i], old[1][j]
+                yield np.minimum(s, t), np.maximum(s, t)
 
         cell, kept = None, None
         for batch in batches:
             for a0 in range(0, batch.num_rows, SWEEP):
                 part = batch.slice(a0, SWEEP)
                 key, n = part.column("cell").to_numpy(), part.num_rows
-                vec = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float32).reshape(n, plan.dim)
-                whole = (part.column("pos").to_numpy(), part.column("sid").to_numpy(), vec @ plan.directions, vec)
+                codes = np.frombuffer(b"".join(part.column("codes").to_pylist()), np.int8).reshape(n, DIRECTIONS)
+                whole = (part.column("pos").to_numpy(), part.column("sid").to_numpy(), codes)
                 edges = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), n]
-                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+                found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
                 for a, b in zip(edges, edges[1:], strict=False):
                     now = tuple(x[a:b] for x in whole)
                     if key[a] == cell and kept is not None:
@@ -153,35 +181,86 @@ def _sweep(plan_shared):
                     if b == n:  # the cell may go on: keep what later windows can still reach
                         if kept is not None:
                             now = tuple(np.concatenate([k, x]) for k, x in zip(kept, now, strict=True))
-                        far = np.searchsorted(now[0], now[0][-1] - plan.half - 1e-6)
+                        far = np.searchsorted(now[0], now[0][-1] - reach)
                         kept = tuple(x[far:] for x in now)
                     else:
                         kept = None
-                s, t, c = (np.concatenate(x) for x in zip(*found, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(t, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
+                s, t = (np.concatenate(x) for x in zip(*found, strict=True))
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.int64()), pa.array(t, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _verify(threshold: float, dim: int):
+    """Exact cosine of each pair, tile by tile; rows come sorted by tile, vectors before pairs."""
+
+    def run(batches):
+        tile, place, vectors = None, {}, []
+        for batch in batches:
+            tiles, sid, other, v = (batch.column(c) for c in ("tile", "sid", "other", "v"))
+            t = tiles.to_numpy()
+            edges = [0, *(np.flatnonzero(t[1:] != t[:-1]) + 1).tolist(), len(t)]
+            out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            for lo, hi in zip(edges, edges[1:], strict=False):
+                if lo == hi:
+                    continue
+                if t[lo] != tile:
+                    tile, place, vectors = t[lo], {}, []
+                n = hi - lo - v.slice(lo, hi - lo).null_count
+                if n:
+                    x = _matrix(v.slice(lo, n), dim)
+                    place |= {s: len(place) + k for k, s in enumerate(sid.slice(lo, n).to_pylist())}
+                    vectors.append(x / np.linalg.norm(x, axis=1, keepdims=True))
+                if lo + n < hi:
+                    table = vectors[0] if len(vectors) == 1 else np.concatenate(vectors)
+                    vectors = [table]
+                    a, b = sid.slice(lo + n, hi - lo - n).to_numpy(), other.slice(lo + n, hi - lo - n).to_numpy()
+                    for k in range(0, len(a), 1 << 14):
+                        p, q = a[k : k + (1 << 14)], b[k : k + (1 << 14)]
+                        cos = np.einsum("ij,ij->i", table[[place[x] for x in p.tolist()]], table[[place[x] for x in q.tolist()]])
+                        keep = cos >= threshold - _ROUNDING
+                        out.append((p[keep], q[keep], np.minimum(cos[keep], 1.0)))
+            p, q, c = (np.concatenate(x) for x in zip(*out, strict=True))
+            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int64()), pa.array(q, pa.int64()), pa.array(c, pa.float64())], names=["a", "b", "cosine"])
 
     return run
 
 
+def _similar(entries: DataFrame, dim: int, threshold: float, recall: float) -> DataFrame:
+    """(a, b, cosine) of the similar pairs of entries (sid, v) of one length."""
+    # directions and grids: a few hundred vectors, whatever the table
+    plan = entries.sparkSession.sparkContext.broadcast(Plan(entries.count(), dim, threshold, recall))
+    rows = entries.select("sid", "v").mapInArrow(_cells(plan), "cell long, pos float, sid long, codes binary")
+    swept = rows.repartition("cell").sortWithinPartitions("cell", "pos").mapInArrow(_sweep(plan), "a long, b long")
+    pairs = near_text.tiled(cut(swept.distinct()))
+    needs = pairs.select("tile", F.explode(F.array("a", "b")).alias("sid")).distinct()
+    shipped = needs.join(entries.select("sid", "v"), "sid").select("tile", "sid", F.lit(None).cast("long").alias("other"), "v")
+    asked = pairs.select("tile", F.col("a").alias("sid"), F.col("b").alias("other"), F.lit(None).cast("array<float>").alias("v"))
+    tiles = shipped.union(asked).repartition("tile").sortWithinPartitions("tile", F.col("other").isNotNull())
+    return tiles.mapInArrow(_verify(threshold, dim), "a long, b long, cosine double")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(vec_a, vec_b, cosine) of all found pairs with a cosine of at least the threshold."""
+    """(vec_a, vec_b, cosine) of copies with the first of their vector, and of the first ids of similar vectors."""
     spark = vectors.sparkSession
-    schema = "vec_a long, vec_b long, cosine double"
     v = F.col(vector_col).cast("array<float>")
     fine = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))) & F.exists(v, lambda x: x != 0), F.lit(False))
     usable = vectors.select(F.col(id_col).cast("long").alias("id"), v.alias("v")).where(F.col("id").isNotNull() & fine)
-    sizes = usable.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").head()
-    if sizes is None:
-        return spark.createDataFrame([], schema)
-    dim = sizes["d"]
-    entries = cut(usable.where(F.size("v") == dim).groupBy("v").agg(F.array_sort(F.collect_set("id")).alias("ids")).withColumn("sid", F.monotonically_increasing_id()))
-    plan = spark.sparkContext.broadcast(Plan(entries.count(), dim, threshold, recall))
-    rows = entries.select("sid", "v").mapInArrow(_cells(plan), "cell long, pos double, sid long, vec binary")
-    swept = rows.repartition("cell").sortWithinPartitions("cell", "pos").mapInArrow(_sweep(plan), "a long, b long, cosine double")
-    pairs = swept.groupBy("a", "b").agg(F.max("cosine").alias("cosine"))
-    ids = entries.select("sid", "ids")
-    near = pairs.join(ids.select(F.col("sid").alias("a"), F.col("ids").alias("x")), "a").join(ids.select(F.col("sid").alias("b"), F.col("ids").alias("y")), "b")
-    spread = near.select(F.explode("x").alias("p"), "y", "cosine").select("p", F.explode("y").alias("q"), "cosine")
-    same = ids.where(F.size("ids") > 1).select(F.explode("ids").alias("p"), "ids").select("p", F.explode("ids").alias("q"), F.lit(1.0).alias("cosine"))
-    out = spread.unionByName(same).where("p <> q").select(F.least("p", "q").alias("vec_a"), F.greatest("p", "q").alias("vec_b"), F.least("cosine", F.lit(1.0)).alias("cosine"))
-    return out.groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+    one = usable.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    entries = cut(one.withColumn("sid", F.monotonically_increasing_id()))
+    sizes = [r["d"] for r in entries.select(F.size("v").alias("d")).distinct().collect()]  # the lengths of vectors, as a rule one
+    out = spark.createDataFrame([], _SCHEMA)
+    names = entries.select("sid", "id")
+    for dim in sorted(sizes):
+        found = _similar(entries.where(F.size("v") == dim), dim, threshold, recall)
+        named = found.join(names.select(F.col("sid").alias("a"), F.col("id").alias("x")), "a").join(names.select(F.col("sid").alias("b"), F.col("id").alias("y")), "b")
+        out = out.union(named.where("x <> y").select(F.least("x", "y").alias("vec_a"), F.greatest("x", "y").alias("vec_b"), "cosine"))
+    copied = entries.where("n > 1").select("v", F.col("id").alias("vec_a"))
+    copies = usable.join(copied, "v").where("id <> vec_a").select("vec_a", F.col("id").alias("vec_b"), F.lit(1.0).alias("cosine"))
+    return out.union(copies).groupBy("vec_a", "vec_b").agg(F.max("cosine").alias("cosine"))
+
+
+def expand(found: DataFrame) -> DataFrame:
+    """All similar pairs that the rows of near_vectors stand for, if each id has one vector and different ones have a cosine below 1."""
+    pairs = near_text.expand(found.select(F.col("vec_a").alias("doc_a"), F.col("vec_b").alias("doc_b"), F.col("cosine").alias("jaccard")))
+    return pairs.select(F.col("doc_a").alias("vec_a"), F.col("doc_b").alias("vec_b"), F.col("jaccard").alias("cosine"))
