@@ -69,28 +69,29 @@ def test_sharding(docs):
     assert len(per) <= 4 * sum(sizes.values()) / target + 2
 
 
-def test_tree_splits_near_the_weighted_median(spark, docs):
-    meta = sharding.metadata(docs)
-    tree = sharding.build(meta, 200_000)
-    rows = meta.toPandas()
-    points = rows[list(sharding.DIMENSIONS)].to_numpy()
-    dim, value, left = tree.arrays()
-    width = np.ptp(points, axis=0)
-    node_rows = {0: np.arange(len(rows))}
-    for node in range(len(dim)):
-        mine = node_rows[node]
-        if dim[node] < 0:
-            continue
-        rel = np.ptp(points[mine], axis=0) / np.where(width > 0, width, 1)
-        assert dim[node] == rel.argmax()
-        goes = points[mine, dim[node]] <= value[node]
-        w = rows.weight.to_numpy()[mine]
-        order = np.argsort(points[mine, dim[node]], kind="stable")
-        xs, cum = points[mine, dim[node]][order], np.cumsum(w[order])
-        cuts = [cum[k] for k in range(len(xs) - 1) if xs[k] != xs[k + 1]]
-        best = min(abs(c - w.sum() / 2) for c in cuts)
-        assert abs(w[goes].sum() - w.sum() / 2) <= best + 2 * sharding.TOLERANCE * w.sum() + 1
-        node_rows[left[node]], node_rows[left[node] + 1] = mine[goes], mine[~goes]
+def _reference_tree(points, weight, target, width, rows=None):
+    """Groups of rows by plain recursion over all cuts."""
+    rows = list(range(len(points))) if rows is None else rows
+    total = sum(weight[r] for r in rows)
+    rel = [(max(points[r][d] for r in rows) - min(points[r][d] for r in rows)) / width[d] for d in range(4)]
+    if total <= target or max(rel) <= 0:
+        return [frozenset(rows)]
+    d = rel.index(max(rel))
+    values = sorted({points[r][d] for r in rows})
+    best = min(reversed(values[:-1]), key=lambda v: abs(sum(weight[r] for r in rows if points[r][d] <= v) - total / 2))
+    return [g for side in ([r for r in rows if points[r][d] <= best], [r for r in rows if points[r][d] > best]) for g in _reference_tree(points, weight, target, width, side)]
+
+
+@pytest.mark.parametrize(("target", "local_rows"), [(30_000, 10**6), (30_000, 0), (60_000, 40), (10**9, 0)])
+def test_tree_against_plain_recursion(docs, target, local_rows):
+    rows = sharding.metadata(docs).orderBy("doc_id").collect()
+    points, weight = [[r[d] for d in sharding.DIMENSIONS] for r in rows], [r.weight for r in rows]
+    width = [max(p[d] for p in points) - min(p[d] for p in points) or 1.0 for d in range(4)]
+    want = _reference_tree(points, weight, target, width)
+    got = {}
+    for r in sharding.shard(docs, target, local_rows).collect():
+        got.setdefault(r.shard_id, set()).add(r.doc_id)
+    assert [got[k] for k in range(len(got))] == [{rows[r].doc_id for r in g} for g in want]
 
 
 def test_sharding_awkward(spark, awkward, empty):
@@ -117,7 +118,7 @@ def test_embedding_recall(spark, threshold):
     a, b = np.where(np.triu(c, 1) >= threshold)
     want = {(int(i), int(j)) for i, j in zip(a, b, strict=True)}
     assert len(want & set(got)) >= 0.95 * len(want) and len(want) > 300
-    assert all(abs(c[p] - v) < 1e-5 and c[p] >= threshold - 1e-5 for p, v in got.items())
+    assert all(abs(c[p] - v) < 1e-5 and v >= threshold - 1e-12 for p, v in got.items())
 
 
 def test_embedding_sweeps_in_parts(spark, monkeypatch):
@@ -141,10 +142,24 @@ def test_embedding_awkward(spark):
     rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (4, []), (5, [0.0, 0.0]), (6, [float("nan"), 1.0]), (7, [1.0]), (None, [1.0, 0.0]), (8, [None, 1.0]), (9, [0.0, 1.0]), (10, [2.0, 0.01])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").selectExpr("*", "1 AS a", "2 AS cosine")
     got = {(r[0], r[1]) for r in embeddings.near_vectors(df).collect()}
-    assert got == {(1, 2), (1, 10), (2, 10)}
+    assert got == {(1, 2), (1, 10)}  # the copy (2) stands for its partners too
+    assert {(r[0], r[1]) for r in embeddings.expand(embeddings.near_vectors(df)).collect()} == {(1, 2), (1, 10), (2, 10)}
     assert embeddings.near_vectors(df.limit(0)).count() == 0
 
 
+def test_embeddings_of_several_lengths_ties_and_copies(spark):
+    rng = np.random.default_rng(9)
+    many = [(k, v.tolist()) for k, v in enumerate(_near(20, rng))]
+    few = [(1000, [1.0, 2.0]), (1001, [1.0, 2.0]), (1002, [2.0, 4.0]), (1003, [-1.0, 2.0])]
+    tie = [(2000, [1.0, 0.0, 0.0]), (2001, [3.0, 4.0, 0.0])]  # cosine 0.6
+    df = spark.createDataFrame([*many, *few, *tie], "vec_id long, embedding array<float>")
+    got = {(r[0], r[1]): r[2] for r in embeddings.near_vectors(df, 0.6, recall=0.9999).collect()}
+    assert {k: round(v, 9) for k, v in got.items() if k[0] >= 1000} == {(1000, 1001): 1.0, (1000, 1002): 1.0, (1000, 1003): 0.6, (1002, 1003): 0.6, (2000, 2001): 0.6}
+    copies = spark.createDataFrame([(k, [1.0, 3.0]) for k in range(60)], "vec_id long, embedding array<float>")
+    assert sorted((r[0], r[1]) for r in embeddings.near_vectors(copies).collect()) == [(0, k) for k in range(1, 60)]
+    assert embeddings.Plan(10**12, 64).g > 40  # no bound on the directions of a cell
+
+
 def test_sharding_by_sources_that_begin_alike(spark, monkeypatch):
     names = ["common-crawl-2024", "wikipedia_de", "common-crawl-2023", "wikipedia_en"]
     rows = [(k, "x" * 100, "en", names[k % 4]) for k in range(40)]
