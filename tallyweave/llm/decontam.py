@@ -15,7 +15,8 @@ the benchmark is searched in several parts, each with a scan of its own.
 
 Defined results: null or empty texts contain nothing; items that are null, or without a
 word, match nothing; rows with a null doc_id or item_id are searched too and carry the
-null; repeated documents and repeated items give one row each per pair of ids; an empty table on
+null; repeated documents and repeated items give one row per pair of ids, and so do several texts of one id, whose
+windows count together, each once; an empty table on
 either side gives an empty result; other columns are ignored.
 """
 
@@ -25,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -67,6 +69,8 @@ class WuManber:
 
     def __init__(self, patterns: list[bytes], owners: list[int]):
         self.patterns, self.owners = patterns, np.asarray(owners, np.int64)
+        self.keys = np.array([xxhash.xxh64_intdigest(p) for p in patterns], np.uint64).view(np.int64)
+        self.n_words = np.array([p.count(b" ") - 1 for p in patterns], np.int64)
         self.m = m = min(map(len, patterns))
         self.block = b = min(BLOCK, m)
         self.mask = np.uint64((1 << (8 * b)) - 1)
@@ -162,21 +166,24 @@ class Searcher:
             classes.setdefault(0 if len(p) < 16 else 1 if len(p) < 40 else 2, []).append(k)
         self.machines = [WuManber([patterns[k] for k in ks], [owners[k] for k in ks]) for ks in classes.values()]
 
-    def search(self, column: pa.Array) -> dict[tuple[int, int | None], tuple[int, int, int]]:
-        """{(row, item id): (test strings found, first word, last word)}"""
+    def hits(self, column: pa.Array) -> Iterator[tuple[np.ndarray, ...]]:
+        """(row, index of the item, key of the test string, first word, last word) of all occurrences, as arrays."""
         buf, at, first = normalise(column)
-        found: dict[tuple[int, int | None], tuple[set[int], int, int]] = {}
-        for n, machine in enumerate(self.machines):
+        for machine in self.machines:
             start, cand = machine.search(buf)
             word = np.searchsorted(at, start + 1)
             row = np.searchsorted(first, word, "right") - 1
-            for w, r, c in zip(word.tolist(), row.tolist(), cand.tolist(), strict=True):
-                p = machine.patterns[c]
-                w -= int(first[r])
-                key = (r, self.ids[machine.owners[c]])
-                seen, a, b = found.get(key, (set(), w, w))
-                seen.add((n, c))
-                found[key] = (seen, min(a, w), max(b, w + p.count(b" ") - 2))
+            word = word - first[row]
+            yield row, machine.owners[cand], machine.keys[cand], word, word + machine.n_words[cand] - 1
+
+    def search(self, column: pa.Array) -> dict[tuple[int, int | None], tuple[int, int, int]]:
+        """{(row, item id): (test strings found, first word, last word)}"""
+        found: dict[tuple[int, int | None], tuple[set[int], int, int]] = {}
+        for part in self.hits(column):
+            for r, owner, key, a, b in zip(*(x.tolist() for x in part), strict=True):
+                seen, lo, hi = found.get((r, self.ids[owner]), (set(), a, b))
+                seen.add(key)
+                found[r, self.ids[owner]] = (seen, min(a, lo), max(b, hi))
         return {k: (len(s), a, b) for k, (s, a, b) in found.items()}
 
 
@@ -209,18 +216,17 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> D
             machine = make()
             for batch in batches:
                 ids, text = batch.column("doc_id"), batch.column("text")
-                rows = []
+                items = pa.array(machine.ids, pa.int64())
                 for a, b in _text.slices(text):
-                    for (r, item), (n, lo, hi) in machine.search(text.slice(a, b - a)).items():
-                        rows.append((ids[a + r].as_py(), item, n, lo, hi))
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], pa.int64()) for k in range(5)], names=["doc_id", "item_id", "n_windows", "first_word", "last_word"])
+                    for row, owner, key, lo, hi in machine.hits(text.slice(a, b - a)):
+                        yield pa.RecordBatch.from_arrays([ids.take(pa.array(a + row)), items.take(pa.array(owner)), pa.array(key), pa.array(lo), pa.array(hi)], names=["doc_id", "item_id", "window", "first_word", "last_word"])
 
-        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        part = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA.replace("n_windows", "window"))
         out = part if out is None else out.union(part)
     if out is None:
         return spark.createDataFrame([], SCHEMA)
-    # repeated documents and items: one row per pair
-    return out.groupBy("doc_id", "item_id").agg(F.max("n_windows").alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
+    # one row per pair; whatever rows, texts and parts a window was found in, it counts once
+    return out.groupBy("doc_id", "item_id").agg(F.count_distinct("window").alias("n_windows"), F.min("first_word").alias("first_word"), F.max("last_word").alias("last_word"))
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -233,8 +239,8 @@ def drop_leaked(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) ->
                 clean = np.ones(batch.num_rows, bool)
                 text = batch.column("text")
                 for a, b in _text.slices(text):
-                    for r, _ in machine.search(text.slice(a, b - a)):
-                        clean[a + r] = False
+                    for row, *_ in machine.hits(text.slice(a, b - a)):
+                        clean[a + row] = False
                 yield batch.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)
