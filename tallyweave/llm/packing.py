@@ -4,7 +4,7 @@ Items are documents measured in tokens. The default measure is the byte-level vo
 every model family has: one token per UTF-8 byte and one end-of-text token. A document
 longer than CAPACITY is cut into full pieces and one remainder, so whole texts are packed.
 
-Items go to groups of about GROUP_ITEMS by a hash of doc_id. Every group packs best-fit,
+Items go to groups of about GROUP_ITEMS by a hash of doc_id and text, so rows that share an id, or have none, spread. Every group packs best-fit,
 largest first. Bins filled to at least FULL are final; the others go up as items of their
 own, FAN_IN groups merge, and best-fit runs again, until one group is left. A merged group
 holds only underfull bins. When underfull bins of a merged group still outnumber
@@ -92,11 +92,11 @@ def byte_tokens(column: str = "text"):
 
 
 def pieces(docs: DataFrame, capacity: int, tokens=None) -> DataFrame:
-    """(doc_id, start, length): every document in pieces of at most `capacity` tokens."""
+    """(doc_id, start, length, salt): every document in pieces of at most `capacity` tokens; salt is a hash of its text."""
     n = byte_tokens() if tokens is None else tokens
-    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"))
-    return sized.select("doc_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity), F.lit(1).cast("long"))).alias("k")).select(
-        "doc_id", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("k") * capacity).alias("length")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.alias("n"), F.xxhash64("text").alias("salt"))
+    return sized.select("doc_id", "n", "salt", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / capacity), F.lit(1).cast("long"))).alias("k")).select(
+        "doc_id", (F.col("k") * capacity).alias("start"), F.least(F.lit(capacity).cast("long"), F.col("n") - F.col("k") * capacity).alias("length"), "salt"
     )
 
 
@@ -109,7 +109,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, group_it
     groups = max(1, math.ceil(rest.count() / group_items))
     level = rest.select(
         F.array("doc_id").alias("doc_ids"), F.array("start").alias("starts"), F.array("length").alias("lengths"), F.col("length").alias("n_tokens"),
-        F.pmod(F.xxhash64("doc_id", "start"), F.lit(groups)).alias("grp"),
+        F.pmod(F.xxhash64("doc_id", "salt", "start"), F.lit(groups)).alias("grp"),
     )
     while True:
         packed = cut(level.groupBy("grp").applyInArrow(_pack_group(capacity, full), f"{_BIN}, grp bigint, done boolean"))
