@@ -10,12 +10,13 @@ the lower-cased text. A null text is the empty text: it has no words.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text handled at once; a longer single text gets a chunk of its own.
@@ -165,11 +166,23 @@ def segment_sum(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def sample_rate(df: DataFrame, bound: int) -> float:
-    """Share of df's rows that keeps about `bound` of them."""
-    return min(1.0, bound / max(1, df.count()))
+def hash_limit(rate: float) -> int:
+    """The limit under which a share `rate` of all 63-bit hashes lies."""
+    return min((1 << 63) - 1, int(rate * float(1 << 63)))
 
 
-def by_hash(column: str, rate: float, seed: int = 17):
-    """Condition that keeps a share of the values, the same ones on every run."""
-    return F.pmod(F.xxhash64(F.col(column), F.lit(seed)), F.lit(1 << 20)) < F.lit(int(round(rate * (1 << 20))))
+def smallest_hashes(df: DataFrame, group: str, sizes: dict, most: dict, columns: list, seed: int = 17) -> DataFrame:
+    """At most most[g] rows of each group g, those with the smallest hashes of the columns: the same ones on every run.
+
+    The groups' sizes give a limit below which somewhat more than the wanted rows lie, so only these are
+    shuffled and ranked, whatever the size of df. Names in df don't matter; the order of equal hashes doesn't either.
+    """
+    h = F.shiftrightunsigned(F.xxhash64(*columns, F.lit(seed)), 1)
+    keep = F.lit(False)
+    for g, size in sizes.items():
+        wanted = most[g] + 6 * math.sqrt(most[g]) + 20
+        below = F.lit(True) if wanted >= size else h < F.lit(hash_limit(wanted / size))
+        keep = keep | ((F.col(group) == F.lit(g)) & below)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(h))
+    limit = F.coalesce(*[F.when(F.col(group) == F.lit(g), F.lit(most[g])) for g in sizes], F.lit(0))
+    return df.where(keep).withColumn("_rank", rank).where(F.col("_rank") <= limit).drop("_rank")

@@ -4,8 +4,8 @@ A text becomes counts of its character 1- to MAX_N-grams (lower-cased, white spa
 blank, hashed to 2**BITS buckets), each divided by the number of n-grams and multiplied by the
 bucket's inverse document frequency. Document frequencies come from all documents. The
 model, one output per language of the lang column, is trained with follow-the-regularised-leader and an
-elastic-net penalty on at most MAX_PER_LANG documents of each language, chosen by a hash of
-doc_id. A fifth of the sample is held out to fit one temperature that makes the probabilities honest.
+elastic-net penalty on at most MAX_PER_LANG documents of each language, those with the smallest hashes of
+doc_id and text. A fifth of the sample is held out to fit one temperature that makes the probabilities honest.
 
 All documents are scored whole: with idf folded into the weights a score is a sum of table
 rows, so no per-document vector is built.
@@ -66,6 +66,7 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _document_frequencies(batches):
+    """One table of document frequencies per task, as bytes."""
     total = np.zeros(1 << BITS, np.int64)
     n = 0
     for batch in batches:
@@ -80,14 +81,40 @@ def _document_frequencies(batches):
                 else:
                     total[np.unique(part)] += 1
     total[0] = n  # bucket 0 holds no n-gram; it carries the number of texts
-    yield pa.RecordBatch.from_arrays([pa.array(np.arange(1 << BITS, dtype=np.int32)), pa.array(total)], names=["bucket", "df"])
+    if n:
+        yield _packed(total)
+
+
+def _packed(total: np.ndarray) -> pa.RecordBatch:
+    """The non-zero entries of a table as one row."""
+    at = np.flatnonzero(total)
+    return pa.RecordBatch.from_arrays([pa.array([at.astype(np.int32).tobytes()], pa.binary()), pa.array([total[at].tobytes()], pa.binary())], names=["at", "df"])
+
+
+def _added(batches) -> np.ndarray:
+    total = np.zeros(1 << BITS, np.int64)
+    for batch in batches:
+        for at, df in zip(batch.column("at").to_pylist(), batch.column("df").to_pylist(), strict=True):
+            total[np.frombuffer(at, np.int32)] += np.frombuffer(df, np.int64)
+    return total
+
+
+def _merge(batches):
+    yield _packed(_added(batches))
 
 
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
-    """idf of every bucket over all documents of docs."""
-    rows = docs.select("text").mapInArrow(_document_frequencies, "bucket int, df long").groupBy("bucket").agg(F.sum("df").alias("df")).toPandas()
-    df = np.zeros(1 << BITS)
-    df[rows["bucket"]] = rows["df"]
+    """idf of every bucket over all documents of docs.
+
+    A task's counts are one row; as many tasks as the cluster has cores add these up, then the square root of
+    that many, so the driver gets a few dozen tables of at most 12 bytes a bucket, however large the corpus.
+    """
+    schema = "at binary, df binary"
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    rows = docs.select("text").mapInArrow(_document_frequencies, schema)
+    for tasks in (cores, math.isqrt(cores)):
+        rows = rows.repartition(max(1, tasks)).mapInArrow(_merge, schema)
+    df = _added(rows.toArrow().to_batches()).astype(float)
     n = df[0]
     out = np.log((1 + n) / (1 + df)) + 1
     out[0] = 0
@@ -147,11 +174,9 @@ def train(docs: DataFrame, max_per_lang: int = MAX_PER_LANG) -> Model:
     if len(langs) < 2:
         return Model(langs, np.zeros((1 << BITS, len(langs)), np.float32), np.zeros(len(langs)), 1.0)
     idf = inverse_frequencies(docs)
-    keep = F.lit(False)
-    for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & _text.by_hash("doc_id", min(1.0, max_per_lang / n)))
+    chosen = _text.smallest_hashes(known, "lang", sizes, dict.fromkeys(sizes, max_per_lang), ["doc_id", "text"])
     shared = docs.sparkSession.sparkContext.broadcast(idf)
-    rows = known.where(keep).select("lang", "text").mapInArrow(_sample_rows(shared), "lang string, idx array<int>, val array<float>").toArrow()
+    rows = chosen.select("lang", "text").mapInArrow(_sample_rows(shared), "lang string, idx array<int>, val array<float>").toArrow()
     place = {lang: k for k, lang in enumerate(langs)}
     data = [(np.asarray(i.values, np.int64), np.asarray(v.values, np.float64), place[y]) for i, v, y in zip(rows.column("idx"), rows.column("val"), rows.column("lang").to_pylist(), strict=True)]
     data.sort(key=lambda r: (r[2], len(r[0]), r[0].tobytes()))

@@ -6,7 +6,7 @@ token shapes, where a word's shape is its case pattern and a punctuation run sta
 itself. They go to 2**BITS buckets. A text is scored as the sparse dot product of those counts with the
 weights; nothing but the weights is broadcast, and their size doesn't depend on the corpus.
 
-Training uses at most MAX_PER_CLASS labelled documents of each class, chosen by a hash of
+Training uses at most MAX_PER_CLASS labelled documents of each class, those with the smallest hashes of
 doc_id. All documents are scored, whole.
 
 Defined results: a null or empty text, or one without any token, has quality 0.0 and isn't
@@ -94,15 +94,15 @@ def _feature_rows(batches):
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, per_class: int | dict[int, int]) -> DataFrame:
-    """(text, label) of a bounded, repeatable choice of labelled documents of both classes."""
+    """(text, label) of a bounded, repeatable choice of labelled documents of both classes; equal rows count once."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col(target).isin(0, 1)).groupBy("doc_id").agg(F.min(target).alias("label"))
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
-    keep = F.lit(False)
-    for label, size in sizes.items():
-        most = per_class[label] if isinstance(per_class, dict) else per_class
-        keep = keep | ((F.col("label") == label) & _text.by_hash("doc_id", min(1.0, most / size)))
-    # the bounded number of rows of two integers, whatever the corpus
-    return docs.select("doc_id", "text").join(F.broadcast(known.where(keep)), "doc_id").select("text", "label")
+    most = per_class if isinstance(per_class, dict) else dict.fromkeys(sizes, per_class)
+    if not sizes:
+        return docs.select("text", F.lit(None).cast("int").alias("label")).limit(0)
+    # at most the bound of rows of two integers, whatever the corpus, so broadcasting them is safe
+    chosen = F.broadcast(_text.smallest_hashes(known, "label", sizes, most, ["doc_id"]))
+    return docs.select("doc_id", "text").join(chosen, "doc_id").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).select("text", "label")
 
 
 def train(docs: DataFrame, labels: DataFrame, per_class: int = MAX_PER_CLASS) -> tuple[np.ndarray, float] | None:

@@ -7,11 +7,12 @@ document's score is 1 - prod(1 - p) over the spans' words of highest marginal. E
 arrays, many sentences in step.
 
 Labelled tokens come from the document labels, by a test over the words of at most MAX_TOXIC toxic
-and MAX_CLEAN clean labelled documents, chosen by a hash of doc_id: a word is toxic if the share of toxic
+and MAX_CLEAN clean labelled documents, those with the smallest hashes of doc_id: a word is toxic if the share of toxic
 documents among those that contain it is PURITY at least, if that is no accident (a Chernoff
 bound, corrected for the number of words tested), and if LEAST toxic documents have it. Copies and near
 copies (found by MinHash over word 3-grams) count once in all this, so neither do they carry
-the rare words of one toxic document into the lexicon nor can they keep a word out.
+the rare words of one toxic document into the lexicon nor can they keep a word out. The field is then fitted to these
+documents' sentences: all that have a word which begins like a toxic one, and every CLEAN_SHAREth of the rest.
 
 Result: doc_id, toxicity, starts, ends (character offsets of the offending spans, half open) of
 documents whose score reaches THRESHOLD.
@@ -40,6 +41,8 @@ PURITY = 0.8
 LEAST = 3
 #: Bands, rows and n of the MinHash that joins near copies: 0.98 of the pairs at Jaccard 0.7, 0.05 at 0.3.
 COPIES = (22, 5, 3)
+#: Of the sentences of a labelled text without a word that begins like a toxic one, every CLEAN_SHAREth trains.
+CLEAN_SHARE = 32
 THRESHOLD = 0.5
 N_FEATURES = 6
 _MASK = np.uint64((1 << BITS) - 1)
@@ -220,8 +223,8 @@ def toxic_words(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.unique(chosen.column(c).to_numpy().view(np.uint64)) for c in ("word", "head"))
 
 
-def _training_chains(lexicon: np.ndarray, heads: np.ndarray):
-    """Chains with a toxic word or one that begins like one, and every 32nd of the others of each text."""
+def _training_chains(lexicon: np.ndarray, heads: np.ndarray, clean_share: int):
+    """Chains with a toxic word or one that begins like one, and every clean_shareth chain of each text."""
 
     def run(batches):
         for batch in batches:
@@ -230,9 +233,11 @@ def _training_chains(lexicon: np.ndarray, heads: np.ndarray):
                 s = Sentences(batch.column("text").slice(a, b - a))
                 y = np.isin(s.hash, lexicon) & (batch.column("label").slice(a, b - a).to_numpy()[s.words.text_of] == 1)
                 alike = np.isin(s.head, heads)
+                chain = np.arange(len(s.first) - 1)
+                chain -= np.searchsorted(s.first[:-1], s.words.first[s.words.text_of[s.first[:-1]]])  # number within its text
                 for c in range(len(s.first) - 1):
                     lo, hi = int(s.first[c]), int(s.first[c + 1])
-                    if alike[lo:hi].any() or c % 32 == 0:
+                    if alike[lo:hi].any() or chain[c] % clean_share == 0:
                         f_out.append(s.features[lo:hi].ravel())
                         y_out.append(y[lo:hi])
             yield pa.RecordBatch.from_arrays([pa.array(f_out, pa.list_(pa.int32())), pa.array(y_out, pa.list_(pa.bool_()))], names=["f", "y"])
@@ -240,14 +245,14 @@ def _training_chains(lexicon: np.ndarray, heads: np.ndarray):
     return run
 
 
-def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Crf | None:
+def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, clean_share: int = CLEAN_SHARE) -> Crf | None:
     """The tagger, or None if the labels teach nothing."""
     per = {1: max_toxic, 0: max_clean}
     sample = labelled_sample(docs, labels, "toxic", per)
     lexicon, heads = toxic_words(sample)
     if not len(lexicon):
         return None
-    rows = sample.mapInArrow(_training_chains(lexicon, heads), "f array<int>, y array<boolean>").toArrow()
+    rows = sample.mapInArrow(_training_chains(lexicon, heads, clean_share), "f array<int>, y array<boolean>").toArrow()
     chains = sorted(zip(rows.column("f").to_numpy(), rows.column("y").to_numpy(), strict=True), key=lambda r: (len(r[1]), r[0].tobytes()))
     first = np.concatenate([[0], np.cumsum([len(y) for _, y in chains])])
     return fit_crf(np.concatenate([f for f, _ in chains]).reshape(-1, N_FEATURES), first, np.concatenate([y for _, y in chains]).astype(bool))
