@@ -8,31 +8,35 @@ from pyspark.sql import functions as F
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
-def find_date(c: Column, strict: bool = False) -> Column:
-    """ISO date of the first form that fits: yyyy-mm-dd, dd/mm/yyyy, d Mon yyyy, Mon d, yyyy; day and month in range only.
+def date_candidate(c: Column) -> Column:
+    """struct(date, form) of the first form that gives a date: 0 dd/mm/yyyy, 1 yyyy-mm-dd, 2 d Mon yyyy, 3 Mon d, yyyy; null if none does.
 
-    strict refuses days that the month doesn't have.
+    Day, month and year (1900 to 2100) must be in range.
     """
-    iso = "([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
+    months = "(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]*"
     dmy = "([0-9]{1,2})[-/.]([0-9]{1,2})[-/.]([0-9]{4})"
-    named = "(?i)([0-9]{1,2}) +(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +([0-9]{4})"
-    first = "(?i)(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec)[a-z]* +([0-9]{1,2}),? +([0-9]{4})"
+    iso = "([0-9]{4})[-/.]([0-9]{1,2})[-/.]([0-9]{1,2})"
+    named = f"(?i)([0-9]{{1,2}})[\\s-]*{months}[\\s,-]*([0-9]{{4}})"
+    first = f"(?i){months}[\\s-]*([0-9]{{1,2}})[,\\s]+([0-9]{{4}})"
     table = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, k + 1)])
 
-    def make(y: Column, m: Column, d: Column) -> Column:
-        good = (m >= 1) & (m <= 12) & (d >= 1) & (d <= 31)
-        return F.when(good, F.format_string("%04d-%02d-%02d", y, m, d))
-
     def part(p: str, k: int) -> Column:
         return F.regexp_extract(c, p, k).try_cast("int")
 
     def month(p: str, k: int) -> Column:
         return F.try_element_at(table, F.lower(F.regexp_extract(c, p, k)))
 
-    out = F.coalesce(
-        make(part(iso, 1), part(iso, 2), part(iso, 3)), make(part(dmy, 3), part(dmy, 2), part(dmy, 1)),
-        make(part(named, 3), month(named, 2), part(named, 1)), make(part(first, 3), month(first, 1), part(first, 2)),
-    )
+    forms = [(part(dmy, 3), part(dmy, 2), part(dmy, 1)), (part(iso, 1), part(iso, 2), part(iso, 3)), (part(named, 3), month(named, 2), part(named, 1)), (part(first, 3), month(first, 1), part(first, 2))]
+    out = []
+    for k, (y, m, d) in enumerate(forms):
+        good = m.between(1, 12) & d.between(1, 31) & y.between(1900, 2100)
+        out.append(F.when(good, F.struct(F.format_string("%04d-%02d-%02d", y, m, d).alias("date"), F.lit(k).alias("form"))))
+    return F.coalesce(*out)
+
+
+def find_date(c: Column, strict: bool = False) -> Column:
+    """ISO date of the first form that fits; strict refuses days that the month doesn't have."""
+    out = date_candidate(c)["date"]
     return F.date_format(F.try_to_date(out), "yyyy-MM-dd") if strict else out
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-CODE = "[A-Za-z]{1,4}[A-Za-z0-9]{1,6}"
+#: Product codes in two-column lines: 3 to 6 letters, or 2 to 4 letters and up to three letters or digits.
+CODE = "[A-Za-z]{3,6}|[A-Za-z]{2,4}[A-Za-z0-9]{1,3}"
+#: Code-like words in general; catalogs may have other codes than CODE describes.
+WORD_CODE = "[A-Za-z]{1,4}[A-Za-z0-9]{1,6}"
 TOTAL_WORD = "t[o0][tl]?[ta][li1d]"
 SEP = "[ :=._-]*"
 NUMBER = "([0-9]+(?:\\.[0-9]+)?)"
@@ -23,16 +26,21 @@ TOTALS = [
     f"(?i){TOTAL_WORD}.*(?:qty|quantity).*?{NUMBER} *$",
 ]
 GRAND = [f"(?i)gra[nm]d{SEP}{TOTAL_WORD}[^0-9]*{NUMBER}", f"(?i){TOTAL_WORD}{SEP}(?:amount|amt)[^0-9]*{NUMBER}", f"(?i)(?:bill|net){SEP}{TOTAL_WORD}[^0-9]*{NUMBER}"]
-#: Two-column forms: code then quantity, quantity then code, code alone.
-ITEM_PATTERNS = [
-    (f"^({CODE}) *[-] *{NUMBER}", 1, 2),
-    (f"^[0-9]{{1,2}} +({CODE}) +{NUMBER}", 1, 2),
-    (f"^({CODE}) *[xX] *{NUMBER}", 1, 2),
-    (f"^({CODE}) +{NUMBER}", 1, 2),
-    (f"^({CODE}) *[:(] *{NUMBER}", 1, 2),
-    (f"^{NUMBER} +({CODE})$", 2, 1),
-    (f"^({CODE})$", 1, 0),
-]
+#: A number whose first digit was read as a letter or a stroke.
+MISREAD = "([IlOo|!][0-9IlOo|!]{0,2})"
+#: Words that are quantity marks or units, not codes.
+NOT_CODES = "(?i)^(qt|qts|qty|iqt|pc|pcs|no|nos|unit|units)$|(?i)^qt[sy]?[.]$|^[IlOo|1][qQtTfF0-9][qQtTfF0-9.]*$"
+
+
+def item_patterns(code: str = CODE) -> list[str]:
+    """Two-column forms in order of priority; the two groups are code and quantity in either order, the last form has a code alone."""
+    c, n = f"({code})", "([0-9]+[.]?[0-9]*)"
+    forms = [
+        f"{c}\\s*[-\u2013\u2014]\\s*{n}", f"[0-9]{{1,2}}\\s+{c}\\s+{n}", f"[0-9]{{1,2}}\\s+{c}\\s+{MISREAD}", f"{c}\\s+{n}", f"{n}\\s+{c}", f"{c}\\s*[xX\u00d7]\\s*{n}",
+        f"{c}\\s*:\\s*{n}", f"{c}\\s*[(]\\s*{n}\\s*[)]", f"{c}\\s+{MISREAD}",
+    ]
+    alone = "([A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6})" if code == CODE else c
+    return [f"(?i){f}" for f in [*forms, f"^{alone}$"]]
 
 
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
@@ -54,21 +62,28 @@ def letters(c: Column) -> Column:
 
 
 def decode_quantity(c: Column) -> Column:
-    """Number in a token where letters may stand for digits: Io -> 10; of more than two digits the first two count."""
-    d = F.regexp_extract(F.translate(c, "IilLOoSsBZz|!", "1111005582211"), "^[0-9]+", 0)
-    n = d.try_cast("int")
-    return F.when(n > 99, F.substring(d, 1, 2).try_cast("int")).otherwise(n)
+    """Number at the start of a token where I, l, | and ! may stand for 1 and O for 0, within 1..999; over 99 its shortest prefix of two digits or more that is in 1..99.
 
+    Dots, commas and underscores don't count; tokens that are longer than six characters then, or begin with another letter, are no numbers.
+    """
+    t = F.trim(F.regexp_replace(c, "[.,_]", ""))
+    d = F.regexp_extract(F.translate(t, "OoIl|!", "001111"), "^[0-9]+", 0)
+    n = F.when(F.length(t).between(1, 6), d.try_cast("int"))
+    prefix = F.when(d.startswith("00"), F.regexp_extract(d, "^0+[1-9]", 0)).otherwise(F.substring(d, 1, 2)).try_cast("int")
+    return F.when(n.between(1, 99), n).when(n.between(100, 999), prefix)
 
-#: Fragments after a dash that are misread numbers.
-DASHES = {"axk": 2, "ak": 2, "z": 2, "l": 1, "i": 1, "s": 5, "b": 8, "g": 6, "o": 0, "q": 9, "t": 7, "lo": 10, "io": 10, "a": 4, "e": 3, "ss": 55, "is": 15, "iz": 12, "ll": 11, "zo": 20}
+
+#: First letters of a fragment after a dash that are misread digits.
+DASH_DIGITS = {"a": 2, "A": 2, "z": 2, "Z": 2, "l": 1, "I": 1, "i": 1, "s": 5, "S": 5, "b": 6, "B": 8, "g": 9, "q": 9, "T": 7, "'": 3, "`": 1, "}": 3, "{": 1}
 
 
 def dash_quantity(c: Column) -> Column:
-    """Quantity of a fragment like "-axk" by table, else by its digits."""
-    body = F.lower(F.regexp_replace(F.trim(c), "^[-]+", ""))
-    table = F.create_map(*[F.lit(x) for kv in DASHES.items() for x in kv])
-    return F.coalesce(F.try_element_at(table, body), F.regexp_extract(body, "^[0-9]+", 0).try_cast("int"))
+    """Quantity of a fragment like "-axk": its first digits; else its first letter, if nothing but remains of a quantity mark follows; else what can be decoded."""
+    body = F.regexp_replace(c, "^[-\u2013\u2014]+\\s*", "")
+    table = F.create_map(*[F.lit(x) for kv in DASH_DIGITS.items() for x in kv])
+    rest = F.substring(body, 2, 1 << 20)
+    misread = F.when((rest == "") | rest.rlike("(?i)^[qtfxkpyr}\\s.'`]+$"), F.try_element_at(table, F.substring(body, 1, 1)))
+    return F.coalesce(F.regexp_extract(body, "[0-9]+", 0).try_cast("int"), misread, decode_quantity(body))
 
 
 def is_skipped(c: Column) -> Column:
@@ -98,17 +113,59 @@ def grand_total(c: Column) -> Column:
     return F.coalesce(*[extract(c, p).try_cast("double") for p in GRAND])
 
 
-def parse_item(c: Column) -> tuple[Column, Column]:
-    """(code, quantity) of a cleaned two-column line; a code alone has quantity 1, no code gives nulls."""
-    codes, quantities = [], []
-    for p, g_code, g_qty in ITEM_PATTERNS:
-        hit = c.rlike(p)
-        codes.append(F.when(hit, F.upper(F.regexp_extract(c, p, g_code))))
-        quantities.append(F.when(hit, F.regexp_extract(c, p, g_qty).try_cast("double") if g_qty else F.lit(1.0)))
-    return F.coalesce(*codes), F.coalesce(*quantities)
+def is_code_like(c: Column) -> Column:
+    return c.rlike("^[A-Za-z]{2,}")
+
+
+def as_quantity(c: Column) -> Column:
+    """A number, or a word of digits and letters that look like digits, within 1..999; else null."""
+    decoded = F.when(c.rlike("^[0-9IilOo|!]+$"), F.translate(c, "IilOo|!", "1110011").try_cast("double"))
+    return F.when(c.rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), c.try_cast("double")).otherwise(F.when(decoded.between(1, 999), decoded))
+
+
+def roles(a: Column, b: Column) -> tuple[Column, Column]:
+    """(code, quantity) of two words in unknown order; both null where the other word of the code is no quantity.
+
+    The word that begins with two letters is the code if only one does; else the first that is all letters.
+    """
+    ca, cb = is_code_like(a), is_code_like(b)
+    letters_only = lambda x: x.rlike("^[A-Za-z]+$")
+    first = F.when(ca & ~cb, True).when(cb & ~ca, False).when(letters_only(a), True).when(letters_only(b), False)
+    qty = F.when(first, as_quantity(b)).when(~first, as_quantity(a))
+    return F.when(qty.isNotNull(), F.upper(F.when(first, a).otherwise(b))), qty
+
+
+def parse_raw(c: Column, code: str = CODE) -> Column:
+    """struct(code, quantity) by the first two-column form that gives both; null if none does. A code alone has quantity 1.
+
+    Keep it as a column of its own before taking fields of it: every group of every form is extracted once then.
+    """
+    *forms, alone = item_patterns(code)
+    found = F.filter(F.array(*[F.struct(F.regexp_extract(c, p, 1).alias("a"), F.regexp_extract(c, p, 2).alias("b"), F.lit(k == 4).alias("turned")) for k, p in enumerate(forms)]), lambda x: x["a"] != "")
+
+    def item(x: Column) -> Column:
+        if code == CODE:
+            word, qty = roles(x["a"], x["b"])
+        else:  # codes that don't begin with two letters: the form alone tells
+            qty = F.when(x["turned"], as_quantity(x["a"])).otherwise(as_quantity(x["b"]))
+            word = F.when(qty.isNotNull(), F.upper(F.when(x["turned"], x["b"]).otherwise(x["a"])))
+        return F.struct(word.alias("code"), qty.alias("quantity"))
+
+    bare = F.struct(F.nullif(F.upper(F.regexp_extract(c, alone, 1)), F.lit("")).alias("code"), F.lit(1.0).alias("quantity"))
+    return F.get(F.filter(F.concat(F.transform(found, item), F.array(bare)), lambda y: y["code"].isNotNull() & ~y["code"].rlike(NOT_CODES)), F.lit(0))
+
+
+def sane_item_quantity(q: Column) -> Column:
+    """Quantity of a two-column line: outside (0, 50] it is 1; to one place."""
+    return F.when((q <= 0) | (q > 50), 1.0).otherwise(F.bround(q, 1))
+
+
+def parse_item(c: Column, code: str = CODE) -> Column:
+    """struct(code, quantity) of a cleaned two-column line; null if it has no code. Quantities outside (0, 50] are 1."""
+    return F.transform(F.array(parse_raw(c, code)), lambda p: F.when(p.isNotNull(), F.struct(p["code"].alias("code"), sane_item_quantity(p["quantity"]).alias("quantity"))))[0]
 
 
-PRICED = f"^(?:[0-9]{{1,2}} +)?({CODE}) +{NUMBER} *[@x]? *{NUMBER} *=? *{NUMBER} *$"
+PRICED = f"^(?:[0-9]{{1,2}} +)?({WORD_CODE}) +{NUMBER} *[@x]? *{NUMBER} *=? *{NUMBER} *$"
 
 
 def parse_priced(c: Column) -> Column:
@@ -148,7 +205,10 @@ def recover_digits(c: Column) -> Column:
     return F.regexp_extract(F.translate(F.regexp_extract(c, "(?i)(?:qty|quantity|total)[ :._-]+([IilOoSsBZ|!0-9]{1,4}) *$", 1), "IilOoSsBZ|!", "11100558211"), "^[0-9]+$", 0).try_cast("int")
 
 
-def stripped_number(raw: Column, cleaned: Column) -> Column:
-    """Leading number that cleaning removed, if the cleaned line has no number."""
-    n = F.regexp_extract(raw, "^ *([0-9]{1,2}) *[.):]? +", 1).try_cast("int")
-    return F.when(~cleaned.rlike("[0-9]"), n)
+def stripped_number(raw: Column) -> Column:
+    """Quantity of a line whose leading number was taken for a line number: a number after a dash, else the leading one if no word follows; 1 otherwise."""
+    lead = "^\\s*([0-9]{1,2})\\s*[.):\u2013\u2014-]?\\s*"
+    n = F.regexp_extract(raw, lead, 1).try_cast("double")
+    rest = F.regexp_replace(raw, lead, "")
+    dash = F.regexp_extract(rest, "[-\u2013\u2014]\\s*([0-9]{1,3})", 1).try_cast("double")
+    return F.when(n.isNull() | (n < 1), 1.0).otherwise(F.coalesce(dash, F.when(rest.rlike("[A-Za-z]{2}"), 1.0).otherwise(n)))

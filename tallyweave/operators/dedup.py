@@ -16,16 +16,21 @@ def near_hashes(rows: DataFrame, distance: int = 5, window_s: int = 24 * 3600) -
     """Pairs (id_a < id_b) of rows (id, hash, at_s) within the distance and the time window.
 
     For distances up to 5 the pairs meet on one of six bands, so the join is an equi-join;
-    others take distance + 1 bands.
+    others take distance + 1 bands. The key has the time too, in steps of the window: a row meets those of its own
+    step and of the one before, so pairs that lie too far apart aren't made. Of the bands that two hashes share, the first makes the pair.
     """
     bands = BANDS if distance <= 5 else tuple((round(k * 64 / (distance + 1)), round((k + 1) * 64 / (distance + 1)) - round(k * 64 / (distance + 1))) for k in range(distance + 1))
-    keys = F.array(*[F.struct(F.lit(k).alias("n"), F.shiftrightunsigned(F.col("hash"), s).bitwiseAND(F.lit((1 << w) - 1)).alias("v")) for k, (s, w) in enumerate(bands)])
-    d = rows.select("id", "hash", "at_s", F.explode(keys).alias("band"))
-    a = d.select(F.col("id").alias("id_a"), F.col("hash").alias("ha"), F.col("at_s").alias("ta"), "band")
-    b = d.select(F.col("id").alias("id_b"), F.col("hash").alias("hb"), F.col("at_s").alias("tb"), "band")
-    j = a.join(b, "band").where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("ta") - F.col("tb")) <= window_s))
-    j = j.withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= distance)
-    return j.select("id_a", "id_b", "distance").distinct()
+    value = lambda h, k: F.shiftrightunsigned(h, bands[k][0]).bitwiseAND(F.lit((1 << bands[k][1]) - 1))
+    keys = F.array(*[F.struct(F.lit(k).alias("n"), value(F.col("hash"), k).alias("v")) for k in range(len(bands))])
+    step = F.floor(F.col("at_s") / window_s)
+    d = rows.select("id", "hash", "at_s", step.alias("step"), F.explode(keys).alias("band"))
+    a = d.select(F.col("id").alias("id_a"), F.col("hash").alias("ha"), F.col("at_s").alias("ta"), "band", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    b = d.select(F.col("id").alias("id_b"), F.col("hash").alias("hb"), F.col("at_s").alias("tb"), "band", "step")
+    j = a.join(b, ["band", "step"]).where((F.col("id_a") < F.col("id_b")) & (F.abs(F.col("ta") - F.col("tb")) <= window_s))
+    earlier = [F.when((F.col("band.n") > k) & (value(F.col("ha"), k) == value(F.col("hb"), k)), True) for k in range(len(bands) - 1)]
+    first = F.coalesce(*earlier, F.lit(False)) == F.lit(False)
+    j = j.where(first).withColumn("distance", hamming(F.col("ha"), F.col("hb"))).where(F.col("distance") <= distance)
+    return j.select("id_a", "id_b", "distance")
 
 
 def duplicate_of(rows: DataFrame, distance: int = 5, window_s: int = 24 * 3600) -> DataFrame:

@@ -93,24 +93,42 @@ def running_mean_lines(detections: DataFrame, thresholds: DataFrame) -> DataFram
 
 
 def merge_code_lines(lines: DataFrame) -> DataFrame:
-    """Lines that are a bare code joined with the nearest bare-number line next to them; each number is used once."""
+    """Lines that are a bare code joined with a line next to them that has numbers only, the nearer one and the previous one of equals.
+
+    Passes over the receipt's lines, in which each number line is used once, are repeated until nothing
+    changes. A merged line has the mean y and, where the table has it, the mean confidence of both.
+    """
+    means = [c for c in ("confidence", "y_center") if c in lines.columns]
 
     def run(rows: list[dict]) -> list[dict]:
-        texts = [r["text"] or "" for r in rows]
-        code = [bool(re.fullmatch(r"[A-Za-z]{2,}[A-Za-z0-9]*", t)) for t in texts]
-        num = [bool(re.fullmatch(r"\d{1,3}", t)) for t in texts]
-        used: set[int] = set()
-        for k, r in enumerate(rows):
-            near = [j for j in (k + 1, k - 1) if code[k] and 0 <= j < len(rows) and num[j] and j not in used]
-            if near:
-                j = min(near, key=lambda j: abs(rows[j]["y_center"] - r["y_center"]))
-                used.add(j)
-                r["text"] = f"{texts[k]} {texts[j]}"
-        return [r for k, r in enumerate(rows) if k not in used]
+        changed = True
+        while changed:
+            changed = False
+            out: list[dict] = []
+            used: set[int] = set()
+            code = [bool(_CODE_LINE.match(r["text"] or "")) for r in rows]
+            numbers = [bool(_NUMBER_LINE.match(r["text"] or "")) for r in rows]
+            for k, r in enumerate(rows):
+                if k in used:
+                    continue
+                near = [j for j in (k - 1, k + 1) if code[k] and 0 <= j < len(rows) and numbers[j] and j not in used]
+                if near:
+                    j = min(near, key=lambda j: abs(rows[j]["y_center"] - r["y_center"]))
+                    used.update((j, k))
+                    out = [x for x in out if x is not rows[j]]
+                    r = r | {"text": f"{r['text'].strip()} {rows[j]['text'].strip()}"} | {c: (r[c] + rows[j][c]) / 2 for c in means}
+                    changed = True
+                out.append(r)
+            rows = out
+        return rows
 
     return by_group(lines, ["receipt_id"], ["line_no"], run, lines.schema)
 
 
+_CODE_LINE = re.compile(r"\s*([A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6})\s*$")
+_NUMBER_LINE = re.compile(r"[\d\s.]+$")
+
+
 def attach_orphans(items: DataFrame, numbers: DataFrame, share: float = 0.06, consume: bool = True) -> DataFrame:
     """Quantity of items that have none (1) from the nearest number line within share of the page height, numbers in order of y."""
     n = numbers.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("y", "value"))).alias("numbers"))
@@ -133,35 +151,57 @@ def attach_orphans(items: DataFrame, numbers: DataFrame, share: float = 0.06, co
 
 
 def drop_echoes(detections: DataFrame, dx: float = 30.0, dy: float = 15.0) -> DataFrame:
-    """Detections without weaker ones of the same text within dx and dy of a stronger one, strongest first."""
+    """Of detections at one place the most confident one, whatever their texts.
+
+    In order of y, each detection takes those after it that lie nearer than dx and dy to it and aren't taken yet; the
+    first of equally confident ones stays. Receipts without any such pair bypass Python.
+    """
 
     def run(rows: list[dict]) -> list[dict]:
         keep: list[dict] = []
-        for r in rows:
-            if not any(o["text"] == r["text"] and abs(o["x"] - r["x"]) <= dx and abs(o["y"] - r["y"]) <= dy for o in keep):
-                keep.append(r)
+        taken: set[int] = set()
+        for k, r in enumerate(rows):
+            if k in taken:
+                continue
+            best = r
+            for j in range(k + 1, len(rows)):
+                o = rows[j]
+                if o["y"] - r["y"] >= dy:  # in order of y
+                    break
+                if j not in taken and abs(o["x"] - r["x"]) < dx:
+                    taken.add(j)
+                    if o["confidence"] > best["confidence"]:
+                        best = o
+            keep.append(best)
         return keep
 
-    return by_group(detections, ["receipt_id"], [F.desc("confidence"), "det_id"], run, detections.schema)
+    return by_group(detections, ["receipt_id"], ["y", "det_id"], run, detections.schema)
 
 
 def reading_order(detections: DataFrame, bucket: float = 60.0, short_gap: float = 35.0) -> DataFrame:
-    """Reading order with repeats of one text in the same or the next band collapsed to the best; compared with the last kept row."""
+    """Detections in which repeats of a text, apart from case, on the same or the next band are one, the most confident.
 
-    banded = detections.withColumn("band", F.rint(F.col("y") / bucket))
+    A repeat is compared with the last one kept; numbers of one or two digits repeat within short_gap instead.
+    Reading order is by y, then det_id. Only texts that a receipt has more than once are looked at in order.
+    """
+    key = F.upper(F.trim("text"))
+    many = F.count("*").over(W.partitionBy("receipt_id", "_key"))
+    d = detections.withColumn("_key", key).withColumn("_many", many)
 
     def run(rows: list[dict]) -> list[dict]:
-        kept: list[dict] = []
-        for r in rows:
-            short = str(r["text"]).isdigit() and len(r["text"]) <= 2
-            same = next((k for k, o in enumerate(kept) if o["text"] == r["text"] and abs(o["band"] - r["band"]) <= 1 and (not short or abs(o["y"] - r["y"]) < short_gap)), None)
-            if same is None:
+        short = bool(re.fullmatch(r"\d{1,2}", rows[0]["_key"] or ""))
+        kept = rows[:1]
+        for r in rows[1:]:
+            last = kept[-1]
+            again = abs(r["y"] - last["y"]) < short_gap if short else abs(round(r["y"] / bucket) - round(last["y"] / bucket)) <= 1
+            if not again:
                 kept.append(r)
-            elif r["confidence"] > kept[same]["confidence"]:
-                kept[same] = r
+            elif r["confidence"] > last["confidence"]:
+                kept[-1] = r
         return kept
 
-    return by_group(banded, ["receipt_id"], ["band", "x", "det_id"], run, detections.schema)
+    several = by_group(d.where("_many > 1").drop("_many"), ["receipt_id", "_key"], ["y", "det_id"], run, detections.schema)
+    return d.where("_many = 1").select(*detections.columns).unionByName(several)
 
 
 def vote(first: DataFrame, second: DataFrame, bucket: float = 60.0) -> DataFrame:
@@ -226,13 +266,69 @@ def neighbour_number(lines: DataFrame) -> DataFrame:
 
 
 def pick_date(lines: DataFrame) -> DataFrame:
-    """Per receipt the best date: lines with a keyword first, earlier lines before later ones."""
-    from tallyweave.functions.dates import find_date
+    """Per receipt the best date: lines with a keyword first, then by the form of the date, then earlier lines."""
+    from tallyweave.functions.dates import date_candidate
 
-    c = lines.select("receipt_id", "line_no", find_date(F.col("text")).alias("date"), F.when(F.col("text").rlike("(?i)date|dated|on "), 2).otherwise(1).alias("p")).where("date IS NOT NULL")
-    prio = F.col("p") + 1 / (F.col("line_no") + 1)
+    c = lines.select("receipt_id", "line_no", date_candidate(F.col("text")).alias("d"), F.when(F.col("text").rlike("(?i)date|dt"), 2).otherwise(1).alias("p")).where("d IS NOT NULL")
+    prio = F.col("p") + 1 / (F.col("d.form") + 1)
     r = F.row_number().over(W.partitionBy("receipt_id").orderBy(prio.desc(), "line_no"))
-    return c.withColumn("_r", r).where("_r = 1").select("receipt_id", "line_no", "date")
+    return c.withColumn("_r", r).where("_r = 1").select("receipt_id", "line_no", "d.date")
+
+
+#: Words for a total as they are read, and for a quantity after it.
+_TOTAL, _QTY, _SEP = "(?:total|totai|tota1|t0tal|totd)", "(?:qty|quantity|qtv|qly|qtyt|qiy|qtt)", "[\\s:=_.-]*"
+_VALUE = "([0-9]+[.]?[0-9]*)"
+_TOTAL_FORMS = [f"{_TOTAL}{_SEP}{_QTY}{_SEP}{_VALUE}", f"{_TOTAL}[\\s:=_-]+{_VALUE}", f"sub{_SEP}total{_SEP}{_VALUE}", f"sum[\\s:=_-]+{_VALUE}", f"{_TOTAL}.*?{_QTY}.*?{_VALUE}\\s*$"]
+_NO_TOTAL = "(?:total|totd)\\s*(?:items|count|no|number|products|entries)"
+_MONEY_TOTAL = f"(?:grr?and|grramd|gramd){_SEP}{_TOTAL}"
+_VARIANTS = "total|totai|tota1|t0tal|totol|toial|to7al|tatal|tolal|totel|totd|qtyt|qiy|qtt"
+
+
+def _in_range(v: Column) -> Column:
+    return F.when((v > 0) & (v <= 99999), v)
+
+
+def total_of_line(c: Column) -> Column:
+    """Quantity total that a line states: by the first of the forms that gives one, else the number after a total word, else letters there read as digits.
+
+    Lines that count items or state amounts of money give null.
+    """
+    number = lambda p: _in_range(F.regexp_extract(c, f"(?i){p}", 1).try_cast("double"))
+    after = F.regexp_extract(c, f"(?is)(?:{_VARIANTS})(.*)$", 1)
+    bare = F.regexp_replace(F.regexp_replace(after, "^[\\s:=-]+|[\\s:=-]+$", ""), "(?i)^(?:qty|quantity|qtv|qly)[\\s:=-]*", "")
+    digits = F.regexp_replace(F.translate(bare, "OoIl|!ZzSsGgBTA", "001111225566874"), "[^0-9 .]", "")
+    plain = F.when(F.trim(bare).rlike("^[0-9]+[.]?[0-9]*$"), F.trim(bare).try_cast("double"))
+    misread = F.when(F.trim(digits).rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), _in_range(F.trim(digits).try_cast("double")))
+    keyword = c.rlike(f"(?i)(^|\\s)[.:=-]*(?:{_VARIANTS})[.:=-]*(\\s|$)")
+    near = number(f"(?:total|totai|tota1|t0tal|sub\\s*total|sum)\\s*{_QTY}?[\\s:=-]*{_VALUE}")
+    found = F.coalesce(*[number(p) for p in _TOTAL_FORMS], F.when(keyword, F.coalesce(near, plain, misread)))
+    return F.when(~c.rlike(f"(?i){_NO_TOTAL}") & ~c.rlike(f"(?i){_MONEY_TOTAL}"), found)
+
+
+def find_total(detections: DataFrame, share: float = 0.3) -> DataFrame:
+    """Per receipt the stated quantity total, searched from the bottom: (receipt_id, total, text, confidence, tier).
+
+    Detections (receipt_id, det_id, x, y, text, confidence) of the lower part form lines. The lowest line that states
+    a total counts (tier 1). Where none does, it is the topmost line with a total word but no digit beside a line of one
+    bare number, the next line before the previous one, with the mean confidence of both (tier 2). Receipts without either have no row.
+    """
+    d = gap_lines(bottom_region(detections, share))
+    g = d.groupBy("receipt_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "y", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"))
+    lines = g.select("receipt_id", "line_no", F.array_join(F.transform("s", lambda v: F.coalesce(v["text"], F.lit(""))), " ").alias("text"), "c")
+    t, order = F.col("text"), W.partitionBy("receipt_id").orderBy("line_no")
+    bare = _in_range(F.when(t.rlike("^\\s*[0-9]+[.]?[0-9]*\\s*$"), F.trim(t).try_cast("double")))
+    rows = lines.withColumns({"own": total_of_line(t), "bare": bare})
+    around = {f"{n}_{c}": f(c).over(order) for n, f in (("next", F.lead), ("prev", F.lag)) for c in ("bare", "text", "c")}
+    rows = rows.withColumns(around)
+    open_word = t.rlike(f"(?i){_TOTAL}") & ~t.rlike("[0-9]") & ~t.rlike(f"(?i){_MONEY_TOTAL}")
+    nxt = F.struct(F.col("next_bare").alias("total"), F.concat_ws(" ", "text", "next_text").alias("text"), ((F.col("c") + F.col("next_c")) / 2).alias("c"))
+    prv = F.struct(F.col("prev_bare").alias("total"), F.concat_ws(" ", "prev_text", "text").alias("text"), ((F.col("c") + F.col("prev_c")) / 2).alias("c"))
+    mine = F.struct(F.col("own").alias("total"), t.alias("text"), F.col("c").alias("c"))
+    beside = F.when(open_word, F.when(F.col("next_bare").isNotNull(), nxt).when(F.col("prev_bare").isNotNull(), prv))
+    tier = F.when(F.col("own").isNotNull(), 1).when(beside.isNotNull(), 2)
+    best = rows.withColumn("tier", tier).where("tier IS NOT NULL").select("receipt_id", "tier", F.when(F.col("tier") == 1, -F.col("line_no")).otherwise(F.col("line_no")).alias("rank"), F.when(F.col("tier") == 1, mine).otherwise(beside).alias("hit"))
+    top = best.groupBy("receipt_id").agg(F.min_by(F.struct("tier", "hit"), F.struct("tier", "rank")).alias("b"))
+    return top.select("receipt_id", "b.hit.total", "b.hit.text", half_up(F.col("b.hit.c"), 4).alias("confidence"), "b.tier")
 
 
 def store_name(lines: DataFrame, headers: tuple[str, ...] = ("item", "code", "qty", "rate", "amount", "total", "date", "bill", "no", "receipt")) -> DataFrame:

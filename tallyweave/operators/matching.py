@@ -118,14 +118,28 @@ def pair_confusions(missing: DataFrame, extra: DataFrame, limit: int = 3) -> Dat
     return by_group(c, ["receipt_id"], ["missing", "distance", "extra"], run, "receipt_id long, missing string, extra string, distance int")
 
 
-def parse_lines(lines: DataFrame) -> DataFrame:
-    """Items of text lines: four columns first, then two; skipped, total and unreadable lines give nothing."""
+def parse_items(lines: DataFrame, catalog: DataFrame, column: str = "text", code: str = X.CODE) -> DataFrame:
+    """lines with code and quantity of cleaned two-column lines; nulls where a line has none.
+
+    A code of 2 to 4 letters and a whole number that together are a code of the catalog are that code, with quantity 1.
+    """
+    d = lines.withColumn("_p", X.parse_raw(F.col(column), code))
+    word, qty = F.col("_p.code"), F.col("_p.quantity")
+    joined = F.when(word.rlike("^[A-Z]{2,4}$") & (qty == F.floor(qty)), F.concat(word, qty.cast("long").cast("string")))
+    known = small(catalog.select(F.col("product_code").alias("_k")).distinct())
+    j = d.withColumn("_j", joined).join(known, F.col("_j") == F.col("_k"), "left")
+    whole = F.col("_k").isNotNull()
+    out = j.withColumn("code", F.when(whole, F.col("_k")).otherwise(word)).withColumn("quantity", F.when(whole, 1.0).otherwise(X.sane_item_quantity(qty)))
+    return out.drop("_p", "_j", "_k")
+
+
+def parse_lines(lines: DataFrame, code: str = X.CODE) -> DataFrame:
+    """Items of text lines: four columns first, then two; skipped, total and unreadable lines give nothing. Codes have the given form."""
     c = X.glue_numbers(X.clean(F.col("text")))
     d = lines.withColumn("_c", c).where(~X.is_skipped(F.col("text")) & ~X.is_total(F.col("text")))
-    code, qty = X.parse_item(F.col("_c"))
-    d = d.withColumn("_p", X.parse_priced(F.col("_c"))).withColumn("_code", code).withColumn("_qty", qty)
+    d = d.withColumn("_p", X.parse_priced(F.col("_c"))).withColumn("_i", F.when(F.col("_p").isNull(), X.parse_item(F.col("_c"), code)))
     out = d.select(
-        "receipt_id", F.col("line_no").alias("pos"), F.coalesce("_p.code", "_code").alias("product_code"), F.coalesce("_p.quantity", "_qty").alias("quantity"),
+        "receipt_id", F.col("line_no").alias("pos"), F.coalesce("_p.code", "_i.code").alias("product_code"), F.coalesce("_p.quantity", "_i.quantity").alias("quantity"),
         F.coalesce("_p.rate", F.lit(0.0)).alias("unit_price"), F.coalesce("_p.amount", F.lit(0.0)).alias("line_total"), "confidence",
     )
     return out.where("product_code IS NOT NULL")

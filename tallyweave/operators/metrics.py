@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyweave.operators.catalog import small
 from tallyweave.plans.fixtures import half_up
 
 BUCKETS = (5.0, 10.0, 25.0, 50.0, 75.0, 100.0, 150.0, 200.0, 300.0, 400.0)
@@ -67,9 +68,10 @@ def rolling_health(requests: DataFrame, key: str, frame: int = 50, least: int =
     w = W.partitionBy(key).orderBy("ts", "seq").rowsBetween(-(frame - 1), 0)
     d = requests.withColumn("n", F.count("*").over(w)).withColumn("errors", F.count_if(F.col("status_code") >= 500).over(w)).withColumn("_l", F.array_sort(F.collect_list("latency_ms").over(w)))
     at = F.least(F.floor(F.col("n") * 0.95).cast("int") + 1, F.col("n").cast("int"))
-    d = d.withColumn("p95", F.element_at("_l", at)).withColumn("error_rate", half_up(F.col("errors") / F.col("n"), 4))
-    state = F.when(F.col("n") < least, "healthy").when((F.col("error_rate") > 0.3) | (F.col("p95") > 25_000), "critical").when((F.col("error_rate") > 0.1) | (F.col("p95") > 10_000), "degraded").otherwise("healthy")
-    return d.select("seq", key, "n", "error_rate", "p95", state.alias("state"))
+    d = d.withColumn("p95", F.element_at("_l", at))
+    rate, p95 = F.col("errors") / F.col("n"), F.col("p95")  # the state depends on the exact rate
+    state = F.when(F.col("n") < least, "healthy").when((rate >= 0.3) | (p95 >= 25_000), "critical").when((rate >= 0.1) | (p95 >= 10_000), "degraded").otherwise("healthy")
+    return d.select("seq", key, "n", half_up(rate, 4).alias("error_rate"), "p95", state.alias("state"))
 
 
 def lifetime(requests: DataFrame) -> DataFrame:
@@ -83,9 +85,16 @@ def stage_timing(logs: DataFrame) -> DataFrame:
     return logs.groupBy("stage").agg(F.count("*").alias("n"), half_up(F.avg("duration_ms"), 3).alias("avg_ms"), F.min("duration_ms").alias("min_ms"), F.max("duration_ms").alias("max_ms"))
 
 
-def progress(files: DataFrame) -> DataFrame:
-    """Per batch: files by state and percent done, from the last status of each file (batch_id, file_id, ts, status)."""
+def progress(files: DataFrame, cancelled: DataFrame | None = None) -> DataFrame:
+    """Per batch: files by state and percent done, from the last status of each file (batch_id, file_id, ts, status).
+
+    In batches that were cancelled (batch_id), files that hadn't ended count as skipped.
+    """
     last = files.groupBy("batch_id", "file_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"))
+    if cancelled is not None:
+        off = small(cancelled.select("batch_id", F.lit(True).alias("_off")).distinct())
+        ended = F.col("status").isin("done", "failed", "skipped")
+        last = last.join(off, "batch_id", "left").withColumn("status", F.when(F.coalesce("_off", F.lit(False)) & ~ended, "skipped").otherwise(F.col("status")))
     done = F.count_if(F.col("status").isin("done", "failed", "skipped"))
     return last.groupBy("batch_id").agg(
         F.count("*").alias("n_files"), F.count_if(F.col("status") == "done").alias("succeeded"), F.count_if(F.col("status") == "failed").alias("failed"),
@@ -93,6 +102,23 @@ def progress(files: DataFrame) -> DataFrame:
     )
 
 
+def batch_states(files: DataFrame, cancelled: DataFrame, as_of: str, ttl_minutes: int = 60, newest: int = 50) -> DataFrame:
+    """State of the newest batches whose last event is within the time to live at as_of: pending, processing, completed, failed or cancelled.
+
+    A batch is as old as its first event; of equally old ones the smaller batch_id counts as newer.
+    """
+    per = files.groupBy("batch_id", "file_id").agg(F.max_by("status", F.struct("ts", "seq")).alias("status"), F.min("ts").alias("first"), F.max("ts").alias("last"))
+    g = per.groupBy("batch_id").agg(
+        F.min("first").alias("created_at"), F.max("last").alias("updated_at"), F.count("*").alias("n"), F.count_if(F.col("status").isin("done", "skipped")).alias("ok"),
+        F.count_if(F.col("status") == "failed").alias("bad"), F.count_if(F.col("status") == "processing").alias("busy"),
+    )
+    g = g.join(small(cancelled.select("batch_id", F.lit(True).alias("_off")).distinct()), "batch_id", "left")
+    ended = F.col("ok") + F.col("bad")
+    state = F.when(F.coalesce("_off", F.lit(False)), "cancelled").when(F.col("bad") == F.col("n"), "failed").when(ended == F.col("n"), "completed").when(ended + F.col("busy") > 0, "processing").otherwise("pending")
+    fresh = g.where(F.col("updated_at") >= F.to_timestamp(F.lit(as_of)) - F.make_interval(mins=F.lit(ttl_minutes)))
+    return fresh.orderBy(F.desc("created_at"), "batch_id").limit(newest).select("batch_id", "created_at", state.alias("state"), ended.alias("processed"), F.col("n").alias("total"))
+
+
 def audit_metrics(rows: DataFrame, value: str) -> DataFrame:
     """Mean, median, extremes and shares of speed classes."""
     share = lambda c: half_up(100.0 * F.count_if(c) / F.greatest(F.count("*"), F.lit(1)), 1)

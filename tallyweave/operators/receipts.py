@@ -154,8 +154,19 @@ def data_sheet(receipts: DataFrame, items: DataFrame, review_below: float = 0.85
 
 
 def summary_sheet(items: DataFrame) -> DataFrame:
-    """Quantity and amount per code in order of code, and a grand total row with a null code."""
-    return items.rollup("product_code").agg(F.countDistinct("receipt_id").alias("n_receipts"), F.count("*").alias("n_items"), F.sum("quantity").alias("quantity"), half_up(F.sum("line_total"), 2).alias("amount"))
+    """Quantity and amount per code in order of code, with the name and unit of its first item (by receipt_id, pos), and a grand total row with nulls.
+
+    Name and unit are null where the items don't have product_name and unit; an item without a unit counts as Piece.
+    """
+    place = F.struct("receipt_id", "pos")
+    one = F.grouping("product_code") == 0
+    none = F.lit(None).cast("string")
+    name = F.min_by("product_name", place) if "product_name" in items.columns else F.max(none)
+    unit = F.min_by(F.coalesce("unit", F.lit("Piece")), place) if "unit" in items.columns else F.max(none)
+    return items.rollup("product_code").agg(
+        F.when(one, name).alias("product_name"), F.when(one, unit).alias("unit"), F.countDistinct("receipt_id").alias("n_receipts"), F.count("*").alias("n_items"),
+        F.sum("quantity").alias("quantity"), half_up(F.sum("line_total"), 2).alias("amount"),
+    )
 
 
 def dashboard(receipts: DataFrame, items: DataFrame, products: DataFrame, day: str) -> DataFrame:

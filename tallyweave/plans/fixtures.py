@@ -12,6 +12,16 @@ def half_up(c: Column, places: int) -> Column:
     return F.floor(c * F.lit(float(10**places)) + F.lit(0.5)) / F.lit(float(10**places))
 
 
+#: Beginnings, middles and ends of noisy lines; their numbers have no common divisor.
+NOISE = (
+    ("ABC", "5", "Io", "MNO", "12.", "x7", "PEPW", "2)", "q", ""),
+    ("- 3", "I0", "4", "240", "& 3T", "7qt", "lo", "-axk", "x 4", ": 5", "20"),
+    ("", "qt", "9", "-2", "V", "1000", "IOQt"),
+)
+#: Codes of the tables' catalog, which begin with one letter.
+CATALOG_CODE = "P[0-9]{1,9}"
+
+
 class Tables:
     """Lazily built views; every access is a new scan with its own pruned columns."""
 
@@ -87,6 +97,13 @@ class Tables:
         )
         return t.select("receipt_id", F.col("pos").alias("line_no"), text.alias("text"), "confidence", (F.lit(40.0) * F.col("pos")).alias("y_center"), "product_code", "quantity")
 
+    @property
+    def noisy(self) -> DataFrame:
+        """Short lines of misread codes, numbers and marks, in all combinations of NOISE."""
+        k = F.col("p_partkey").cast("int")
+        part = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), k % len(xs) + 1)
+        return self.raw("part").select(F.col("p_partkey").alias("id"), F.concat_ws(" ", *[part(xs) for xs in NOISE]).alias("text"))
+
     @property
     def total_lines(self) -> DataFrame:
         k = F.col("o_orderkey") % 5
@@ -133,6 +150,7 @@ SQL = {
     "date_lines": "SELECT o_orderkey AS receipt_id, 1 AS line_no, CASE o_orderkey % 4 WHEN 0 THEN 'Date: ' || strftime(o_orderdate, '%d/%m/%Y') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN 'Dated ' || strftime(o_orderdate, '%d-%m-%Y') ELSE 'on ' || strftime(o_orderdate, '%d.%m.%Y') || ' paid' END AS text FROM orders",
     "hashes": "SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS pixels, 1704067200 + vec_id * 60 AS at_s, 'f' || (vec_id % 40) AS fingerprint FROM embeddings",
 }
+SQL["noisy"] = "SELECT p_partkey AS id, " + " || ' ' || ".join("[" + ", ".join("'" + x.replace("'", "''") + "'" for x in xs) + f"][p_partkey % {len(xs)} + 1]" for xs in NOISE) + " AS text FROM part"
 _NEEDS = {"lines": ["items"]}
 
 

@@ -13,7 +13,7 @@ from tallyweave.operators import catalog as C
 from tallyweave.operators import layout, learn, matching, metrics, usage, verify
 from tallyweave.operators import receipts as R
 from tallyweave.plans.fixtures import half_up
-from tallyweave.plans.queries import _DET, _PAIRS, _PASS2, _detections, query, r
+from tallyweave.plans.queries import _DET, _FILES, _PAIRS, _PASS2, _detections, _files, query, r
 from tallyweave.sinks import writers
 from tallyweave.sources import readers
 
@@ -193,39 +193,109 @@ def set6_missing_headers(t):
     return t.spark.createDataFrame([(m,) for m in missing], "missing string")
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'P' || p_partkey ELSE 'AB' || p_partkey END AS code, CAST(p_size AS DOUBLE) AS quantity FROM part")
+_ROLE = """CASE WHEN regexp_matches(a, '^[A-Za-z][A-Za-z]') AND NOT regexp_matches(b, '^[A-Za-z][A-Za-z]') THEN 1 WHEN regexp_matches(b, '^[A-Za-z][A-Za-z]') AND NOT regexp_matches(a, '^[A-Za-z][A-Za-z]') THEN 2 WHEN regexp_full_match(a, '[A-Za-z]+') THEN 1 WHEN regexp_full_match(b, '[A-Za-z]+') THEN 2 END"""
+
+
+def _quantity_sql(x: str) -> str:
+    """A number, or digits behind letters, in 1..999."""
+    word = f"replace(replace(replace(replace(replace(replace(replace({x}, 'I', '1'), 'i', '1'), 'l', '1'), '|', '1'), '!', '1'), 'O', '0'), 'o', '0')"
+    return f"CASE WHEN regexp_full_match({x}, '[0-9]+[.]?[0-9]*') THEN TRY_CAST({x} AS DOUBLE) WHEN regexp_full_match({word}, '[0-9]+') AND TRY_CAST({word} AS BIGINT) BETWEEN 1 AND 999 THEN TRY_CAST({word} AS DOUBLE) END"
+
+
+@query(f"WITH w AS (SELECT id, string_split(text, ' ')[1] AS a, string_split(text, ' ')[2] AS b FROM noisy), z AS (SELECT *, {_ROLE} AS k, {_quantity_sql('a')} AS qa, {_quantity_sql('b')} AS qb FROM w) SELECT id, CASE k WHEN 1 THEN CASE WHEN qb IS NOT NULL THEN upper(a) END WHEN 2 THEN CASE WHEN qa IS NOT NULL THEN upper(b) END END AS code, CASE k WHEN 1 THEN qb WHEN 2 THEN qa END AS quantity FROM z", "noisy")
 def str8_roles(t):
-    k, n = F.col("p_partkey"), F.col("p_size").cast("string")
-    code = F.when(k % 2 == 0, F.concat(F.lit("p"), k)).otherwise(F.concat(F.lit("Ab"), k))
-    c, q = Q.roles(F.when(k % 3 == 0, code).otherwise(n), F.when(k % 3 == 0, n).otherwise(code))
-    return t.raw("part").select(k.alias("id"), c.alias("code"), q.alias("quantity"))
+    words = F.split("text", " ")
+    c, q = X.roles(words[0], words[1])
+    return t.noisy.select("id", c.alias("code"), q.alias("quantity"))
+
 
+_FORMS = [
+    "CODE\\s*[-–—]\\s*NUM", "[0-9][0-9]?\\s+CODE\\s+NUM", "[0-9][0-9]?\\s+CODE\\s+ODD", "CODE\\s+NUM", "NUM\\s+CODE", "CODE\\s*[x×]\\s*NUM", "CODE\\s*:\\s*NUM", "CODE\\s*\\(\\s*NUM\\s*\\)", "CODE\\s+ODD",
+]
 
-@query("SELECT p_partkey AS id, CAST(p_size AS INTEGER) AS q FROM part")
+
+def _forms_sql() -> str:
+    fill = lambda p: "(?i)" + p.replace("CODE", "([a-z]{3,6}|[a-z]{2,4}[a-z0-9]{1,3})").replace("NUM", "([0-9]+[.]?[0-9]*)").replace("ODD", "([ilo|!][0-9ilo|!]?[0-9ilo|!]?)")
+    one = [f"SELECT id, {k} AS form, regexp_extract(text, '{fill(p)}', 1) AS a, regexp_extract(text, '{fill(p)}', 2) AS b FROM noisy WHERE regexp_matches(text, '{fill(p)}')" for k, p in enumerate(_FORMS)]
+    alone = "SELECT id, 9 AS form, text AS a, '1' AS b FROM noisy WHERE regexp_full_match(text, '(?i)[a-z]{2,4}[a-z0-9]{1,3}|[a-z]{3,6}')"
+    return " UNION ALL ".join([*one, alone])
+
+
+@query(
+    f"""WITH f AS ({_forms_sql()}), z AS (SELECT *, {_ROLE} AS k, {_quantity_sql('a')} AS qa, {_quantity_sql('b')} AS qb FROM f), g AS (SELECT id, form, upper(CASE k WHEN 1 THEN a ELSE b END) AS code, CASE k WHEN 1 THEN qb WHEN 2 THEN qa END AS q FROM z),
+    h AS (SELECT * FROM g WHERE q IS NOT NULL AND code NOT IN ('QT', 'QTS', 'QTY', 'IQT', 'PC', 'PCS', 'NO', 'NOS', 'UNIT', 'UNITS') AND NOT regexp_full_match(code, '[ILO|1][QTF0-9][QTF0-9.]*') QUALIFY row_number() OVER (PARTITION BY id ORDER BY form) = 1)
+    SELECT n.id, CASE WHEN code || CAST(q AS INTEGER) IN ('PEPW20', 'ABC4') THEN code || CAST(q AS INTEGER) ELSE code END AS code, CASE WHEN q > 50 OR q <= 0 OR code || CAST(q AS INTEGER) IN ('PEPW20', 'ABC4') THEN 1.0 ELSE q END AS quantity FROM noisy n LEFT JOIN h USING (id)""",
+    "noisy",
+)
+def str4_parse_noisy(t):
+    catalog = t.spark.createDataFrame([("PEPW20",), ("ABC4",), ("MNO",)], "product_code string")
+    return matching.parse_items(t.noisy, catalog).select("id", "code", "quantity")
+
+
+def _marks_sql() -> str:
+    d = "[IOlio(0-9''}`]"
+    marks = ["[Qq][Tt1I]", "&[Tt1]?", "4[Tt1]", "[Qq&][ \"''.)\\]]*$", "[Tt][Tt]?[ .]*$"]
+    out = []
+    for k, m in enumerate(marks):
+        # a run of at most three, or the end of a longer one
+        for run in (f"^((?:.*[^IOlio(0-9''}}`])?)({d}{{1,3}}) *{m}", f"^(.*{d})({d}{{3}}) *{m}"):
+            lead = f"regexp_extract(text, '{run}', 1)"
+            after = f" AND regexp_matches({lead}, '[ –—-]$')" if k == 4 else ""
+            out.append(f"SELECT id, {k} AS kind, length({lead}) AS place, regexp_extract(text, '{run}', 2) AS v FROM noisy WHERE regexp_matches(text, '{run}'){after}")
+    return " UNION ALL ".join(out)
+
+
+@query(
+    f"""WITH m AS ({_marks_sql()}), v AS (SELECT id, kind, place, TRY_CAST(replace(replace(replace(replace(replace(replace(replace(replace(replace(v, 'I', '1'), 'i', '1'), 'l', '1'), 'O', '0'), 'o', '0'), '(', '1'), '}}', '3'), '`', '1'), '''', '3') AS INTEGER) AS q FROM m),
+    b AS (SELECT id, q FROM v WHERE q BETWEEN 1 AND 999 QUALIFY row_number() OVER (PARTITION BY id ORDER BY place DESC, kind) = 1) SELECT id, q FROM noisy LEFT JOIN b USING (id)""",
+    "noisy",
+)
 def str9_marked_quantity(t):
-    k = F.col("p_partkey")
-    text = F.when(k % 2 == 0, F.concat(F.lit("ABC 7 "), F.col("p_size"), F.lit(" qty"))).otherwise(F.concat(F.lit("3qt ABC qt: "), F.col("p_size")))
-    return t.raw("part").select(k.alias("id"), Q.marked_quantity(text).alias("q"))
+    return t.noisy.select("id", Q.marked_quantity(F.col("text")).alias("q"))
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN p_size WHEN 1 THEN p_size ELSE 1 END AS q FROM part")
+_WORDS = "w AS (SELECT id, text, regexp_split_to_array(text, '\\s+') AS ws FROM noisy)"
+_FREE = """f AS (SELECT id, text, ws, TRY_CAST(regexp_extract(text, '[-–—]\\s*([0-9]{1,3})', 1) AS INTEGER) AS dash,
+    list_filter(list_transform(flatten(list_transform(list_filter(ws, lambda x: NOT regexp_full_match(x, '[A-Za-z]{2,4}') AND NOT regexp_full_match(x, '[Qq&4][Tt1I]?') AND NOT (length(x) > 2 AND regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]'))), lambda x: regexp_extract_all(x, '[0-9]+'))), lambda y: TRY_CAST(y AS INTEGER)), lambda n: n BETWEEN 1 AND 999) AS ns,
+    list_filter(list_transform(list_filter(ws, lambda x: NOT regexp_full_match(x, '[A-Za-z]{2,4}') AND regexp_full_match(x, '[IlOo|!0-9]*[IlOo|!][IlOo|!0-9]*')), lambda x: TRY_CAST(translate(x, 'IlOo|!', '110011') AS INTEGER)), lambda n: n BETWEEN 1 AND 999) AS ds FROM w),
+    c AS (SELECT id, text, ws, CAST(coalesce(CASE WHEN dash BETWEEN 1 AND 999 THEN dash END, list_filter(ns, lambda n: n <= 99)[-1], ns[-1], ds[1], 1) AS DOUBLE) AS q FROM f)"""
+
+
+@query(f"WITH {_WORDS}, {_FREE} SELECT id, q FROM c", "noisy")
 def str10_free_quantity(t):
-    k = F.col("p_partkey")
-    text = F.when(k % 3 == 0, F.concat(F.lit("ABC - "), F.col("p_size"))).when(k % 3 == 1, F.concat(F.lit("ABC 3 of "), F.col("p_size"), F.lit(" or 1000"))).otherwise("nothing")
-    return t.raw("part").select(k.alias("id"), Q.free_quantity(text).alias("q"))
+    return t.noisy.select("id", Q.free_quantity(F.col("text")).alias("q"))
+
+
+_DASHED = "list_extract(map_extract(MAP {'a': 2, 'A': 2, 'z': 2, 'Z': 2, 'l': 1, 'I': 1, 'i': 1, 's': 5, 'S': 5, 'b': 6, 'B': 8, 'g': 9, 'q': 9, 'T': 7, '''': 3, '`': 1, '}': 3, '{': 1}, body[1]), 1)"
 
 
-@query("SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 10 WHEN 1 THEN p_size END AS q FROM part")
+def _decode_sql(x: str) -> str:
+    w = f"replace(replace(replace({x}, '.', ''), ',', ''), '_', '')"
+    d = f"regexp_extract(translate({w}, 'OoIl|!', '001111'), '^[0-9]+')"
+    n = f"CASE WHEN length({w}) <= 6 THEN TRY_CAST({d} AS INTEGER) END"
+    return f"CASE WHEN {n} BETWEEN 1 AND 99 THEN {n} WHEN {n} BETWEEN 100 AND 999 THEN coalesce(nullif(TRY_CAST({d}[1:2] AS INTEGER), 0), nullif(TRY_CAST({d}[1:3] AS INTEGER), 0), nullif(TRY_CAST({d}[1:4] AS INTEGER), 0)) END"
+
+
+@query(
+    f"""WITH {_WORDS}, {_FREE}, x AS (SELECT c.id, 'ABC' AS code, c.q AS clear, i, c.ws[i] AS word, list_position(list_transform(c.ws, lambda v: contains(upper(v), 'ABC') OR contains('ABC', upper(v))), true) AS spot FROM c, range(1, 1 + len(c.ws)) r(i)),
+    y AS (SELECT *, CASE WHEN spot IS NULL OR i < spot THEN 2 WHEN i > spot THEN 1 END AS side, regexp_replace(word, '^[-–—]+', '') AS body FROM x),
+    z AS (SELECT *, CASE WHEN word[1] IN ('-', '–', '—') THEN coalesce(TRY_CAST(nullif(regexp_extract(body, '[0-9]+'), '') AS INTEGER), CASE WHEN regexp_full_match(body[2:], '(?i)[qtfxkpyr}} .''`]*') THEN {_DASHED} END) END AS dashed, {_decode_sql('word')} AS plain,
+        CASE WHEN word IN ('V', 'v', 'Z', 'z') THEN 2 WHEN word IN ('S', 's') THEN 5 WHEN word IN ('B', 'b') AND false THEN 8 WHEN word IN ('q', 'g') THEN 9 END AS hand FROM y WHERE side IS NOT NULL),
+    b AS (SELECT id, coalesce(CASE WHEN dashed BETWEEN 1 AND 999 THEN dashed END, plain) AS v, side * 10000 + i AS rank FROM z UNION ALL SELECT id, hand, 30000 + i FROM z WHERE side = 1),
+    g AS (SELECT id, min_by(v, rank) AS v FROM b WHERE v IS NOT NULL GROUP BY id) SELECT c.id, CASE WHEN c.q <> 1 THEN c.q ELSE CAST(coalesce(g.v, 1) AS DOUBLE) END AS q FROM c LEFT JOIN g USING (id)""",
+    "noisy",
+)
 def str11_quantity_beside_code(t):
-    k = F.col("p_partkey")
-    text = F.when(k % 3 == 0, "4 rows of ABC Io end").when(k % 3 == 1, F.concat(F.col("p_size"), F.lit(" abc"))).otherwise("XYZ 5")
-    return t.raw("part").select(k.alias("id"), Q.quantity_beside(text, F.lit("ABC")).alias("q"))
+    return t.noisy.select("id", Q.quantity_beside(F.col("text"), F.lit("ABC")).alias("q"))
 
 
-@query("SELECT p_partkey AS id, [2, 10, 7][p_partkey % 3 + 1] AS q FROM part")
+@query(
+    f"""WITH d AS (SELECT id, '-' || replace(text, ' ', '') AS frag FROM noisy), e AS (SELECT id, regexp_replace(frag, '^[-–—]+\\s*', '') AS body FROM d)
+    SELECT id, coalesce(TRY_CAST(nullif(regexp_extract(body, '[0-9]+'), '') AS INTEGER), CASE WHEN regexp_full_match(body[2:], '(?i)[qtfxkpyr}} .''`]*') THEN {_DASHED} END, {_decode_sql('body')}) AS q FROM e""",
+    "noisy",
+)
 def str13_dash_fragment(t):
-    k = F.col("p_partkey")
-    return t.raw("part").select(k.alias("id"), X.dash_quantity(F.when(k % 3 == 0, "-axk").when(k % 3 == 1, "- lo".replace(" ", "")).otherwise("-7")).alias("q"))
+    return t.noisy.select("id", X.dash_quantity(F.concat(F.lit("-"), F.regexp_replace("text", " ", ""))).alias("q"))
 
 
 @query()
@@ -242,8 +312,7 @@ def str19_recover_digits(t):
 
 @query("SELECT p_partkey AS id, 'ABC' AS code, CAST(p_size AS DOUBLE) AS quantity FROM part")
 def str20_scattered_letters(t):
-    c, q = Q.scattered_item(F.concat(F.lit("a B c "), F.col("p_size")))
-    return t.raw("part").select(F.col("p_partkey").alias("id"), c.alias("code"), q.alias("quantity"))
+    return t.raw("part").select(F.col("p_partkey").alias("id"), Q.scattered_item(F.concat(F.lit("a B c "), F.col("p_size"))).alias("i")).select("id", "i.code", "i.quantity")
 
 
 @query("SELECT receipt_id, pos, 'P' || CASE WHEN pos > 1 THEN 1 ELSE 10 END AS product_code FROM items WHERE pos <= 2", "items")
@@ -287,3 +356,104 @@ def stm8_window_duplicates(t):
 def mth11_change_detection(t):
     c, q = F.col("product_code"), F.col("quantity")
     return t.items.select("receipt_id", "pos", verify.change_detected(c, F.lower(c), q, q + F.col("pos") % 2).alias("changed"))
+
+
+# ---- totals, batches, snapshots and corrected samples ---------------------------------------------------------
+
+_TOTAL_DET = """det AS (SELECT id AS receipt_id, 1 AS det_id, 10.0 AS x, 100.0 AS y, 'ABC' AS text, 0.9 AS confidence FROM receipts
+    UNION ALL SELECT id, 2, 10.0, 400.0, ['Total Qty', 'Total', 'Grand Total', 'Sub Total:', 'Total Items', 'Totol', 'total', 'Sum'][id % 8 + 1], 0.8 FROM receipts
+    UNION ALL SELECT id, 3, 200.0, 404.0, ['II', '12', ': 34', 'O5', '', '7 pcs', 'x'][id % 7 + 1], 0.6 FROM receipts
+    UNION ALL SELECT id, 4, 10.0, 460.0, ['24', 'thanks', 'Total Qty: 9', '0', 'Tota1 8'][id % 5 + 1], 0.7 FROM receipts WHERE id % 3 > 0
+    UNION ALL SELECT id, 5, 10.0, 350.0, ['17', 'MNO 3'][id % 2 + 1], 0.5 FROM receipts)"""
+
+
+def _total_detections(t):
+    k = F.col("id")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    rows = [
+        (1, 10.0, 100.0, F.lit("ABC"), 0.9), (2, 10.0, 400.0, pick("Total Qty", "Total", "Grand Total", "Sub Total:", "Total Items", "Totol", "total", "Sum"), 0.8),
+        (3, 200.0, 404.0, pick("II", "12", ": 34", "O5", "", "7 pcs", "x"), 0.6), (4, 10.0, 460.0, F.when(k % 3 > 0, pick("24", "thanks", "Total Qty: 9", "0", "Tota1 8")), 0.7), (5, 10.0, 350.0, pick("17", "MNO 3"), 0.5),
+    ]
+    d = F.explode(F.array(*[F.struct(F.lit(i).alias("det_id"), F.lit(x).alias("x"), F.lit(y).alias("y"), text.alias("text"), F.lit(c).alias("confidence")) for i, x, y, text, c in rows]))
+    return t.receipts.select(k.alias("receipt_id"), d.alias("d")).select("receipt_id", "d.*").where("text IS NOT NULL")
+
+
+_W, _Q = "(total|totai|tota1|t0tal|totd)", "(qty|quantity|qtv|qly|qtyt|qiy|qtt)"
+
+
+def _stated_sql() -> str:
+    number = lambda p, g: f"CASE WHEN TRY_CAST(regexp_extract(text, '(?i){p}', {g}) AS DOUBLE) > 0 AND TRY_CAST(regexp_extract(text, '(?i){p}', {g}) AS DOUBLE) <= 99999 THEN TRY_CAST(regexp_extract(text, '(?i){p}', {g}) AS DOUBLE) END"
+    sep, n = "[ :=_.-]*", "([0-9]+[.]?[0-9]*)"
+    forms = [(f"{_W}{sep}{_Q}{sep}{n}", 3), (f"{_W}[ :=_-]+{n}", 2), (f"sub{sep}total{sep}{n}", 1), (f"sum[ :=_-]+{n}", 1), (f"{_W}.*?{_Q}.*?{n} *$", 3)]
+    kw = "(total|totai|tota1|t0tal|totol|toial|to7al|tatal|tolal|totel|totd|qtyt|qiy|qtt)"
+    rest = f"regexp_replace(trim(regexp_extract(text, '(?i){kw}(.*)$', 2), ' :=-'), '(?i)^(qty|quantity|qtv|qly)[ :=-]*', '')"
+    digits = f"trim(regexp_replace(translate({rest}, 'OoIl|!ZzSsGgBTA', '001111225566874'), '[^0-9 .]', '', 'g'))"
+    word = f"regexp_matches(text, '(?i)(^| )[.:=-]*{kw}[.:=-]*( |$)')"
+    near = number(f"(total|totai|tota1|t0tal|sub *total|sum) *{_Q}?[ :=-]*{n}", 3)
+    tail = f"CASE WHEN {word} THEN coalesce({near}, CASE WHEN regexp_full_match({rest}, '[0-9]+[.]?[0-9]*') THEN TRY_CAST({rest} AS DOUBLE) END, CASE WHEN TRY_CAST({digits} AS DOUBLE) > 0 AND TRY_CAST({digits} AS DOUBLE) <= 99999 THEN TRY_CAST({digits} AS DOUBLE) END) END"
+    return f"CASE WHEN NOT regexp_matches(text, '(?i)(total|totd) *(items|count|no|number|products|entries)') AND NOT regexp_matches(text, '(?i)(grand|grrand|grramd|gramd){sep}{_W}') THEN coalesce({', '.join(number(p, g) for p, g in forms)}, {tail}) END"
+
+
+@query(
+    f"""WITH {_TOTAL_DET}, low AS (SELECT *, max(y) OVER (PARTITION BY receipt_id) AS my FROM det), g AS (SELECT *, y - lag(y) OVER (PARTITION BY receipt_id ORDER BY y, x, det_id) AS gap, greatest(15, 0.03 * (max(y) OVER (PARTITION BY receipt_id) - min(y) OVER (PARTITION BY receipt_id))) AS lim FROM low WHERE y >= 0.3 * my),
+    l AS (SELECT *, 1 + sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id ORDER BY y, x, det_id) AS line FROM g), j AS (SELECT receipt_id, line, string_agg(text, ' ' ORDER BY x) AS text, avg(confidence) AS c FROM l GROUP BY ALL),
+    o AS (SELECT *, {_stated_sql()} AS own, CASE WHEN regexp_full_match(trim(text), '[0-9]+[.]?[0-9]*') AND CAST(trim(text) AS DOUBLE) BETWEEN 0.000001 AND 99999 THEN CAST(trim(text) AS DOUBLE) END AS bare FROM j),
+    a AS (SELECT *, lead(bare) OVER w AS nb, lag(bare) OVER w AS pb, lead(text) OVER w AS nt, lag(text) OVER w AS pt, lead(c) OVER w AS nc, lag(c) OVER w AS pc, regexp_matches(text, '(?i){_W}') AND NOT regexp_matches(text, '[0-9]') AND NOT regexp_matches(text, '(?i)(grand|grrand|grramd|gramd)[ :=_.-]*{_W}') AS bareword FROM o WINDOW w AS (PARTITION BY receipt_id ORDER BY line)),
+    u AS (SELECT receipt_id, own AS total, text, c, 1 AS tier, -line AS rank FROM a WHERE own IS NOT NULL UNION ALL SELECT receipt_id, coalesce(nb, pb), CASE WHEN nb IS NOT NULL THEN text || ' ' || nt ELSE pt || ' ' || text END, CASE WHEN nb IS NOT NULL THEN (c + nc) / 2 ELSE (c + pc) / 2 END, 2, line FROM a WHERE own IS NULL AND bareword AND coalesce(nb, pb) IS NOT NULL)
+    SELECT receipt_id, total, text, {r('c', 4)} AS confidence, tier FROM u QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY tier, rank) = 1""",
+    "receipts",
+)
+def win15_find_total(t):
+    return layout.find_total(_total_detections(t))
+
+
+_OFF = "off AS (SELECT DISTINCT batch_id FROM f WHERE CAST(batch_id[2:] AS INTEGER) % 4 = 0)"
+
+
+def _cancelled(t):
+    return _files(t).select("batch_id").distinct().where("cast(substring(batch_id, 2) as int) % 4 = 0")
+
+
+@query(
+    f"""WITH {_FILES}, {_OFF}, l AS (SELECT batch_id, file_id, max_by(status, (ts, seq)) AS status FROM f GROUP BY ALL), s AS (SELECT batch_id, CASE WHEN batch_id IN (FROM off) AND status IN ('processing', 'pending') THEN 'skipped' ELSE status END AS status FROM l)
+    SELECT batch_id, count(*) AS n_files, count(*) FILTER (status = 'done') AS succeeded, count(*) FILTER (status = 'failed') AS failed, count(*) FILTER (status = 'skipped') AS skipped, {r("100.0 * count(*) FILTER (status NOT IN ('processing', 'pending')) / count(*)", 1)} AS pct FROM s GROUP BY batch_id"""
+)
+def stm15_cancelled_progress(t):
+    return metrics.progress(_files(t), _cancelled(t))
+
+
+@query(
+    f"""WITH {_FILES}, {_OFF}, l AS (SELECT batch_id, file_id, max_by(status, (ts, seq)) AS status, min(ts) AS a, max(ts) AS b FROM f GROUP BY ALL), g AS (SELECT batch_id, min(a) AS created_at, max(b) AS b, count(*) AS total, count(*) FILTER (status NOT IN ('processing', 'pending')) AS processed, count(*) FILTER (status = 'failed') AS bad, count(*) FILTER (status = 'processing') AS busy FROM l GROUP BY batch_id)
+    SELECT batch_id, created_at, CASE WHEN batch_id IN (FROM off) THEN 'cancelled' WHEN bad = total THEN 'failed' WHEN processed = total THEN 'completed' WHEN processed + busy > 0 THEN 'processing' ELSE 'pending' END AS state, processed, total FROM g WHERE b >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 2880 MINUTES ORDER BY created_at DESC, batch_id LIMIT 50"""
+)
+def stm12_batch_states(t):
+    return metrics.batch_states(_files(t), _cancelled(t), "2024-01-30 12:00:00", 2880)
+
+
+@query("SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE ts >= TIMESTAMP '2024-01-13 00:00:00'")
+def snk22_kept_days(t):
+    return writers.kept_days(t.raw("events").select(F.col("ts").alias("day")), "2024-01-20", 7)
+
+
+@query("SELECT 'session' AS record, event_type AS session, NULL::VARCHAR AS created_at, count(*) AS n_samples, NULL::VARCHAR AS accuracy FROM events GROUP BY event_type")
+def snk21_session_records(t):
+    d = t.raw("events").groupBy(F.col("event_type").alias("session")).agg(F.count("*").alias("n_samples"))
+    return writers.record(d, "session")
+
+
+def _corrected(t):
+    return t.items.where("receipt_id % 5 = 0").select("receipt_id", "pos", F.when(F.col("pos") % 3 == 0, F.concat("product_code", F.lit("X"))).otherwise(F.lower("product_code")).alias("product_code"), (F.col("quantity") + F.when(F.col("pos") % 4 == 0, 1).otherwise(0)).alias("quantity"))
+
+
+_FIXED = "z AS (SELECT receipt_id, pos, product_code AS o, quantity AS oq, CASE WHEN pos % 3 = 0 THEN product_code || 'X' ELSE lower(product_code) END AS c, quantity + CASE WHEN pos % 4 = 0 THEN 1 ELSE 0 END AS cq FROM items WHERE receipt_id % 5 = 0)"
+
+
+@query(f"WITH {_FIXED} SELECT receipt_id, pos AS nth, CASE WHEN pos <= 4 THEN o END AS original_code, c AS corrected_code, CASE WHEN pos <= 4 THEN oq END AS original_qty, cq AS corrected_qty FROM z WHERE pos > 4 OR pos % 3 = 0 OR pos % 4 = 0", "items")
+def snk27_corrections(t):
+    return writers.corrected_sample(t.items.where("pos <= 4"), _corrected(t))[1]
+
+
+@query(f"WITH {_FIXED} SELECT receipt_id, receipt_id || '.jpg' AS image_file, string_agg(c || ':' || CAST(cq AS INTEGER), ',' ORDER BY pos) AS items, sum(cq) AS total_quantity, 'handwritten' AS receipt_type, '' AS notes FROM z GROUP BY receipt_id", "items")
+def snk27_labels(t):
+    rows = writers.corrected_sample(t.items, _corrected(t))[0]
+    return rows.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat(x["code"], F.lit(":"), x["quantity"].cast("int").cast("string"))), ","))

@@ -15,7 +15,7 @@ from tallyweave.functions import text as X
 from tallyweave.operators import catalog as C
 from tallyweave.operators import dedup, layout, learn, matching, metrics, usage, verify
 from tallyweave.operators import receipts as R
-from tallyweave.plans.fixtures import Tables, half_up, with_views
+from tallyweave.plans.fixtures import CATALOG_CODE, Tables, half_up, with_views
 from tallyweave.plans.session import ship
 from tallyweave.sinks import writers
 from tallyweave.streaming import stateful
@@ -48,9 +48,10 @@ def src1_catalog_page(t):
     return C.catalog_page(t.products, limit=50, offset=20)
 
 
-@query("SELECT * FROM products WHERE is_active AND product_code = 'P17'", "products")
+@query("SELECT * FROM products WHERE is_active AND product_code IN ('P17', 'P18', 'P19', 'P21')", "products")
 def src2_product_lookup(t):
-    return C.by_code(t.products, " p17 ")
+    found = [C.by_code(t.products, c) for c in (" p17 ", "P18", "p19", "P21\t".strip())]
+    return found[0].union(found[1]).union(found[2]).union(found[3])
 
 
 _DOC = "string_agg(pos || ':' || product_code || ':' || CAST(quantity AS INTEGER), '|' ORDER BY pos)"
@@ -229,18 +230,25 @@ def snk14_data_sheet(t):
     return R.data_sheet(t.receipts, t.items)
 
 
-_SUM = f"SELECT product_code, count(DISTINCT receipt_id) AS n_receipts, count(*) AS n_items, sum(quantity) AS quantity, {r('sum(line_total)', 2)} AS amount FROM items GROUP BY ROLLUP (product_code) HAVING count(*) > 0"
+_SUM = f"SELECT product_code, CASE WHEN product_code IS NOT NULL THEN first(product_name ORDER BY receipt_id, pos) END AS product_name, CASE WHEN product_code IS NOT NULL THEN first(unit ORDER BY receipt_id, pos) END AS unit, count(DISTINCT receipt_id) AS n_receipts, count(*) AS n_items, sum(quantity) AS quantity, {r('sum(line_total)', 2)} AS amount FROM named GROUP BY ROLLUP (product_code) HAVING count(*) > 0"
+_NAMED = "named AS (SELECT i.*, product_name || ' ' || (receipt_id % 3) AS product_name, CASE WHEN receipt_id % 4 > 0 THEN unit ELSE 'Piece' END AS unit FROM items i JOIN products USING (product_code))"
 
 
-@query(_SUM, "items")
+def _named(t):
+    p = t.products.select("product_code", "product_name", "unit")
+    d = t.items.join(C.small(p), "product_code").withColumn("product_name", F.concat("product_name", F.lit(" "), F.col("receipt_id") % 3))
+    return d.withColumn("unit", F.when(F.col("receipt_id") % 4 > 0, F.col("unit")))
+
+
+@query(f"WITH {_NAMED} {_SUM}", "items", "products")
 def snk14_summary_sheet(t):
-    return R.summary_sheet(t.items)
+    return R.summary_sheet(_named(t))
 
 
-@query("WITH i2 AS (SELECT * FROM items WHERE receipt_id IN (SELECT id FROM receipts WHERE scan_date = DATE '1997-05-28')) " + _SUM.replace("FROM items", "FROM i2"), "items", "receipts")
+@query(f"WITH {_NAMED}, i2 AS (SELECT * FROM named WHERE receipt_id IN (SELECT id FROM receipts WHERE scan_date = DATE '1997-05-28')) " + _SUM.replace("FROM named", "FROM i2"), "items", "receipts", "products")
 def snk15_daily_report(t):
     ids = t.receipts.where("scan_date = DATE '1997-05-28'").select(F.col("id").alias("receipt_id"))
-    return R.summary_sheet(t.items.join(ids, "receipt_id", "left_semi"))
+    return R.summary_sheet(_named(t).join(ids, "receipt_id", "left_semi"))
 
 
 @query(
@@ -539,7 +547,7 @@ def join10_trailing_tier(t):
     return matching.trailing_tier(t.raw("part").select(F.concat(F.lit("P"), k % 40, F.when(k % 2 == 0, "O").otherwise("I")).alias("code")), t.products)
 
 
-_HASH = "hb AS (SELECT id, at_s, fingerprint, list_transform(pixels, lambda x: x > list_avg(pixels)) AS bits FROM hashes), ham AS (SELECT a.id AS id_a, b.id AS id_b, a.at_s AS ta, a.fingerprint AS fa, b.fingerprint AS fb, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CAST(z[1] <> z[2] AS INTEGER))) AS distance FROM hb a JOIN hb b ON a.id < b.id AND abs(a.at_s - b.at_s) <= 86400 WHERE a.id < 300 AND b.id < 300)"
+_HASH = "hb AS (SELECT id, at_s, fingerprint, list_transform(pixels, lambda x: x > list_avg(pixels)) AS bits FROM hashes), ham AS (SELECT a.id AS id_a, b.id AS id_b, a.at_s AS ta, a.fingerprint AS fa, b.fingerprint AS fb, list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CAST(z[1] <> z[2] AS INTEGER))) AS distance FROM hb a JOIN hb b ON a.id < b.id AND abs(a.at_s - b.at_s) <= 86400)"
 
 
 def _hashes(t):
@@ -548,7 +556,7 @@ def _hashes(t):
 
 @query(f"WITH {_HASH} SELECT id_a, id_b, CAST(distance AS INTEGER) AS distance FROM ham WHERE distance <= 20", "hashes")
 def join11_near_hashes(t):
-    return dedup.near_hashes(_hashes(t).where("id < 300"), 20)
+    return dedup.near_hashes(_hashes(t), 20)
 
 
 @query(
@@ -557,7 +565,7 @@ def join11_near_hashes(t):
     "hashes",
 )
 def join11_best_duplicate(t):
-    return dedup.duplicate_of(_hashes(t).where("id < 300"), 20)
+    return dedup.duplicate_of(_hashes(t), 20)
 
 
 @query()
@@ -720,9 +728,9 @@ def agg14_merge_duplicates(t):
     return R.merge_duplicates(t.items)
 
 
-@query(f"SELECT receipt_id, {r('sum(quantity)', 1)} AS total_quantity, {r('sum(line_total)', 2)} AS grand_total, bool_and(unit_price = 0 OR abs({r('quantity * unit_price', 2)} - line_total) <= greatest(0.01, {r('quantity * unit_price', 2)} * 0.005)) AS all_lines_ok, (bool_or(confidence < 0.6) OR avg(confidence) < 0.85) AS needs_review FROM items GROUP BY receipt_id", "items")
+@query(f"SELECT receipt_id, {r('sum(quantity)', 1)} AS total_quantity, {r('sum(line_total)', 2)} AS grand_total, bool_and(line_total <= 0 OR (unit_price = 0 AND line_total > 0) OR abs(line_total - {r('quantity * unit_price', 2)}) < greatest(0.01, {r('quantity * unit_price', 2)} * 0.005)) AS all_lines_ok, (count(*) FILTER (confidence < 0.5 OR quantity NOT BETWEEN 1 AND 100 OR receipt_id % 5 = 0) > 0 OR avg(confidence) < 0.85) AS needs_review FROM items GROUP BY receipt_id", "items")
 def agg15_receipt_flags(t):
-    return verify.receipt_flags(t.items)
+    return verify.receipt_flags(t.items.withColumn("match_type", F.when(F.col("receipt_id") % 5 == 0, "fuzzy").otherwise("exact")))
 
 
 @query("SELECT receipt_id, product_code, count(*) AS n FROM items GROUP BY ALL HAVING count(*) > 1", "items")
@@ -913,8 +921,8 @@ def win7_merge_code_lines(t):
 
 @query(
     f"""WITH w AS (SELECT seq, client_key, count(*) OVER f AS n, count(*) FILTER (status_code >= 500) OVER f AS e, list(latency_ms) OVER f AS l FROM requests WINDOW f AS (PARTITION BY client_key ORDER BY ts, seq ROWS 49 PRECEDING)),
-    h AS (SELECT seq, client_key, n, {r('e / n', 4)} AS error_rate, list_sort(l)[CAST(least(floor(n * 0.95) + 1, n) AS INTEGER)] AS p95 FROM w)
-    SELECT *, CASE WHEN n < 5 THEN 'healthy' WHEN error_rate > 0.3 OR p95 > 25000 THEN 'critical' WHEN error_rate > 0.1 OR p95 > 10000 THEN 'degraded' ELSE 'healthy' END AS state FROM h""",
+    h AS (SELECT seq, client_key, n, e, list_sort(l)[CAST(least(floor(n * 0.95) + 1, n) AS INTEGER)] AS p95 FROM w)
+    SELECT seq, client_key, n, {r('e / n', 4)} AS error_rate, p95, CASE WHEN n < 5 THEN 'healthy' WHEN e >= n * 0.3 OR p95 >= 25000 THEN 'critical' WHEN e >= n * 0.1 OR p95 >= 10000 THEN 'degraded' ELSE 'healthy' END AS state FROM h""",
     "requests",
 )
 def win8_rolling_health(t):
@@ -943,11 +951,16 @@ def win13_store_name(t):
 
 
 @query(
-    """WITH c AS (SELECT receipt_id, line_no, CASE receipt_id % 4 WHEN 0 THEN strptime(text[7:], '%d/%m/%Y') WHEN 1 THEN strptime(text, '%Y-%m-%d') WHEN 2 THEN strptime(text[7:], '%d-%m-%Y') ELSE strptime(text[4:13], '%d.%m.%Y') END AS d FROM date_lines) SELECT receipt_id, line_no, strftime(d, '%Y-%m-%d') AS date FROM c""",
+    """WITH c AS (SELECT receipt_id, line_no, text, CASE receipt_id % 4 WHEN 0 THEN strptime(text[7:], '%d/%m/%Y') WHEN 1 THEN strptime(text, '%Y-%m-%d') WHEN 2 THEN strptime(text[7:], '%d-%m-%Y') ELSE strptime(text[4:13], '%d.%m.%Y') END AS d FROM date_lines),
+    e AS (SELECT receipt_id, line_no, d, (receipt_id % 2 = 0)::INTEGER * 12 + CASE WHEN receipt_id % 4 = 1 THEN 6 ELSE 12 END AS p FROM c UNION ALL SELECT receipt_id, 2, d + INTERVAL 1 DAY, 4 FROM c WHERE receipt_id % 3 = 0 UNION ALL SELECT receipt_id, 3, d + INTERVAL 2 DAYS, 12 + 3 FROM c WHERE receipt_id % 5 = 0)
+    SELECT receipt_id, line_no, strftime(d, '%Y-%m-%d') AS date FROM e QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY p DESC, line_no) = 1""",
     "date_lines",
 )
 def win14_pick_date(t):
-    return layout.pick_date(t.date_lines)
+    d = t.date_lines.join(t.receipts.select(F.col("id").alias("receipt_id"), "created_at"), "receipt_id")
+    named = d.where("receipt_id % 3 = 0").select("receipt_id", F.lit(2).alias("line_no"), F.date_format(F.date_add("created_at", 1), "d MMM yyyy").alias("text"))
+    first = d.where("receipt_id % 5 = 0").select("receipt_id", F.lit(3).alias("line_no"), F.concat(F.lit("Dt. "), F.date_format(F.date_add("created_at", 2), "MMM d, yyyy")).alias("text"))
+    return layout.pick_date(t.date_lines.unionByName(named).unionByName(first))
 
 
 @query("SELECT id, receipt_number, created_at, bill_total FROM receipts ORDER BY created_at DESC, id DESC LIMIT 25 OFFSET 50", "receipts")
@@ -1022,16 +1035,10 @@ def str3_variants(t):
     return d.select("product_code", F.posexplode("v").alias("rank", "variant"))
 
 
-def _item_sql() -> tuple[str, str]:
-    code = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN upper(regexp_extract(c, '{p}', {g}))" for p, g, _ in X.ITEM_PATTERNS) + " END"
-    qty = "CASE " + " ".join(f"WHEN regexp_matches(c, '{p}') THEN " + (f"TRY_CAST(regexp_extract(c, '{p}', {q}) AS DOUBLE)" if q else "1.0") for p, _, q in X.ITEM_PATTERNS) + " END"
-    return code, qty
-
-
-@query(f"WITH k AS (SELECT receipt_id, line_no, {_CLEAN} AS c FROM lines) SELECT receipt_id, line_no, {_item_sql()[0]} AS code, CAST({_item_sql()[1]} AS DOUBLE) AS quantity FROM k", "lines")
+@query(f"WITH k AS (SELECT receipt_id, line_no, {_CLEAN} AS c FROM lines) SELECT receipt_id, line_no, upper(regexp_extract(c, '(?i)p[0-9]+')) AS code, CAST(CASE WHEN TRY_CAST(regexp_extract(c, '(?i)p[0-9]+[ x-]+([0-9]+)', 1) AS INTEGER) BETWEEN 1 AND 50 THEN TRY_CAST(regexp_extract(c, '(?i)p[0-9]+[ x-]+([0-9]+)', 1) AS INTEGER) ELSE 1 END AS DOUBLE) AS quantity FROM k", "lines")
 def str4_parse_item(t):
-    code, qty = X.parse_item(X.clean(F.col("text")))
-    return t.lines.select("receipt_id", "line_no", code.alias("code"), qty.alias("quantity"))
+    d = t.lines.select("receipt_id", "line_no", X.parse_item(X.clean(F.col("text")), CATALOG_CODE).alias("i"))
+    return d.select("receipt_id", "line_no", "i.code", "i.quantity")
 
 
 def _priced_sql() -> str:
@@ -1056,15 +1063,21 @@ def str7_glue_numbers(t):
     return t.raw("part").select(k.alias("id"), X.glue_numbers(F.concat(F.lit("ABC 3 "), k % 90 + 10, F.lit(" 0 "), k % 50 + 10, F.lit(" 00"))).alias("t"))
 
 
-@query("WITH z AS (SELECT p_partkey AS id, translate('' || p_partkey, '105', 'IOS') AS tok FROM part), d AS (SELECT id, tok, regexp_extract(translate(tok, 'IilLOoSsBZz|!', '1111005582211'), '^[0-9]+') AS n FROM z) SELECT id, tok, CASE WHEN TRY_CAST(n AS INTEGER) > 99 THEN TRY_CAST(n[1:2] AS INTEGER) ELSE TRY_CAST(n AS INTEGER) END AS q FROM d")
+_NUM = "CASE WHEN n BETWEEN 1 AND 99 THEN n WHEN n BETWEEN 100 AND 999 THEN coalesce(nullif(CAST(d[1:2] AS INTEGER), 0), nullif(CAST(d[1:3] AS INTEGER), 0), nullif(CAST(d[1:4] AS INTEGER), 0)) END"
+
+
+@query(f"WITH z AS (SELECT p_partkey AS id, translate([''  , '0', '00', '_', 'x', 'I'][p_partkey % 6 + 1] || p_partkey || ['', 'f', '.1'][p_partkey % 3 + 1], '1057', 'lOSI') AS tok FROM part), d AS (SELECT id, tok, replace(replace(replace(tok, '.', ''), ',', ''), '_', '') AS w FROM z), e AS (SELECT *, regexp_extract(replace(replace(replace(w, 'l', '1'), 'I', '1'), 'O', '0'), '^[0-9]*') AS d FROM d), f AS (SELECT *, CASE WHEN length(w) <= 6 AND d <> '' THEN CAST(d AS INTEGER) END AS n FROM e) SELECT id, tok, {_NUM} AS q FROM f")
 def str12_decode_quantity(t):
-    tok = F.translate(F.col("p_partkey").cast("string"), "105", "IOS")
-    return t.raw("part").select(F.col("p_partkey").alias("id"), tok.alias("tok"), X.decode_quantity(tok).alias("q"))
+    k = F.col("p_partkey")
+    pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    tok = F.translate(F.concat(pick(("", "0", "00", "_", "x", "I")), k.cast("string"), pick(("", "f", ".1"))), "1057", "lOSI")
+    return t.raw("part").select(k.alias("id"), tok.alias("tok"), X.decode_quantity(tok).alias("q"))
 
 
-@query("SELECT receipt_id, line_no, CASE WHEN NOT regexp_matches('AB', '[0-9]') THEN TRY_CAST(nullif(regexp_extract(text, '^ *([0-9]{1,2}) *[.):]? +', 1), '') AS INTEGER) END AS n FROM lines", "lines")
+@query("""WITH n AS (SELECT id, text, regexp_extract(text, '^\\s*([0-9]{1,2})', 1) AS lead, regexp_replace(text, '^\\s*[0-9]{1,2}\\s*[-.):–—]?\\s*', '') AS rest FROM noisy)
+    SELECT id, CASE WHEN lead = '' OR CAST(lead AS INTEGER) = 0 THEN 1.0 WHEN regexp_matches(rest, '[-–—]\\s*[0-9]') THEN CAST(regexp_extract(rest, '[-–—]\\s*([0-9]{1,3})', 1) AS DOUBLE) WHEN regexp_matches(rest, '[A-Za-z][A-Za-z]') THEN 1.0 ELSE CAST(lead AS DOUBLE) END AS n FROM n""", "noisy")
 def str14_stripped_number(t):
-    return t.lines.select("receipt_id", "line_no", X.stripped_number(F.col("text"), F.lit("AB")).alias("n"))
+    return t.noisy.select("id", X.stripped_number(F.col("text")).alias("n"))
 
 
 @query("WITH z AS (SELECT p_partkey AS id, 'A' || p_partkey || ' 2| B' || (p_partkey % 7) || ' 3' AS t FROM part) SELECT id, CAST(i - 1 AS INTEGER) AS part, string_split(t, '|')[i] AS t FROM z, range(1, 3) r(i)")
@@ -1146,10 +1159,10 @@ def dat7_uptime(t):
     return t.raw("part").select(F.col("p_partkey").alias("id"), D.uptime(F.col("p_partkey") * 997).alias("t"))
 
 
-@query(f"SELECT receipt_id, pos, CASE WHEN unit_price = 0 THEN 'trusted' WHEN abs({r('quantity * unit_price', 2)} - (line_total + pos % 3)) <= greatest(0.01, {r('quantity * unit_price', 2)} * 0.005) THEN 'ok' ELSE 'mismatch' END AS parser, abs({r('quantity * unit_price', 2)} - {r('line_total + pos % 3', 2)}) <= 0.01 + 1e-9 AS verifier, abs(quantity * unit_price - (line_total + pos % 3)) <= greatest(1.0, quantity * unit_price * 0.01) AS validator FROM items WHERE pos % 3 <> 1", "items")
+@query(f"SELECT receipt_id, pos, CASE WHEN p = 0 AND a > 0 THEN 'trusted' WHEN a <= 0 THEN 'ok' WHEN abs({r('quantity * p', 2)} - a) < greatest(0.01, {r('quantity * p', 2)} * 0.005) THEN 'ok' ELSE 'mismatch' END AS parser, abs({r('quantity * p', 2)} - {r('a', 2)}) <= 0.01 + 1e-9 AS verifier, abs(quantity * p - a) <= greatest(1.0, quantity * p * 0.01) AS validator FROM (SELECT *, CASE WHEN receipt_id % 4 = 0 THEN 0 ELSE unit_price END AS p, CASE WHEN receipt_id % 6 = 0 THEN 0 ELSE line_total + pos % 3 END AS a FROM items) i WHERE pos % 3 <> 1", "items")
 def mth1_line_checks(t):
-    a = F.col("line_total") + F.col("pos") % 3
-    q, p = F.col("quantity"), F.col("unit_price")
+    a = F.when(F.col("receipt_id") % 6 == 0, 0.0).otherwise(F.col("line_total") + F.col("pos") % 3)
+    q, p = F.col("quantity"), F.when(F.col("receipt_id") % 4 == 0, 0.0).otherwise(F.col("unit_price"))
     return t.items.where("pos % 3 <> 1").select("receipt_id", "pos", verify.line_check_parser(q, p, a).alias("parser"), verify.line_check_verifier(q, p, a).alias("verifier"), verify.line_check_validator(q, p, a).alias("validator"))
 
 
@@ -1200,14 +1213,24 @@ def mth7_quality_score(t):
     return verify.quality_score(d).select("receipt_id", "score", "grade")
 
 
-@query("SELECT receipt_id, pos, CASE WHEN quantity > 40 OR (quantity > 20 AND pos % 2 = 0) THEN 1.0 ELSE quantity END::DOUBLE AS quantity FROM items", "items")
+@query("SELECT receipt_id, pos, CASE WHEN q > 0 AND q <= 40 AND (q <= 20 OR pos % 2 = 1) THEN q ELSE 1.0 END::DOUBLE AS quantity, NOT (q > 0 AND q <= 20) AS needs_review FROM (SELECT *, CASE WHEN receipt_id % 9 = 0 THEN 0 ELSE quantity END AS q FROM items) i", "items")
 def mth8_sane_quantity(t):
-    return t.items.select("receipt_id", "pos", verify.sane_quantity(F.col("quantity"), F.when(F.col("pos") % 2 == 1, F.col("unit_price")), 20.0, 40.0).alias("quantity"))
+    q = F.when(F.col("receipt_id") % 9 == 0, 0.0).otherwise(F.col("quantity"))
+    return t.items.select("receipt_id", "pos", verify.sane_quantity(q, F.when(F.col("pos") % 2 == 1, F.col("unit_price")), 20.0, 40.0).alias("quantity"), verify.odd_quantity(q, 20.0).alias("needs_review"))
 
 
-@query(f"SELECT receipt_id, line_no, {r('least(confidence, confidence * (CASE WHEN length(trim(text)) <= 1 THEN 0.7 ELSE 1.0 END * CASE WHEN len(regexp_extract_all(trim(text), ' + chr(39) + '[^A-Za-z0-9 ]' + chr(39) + ')) * 3 > length(trim(text)) THEN 0.8 ELSE 1.0 END * CASE WHEN regexp_matches(text, ' + chr(39) + '[A-Za-z]' + chr(39) + ') AND regexp_matches(text, ' + chr(39) + '[0-9]' + chr(39) + ') THEN 0.95 ELSE 1.0 END * CASE WHEN regexp_matches(trim(text), ' + chr(39) + '[A-Za-z0-9][ ]{3,}' + chr(39) + ') THEN 0.85 ELSE 1.0 END * CASE WHEN regexp_matches(trim(text), ' + chr(39) + '^[A-Za-z]{4,}$' + chr(39) + ') THEN 1.05 ELSE 1.0 END))', 4)} AS calibrated FROM lines", "lines")
+@query(
+    f"""WITH x AS (SELECT id, CASE id % 8 WHEN 0 THEN ' ' WHEN 1 THEN 'IIII' || id WHEN 2 THEN '1234567' WHEN 3 THEN '[[x' WHEN 4 THEN upper(text) || '|' WHEN 5 THEN left(text, 2) ELSE text END AS text, 0.3e0 + (id % 7) * 0.1e0 AS raw FROM noisy),
+    m AS (SELECT id, raw, s, length(s) AS n, len(list_filter(cs, lambda c: contains('|![]{{}}()_=;$&#@~`', c))) / greatest(length(s), 1) AS noise, len(list_distinct(list_transform(cs, lambda c: lower(c)))) / greatest(length(s), 1) AS kinds, len(list_filter(cs, lambda c: c BETWEEN '0' AND '9')) AS dg, len(list_filter(cs, lambda c: lower(c) <> upper(c))) AS al,
+    len(list_filter(cs, lambda c: NOT (c BETWEEN '0' AND '9' OR lower(c) <> upper(c) OR c = ' '))) AS sy FROM (SELECT *, string_split(trim(text), '') AS cs, trim(text) AS s FROM x) y),
+    p AS (SELECT *, raw * CASE n WHEN 1 THEN 0.6e0 WHEN 2 THEN 0.8e0 ELSE 1 END * CASE WHEN noise > 0.3e0 THEN 0.65e0 WHEN noise > 0.15e0 THEN 0.8e0 ELSE 1 END * CASE WHEN n > 2 AND kinds < 0.35e0 THEN 0.7e0 ELSE 1 END * CASE WHEN dg > 5 AND al = 0 THEN 0.75e0 ELSE 1 END * CASE WHEN sy > 1 AND n < 7 THEN 0.75e0 ELSE 1 END AS c FROM m)
+    SELECT id, CASE WHEN n = 0 THEN 0 ELSE {r('least(raw, CASE WHEN n BETWEEN 3 AND 7 AND dg + al = n THEN c * 1.05e0 ELSE c END)', 4)} END AS calibrated FROM p""",
+    "noisy",
+)
 def str27_calibrate(t):
-    return t.lines.select("receipt_id", "line_no", verify.calibrate(F.col("text"), F.col("confidence")).alias("calibrated"))
+    k = F.col("id")
+    text = F.when(k % 8 == 0, " ").when(k % 8 == 1, F.concat(F.lit("IIII"), k)).when(k % 8 == 2, "1234567").when(k % 8 == 3, "[[x").when(k % 8 == 4, F.concat(F.upper("text"), F.lit("|"))).when(k % 8 == 5, F.substring("text", 1, 2)).otherwise(F.col("text"))
+    return t.noisy.select("id", verify.calibrate(text, F.lit(0.3) + (k % 7) * 0.1).alias("calibrated"))
 
 
 @query("SELECT o_orderkey AS id, count(l_orderkey) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey WHERE o_orderkey < 1000 GROUP BY o_orderkey")
@@ -1280,7 +1303,7 @@ def stm9_exact_duplicates(t):
     "items",
 )
 def pipeline_parse_and_merge(t):
-    parsed = matching.parse_lines(t.lines)
+    parsed = matching.parse_lines(t.lines, CATALOG_CODE)
     return R.merge_duplicates(parsed).select("receipt_id", "product_code", "quantity", "needs_review")
 
 

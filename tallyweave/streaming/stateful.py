@@ -65,7 +65,7 @@ def health_step(window: list[list[float]], seen: int, changed_at: float, state:
     if seen % every == 0 and len(window) >= 5 and at - changed_at >= cooldown_s:
         errors = sum(w[0] for w in window) / len(window)
         p95 = sorted(w[1] for w in window)[min(int(len(window) * 0.95), len(window) - 1)]
-        new = "critical" if errors > 0.3 or p95 > 25_000 else "degraded" if errors > 0.1 or p95 > 10_000 else "healthy"
+        new = "critical" if errors >= 0.3 or p95 >= 25_000 else "degraded" if errors >= 0.1 or p95 >= 10_000 else "healthy"
         if new != state:
             state, changed_at = new, at
     return window, seen, changed_at, state

@@ -55,11 +55,40 @@ def test_date_keyword_wins(spark):
     assert layout.pick_date(lines).head()["date"] == "2026-03-15"
 
 
+def items_of(spark, lines):
+    return [(r and (r.code, r.quantity)) for r in column(spark, lines, X.parse_item)]
+
+
 def test_item_lines(spark):
-    lines = ["CODE - 3", "hello", "ABC", "ABC x 4", "7 ABC", "ABC: 5", "???", ""]
-    codes = column(spark, lines, lambda c: X.parse_item(X.clean(c))[0])
-    assert codes == ["CODE", "HELLO", "ABC", "ABC", "ABC", "ABC", None, None]
-    assert column(spark, lines, lambda c: X.parse_item(X.clean(c))[1]) == [3.0, 1.0, 1.0, 4.0, 7.0, 5.0, None, None]
+    lines = ["CODE - 3", "hello", "ABC", "ABC x 4", "7 ABC", "ABC: 5", "???", "", None]
+    got = [(r and (r.code, r.quantity)) for r in column(spark, lines, lambda c: X.parse_item(X.clean(c)))]
+    assert got == [("CODE", 3.0), ("HELLO", 1.0), ("ABC", 1.0), ("ABC", 4.0), ("ABC", 7.0), ("ABC", 5.0), None, None, None]
+
+
+def test_item_forms_by_rule(spark):
+    want = {
+        "5 MNO I0": ("MNO", 10.0), "1 ABc 2": ("ABC", 2.0), "ABC I0": ("ABC", 10.0), "ABC lo": ("ABC", 10.0), "GHI (6)": ("GHI", 6.0), "ABC: 2.5": ("ABC", 2.5), "TEW1O 5": ("TEW1O", 5.0), "ABC \u00d7 3": ("ABC", 3.0), "ABC \u2014 3": ("ABC", 3.0),
+        "ABC 240": ("ABC", 1.0), "ABC 0": ("ABC", 1.0), "ABC 50": ("ABC", 50.0), "ABC 2.26": ("ABC", 2.3),  # clamped to (0, 50], one place
+        "qty 5": None, "iqt 3": None, "pcs 4": None,  # marks aren't codes
+        "see ABC 4 here": ("ABC", 4.0),  # found anywhere in the line
+        "ABC IO": ("ABC", 10.0), "12 Paint": ("PAINT", 12.0),
+    }
+    assert dict(zip(want, items_of(spark, list(want)), strict=True)) == want
+
+
+def test_code_and_number_may_be_one_code(spark):
+    lines = spark.createDataFrame([(1, "PEPW 20"), (2, "PEPW 21"), (3, "ABC 2.5"), (4, "TEW1 4"), (5, "?")], "i int, text string")
+    catalog = spark.createDataFrame([("PEPW20",), ("PEPW20",), ("TEW14",)], "product_code string")
+    got = {r.i: (r.code, r.quantity) for r in matching.parse_items(lines, catalog).collect()}
+    assert got == {1: ("PEPW20", 1.0), 2: ("PEPW", 21.0), 3: ("ABC", 2.5), 4: ("TEW1", 4.0), 5: (None, None)}
+
+
+def test_roles(spark):
+    pairs = [("ABC", "3"), ("3", "abc"), ("ABC", "IO"), ("IO", "ABC"), ("3", "4"), ("ABC", "xyz"), ("A1", "2"), ("ABC", "0"), ("ABC", "OO")]
+    df = spark.createDataFrame([(k, *p) for k, p in enumerate(pairs)], "i int, a string, b string")
+    c, q = X.roles(F.col("a"), F.col("b"))
+    got = [(r[0], r[1]) for r in df.orderBy("i").select(c, q).collect()]
+    assert got == [("ABC", 3.0), ("ABC", 3.0), ("ABC", 10.0), (None, None), (None, None), (None, None), (None, None), ("ABC", 0.0), (None, None)]
 
 
 def test_priced_lines(spark):
@@ -74,12 +103,81 @@ def test_totals(spark):
 
 
 def test_quantities(spark):
-    assert column(spark, ["Io", "1f", "123", "x", ""], X.decode_quantity) == [10, 1, 12, None, None]
-    assert column(spark, ["-axk", "-7", "zz"], X.dash_quantity) == [2, 7, None]
-    assert column(spark, ["3qt of 5 qty", "none"], QT.marked_quantity) == [5, None]
+    decoded = {"3": 3, "10": 10, "I0": 10, "Io1f": 10, "Iq": 1, "": None, "1234567": None, "abc": None, "|": 1, "!": 1, "S": None, "Z2": None, "123": 12, "1000": None, "0012": 12, "00123": 1, "0": None, "1,0": 10, "x": None, "lO": 10, "999": 99}
+    assert dict(zip(decoded, column(spark, list(decoded), X.decode_quantity), strict=True)) == decoded
+    dashed = {"-3qt": 3, "-": None, "-aqt": 2, "-5": 5, "-axk": 2, "-gqt": 9, "-b": 6, "-B": 8, "-T": 7, "-'": 3, "-lo": 10, "-o": None, "-zz": None, "-q1240": 1240, "\u2014 7": 7, "zz": None, "-}": 3}
+    assert dict(zip(dashed, column(spark, list(dashed), X.dash_quantity), strict=True)) == dashed
+    marked = {"3qt of 5 qty": 5, "none": None, "IOqt": 10, "3&T": 3, "3 4T x": 3, "3 4T": 4, "ABC - 7 tt": 7, "ABC 12Q.": 12, "1234qt": 234, "0qt": None, "'qt": 3, "}} Q1": 33, "2 qt 0qt": 2, "": None, None: None, "ABCt": None}
+    assert dict(zip(marked, column(spark, list(marked), QT.marked_quantity), strict=True)) == marked
+    free = {"CODE - 3": 3.0, "hello": 1.0, "ABC": 1.0, "10 200": 10.0, "200 300": 300.0, "ABC 4": 1.0, "ABC I0": 10.0, "ABC 7qt": 1.0, "x 12.": 12.0, "1000": 1.0, "ABC - 0 5": 5.0}
+    assert dict(zip(free, column(spark, list(free), QT.free_quantity), strict=True)) == free
+    beside = {"ABC 5": 5.0, "ABC Io1f": 10.0, "Iq ABC": 1.0, "ABC -axk": 2.0, "ABC V": 2.0, "V ABC": 1.0, "ABC q": 9.0, "xyz": 1.0, "ABC": 1.0, "lo ABC": 10.0}
+    assert dict(zip(beside, column(spark, list(beside), lambda c: QT.quantity_beside(c, F.lit("abc"))), strict=True)) == beside
+    assert column(spark, ["ABC V", "ABC q"], lambda c: QT.quantity_beside(c, F.lit("ABC"), F.array(F.lit("V")))) == [1.0, 9.0]
+    lead = {"5 ABC": 1.0, "2 . def": 1.0, "3 GHI 1": 1.0, "7 - 4": 7.0, "6.": 6.0, "ABC": 1.0, "0 x": 1.0, "12 7": 12.0, "3) x - 8": 8.0, "": 1.0, None: 1.0}
+    assert dict(zip(lead, column(spark, list(lead), X.stripped_number), strict=True)) == lead
     assert column(spark, ["A B C 2", "ABC 2"], QT.gather_letters) == ["ABC 2", "ABC 2"]
 
 
+def test_calibration_by_rule(spark):
+    want = {"a": 0.54, "AB": 0.72, "[[x": 0.4388, "1234567": 0.7088, "": 0.0, None: 0.0, "IIII": 0.6615, "TEW1": 0.9, "J1L{2": 0.72, "a{b}": 0.4388, "hello world": 0.9, "  ": 0.0, "12345 6": 0.675, "$$$$$": 0.3071}
+    got = column(spark, list(want), lambda c: verify.calibrate(c, F.lit(0.9)))
+    assert {k: round(v, 4) for k, v in zip(want, got, strict=True)} == want
+
+
+def test_line_checks_and_quantity_flags(spark):
+    rows = [(2.0, 10.0, 20.0), (2.0, 10.0, 20.1), (2.0, 10.0, 20.05), (1.0, 0.0, 5.0), (1.0, 5.0, 0.0), (1.0, 0.0, 0.0), (1.0, 1.0, 1.02)]
+    df = spark.createDataFrame(rows, "q double, r double, a double")
+    got = [x[0] for x in df.select(verify.line_check_parser(F.col("q"), F.col("r"), F.col("a"))).collect()]
+    assert got == ["ok", "mismatch", "ok", "trusted", "ok", "ok", "mismatch"]
+    qs = spark.createDataFrame([(0.0, 5.0), (101.0, None), (101.0, 5.0), (1000.0, 5.0), (100.0, None), (1.0, None)], "q double, p double")
+    got = [tuple(x) for x in qs.select(verify.sane_quantity(F.col("q"), F.col("p")), verify.odd_quantity(F.col("q"))).collect()]
+    assert got == [(1.0, True), (1.0, True), (101.0, True), (1.0, True), (100.0, False), (1.0, False)]
+    items = spark.createDataFrame([(1, 0.9, 2.0, "exact"), (2, 0.9, 2.0, "fuzzy"), (3, 0.9, 101.0, "exact"), (4, 0.55, 2.0, "exact"), (4, 1.0, 2.0, "exact"), (5, 0.95, 1.0, "exact"), (5, 0.4, 1.0, "exact"), (5, 1.0, 1.0, "exact")], "receipt_id long, confidence double, quantity double, match_type string").withColumns({"unit_price": F.lit(1.0), "line_total": F.col("quantity")})
+    assert {r.receipt_id: r.needs_review for r in verify.receipt_flags(items).collect()} == {1: False, 2: True, 3: True, 4: True, 5: True}
+
+
+def test_health_limits_count(spark):
+    df = spark.createDataFrame([(k, f"2024-01-01 00:00:{k:02d}", "a", 500 if k < 3 else 200, 1.0) for k in range(40)], "seq long, t string, key string, status_code int, latency_ms double").withColumn("ts", F.to_timestamp("t"))
+    got = {r.seq: r.state for r in metrics.rolling_health(df, "key").collect()}
+    assert (got[3], got[9], got[29], got[30]) == ("healthy", "critical", "degraded", "healthy")  # 3 of 10 and 3 of 30 are the limits themselves
+    slow = df.withColumns({"status_code": F.lit(200), "latency_ms": F.when(F.col("seq") == 5, 25_000.0).otherwise(10_000.0)})
+    assert {r.seq: r.state for r in metrics.rolling_health(slow, "key").collect()}[5] == "critical"
+    assert {r.seq: r.state for r in metrics.rolling_health(slow, "key").collect()}[4] == "degraded"
+
+
+TOTAL_GOLDEN = [
+    ([("Total Qty", 400, 0), ("11", 401, 90)], (11.0, "Total Qty 11", 1)),
+    ([("Total Qty II", 400, 0)], (11.0, "Total Qty II", 1)),
+    ([("Total Qtyt _", 400, 0), ("24", 450, 0)], (24.0, "Total Qtyt _ 24", 2)),
+    ([("24", 350, 0), ("Total", 400, 0)], (24.0, "24 Total", 2)),
+    ([("17", 350, 0), ("Total", 400, 0), ("24", 450, 0)], (24.0, "Total 24", 2)),  # the next line before the previous one
+    ([("Grand Total 2500", 400, 0)], None),
+    ([("Total Items: 5", 400, 0)], None),
+    ([("Total 5", 380, 0), ("Sub Total: 9", 440, 0)], (9.0, "Sub Total: 9", 1)),  # the lowest line
+    ([("Total Qty_ Total Qty_ 24", 400, 0)], (24.0, "Total Qty_ Total Qty_ 24", 1)),
+    ([("Total 0", 400, 0)], (0.0, "Total 0", 1)),  # what follows the word is taken as it is
+    ([("Totol O5", 400, 0)], (5.0, "Totol O5", 1)),
+    ([("Total 9", 100, 0), ("footer", 990, 0)], None),  # above the lower part
+    ([("Sum: 4", 400, 0)], (4.0, "Sum: 4", 1)),
+    ([("nothing", 400, 0)], None),
+]
+
+
+def test_totals_from_the_bottom(spark):
+    rows = [(k, n, float(x), float(y), text, 0.8) for k, (dets, _) in enumerate(TOTAL_GOLDEN) for n, (text, y, x) in enumerate(dets)]
+    d = spark.createDataFrame(rows, "receipt_id long, det_id long, x double, y double, text string, confidence double")
+    got = {r.receipt_id: (r.total, r.text, r.tier) for r in layout.find_total(d).collect()}
+    assert got == {k: w for k, (_, w) in enumerate(TOTAL_GOLDEN) if w}
+
+
+def test_dates_by_form(spark):
+    rows = [(1, 1, "March 15, 2026"), (1, 2, "16/03/2026"), (2, 1, "2026-03-15"), (2, 2, "Dt 1 Jan 2025"), (3, 1, "on 01/01/2025"), (3, 2, "02/01/2025"), (4, 1, "01/01/1850"), (5, 1, "15-Mar-2026 paid"), (6, 1, "31/13/2026 2026-02-03")]
+    lines = spark.createDataFrame(rows, "receipt_id long, line_no int, text string")
+    got = {r.receipt_id: r.date for r in layout.pick_date(lines).collect()}
+    assert got == {1: "2026-03-16", 2: "2025-01-01", 3: "2025-01-01", 5: "2026-03-15", 6: "2026-02-03"}
+
+
 def test_similarity_and_alignment(spark):
     df = spark.createDataFrame([("PEPW10", "PEPW1O"), ("ABC", "XYZ"), (None, "A")], "a string, b string")
     got = [r[0] for r in df.select(M.similarity("a", "b")).collect()]
@@ -195,6 +293,37 @@ def test_merge_code_lines(spark):
     assert [r.text for r in layout.merge_code_lines(d).orderBy("line_no").collect()] == ["ABC 3", "XYZ", "Total 3"]
 
 
+def test_merge_code_lines_by_rule(spark):
+    schema = "receipt_id long, line_no int, text string, y_center double, confidence double"
+    rows = [
+        (1, 1, "2", 10.0, 0.5), (1, 2, "ABC", 20.0, 0.7), (1, 3, "3 250 750", 30.0, 0.9),  # a tie: the previous line
+        (2, 1, "ABC", 10.0, 0.8), (2, 2, "XYZ", 20.0, 0.8), (2, 3, "3 250 750", 30.0, 0.6), (2, 4, "7", 40.0, 0.6),
+        (3, 1, "7", 10.0, 0.4), (3, 2, "8", 20.0, 0.4), (3, 3, "ABC", 30.0, 0.8), (3, 4, "XYZ", 40.0, 0.8),
+    ]
+    got = [(r.receipt_id, r.text, round(r.y_center, 3), round(r.confidence, 3)) for r in layout.merge_code_lines(spark.createDataFrame(rows, schema)).orderBy("receipt_id", "line_no").collect()]
+    assert got == [(1, "ABC 2", 15.0, 0.6), (1, "3 250 750", 30.0, 0.9), (2, "ABC", 10.0, 0.8), (2, "XYZ 3 250 750", 25.0, 0.7), (2, "7", 40.0, 0.6), (3, "7", 10.0, 0.4), (3, "ABC 8", 25.0, 0.6), (3, "XYZ", 40.0, 0.8)]
+    chain = [(1, 1, "ABC", 10.0, 0.8), (1, 2, "5", 11.0, 0.8), (1, 3, "6", 12.0, 0.8), (1, 4, "XYZ", 50.0, 0.8), (1, 5, "7", 51.0, 0.8)]
+    assert [r.text for r in layout.merge_code_lines(spark.createDataFrame(chain, schema)).orderBy("line_no").collect()] == ["ABC 5", "6", "XYZ 7"]
+
+
+def test_reading_order_by_rule(spark):
+    schema = "receipt_id long, det_id long, x double, y double, text string, confidence double"
+    rows = [
+        (1, 1, 0.0, 10.0, "abc", 0.8), (1, 2, 0.0, 40.0, " ABC", 0.9), (1, 3, 0.0, 130.0, "ABC", 0.7),  # bands 0, 1, 2: the third is next to the kept second
+        (1, 4, 0.0, 10.0, "1", 0.8), (1, 5, 0.0, 44.0, "1", 0.9), (1, 6, 0.0, 80.0, "1", 0.5),  # 34 px are one, 36 px from the kept one aren't
+        (2, 1, 0.0, 10.0, "XYZ", 0.8), (2, 2, 0.0, 200.0, "XYZ", 0.9), (2, 3, 0.0, 10.0, None, 0.9),
+    ]
+    got = sorted((r.receipt_id, r.det_id) for r in layout.reading_order(spark.createDataFrame(rows, schema)).collect())
+    assert got == [(1, 2), (1, 5), (1, 6), (2, 1), (2, 2), (2, 3)]
+
+
+def test_echoes_of_other_texts(spark):
+    schema = "receipt_id long, det_id long, x double, y double, text string, confidence double"
+    rows = [(1, 1, 10.0, 10.0, "TEWA", 0.8), (1, 2, 20.0, 12.0, "TEW4", 0.9), (1, 3, 39.9, 24.0, "q", 0.1), (1, 4, 40.0, 10.0, "far", 0.1), (1, 5, 10.0, 25.0, "low", 0.1)]
+    got = sorted(r.det_id for r in layout.drop_echoes(spark.createDataFrame(rows, schema)).collect())
+    assert got == [2, 4, 5]
+
+
 def test_orphans_are_consumed(spark):
     items = spark.createDataFrame([(1, 1, "A", 1.0, 100.0), (1, 2, "B", 1.0, 140.0), (2, 1, "C", 1.0, 5.0)], "receipt_id long, pos int, product_code string, quantity double, y double")
     numbers = spark.createDataFrame([(1, 102.0, 7.0), (1, 1000.0, 9.0)], "receipt_id long, y double, value double")

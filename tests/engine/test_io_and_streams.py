@@ -5,6 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from tallyweave import schemas
+from tallyweave.operators import metrics
 from tallyweave.operators import receipts as R
 from tallyweave.plans.fixtures import Tables
 from tallyweave.sinks import writers
@@ -174,3 +175,46 @@ def test_entry(spark):
 
     assert 0 < e.entry(spark).count() <= 20
     assert set(e.oracle_sql()) <= set(e.queries())
+
+
+def test_old_snapshots_are_removed(spark, tmp_path):
+    path = str(tmp_path / "s")
+    for day in ("2024-01-01", "2024-01-03", "2024-01-09"):
+        writers.snapshot(spark.createDataFrame([(day,)], "x string"), path, day)
+    (tmp_path / "s" / "snapshot_date=other").mkdir()
+    assert writers.prune_snapshots(spark, path, "2024-01-10", 7) == ["2024-01-01"]
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if p.is_dir()) == ["snapshot_date=2024-01-03", "snapshot_date=2024-01-09", "snapshot_date=other"]
+    assert writers.prune_snapshots(spark, path, "2024-01-10", 7) == []
+
+
+def test_records_are_appended(spark, tmp_path):
+    df = spark.createDataFrame([("s1", 3)], "session string, n_samples int")
+    for _ in range(2):
+        writers.save_record(df, "session", str(tmp_path))
+    writers.save_record(spark.createDataFrame([("f", "0", "O")], "kind string, ch_from string, ch_to string"), "rules", str(tmp_path))
+    assert [(r.record, r.session, r.n_samples) for r in spark.read.json(str(tmp_path / "session")).collect()] == [("session", "s1", 3)] * 2
+    assert spark.read.json(str(tmp_path / "rules")).head().ch_to == "O"
+
+
+def test_corrected_sample_and_its_differences(spark, tmp_path):
+    schema = "receipt_id long, pos int, product_code string, quantity double"
+    old = spark.createDataFrame([(1, 1, "ABC", 2.0), (1, 2, "XYZ", 1.0), (1, 3, "GHI", 5.0)], schema)
+    new = spark.createDataFrame([(1, 1, " abc", 2.0), (1, 2, "XYW", 1.0), (1, 3, "GHI", 5.5), (1, 4, "JKL", 1.0)], schema)
+    writers.save_corrected_sample(old, new, str(tmp_path), notes="n")
+    label = spark.read.json(str(tmp_path / "labels")).head()
+    assert (label.receipt_id, label.total_quantity, label.notes, [i.code for i in label["items"]]) == (1, 9.5, "n", [" abc", "XYW", "GHI", "JKL"])
+    rows = spark.read.parquet(str(tmp_path / "corrections")).orderBy("nth").collect()
+    assert [(r.nth, r.original_code, r.corrected_code) for r in rows] == [(2, "XYZ", "XYW"), (3, "GHI", "GHI"), (4, None, "JKL")]
+
+
+def test_batches_cancelled_forgotten_and_capped(spark):
+    files = spark.createDataFrame(
+        [("a", "1", 0, 1, "done"), ("a", "2", 1, 2, "processing"), ("b", "1", 2, 3, "failed"), ("c", "1", 3, 4, "pending"), ("d", "1", 4, 5, "done"), ("d", "1", 5, 6, "failed"), ("d", "2", 5, 7, "done"), ("old", "1", -90, 0, "done")],
+        "batch_id string, file_id string, minute int, seq long, status string",
+    ).selectExpr("*", "timestamp'2024-01-01 12:00:00' + make_interval(0, 0, 0, 0, 0, minute) AS ts")
+    off = spark.createDataFrame([("a",), ("a",)], "batch_id string")
+    got = {r.batch_id: (r.state, r.processed, r.total) for r in metrics.batch_states(files, off, "2024-01-01 12:30:00").collect()}
+    assert got == {"a": ("cancelled", 1, 2), "b": ("failed", 1, 1), "c": ("pending", 0, 1), "d": ("completed", 2, 2)}
+    assert [r.batch_id for r in metrics.batch_states(files, off, "2024-01-01 12:30:00", newest=2).collect()] == ["d", "c"]
+    p = {r.batch_id: (r.skipped, r.pct) for r in metrics.progress(files, off).collect()}
+    assert p["a"] == (1, 100.0) and p["c"] == (0, 0.0)
