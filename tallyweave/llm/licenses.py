@@ -19,7 +19,9 @@ Result: doc_id, license_id, dice (the best of the document's segments), n_segmen
 of that license). A paragraph of a single line is that line and counts once. The SQL
 has lines and paragraphs, but no runs.
 
-The templates are broadcast; they don't grow with the corpus.
+Templates are notices and license sentences, and the full texts in license_texts. Those of more than LARGE bigrams
+are looked for only in texts that have enough of their bigrams, so that they cost little elsewhere. The templates are
+broadcast; they don't grow with the corpus.
 
 Defined results: null and empty texts and segments of fewer than two words match nothing; a null doc_id is
 carried along, one row for all such documents; repeated rows of a doc_id give the row of one;
@@ -28,6 +30,9 @@ ties between templates give a row each; an empty table gives an empty result; ot
 
 from __future__ import annotations
 
+from functools import cache
+from pathlib import Path
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -37,6 +42,8 @@ from pyspark.sql import functions as F
 from tallyweave.llm import _text
 
 THRESHOLD = 0.8
+#: Bigrams beyond which a template is looked for by whole texts first.
+LARGE = 400
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation
 files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,
@@ -63,6 +70,30 @@ from this software without specific prior written permission."""
 _ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that
 the above copyright notice and this permission notice appear in all copies."""
 
+_LESSER = """{k} is free software{s} you can redistribute it and/or modify it under the terms of the GNU {n} General Public License as published by
+the Free Software Foundation{c} either version {v} of the License, or (at your option) any later version. {k} is distributed in the hope that it
+will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+{n} General Public License for more details."""
+_UNLICENSE = """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or
+distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. In
+jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the
+public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this
+dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law."""
+_ZLIB = """This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages
+arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and
+to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not
+claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated
+but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This
+notice may not be removed or altered from any source distribution."""
+_BOOST = """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation
+covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of
+the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software
+and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the
+Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of
+machine-executable object code generated by a source language processor."""
+_ZERO = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. THE SOFTWARE IS PROVIDED
+"AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS."""
+
 #: (license_id, text); an identifier may have several templates.
 TEMPLATES: list[tuple[str, str]] = [
     ("MIT", _MIT), ("MIT", "Released under the MIT License."), ("MIT", "Licensed under the MIT License."), ("MIT", "This project is licensed under the MIT License."),
@@ -75,8 +106,19 @@ TEMPLATES: list[tuple[str, str]] = [
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."), ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."), ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
     ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0 Universal."),
+    ("LGPL-2.1", _LESSER.format(k="This library", s=";", n="Lesser", c=";", v="2.1")), ("LGPL-3.0", _LESSER.format(k="This program", s=":", n="Lesser", c=",", v="3")),
+    ("AGPL-3.0", _LESSER.format(k="This program", s=":", n="Affero", c=",", v="3")), ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3."),
+    ("Unlicense", _UNLICENSE), ("Zlib", _ZLIB), ("BSL-1.0", _BOOST), ("BSL-1.0", "Distributed under the Boost Software License, Version 1.0."), ("0BSD", _ZERO),
 ]
 
+
+@cache
+def all_templates() -> list[tuple[str, str]]:
+    """TEMPLATES and the full texts, whose files are named after their identifiers; read where the query is made only."""
+    files = sorted((Path(__file__).parent / "license_texts").glob("*.txt"))
+    return [*TEMPLATES, *((f.stem, f.read_text("utf-8")) for f in files)]
+
+
 _STOP = np.zeros(256, bool)
 _STOP[list(b".!?;:()")] = True
 
@@ -87,6 +129,24 @@ def _pairs(h: np.ndarray) -> np.ndarray:
     return _text.mix(h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:])
 
 
+class _Group:
+    """Templates that are looked for together, and what tells quickly that a segment has none of them."""
+
+    def __init__(self, members: list[int], sets: list[np.ndarray], t: float):
+        self.members = members
+        self.known = np.unique(np.concatenate([*(sets[k] for k in members), np.zeros(0, np.uint64)]))
+        self.maybe = np.zeros(1 << 20, bool)
+        self.maybe[(self.known >> np.uint64(44)).astype(np.int64)] = True
+        sizes = np.array([len(sets[k]) for k in members])
+        self.least = t / (2 - t) * sizes.min() if len(sizes) else np.inf
+        self.most = (2 - t) / t * sizes.max() if len(sizes) else 0
+
+    def hits(self, g: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """Places of the bigrams, within one text, that some template has."""
+        at = np.flatnonzero(self.maybe[(g >> np.uint64(44)).astype(np.int64)] & inner)
+        return at[np.isin(g[at], self.known)]
+
+
 class Scanner:
     def __init__(self, templates: list[tuple[str, str]], threshold: float):
         self.t = threshold
@@ -94,66 +154,71 @@ class Scanner:
         words = _text.Words(pa.array([x for _, x in templates], pa.string()))
         h = words.hashes()
         self.sets = [np.unique(_pairs(h[words.first[k] : words.first[k + 1]])) for k in range(len(templates))]
-        known = np.unique(np.concatenate([*self.sets, np.zeros(0, np.uint64)]))
-        self.known = known
-        self.maybe = np.zeros(1 << 20, bool)
-        self.maybe[(known >> np.uint64(44)).astype(np.int64)] = True
-        sizes = np.array([len(s) for s in self.sets if len(s)])
-        self.least = threshold / (2 - threshold) * sizes.min() if len(sizes) else np.inf
-        self.most = (2 - threshold) / threshold * sizes.max() if len(sizes) else 0
+        some = [k for k, x in enumerate(self.sets) if len(x)]
+        self.small = _Group([k for k in some if len(self.sets[k]) <= LARGE], self.sets, threshold)
+        self.large = _Group([k for k in some if len(self.sets[k]) > LARGE], self.sets, threshold)
 
     def scan(self, column: pa.Array) -> list[tuple[int, str, float, tuple[int, int]]]:
         """(row, license, dice, words of the segment) of every match."""
         words = _text.Words(column)
         if len(words) < 2:
             return []
-        h = words.hashes()
+        g = _pairs(words.hashes())
+        text_of = words.text_of
+        inner = text_of[1:] == text_of[:-1]
+        small, large = self.small.hits(g, inner), self.large.hits(g, inner)
+        # a segment needs as many hits as the least template needs common bigrams, and so does its text
+        enough = np.bincount(text_of[large], minlength=words.n_texts) >= self.t / (2 - self.t) * self.large.least
+        large = large[enough[text_of[large]]]
+        if not len(small) and not len(large):
+            return []
         lines = np.cumsum(words.buf == 10)
-        line = np.concatenate([[0], lines])[words.starts] + words.text_of  # a text's end ends its line too
+        line = np.concatenate([[0], lines])[words.starts] + text_of  # a text's end ends its line too
         # a paragraph ends where two newlines have only white space between them
         newline = np.flatnonzero(words.buf == 10)
         ink = np.concatenate([[0], np.cumsum(words.buf > 32)])
         blank = newline[:-1][ink[newline[1:]] == ink[newline[:-1]]] if len(newline) > 1 else newline[:0]
-        para = np.searchsorted(blank, words.starts) + words.text_of
-        g = _pairs(h)
-        hit = self.maybe[(g >> np.uint64(44)).astype(np.int64)] & (words.text_of[1:] == words.text_of[:-1])
-        at = np.flatnonzero(hit)
-        at = at[np.isin(g[at], self.known)]
-        out = {}
-        if not len(at):
-            return []
-        for seg in (line, para):
+        para = np.searchsorted(blank, words.starts) + text_of
+        whole: dict[tuple[int, str, tuple[int, int]], tuple[float, float]] = {}
+        runs: dict[tuple[int, str, tuple[int, int]], tuple[float, float]] = {}
+        for group, at in ((self.small, small), (self.large, large)):
+            if len(at):
+                self._segments(words, g, at, (line, para), group, whole)
+                self._runs(words, g, at, line, para, group.members, runs)
+        return self._resolve(whole, runs, len(words))
+
+    def _segments(self, words: _text.Words, g: np.ndarray, at: np.ndarray, kinds: tuple[np.ndarray, ...], group: _Group, out: dict) -> None:
+        """Matches of lines and paragraphs: (row, license, span) to Dice and what it has beyond the threshold."""
+        for seg in kinds:
             inside = at[seg[at] == seg[at + 1]]
             ids, counts = np.unique(seg[inside], return_counts=True)
             lo, hi = np.searchsorted(seg, ids, "left"), np.searchsorted(seg, ids, "right")
             # at most `counts` common bigrams and at least least/2 of them are needed
             for a, b, n in zip(lo.tolist(), hi.tolist(), counts.tolist(), strict=True):
                 size = b - a - 1
-                if size < self.least or n < self.t / 2 * self.least:
+                if size < group.least or n < self.t / 2 * group.least:
                     continue
                 own = np.unique(g[a : b - 1])
-                if len(own) > self.most:
+                if len(own) > group.most:
                     continue
-                for k, other in enumerate(self.sets):
-                    if not len(other) or len(own) < self.t / (2 - self.t) * len(other) - 1e-9 or len(own) > (2 - self.t) / self.t * len(other) + 1e-9 or n < self.t * (len(own) + len(other)) / 2 - 1e-9:
+                for k in group.members:
+                    other = self.sets[k]
+                    if len(own) < self.t / (2 - self.t) * len(other) - 1e-9 or len(own) > (2 - self.t) / self.t * len(other) + 1e-9 or n < self.t * (len(own) + len(other)) / 2 - 1e-9:
                         continue
                     dice = 2 * len(np.intersect1d(own, other, assume_unique=True)) / (len(own) + len(other))
                     if dice >= self.t:
                         row = int(np.searchsorted(words.first, a, "right") - 1)
                         key = (row, self.ids[k], (a, b))
                         out[key] = max((dice, (dice - self.t) * (len(own) + len(other))), out.get(key, (0.0, 0.0)))
-        return self._resolve(out, self._runs(words, g, at, line, para), len(words))
 
-    def _runs(self, words: _text.Words, g: np.ndarray, at: np.ndarray, line: np.ndarray, para: np.ndarray) -> dict:
+    def _runs(self, words: _text.Words, g: np.ndarray, at: np.ndarray, line: np.ndarray, para: np.ndarray, members: list[int], found: dict) -> None:
         """Matches of runs of sentences and of lines: (row, license, span) to Dice and what it has beyond the threshold."""
-        found: dict[tuple[int, str, tuple[int, int]], tuple[float, float]] = {}
         text_of = words.text_of
         stop, blank = (np.concatenate([[0], np.cumsum(x)]) for x in (_STOP[words.buf], words.buf <= 32))
         ended = (stop[words.starts[1:]] > stop[words.ends[:-1]]) & (blank[words.starts[1:]] > blank[words.ends[:-1]])
         marks = [np.concatenate([[True], x]) for x in (ended | (para[1:] != para[:-1]), line[1:] != line[:-1])]
-        for k, other in enumerate(self.sets):
-            if not len(other):
-                continue
+        for k in members:
+            other = self.sets[k]
             need, most = self.t / (2 - self.t) * len(other) - 1e-9, (2 - self.t) / self.t * len(other) + 1e-9
             mine = at[np.isin(g[at], other)]
             rows, first, counts = np.unique(text_of[mine], return_index=True, return_counts=True)
@@ -173,7 +238,6 @@ class Scanner:
                         if dice >= self.t:
                             key = (row, self.ids[k], (a + lo, b + lo))
                             found[key] = max((dice, (dice - self.t) * (size + len(other))), found.get(key, (0.0, 0.0)))
-        return found
 
     @staticmethod
     def _resolve(whole: dict, runs: dict, n_words: int) -> list[tuple[int, str, float, tuple[int, int]]]:
@@ -221,7 +285,7 @@ def _walk(pairs: list[int], template: set[int], cuts: list[int], starts: list[in
 
 def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """One row per document and license found in it."""
-    shared = docs.sparkSession.sparkContext.broadcast(TEMPLATES if templates is None else templates)
+    shared = docs.sparkSession.sparkContext.broadcast(all_templates() if templates is None else templates)
 
     def run(batches):
         scanner = Scanner(shared.value, threshold)
@@ -244,7 +308,7 @@ def scan_licenses(docs: DataFrame, templates: list[tuple[str, str]] | None = Non
 
 def licenses_sql(threshold: float = THRESHOLD) -> str:
     """The same result in DuckDB."""
-    values = ", ".join("({}, '{}', '{}')".format(k, i, x.replace("'", "''")) for k, (i, x) in enumerate(TEMPLATES))
+    values = ", ".join("({}, '{}', '{}')".format(k, i, x.replace("'", "''")) for k, (i, x) in enumerate(all_templates()))
 
     def words(x: str) -> str:
         return f"list_filter(regexp_split_to_array(lower({x}), '[\\x00-/:-@\\[-^`{{-\\x7f]+'), lambda x: x <> '')"
@@ -256,7 +320,7 @@ def licenses_sql(threshold: float = THRESHOLD) -> str:
               FROM documents, range(1, 1 + len(regexp_split_to_array(text, '\\n[\\x00-\\x09\\x0b-\\x20]*\\n[\\x00-\\x20]*'))) p(i)),
     segs AS (SELECT doc_id, p, 0 AS l, {words("para")} AS w FROM paras
              UNION ALL SELECT doc_id, p, l.i, {words("string_split(para, chr(10))[l.i]")} FROM paras, range(1, 1 + len(string_split(para, chr(10)))) l(i)),
-    sized AS (SELECT DISTINCT doc_id, p, w, {pairs} AS b FROM segs WHERE len(w) BETWEEN 2 AND 1000),
+    sized AS (SELECT DISTINCT doc_id, p, w, {pairs} AS b FROM segs WHERE len(w) >= 2),
     dice AS (SELECT doc_id, license_id, p, w, max(2.0 * len(list_intersect(s.b, t.b)) / (len(s.b) + len(t.b))) AS d
              FROM sized s, tpl t WHERE len(s.b) BETWEEN {threshold} / (2 - {threshold}) * len(t.b) - 1e-9 AND (2 - {threshold}) / {threshold} * len(t.b) + 1e-9
              GROUP BY doc_id, license_id, p, w QUALIFY d = max(d) OVER (PARTITION BY doc_id, p, w))
