@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyweave.llm import _text, near_text
+from tallyweave.llm._cut import cut
 from tallyweave.llm.quality import labelled_sample
 
 BITS = 20
@@ -130,8 +131,21 @@ class Crf:
         return marginals(self.evidence(s.features).astype(np.float64), s.first, self.trans)[0]
 
 
+def gradient(features: np.ndarray, bounds: np.ndarray, labels: np.ndarray, w: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Gradient of the chains' log-likelihood: (features that occur, their parts, parts of bias and transitions); labels minus marginals."""
+    y = labels.astype(int)
+    p, pair = marginals(w[features].sum(1) + other[0], bounds, other[1:].reshape(2, 2))
+    d = y - p
+    inner = np.ones(len(y), bool)
+    inner[bounds[:-1]] = False
+    k = np.flatnonzero(inner)
+    seen = np.bincount(y[k - 1] * 2 + y[k], minlength=4).reshape(2, 2)
+    rows, back = np.unique(features.ravel(), return_inverse=True)
+    return rows, np.bincount(back.ravel(), np.repeat(d, features.shape[1]), len(rows)), np.concatenate([[d.sum()], (seen - pair.sum(0)).ravel()])
+
+
 def fit_crf(features: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs: int = 8, batch: int = 256, rate: float = 0.5, l2: float = 1e-5) -> Crf:
-    """Maximum likelihood by AdaGrad over batches of chains; gradients are labels minus marginals."""
+    """Maximum likelihood by AdaGrad over batches of chains."""
     rng = np.random.default_rng(3)
     w, g2 = np.zeros(1 << BITS), np.full(1 << BITS, 1e-8)
     other, other2 = np.array([-2.0, 0, 0, 0, 0]), np.full(5, 1e-8)  # bias and transitions
@@ -143,18 +157,10 @@ def fit_crf(features: np.ndarray, first: np.ndarray, labels: np.ndarray, epochs:
             size = first[chains + 1] - first[chains]
             bounds = np.concatenate([[0], np.cumsum(size)])
             at = np.repeat(first[chains] - bounds[:-1], size) + np.arange(bounds[-1])
-            f, y = features[at], labels[at].astype(int)
-            p, pair = marginals(w[f].sum(1) + other[0], bounds, other[1:].reshape(2, 2))
-            d = y - p
-            inner = np.ones(len(y), bool)
-            inner[bounds[:-1]] = False
-            k = np.flatnonzero(inner)
-            seen = np.bincount(y[k - 1] * 2 + y[k], minlength=4).reshape(2, 2)
-            g = np.concatenate([[d.sum()], (seen - pair.sum(0)).ravel()]) / len(chains)
+            rows, gw, g = gradient(features[at], bounds, labels[at], w, other)
+            g, gw = g / len(chains), gw / len(chains) - l2 * w[rows]
             other2 += g * g
             other += rate * g / np.sqrt(other2)
-            rows, back = np.unique(f.ravel(), return_inverse=True)
-            gw = np.bincount(back, np.repeat(d, f.shape[1]), len(rows)) / len(chains) - l2 * w[rows]
             g2[rows] += gw * gw
             w[rows] += rate * gw / np.sqrt(g2[rows])
     return Crf(w.astype(np.float32), float(other[0]), other[1:].reshape(2, 2))
@@ -248,7 +254,7 @@ def _training_chains(lexicon: np.ndarray, heads: np.ndarray, clean_share: int):
 def train(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, clean_share: int = CLEAN_SHARE) -> Crf | None:
     """The tagger, or None if the labels teach nothing."""
     per = {1: max_toxic, 0: max_clean}
-    sample = labelled_sample(docs, labels, "toxic", per)
+    sample = cut(labelled_sample(docs, labels, "toxic", per))  # read several times, and bounded
     lexicon, heads = toxic_words(sample)
     if not len(lexicon):
         return None
