@@ -19,7 +19,7 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None:
-            if not sc.master.startswith("local["):
+            if sc.master.partition("[")[0] != "local":
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="tallyweave-")
         sc.setCheckpointDir(folder)

@@ -124,7 +124,7 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, full: float = FULL, group_it
         if left == 0 or fewer >= groups:
             final.append(open_bins.drop("grp"))
             break
-        level = open_bins.withColumn("grp", F.pmod(F.floor(F.col("grp") * fewer / groups), F.lit(fewer)).cast("long") if fewer == math.ceil(groups / fan_in) else F.pmod(F.xxhash64("doc_ids", "starts"), F.lit(fewer)))
+        level = open_bins.withColumn("grp", F.pmod(F.floor(F.col("grp") * fewer / groups), F.lit(fewer)).cast("long") if fewer == math.ceil(groups / fan_in) else F.pmod(F.xxhash64("doc_ids", "starts", "lengths"), F.lit(fewer)))
         groups = fewer
     out = final[0]
     for part in final[1:]:
