@@ -109,7 +109,37 @@ def alignment(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else [{"a": p, "b": q} for p, q in align(x, y)] for x, y in zip(a, b, strict=True)])
 
 
+class Alignment:
+    """Rows (place, a, b) of the alignment of two strings."""
+
+    def eval(self, a: str, b: str):
+        if a is not None and b is not None:
+            for k, (x, y) in enumerate(align(a, b)):
+                yield k, x, y
+
+
+class CodeLines:
+    """Rows (part, piece, text) of a line divided at pipes and before each code but the first, for a list of codes."""
+
+    def eval(self, text: str, codes: list):
+        known = set(codes or ())
+        for part, chunk in enumerate((text or "").split("|")):
+            pieces: list[list[str]] = [[]]
+            seen = False
+            for word in chunk.split():
+                if word.upper() in known:
+                    if seen:
+                        pieces.append([])
+                    seen = True
+                pieces[-1].append(word)
+            for k, words in enumerate(pieces):
+                if words:
+                    yield part, k, " ".join(words)
+
+
 def register(spark) -> None:
-    """The functions of this module as SQL functions."""
+    """The functions that need a program, as SQL functions and table functions."""
     for name, f in (("similarity", similarity), ("variant_list", variant_list), ("alignment", alignment)):
         spark.udf.register(name, f)
+    spark.udtf.register("align_strings", F.udtf(Alignment, returnType="place int, a string, b string"))
+    spark.udtf.register("split_codes", F.udtf(CodeLines, returnType="part int, piece int, text string"))

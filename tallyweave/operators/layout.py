@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyweave.operators.grouped import by_group
+from tallyweave.operators.grouped import by_group, by_group_lists
 from tallyweave.plans.fixtures import half_up
 
 
@@ -71,25 +71,32 @@ def running_mean_lines(detections: DataFrame, thresholds: DataFrame) -> DataFram
 
     Each decision depends on the line that earlier ones built, so it runs per receipt.
     """
-    d = detections.join(thresholds, "receipt_id")
-
-    def assign(rows: list[dict]) -> list[dict]:
-        xs = [r["x"] for r in rows]
-        span, least = max(xs) - min(xs), min(xs)
-        line, ys, lefts = 1, [], []
-        for r in rows:
-            t = (r["text"] or "").strip()
-            right = span > 150 and t.isdigit() and len(t) <= 2 and r["x"] > least + 0.45 * span
-            ref = lefts or ys
-            if ref and abs(r["y"] - sum(ref) / len(ref)) > r["threshold"] * (1.25 if right else 1.0):
-                line, ys, lefts = line + 1, [], []
-            ys.append(r["y"])
+    d = detections.select("receipt_id", "det_id", "x", "y", "text").join(thresholds, "receipt_id")
+
+    def assign(g: dict[str, list]) -> dict[str, list]:
+        xs, ys = g["x"], g["y"]
+        least, limit = min(xs), g["threshold"][0]
+        edge = least + 0.45 * (max(xs) - least)
+        wide = max(xs) - least > 150
+        line, out = 1, []
+        n_all = n_left = 0
+        sum_all = sum_left = 0.0
+        for x, y, text in zip(xs, ys, g["text"], strict=True):
+            right = False
+            if wide and x > edge:
+                t = (text or "").strip()
+                right = t.isdigit() and len(t) <= 2
+            if n_all:
+                mean = sum_left / n_left if n_left else sum_all / n_all
+                if abs(y - mean) > limit * (1.25 if right else 1.0):
+                    line, n_all, n_left, sum_all, sum_left = line + 1, 0, 0, 0.0, 0.0
+            n_all, sum_all = n_all + 1, sum_all + y
             if not right:
-                lefts.append(r["y"])
-            r["line_no"] = line
-        return rows
+                n_left, sum_left = n_left + 1, sum_left + y
+            out.append(line)
+        return {"receipt_id": g["receipt_id"], "det_id": g["det_id"], "line_no": out}
 
-    return by_group(d, ["receipt_id"], ["y", "x", "det_id"], assign, "receipt_id long, det_id long, line_no int")
+    return by_group_lists(d, ["receipt_id"], ["y", "x", "det_id"], assign, "receipt_id long, det_id long, line_no int")
 
 
 def merge_code_lines(lines: DataFrame) -> DataFrame:

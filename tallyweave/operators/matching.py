@@ -9,37 +9,66 @@ from pyspark.sql.window import Window as W
 
 from tallyweave.functions import match as M
 from tallyweave.functions import text as X
-from tallyweave.operators.catalog import BROADCAST_BYTES, small
+from tallyweave.operators.catalog import small
 from tallyweave.operators.grouped import by_group
 
 
 def match_codes(codes: DataFrame, catalog: DataFrame, column: str = "code") -> DataFrame:
-    """Rows with matched_code and match_type.
+    """Rows with matched_code and match_type: exact, ambiguous_oi, fuzzy or unknown.
 
-    Every different code is matched once. Exact ones are an equi-join; only the rest go on to the
-    tiers that need a program, with the catalog as a broadcast, whose size is checked.
+    Every different code is matched once, by tiers that take what the ones before leave: the code itself; a trailing O or I; the
+    first of its spellings that is a code; the most similar code of any spelling; equal letters at equal places. All tiers
+    are equi-joins, so neither the codes nor the catalog need to fit in one place.
     """
-    distinct = codes.select(F.upper(F.trim(F.col(column))).alias("_code")).distinct()
-    cat = catalog.select("product_code").distinct()
-    exact = distinct.join(small(cat), distinct["_code"] == cat["product_code"]).select("_code", F.col("product_code").alias("matched_code"), F.lit("exact").alias("match_type"))
-    rest = distinct.where("_code IS NOT NULL").join(small(cat), distinct["_code"] == cat["product_code"], "left_anti")
-    names = [r[0] for r in cat.orderBy("product_code").limit(BROADCAST_BYTES // 64 + 1).collect()]
-    if len(names) > BROADCAST_BYTES // 64:
-        raise ValueError("the catalog is too large for similarity matching; match by code classes first")
-    shared = codes.sparkSession.sparkContext.broadcast(names)
-
-    def run(batches):
-        known = dict.fromkeys(shared.value, "")
-        for pdf in batches:
-            got = [M.map_code(c, known) for c in pdf["_code"]]
-            yield pd.DataFrame({"_code": pdf["_code"], "matched_code": [g[0] for g in got], "match_type": [g[1] for g in got]})
-
-    fuzzy = rest.mapInPandas(run, "_code string, matched_code string, match_type string")
-    table = exact.unionByName(fuzzy)
+    cat = catalog.select("product_code").where("product_code IS NOT NULL").distinct()
+    row = ["_code", "matched_code", "match_type"]
+    left = codes.select(F.upper(F.trim(F.col(column))).alias("_code")).where("_code IS NOT NULL").distinct()
+    exact = left.join(small(cat), left["_code"] == cat["product_code"]).select("_code", F.col("product_code").alias("matched_code"), F.lit("exact").alias("match_type"))
+    left = left.join(small(cat), left["_code"] == cat["product_code"], "left_anti")
+    trailing = trailing_tier(left.select(F.col("_code").alias("code")), cat).where("match_type <> 'none'").select(F.col("code").alias("_code"), "matched_code", "match_type")
+    left = left.join(trailing, "_code", "left_anti")
+    forms = left.select("_code", F.posexplode(M.variant_list("_code")).alias("_i", "_v"))
+    spelt = forms.join(small(cat), forms["_v"] == cat["product_code"]).groupBy("_code").agg(F.min_by("product_code", "_i").alias("matched_code")).withColumn("match_type", F.lit("exact"))
+    forms = forms.join(spelt, "_code", "left_anti")
+    like = close_forms(forms, cat).withColumn("match_type", F.lit("fuzzy"))
+    placed = same_places(forms.join(like, "_code", "left_anti"), cat).withColumn("match_type", F.lit("fuzzy"))
+    table = exact
+    for tier in (trailing, spelt, like, placed):
+        table = table.unionByName(tier.select(*row))
     j = codes.join(table, F.upper(F.trim(codes[column])) == table["_code"], "left").drop("_code")
     return j.withColumn("match_type", F.coalesce("match_type", F.lit("unknown")))
 
 
+def close_forms(forms: DataFrame, cat: DataFrame) -> DataFrame:
+    """(_code, matched_code): the code most similar to any spelling (_code, _i, _v), among the five closest of each; the earlier spelling, then the closer code wins ties."""
+    pairs = similar_pairs(cat, forms.select("_v").distinct(), "product_code", "_v", lambda nx, ny: X.adaptive_cutoff(ny))
+    top = pairs.withColumn("_r", F.row_number().over(W.partitionBy("_v").orderBy(F.desc("ratio"), F.desc("product_code")))).where("_r <= 5")
+    scored = top.withColumn("_s", M.similarity("_v", "product_code"))  # the ratio isn't symmetric
+    return forms.join(scored, "_v").groupBy("_code").agg(F.min_by("product_code", F.struct(-F.col("_s"), F.col("_i"), F.col("_r"))).alias("matched_code"))
+
+
+def same_places(forms: DataFrame, cat: DataFrame, least: float = 0.85) -> DataFrame:
+    """(_code, matched_code): the code that has most letters in common with a spelling at equal places, at least two and 85 % of the longer one's; the earlier spelling, then the smaller code wins ties.
+
+    Lengths differ by one at most. Of k + 1 equal parts of two strings with at most k different places, one is the same in both, so the pairs meet on parts.
+    """
+
+    def parts(df: DataFrame, c: str) -> DataFrame:
+        n = df.select("*", F.explode(F.array(F.length(c), F.length(c) + 1)).alias("_n")).where(F.col("_n") * (1 - least) >= 1)
+        pieces = F.floor(F.col("_n") * (1 - least) + 1e-9).cast("int") + 1
+        k = n.select("*", pieces.alias("_k"), F.explode(F.sequence(F.lit(0), pieces - 1)).alias("_p"))
+        start = F.floor(F.col("_p") * F.col("_n") / F.col("_k")).cast("int")
+        end = F.floor((F.col("_p") + 1) * F.col("_n") / F.col("_k")).cast("int")
+        return k.withColumn("_part", F.substring(F.col(c), start + 1, end - start)).drop("_k")
+
+    j = parts(forms, "_v").join(parts(cat, "product_code"), ["_n", "_p", "_part"]).where(F.greatest(F.length("_v"), F.length("product_code")) == F.col("_n"))
+    pairs = j.select("_code", "_i", "_v", "product_code", "_n").distinct()
+    at = lambda c, i: F.substring(F.col(c), i, F.lit(1))
+    same = F.aggregate(F.sequence(F.lit(1), F.least(F.length("_v"), F.length("product_code"))), F.lit(0), lambda acc, i: acc + (at("_v", i) == at("product_code", i)).cast("int"))
+    good = pairs.withColumn("_m", same).where((F.col("_m") >= 2) & (F.col("_m") / F.col("_n") >= least))
+    return good.groupBy("_code").agg(F.min_by("product_code", F.struct(-(F.col("_m") / F.col("_n")), F.col("_i"), F.col("product_code"))).alias("matched_code"))
+
+
 def trailing_tier(codes: DataFrame, catalog: DataFrame) -> DataFrame:
     """The tier of codes with a trailing O or I alone, as joins: (code, matched_code, match_type)."""
     c = codes.select(F.upper(F.trim("code")).alias("code")).where(F.col("code").rlike("^.{3,}[OI]$")).distinct()
@@ -72,9 +101,7 @@ def match_descriptions(texts: DataFrame, catalog: DataFrame) -> DataFrame:
     parts = F.flatten(F.array(*[F.when(F.length("text") >= n, F.expr(f"transform(sequence(1, length(text) - {n - 1}), i -> substring(text, i, {n}))")).otherwise(F.array().cast("array<string>")) for n in sizes]))
     pieces = rest.select("text", F.explode(F.array_distinct(parts)).alias("_piece")) if sizes else rest.select("text", F.lit(None).cast("string").alias("_piece"))
     inside = pieces.join(small(cat), F.col("_piece") == F.col("product_code")).groupBy("text").agg(F.min_by("product_code", F.struct(-F.length("product_code"), F.col("product_code"))).alias("inside"))
-    n = F.length("text")
-    cutoff = F.when(n <= 3, 0.88).when(n <= 4, 0.82).when(n <= 6, 0.72).otherwise(0.65)  # as match.cutoff
-    by_likeness = similar_pairs(cat.where("name IS NOT NULL").groupBy("name").agg(F.max("product_code").alias("_like")), rest.join(inside, "text", "left_anti"), "name", "text", cutoff)
+    by_likeness = similar_pairs(cat.where("name IS NOT NULL").groupBy("name").agg(F.max("product_code").alias("_like")), rest.join(inside, "text", "left_anti"), "name", "text", lambda nx, ny: X.adaptive_cutoff(ny))
     like = by_likeness.groupBy("text").agg(F.max_by("_like", F.struct("ratio", "name")).alias("like"))
     out = j.join(inside, "text", "left").join(like, "text", "left")
     # a text that has a code or name of its own isn't among those of `inside` and `like`
@@ -170,25 +197,41 @@ def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
 
 
 def _letters(c: str):
-    """Each letter with how often it came before: the common elements of two such arrays are the common letters."""
+    """Each letter with how often it came before: the common elements of two such arrays are the common letters. In one order for all strings, repeated letters first."""
     at = F.split(F.col(c), "")
-    return F.transform(at, lambda x, i: F.concat(x, F.size(F.filter(F.slice(at, 1, i), lambda y: y == x)).cast("string")))
+    return F.array_sort(F.transform(at, lambda x, i: F.concat(F.lpad((F.lit(99999) - F.size(F.filter(F.slice(at, 1, i), lambda y: y == x))).cast("string"), 5, "0"), x)))
 
 
 def similar_pairs(a: DataFrame, b: DataFrame, x: str, y: str, cut) -> DataFrame:
-    """All pairs with similarity `ratio` of x and y at least `cut`.
+    """All pairs with similarity `ratio` of x and y at least cut(length of x, length of y).
 
-    2M/T is at most 2 min(|x|, |y|) / T and at most 2 (common letters) / T; pairs under the cut by these drop out before the comparison.
+    2M/T is at most 2 (common letters) / T, so a pair needs o = cut T / 2 common letters. Of n letters in an order that all
+    strings share, the first n - o + 1 must then have one in common with those of the partner: pairs meet on
+    (both lengths, such a letter), an equi-join that loses none. The bound on all letters is checked before the comparison.
+    Lengths that occur are collected, a few numbers.
     """
-    left = a.withColumns({"_nx": F.length(x), "_lx": _letters(x)})
-    right = b.withColumns({"_ny": F.length(y), "_ly": _letters(y)})
-    total = (F.col("_nx") + F.col("_ny")) * (cut - 1e-9)
-    pairs = left.crossJoin(right).where(2 * F.least("_nx", "_ny") >= total).where(2 * F.size(F.array_intersect("_lx", "_ly")) >= total)
-    return pairs.drop("_nx", "_ny", "_lx", "_ly").withColumn("ratio", M.similarity(x, y)).where(F.col("ratio") >= cut)
+    sizes = {c: sorted(r[0] for r in d.select(F.length(c)).distinct().collect() if r[0]) for d, c in ((a, x), (b, y))}
+
+    def keyed(d: DataFrame, c: str, other: str, first: bool) -> DataFrame:
+        lengths = F.array(*[F.lit(n) for n in sizes[other]]).cast("array<int>")
+        r = d.where(F.length(c) > 0).select("*", F.length(c).alias("_n"), _letters(c).alias("_l" + c), F.explode(lengths).alias("_o"))
+        nx, ny = ("_n", "_o") if first else ("_o", "_n")
+        need = F.greatest(F.ceil((F.col(nx) + F.col(ny)) * (cut(F.col(nx), F.col(ny)) - 1e-9) / 2), F.lit(1)).cast("int")
+        r = r.withColumn("_need", need).where(F.col("_need") <= F.least("_n", "_o"))
+        out = r.withColumn("_key", F.explode(F.slice("_l" + c, F.lit(1), F.col("_n") - F.col("_need") + 1))).withColumnsRenamed({nx: "_nx", ny: "_ny"})
+        return out if first else out.drop("_need")
+
+    left, right = keyed(a, x, y, True), keyed(b, y, x, False)
+    j = left.join(right, ["_nx", "_ny", "_key"]).where(F.size(F.array_intersect("_l" + x, "_l" + y)) >= F.col("_need"))
+    # a pair meets on each letter of both prefixes: the first one counts
+    px, py = F.slice("_l" + x, F.lit(1), F.col("_nx") - F.col("_need") + 1), F.slice("_l" + y, F.lit(1), F.col("_ny") - F.col("_need") + 1)
+    j = j.where(F.col("_key") == F.array_min(F.array_intersect(px, py)))
+    limit = cut(F.col("_nx"), F.col("_ny"))
+    return j.withColumn("ratio", M.similarity(x, y)).where(F.col("ratio") >= limit).drop("_nx", "_ny", "_key", "_need", "_l" + x, "_l" + y)
 
 
 def best_similar(codes: DataFrame, catalog: DataFrame, n: int = 1, cut: float = 0.65) -> DataFrame:
     """The n most similar catalog codes of each code; ties by the larger code."""
-    pairs = similar_pairs(codes.select("code").distinct(), catalog.select("product_code").distinct(), "code", "product_code", F.lit(cut))
+    pairs = similar_pairs(codes.select("code").distinct(), catalog.select("product_code").distinct(), "code", "product_code", lambda nx, ny: F.lit(cut))
     r = F.row_number().over(W.partitionBy("code").orderBy(F.desc("ratio"), F.desc("product_code")))
     return pairs.withColumn("_r", r).where(F.col("_r") <= n).drop("_r")

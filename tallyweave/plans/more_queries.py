@@ -13,9 +13,10 @@ from tallyweave.operators import catalog as C
 from tallyweave.operators import layout, learn, matching, metrics, usage, verify
 from tallyweave.operators import receipts as R
 from tallyweave.plans.fixtures import half_up
-from tallyweave.plans.queries import _DET, _FILES, _PAIRS, _PASS2, _detections, _files, query, r
+from tallyweave.plans.queries import _DET, _FILES, _PAIRS, _PASS2, _SQL, _detections, _files, query, r
 from tallyweave.sinks import writers
 from tallyweave.sources import readers
+from tallyweave.streaming import stateful
 
 _CLOUD = """cl AS (SELECT o_orderkey AS id, 'Store ' || o_custkey AS merchant, o_totalprice AS total FROM orders)"""
 
@@ -298,7 +299,12 @@ def str13_dash_fragment(t):
     return t.noisy.select("id", X.dash_quantity(F.concat(F.lit("-"), F.regexp_replace("text", " ", ""))).alias("q"))
 
 
-@query()
+@query(
+    """WITH l AS (SELECT p_partkey AS receipt_id, unnest(range(2)) AS part, string_split('P1 2 P' || (p_partkey % 90) || ' 3 | P7 1', '|') AS ps FROM part WHERE p_partkey < 200), w AS (SELECT receipt_id, CAST(part AS INTEGER) AS part, list_filter(string_split(ps[part + 1], ' '), lambda x: x <> '') AS ws FROM l),
+    x AS (SELECT receipt_id, part, i, ws[i] AS word, sum(CASE WHEN ws[i] IN (SELECT product_code FROM products) THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id, part ORDER BY i) AS n FROM w, range(1, 1 + len(ws)) r(i))
+    SELECT receipt_id, 1 AS line_no, part, CAST(greatest(n - 1, 0) AS INTEGER) AS piece, string_agg(word, ' ' ORDER BY i) AS text FROM x GROUP BY receipt_id, part, greatest(n - 1, 0)""",
+    "products",
+)
 def str15_split_lines(t):
     k = F.col("p_partkey")
     d = t.raw("part").where("p_partkey < 200").select(k.alias("receipt_id"), F.lit(1).alias("line_no"), F.concat(F.lit("P1 2 P"), k % 90, F.lit(" 3 | P7 1")).alias("text"))
@@ -457,3 +463,88 @@ def snk27_corrections(t):
 def snk27_labels(t):
     rows = writers.corrected_sample(t.items, _corrected(t))[0]
     return rows.withColumn("items", F.array_join(F.transform("items", lambda x: F.concat(x["code"], F.lit(":"), x["quantity"].cast("int").cast("string"))), ","))
+
+
+# ---- files as (file, content), message bodies and the health machine ------------------------------------------
+
+
+def _json_files(t, name, content):
+    return t.raw(name).select(F.concat(F.lit("f"), F.col(t.raw(name).columns[0]).cast("string")).alias("file"), content.alias("content"))
+
+
+@query("SELECT 'r' || p_partkey AS receipt_id, p_brand || '.jpg' AS image_file, CAST(p_size AS DOUBLE) AS total_quantity, p_brand IN (SELECT p_brand FROM part WHERE p_partkey <= 10) AS image_exists FROM part WHERE p_partkey % 4 > 0")
+def src7_label_files(t):
+    k = F.col("p_partkey")
+    good = F.to_json(F.struct(F.concat(F.lit("r"), k).alias("receipt_id"), F.concat("p_brand", F.lit(".jpg")).alias("image_file"), F.col("p_size").cast("double").alias("total_quantity")))
+    files = _json_files(t, "part", F.when(k % 4 == 0, F.concat(F.lit("{broken "), k)).otherwise(good))
+    listing = t.raw("part").where("p_partkey <= 10").select(F.concat(F.lit("/a/b/"), "p_brand", F.lit(".jpg")).alias("path"))
+    return readers.labels_of(files, listing).select("receipt_id", "image_file", "total_quantity", "image_exists")
+
+
+@query("SELECT CASE WHEN p_partkey % 5 > 0 THEN 's' || p_partkey END AS session, CASE WHEN p_partkey % 5 > 0 THEN p_size / 100.0e0 END AS f1, 'f' || p_partkey AS file FROM part")
+def src8_result_files(t):
+    k = F.col("p_partkey")
+    good = F.to_json(F.struct(F.concat(F.lit("s"), k).alias("session"), (F.col("p_size") / 100.0).alias("f1")))
+    return readers.results_of(_json_files(t, "part", F.when(k % 5 == 0, "[").otherwise(good))).select("session", "f1", "file")
+
+
+@query("SELECT strftime(ts, '%Y-%m-%d') AS day, CASE WHEN event_type = 'purchase' THEN 'prebuilt-receipt' ELSE 'prebuilt-read' END AS model, CAST(event_id % 3 + 1 AS INTEGER) AS pages, event_id % 2 = 0 AS success FROM events WHERE user_id % 10 > 0")
+def src9_usage_ledgers(t):
+    u = t.usage.join(t.raw("events").select(F.col("event_id").alias("call_id"), "user_id"), "call_id")
+    call = F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("timestamp"), "model", "pages", (F.col("call_id") % 2 == 0).alias("success"), F.lit(0.01).alias("cost"))
+    days = u.groupBy("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day")).agg(F.struct(F.collect_list(call).alias("calls")).alias("d"))
+    ledger = days.groupBy("user_id").agg(F.to_json(F.struct(F.map_from_entries(F.collect_list(F.struct("day", "d"))).alias("days"))).alias("content"))
+    files = ledger.select(F.concat(F.lit("u"), "user_id").alias("file"), F.when(F.col("user_id") % 10 == 0, "{").otherwise(F.col("content")).alias("content"))
+    return readers.usage_of(files).select("day", "model", "pages", "success")
+
+
+@query("SELECT 'ocr_char_subs' AS kind, 'a' || n_nationkey AS ch_from, n_name AS ch_to FROM nation WHERE n_nationkey % 4 > 0 UNION ALL SELECT 'handwriting_subs', 'h', n_name FROM nation WHERE n_nationkey % 4 > 0 AND n_nationkey % 3 = 0")
+def src10_rule_files(t):
+    k = F.col("n_nationkey")
+    hand = F.when(k % 3 == 0, F.create_map(F.lit("h"), F.col("n_name")))
+    body = F.to_json(F.struct(F.create_map(F.concat(F.lit("a"), k), F.col("n_name")).alias("ocr_char_subs"), hand.alias("handwriting_subs")))
+    return readers.rules_of(_json_files(t, "nation", F.when(k % 4 == 0, "no rules").otherwise(body)))
+
+
+@query("SELECT 'h' || event_id AS sha256, event_type AS result FROM events WHERE ts >= TIMESTAMP '2024-01-20 12:00:00' - INTERVAL 24 HOURS")
+def src11_cache_lines(t):
+    row = F.to_json(F.struct(F.concat(F.lit("h"), "event_id").alias("sha256"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("cached_at"), F.col("event_type").alias("result")))
+    lines = t.raw("events").select(row.alias("value")).union(t.spark.createDataFrame([("{",), ("",)], "value string"))
+    return readers.cache_of(lines, "2024-01-20 12:00:00").select("sha256", "result")
+
+
+@query("SELECT '/in/' || p_partkey || ['.jpg', '.txt', '.PNG', '', '.jpeg.bak', '.webp'][p_partkey % 6 + 1] AS path FROM part WHERE p_partkey % 6 IN (0, 2, 5)")
+def src12_picture_listing(t):
+    k = F.col("p_partkey")
+    ending = F.element_at(F.array(*[F.lit(x) for x in (".jpg", ".txt", ".PNG", "", ".jpeg.bak", ".webp")]), (k % 6 + 1).cast("int"))
+    return readers.listed_images(t.raw("part").select(F.concat(F.lit("/in/"), k, ending).alias("path")))
+
+
+@query("SELECT CASE event_id % 3 WHEN 0 THEN upper(event_type) WHEN 1 THEN 'ERROR' ELSE 'UNKNOWN' END AS level, CASE event_id % 3 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'plain ' || event_id ELSE 'odd ' || event_id END AS message, CASE WHEN event_id % 3 = 0 THEN CAST(200 + event_id % 300 AS INTEGER) END AS status FROM events")
+def src20_log_lines(t):
+    k = F.col("event_id")
+    j = F.to_json(F.struct(F.upper("event_type").alias("level"), F.concat(F.lit("m"), k).alias("message"), (F.lit(200) + k % 300).alias("status")))
+    line = F.when(k % 3 == 0, j).when(k % 3 == 1, F.concat(F.lit("2024-01-01 10:00:00,123 | ERROR | plain "), k)).otherwise(F.concat(F.lit("odd "), k))
+    return stateful.tail_logs(t.raw("events").select(line.alias("value"))).select("level", "message", "status")
+
+
+_EVAL = """n AS (SELECT seq, client_key, epoch(ts) AS sec, row_number() OVER w AS n, count(*) FILTER (status_code >= 500) OVER f AS e, count(*) OVER f AS k, list(latency_ms) OVER f AS l FROM requests WINDOW w AS (PARTITION BY client_key ORDER BY ts, seq), f AS (PARTITION BY client_key ORDER BY ts, seq ROWS 19 PRECEDING)),
+    e AS (SELECT seq, client_key, sec, n // 4 AS j, CASE WHEN e >= k * 0.3e0 OR list_sort(l)[least(CAST(floor(k * 0.95e0) AS INTEGER) + 1, k)] >= 25000 THEN 'critical' WHEN e >= k * 0.1e0 OR list_sort(l)[least(CAST(floor(k * 0.95e0) AS INTEGER) + 1, k)] >= 10000 THEN 'degraded' ELSE 'healthy' END AS target, k FROM n WHERE n % 4 = 0),
+    st AS (SELECT DISTINCT client_key, 0::BIGINT AS j, NULL::BIGINT AS seq, 'healthy' AS state, -1e18 AS changed FROM e UNION ALL SELECT e.client_key, e.j, e.seq, CASE WHEN e.k >= 5 AND e.sec - st.changed >= 40000 THEN e.target ELSE st.state END, CASE WHEN e.k >= 5 AND e.sec - st.changed >= 40000 AND e.target <> st.state THEN e.sec ELSE st.changed END FROM st JOIN e ON e.client_key = st.client_key AND e.j = st.j + 1)"""
+
+
+@query(f"WITH {_EVAL} SELECT seq, client_key, state FROM st WHERE j > 0", "requests")
+def stm2_health_machine(t):
+    return stateful.health_batch(t.requests, "client_key", every=4, frame=20, cooldown_s=40_000.0)
+
+
+_SQL["stm2_health_machine"] = _SQL["stm2_health_machine"].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("SELECT CASE WHEN event_id % 2 = 0 THEN 'firing' ELSE 'resolved' END AS status, event_type AS name, CASE WHEN event_id % 3 = 0 THEN 'none' ELSE 'high' END AS severity, 's' || event_id AS summary FROM events WHERE event_id % 5 > 0")
+def stm14_webhook_alerts(t):
+    k = F.col("event_id")
+    labels = F.when(k % 3 == 0, F.create_map(F.lit("alertname"), F.col("event_type"))).otherwise(F.create_map(F.lit("alertname"), F.col("event_type"), F.lit("severity"), F.lit("high")))
+    alert = F.struct(F.when(k % 4 != 0, F.when(k % 2 == 0, "firing").otherwise("resolved")).alias("status"), labels.alias("labels"), F.create_map(F.lit("summary"), F.concat(F.lit("s"), k)).alias("annotations"))
+    body = F.to_json(F.struct(F.lit("firing").alias("status"), F.array(alert).alias("alerts")))
+    return stateful.alerts(t.raw("events").select(F.when(k % 5 == 0, "{}").otherwise(body).alias("value"))).select("status", "name", "severity", "summary")

@@ -532,8 +532,8 @@ def join9_match_descriptions(t):
 @query()
 def join10_match_codes(t):
     k = F.col("p_partkey")
-    codes = t.raw("part").where("p_partkey < 300").select(F.when(k % 4 == 0, F.concat(F.lit("P"), k)).when(k % 4 == 1, F.concat(F.lit("PI"), k % 10, F.lit("O"))).when(k % 4 == 2, F.translate(F.concat(F.lit("P"), k), "01", "OI")).otherwise(F.concat(F.lit("Q"), k)).alias("code"))
-    return matching.match_codes(codes.distinct(), t.products.where("product_code < 'P3'"))
+    code = F.when(k % 40 == 3, F.concat(F.lit("Q"), k)).when(k % 4 == 1, F.concat(F.lit("PI"), k % 10, F.lit("O"))).when(k % 40 == 2, F.translate(F.concat(F.lit("P"), k), "01", "OI")).otherwise(F.concat(F.lit("P"), k))
+    return matching.match_codes(t.raw("part").select(code.alias("code")).distinct(), t.products)
 
 
 @query(
@@ -608,10 +608,18 @@ def join16_vote(t):
     return layout.vote(d, d.where("det_id % 5 <> 0").withColumn("text", F.when(F.col("det_id") % 4 == 1, F.concat("text", F.lit("Z"))).otherwise(F.col("text"))))
 
 
-@query()
+@query(
+    f"""WITH {_DET}, p AS (SELECT receipt_id, det_id, CASE WHEN det_id % 4 = 0 THEN text || ' x' WHEN det_id % 7 = 0 THEN text || 'zz' ELSE text END AS text, confidence FROM det), o AS (SELECT receipt_id, list(DISTINCT upper(trim(text))) AS ts FROM det WHERE det_id % 3 <> 0 GROUP BY receipt_id),
+    j AS (SELECT p.*, upper(trim(text)) AS u, list_filter(list_distinct(string_split(upper(trim(text)), ' ')), lambda x: x <> '') AS mine, coalesce(ts, []) AS ts FROM p LEFT JOIN o USING (receipt_id)),
+    k AS (SELECT *, CASE WHEN list_contains(ts, u) THEN 1.15e0 WHEN 2 * len(list_intersect(mine, flatten(list_transform(ts, lambda v: string_split(v, ' '))))) >= len(mine) AND len(mine) > 0 THEN 1 + 0.15e0 * len(list_intersect(mine, flatten(list_transform(ts, lambda v: string_split(v, ' '))))) / len(mine)
+        WHEN length(u) >= 4 AND len(list_filter(ts, lambda v: contains(v, u) OR (length(v) >= 4 AND contains(u, v)))) > 0 THEN 1.08e0 ELSE 1 END AS f FROM j)
+    SELECT receipt_id, CAST(det_id AS BIGINT) AS det_id, text, {r('least(1.0e0, confidence * f)', 4)} AS confidence FROM k""",
+    "items",
+)
 def join17_cross_verify(t):
-    d = _detections(t)
-    return layout.cross_verify(d, d.where("det_id % 3 <> 0"))
+    d, k = _detections(t), F.col("det_id")
+    text = F.when(k % 4 == 0, F.concat("text", F.lit(" x"))).when(k % 7 == 0, F.concat("text", F.lit("zz"))).otherwise(F.col("text"))
+    return layout.cross_verify(d.withColumn("text", text), d.where("det_id % 3 <> 0"))
 
 
 @query()
@@ -980,7 +988,7 @@ def srt3_catalog_by_name(t):
 
 @query()
 def srt5_similar_codes(t):
-    codes = t.raw("part").where("p_partkey < 60").select(F.concat(F.lit("P"), F.col("p_partkey"), F.lit("7")).alias("code"))
+    codes = t.raw("part").where("p_partkey % 20 = 7").select(F.concat(F.lit("P"), F.col("p_partkey"), F.lit("x")).alias("code"))
     return matching.best_similar(codes, t.products, n=2)
 
 
@@ -1189,14 +1197,29 @@ def mth4_verify_totals(t):
     return verify.verify_totals(*_totals(t))
 
 
-@query()
+_VALIDATE = f"""src AS (SELECT receipt_id, pos, product_code, CASE WHEN receipt_id % 11 = 0 THEN 0 ELSE quantity * CASE WHEN receipt_id % 13 = 0 THEN 4 ELSE 1 END END AS q, CASE WHEN receipt_id % 3 = 0 THEN 0 ELSE unit_price * CASE WHEN pos % 5 = 0 THEN 9 ELSE 1 END END AS p, line_total FROM items),
+    h AS (SELECT product_code, {r('avg(quantity)', 1)} AS av, max(quantity) AS mx FROM items GROUP BY product_code HAVING count(*) > 1),
+    m AS (SELECT s.*, c.unit_price AS cat, av, mx, count(*) OVER (PARTITION BY receipt_id, s.product_code) AS k, row_number() OVER (PARTITION BY receipt_id, s.product_code ORDER BY pos) AS nth FROM src s LEFT JOIN products c USING (product_code) LEFT JOIN h USING (product_code)),
+    w AS (SELECT *, q <= 0 AS zero, q > 45 AND p = 0 AS big, p > 0 AND cat > 0 AND (p / cat > 5 OR p / cat < 0.2e0) AS off, p > 0 AND line_total > 0 AND abs(q * p - line_total) > greatest(1, q * p * 0.01e0) AS bad, k > 1 AND nth = 1 AS twice, coalesce(av > 0 AND mx > 0 AND q > 3 * mx, false) AS odd, p = 0 AND coalesce(cat, 0) > 0 AS fill, CASE WHEN q <= 0 THEN 1 ELSE q END AS fq FROM m),
+    v AS (SELECT receipt_id, pos, product_code, CAST(fq AS DOUBLE) AS quantity, {r('CASE WHEN fill THEN cat ELSE p END', 4)} AS unit_price, {r('CASE WHEN fill THEN fq * cat ELSE line_total END', 2)} AS line_total,
+        concat_ws(',', CASE WHEN zero THEN 'high:zero_quantity' END, CASE WHEN big THEN 'medium:suspicious_quantity' END, CASE WHEN off THEN 'medium:price_deviation' END, CASE WHEN bad THEN 'medium:line_total_mismatch' END, CASE WHEN twice THEN 'low:duplicate_item' END, CASE WHEN odd THEN 'medium:quantity_anomaly' END) AS warnings, zero OR big OR off OR bad OR odd AS needs_review FROM w)"""
+
+
+def _to_validate(t):
+    k = F.col("receipt_id")
+    q = F.when(k % 11 == 0, 0.0).otherwise(F.col("quantity") * F.when(k % 13 == 0, 4).otherwise(1))
+    p = F.when(k % 3 == 0, 0.0).otherwise(F.col("unit_price") * F.when(F.col("pos") % 5 == 0, 9).otherwise(1))
+    return verify.validate(t.items.withColumns({"quantity": q, "unit_price": p}), t.products, learn.quantity_stats(t.items), max_reasonable=45.0)
+
+
+@query(f"WITH {_VALIDATE} SELECT * FROM v", "items", "products")
 def mth6_validate(t):
-    return verify.validate(t.items, t.products, learn.quantity_stats(t.items), max_reasonable=45.0)
+    return _to_validate(t)
 
 
-@query()
+@query(f"WITH {_VALIDATE}, e AS (SELECT receipt_id, unnest(CASE WHEN warnings = '' THEN ['none:'] ELSE string_split(warnings, ',') END) AS x FROM v) SELECT receipt_id, count(*) FILTER (x LIKE 'high:%') AS n_high, count(*) FILTER (x LIKE 'medium:%') AS n_medium, count(*) FILTER (x LIKE 'low:%') AS n_low, count(*) FILTER (x LIKE 'high:%') = 0 AS valid FROM e GROUP BY receipt_id", "items", "products")
 def mth6_warning_summary(t):
-    return verify.warning_summary(verify.validate(t.items, t.products, learn.quantity_stats(t.items), max_reasonable=45.0))
+    return verify.warning_summary(_to_validate(t))
 
 
 @query(

@@ -25,42 +25,79 @@ def catalog_csv(spark: SparkSession, path: str) -> DataFrame:
     return df
 
 
-def labels_json(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
-    """Label files, those that can't be read left out, in order of file; with a listing of pictures, whether each label's picture exists."""
-    df = spark.read.schema(LABELS).option("multiLine", True).option("mode", "DROPMALFORMED").json(path).where("receipt_id IS NOT NULL")
+def whole_files(spark: SparkSession, path: str) -> DataFrame:
+    """(file, content) of text files, each in one row."""
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.col("value").alias("content"))
+
+
+def labels_of(files: DataFrame, images: DataFrame | None = None) -> DataFrame:
+    """Labels in (file, content), those that can't be read left out, in order of picture; with a listing of pictures (path), whether each label's picture exists."""
+    df = files.select(F.from_json("content", LABELS).alias("d")).select("d.*").where("receipt_id IS NOT NULL")
     if images is not None:
         names = images.select(F.element_at(F.split("path", "/"), -1).alias("_n")).distinct()
         df = df.join(names, df["image_file"] == names["_n"], "left").withColumn("image_exists", F.col("_n").isNotNull()).drop("_n")
     return df.orderBy("image_file")
 
 
-def results_json(spark: SparkSession, path: str, schema: str = "session string, f1 double, precision double, recall double") -> DataFrame:
-    """Saved results, the newest file first."""
-    df = spark.read.schema(schema).option("multiLine", True).json(path)
-    return df.select("*", F.col("_metadata.file_name").alias("file")).orderBy(F.desc("file"))
+def labels_json(spark: SparkSession, path: str, images: DataFrame | None = None) -> DataFrame:
+    """labels_of the files of a folder."""
+    return labels_of(whole_files(spark, path), images)
 
 
-def usage_json(spark: SparkSession, path: str) -> DataFrame:
-    """Calls of a ledger file {"days": {day: {"calls": [...]}}}; a corrupt file gives no rows."""
+RESULTS = "session string, f1 double, precision double, recall double"
+
+
+def results_of(files: DataFrame, schema: str = RESULTS) -> DataFrame:
+    """Saved results in (file, content), the last file name first; unreadable ones have nulls."""
+    return files.select(F.from_json("content", schema).alias("d"), "file").select("d.*", "file").orderBy(F.desc("file"))
+
+
+def results_json(spark: SparkSession, path: str, schema: str = RESULTS) -> DataFrame:
+    return results_of(whole_files(spark, path), schema)
+
+
+def usage_of(files: DataFrame) -> DataFrame:
+    """Calls of ledgers {"days": {day: {"calls": [...]}}} in (file, content); a corrupt ledger gives no rows."""
     call = "array<struct<timestamp:timestamp,model:string,pages:int,success:boolean,cost:double>>"
-    df = spark.read.schema(f"days map<string, struct<calls:{call}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(path)
-    rows = df.select(F.explode("days").alias("day", "d")).select("day", F.inline("d.calls"))
+    df = files.select(F.from_json("content", f"days map<string, struct<calls:{call}>>").alias("d"))
+    rows = df.select(F.explode("d.days").alias("day", "d")).select("day", F.inline("d.calls"))
     return rows.withColumnRenamed("timestamp", "ts").select("day", *columns(USAGE))
 
 
+def usage_json(spark: SparkSession, path: str) -> DataFrame:
+    return usage_of(whole_files(spark, path))
+
+
+def rules_of(files: DataFrame) -> DataFrame:
+    """Learned rules as (kind, ch_from, ch_to) from (file, content) with three maps each; a missing or unreadable map has none."""
+    kinds = ("ocr_char_subs", "ocr_reverse_subs", "handwriting_subs")
+    df = files.select(F.from_json("content", ", ".join(f"{k} map<string,string>" for k in kinds)).alias("d"))
+    entry = lambda k: F.transform(F.coalesce(F.map_entries(f"d.{k}"), F.array().cast("array<struct<key:string,value:string>>")), lambda e: F.struct(F.lit(k).alias("kind"), e["key"].alias("ch_from"), e["value"].alias("ch_to")))
+    return df.select(F.inline(F.concat(*[entry(k) for k in kinds])))
+
+
 def rules_json(spark: SparkSession, path: str) -> DataFrame:
-    """Learned rules as (kind, ch_from, ch_to) from a file of three maps."""
-    df = spark.read.schema("ocr_char_subs map<string,string>, ocr_reverse_subs map<string,string>, handwriting_subs map<string,string>").option("multiLine", True).json(path)
-    parts = [df.select(F.lit(c).alias("kind"), F.explode(c).alias("ch_from", "ch_to")) for c in df.columns]
-    return parts[0].union(parts[1]).union(parts[2])
+    return rules_of(whole_files(spark, path))
 
 
-def cache_json(spark: SparkSession, path: str, as_of: str, ttl_hours: int = 24) -> DataFrame:
-    """Cached results whose age at as_of is within the time to live."""
-    df = spark.read.schema("sha256 string, cached_at timestamp, result string").json(path)
+def cache_of(lines: DataFrame, as_of: str, ttl_hours: int = 24) -> DataFrame:
+    """Cached results, a line (value) each, whose age at as_of is within the time to live."""
+    df = lines.select(F.from_json("value", "sha256 string, cached_at timestamp, result string").alias("d")).select("d.*")
     return df.where(F.col("cached_at") >= F.to_timestamp(F.lit(as_of)) - F.make_interval(hours=F.lit(ttl_hours)))
 
 
+def cache_json(spark: SparkSession, path: str, as_of: str, ttl_hours: int = 24) -> DataFrame:
+    return cache_of(spark.read.text(path), as_of, ttl_hours)
+
+
+IMAGE_NAME = "(?i)[.](jpg|jpeg|png|bmp|tif|tiff|webp)$"
+
+
+def listed_images(listing: DataFrame) -> DataFrame:
+    """Rows of a listing (path) that name pictures, in order of path."""
+    return listing.where(F.col("path").rlike(IMAGE_NAME)).orderBy("path")
+
+
 def images(spark: SparkSession, folder: str) -> DataFrame:
     """Pictures of a folder by extension: path, time, length, content."""
     return spark.read.format("binaryFile").option("pathGlobFilter", IMAGE_GLOB).load(folder)

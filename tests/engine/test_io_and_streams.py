@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -218,3 +219,55 @@ def test_batches_cancelled_forgotten_and_capped(spark):
     assert [r.batch_id for r in metrics.batch_states(files, off, "2024-01-01 12:30:00", newest=2).collect()] == ["d", "c"]
     p = {r.batch_id: (r.skipped, r.pct) for r in metrics.progress(files, off).collect()}
     assert p["a"] == (1, 100.0) and p["c"] == (0, 0.0)
+
+
+def test_table_functions(spark):
+    from tallyweave.functions import match as M
+
+    M.register(spark)
+    got = spark.sql("SELECT * FROM align_strings('AB', 'AXB')").collect()
+    assert [(r.place, r.a, r.b) for r in got] == [(0, "A", "A"), (1, "-", "X"), (2, "B", "B")]
+    spark.createDataFrame([(1, "AB1 2 cd2 3 | x GH4 1"), (2, None)], "id int, text string").createOrReplaceTempView("some_lines")
+    got = spark.sql("SELECT id, s.* FROM some_lines, LATERAL split_codes(text, array('AB1', 'CD2', 'GH4')) s").collect()
+    assert [tuple(r) for r in got] == [(1, 0, 0, "AB1 2"), (1, 0, 1, "cd2 3"), (1, 1, 0, "x GH4 1")]
+    assert spark.sql("SELECT similarity('AB', 'AB') AS s").head().s == 1.0
+
+
+def test_cancelled_batches_as_a_stream(spark, tmp_path):
+    schema = "batch_id string, ts timestamp, n_files int, status string"
+    rows = [("a", 0, 4, "done"), ("a", 1, 4, "failed"), ("a", 2, 4, "cancelled"), ("a", 3, 4, "done"), ("b", 0, 2, "done"), ("c", 0, 1, "failed"), ("d", 0, 3, "queued")]
+    spark.createDataFrame(rows, "batch_id string, m int, n_files int, status string").selectExpr("batch_id", "timestamp'2024-01-01 00:00:00' + make_interval(0,0,0,0,0,m) AS ts", "n_files", "status").write.parquet(str(tmp_path / "in"))
+    out = S.progress_events(S.batch_life(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))))
+    q = out.writeStream.format("memory").queryName("life").outputMode("update").trigger(once=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    assert q.awaitTermination(120)
+    got = {r.batch_id: (r.event, json.loads(r.payload)) for r in spark.table("life").collect()}
+    assert got["a"][0] == "done" and (got["a"][1]["state"], got["a"][1]["processed"], got["a"][1]["skipped"], got["a"][1]["percent"]) == ("cancelled", 2, 2, 100.0)
+    assert (got["b"][0], got["b"][1]["state"], got["b"][1]["percent"]) == ("progress", "processing", 50.0)
+    assert got["c"][1]["state"] == "failed" and got["d"][1]["state"] == "pending"
+
+
+def test_heartbeats_run(spark, tmp_path):
+    q = S.heartbeats(spark, 1).writeStream.format("memory").queryName("beats").option("checkpointLocation", str(tmp_path)).start()
+    for _ in range(60):
+        if spark.table("beats").count():
+            break
+        time.sleep(1)
+    q.stop()
+    assert {r.event for r in spark.table("beats").collect()} == {"heartbeat"}
+
+
+def test_alerts_of_bodies(spark):
+    body = {"status": "firing", "alerts": [{"labels": {"alertname": "Slow", "severity": "high"}, "annotations": {"summary": "s"}, "startsAt": "2024-01-01T00:00:00Z"}, {"status": "resolved", "labels": {}}]}
+    df = spark.createDataFrame([(json.dumps(body),), ("{}",), ("not json",), (None,)], "value string")
+    assert [(r.status, r["name"], r.severity, r.summary) for r in S.alerts(df).collect()] == [("firing", "Slow", "high", "s"), ("resolved", "unknown", "none", None)]
+
+
+def test_health_counts_the_limits():
+    window, seen, changed, state = [], 0, -1e18, "healthy"
+    for k in range(10):
+        window, seen, changed, state = S.health_step(window, seen, changed, state, float(k), 500 if k < 3 else 200, 1.0)
+    assert state == "critical"
+    window, seen, changed, state = [], 0, -1e18, "healthy"
+    for k in range(10):
+        window, seen, changed, state = S.health_step(window, seen, changed, state, float(k), 200, 10_000.0)
+    assert state == "degraded"

@@ -24,7 +24,7 @@ def test_best_similar_against_brute_force(spark):
 
 
 def test_split_lines_with_a_large_catalog(spark, monkeypatch):
-    monkeypatch.setattr(matching, "BROADCAST_BYTES", 64)  # formerly one code
+    monkeypatch.setattr(matching, "small", lambda df: df)
     lines = spark.createDataFrame([(1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (2, 1, "one two AB1"), (3, 1, " \t |"), (4, 1, None)], "receipt_id long, line_no long, text string")
     got = sorted(tuple(r) for r in matching.split_lines(lines, _catalog(spark, [(c, "") for c in ("AB1", "CD2", "EF3", "GH4")])).collect())
     assert got == sorted([(1, 1, 0, 0, "AB1 2"), (1, 1, 0, 1, "cd2 3 x"), (1, 1, 0, 2, "EF3"), (1, 1, 1, 0, "GH4 1")] * 2 + [(2, 1, 0, 0, "one two AB1")])
@@ -36,3 +36,21 @@ def test_descriptions_by_contained_code_and_similar_name(spark):
     got = {tuple(r) for r in matching.match_descriptions(spark.createDataFrame(texts, "id long, text string"), catalog).collect()}
     none = {(k, None, "unmatched") for k in (5, 7, 8)}
     assert got == {(1, "AB1", "exact"), (2, "AB12", "contains"), (3, "AB12", "contains"), (4, "ZZ9", "fuzzy"), (6, "AB12", "fuzzy")} | none
+
+
+def test_match_codes_against_the_function(spark):
+    from tallyweave.functions import match as M
+
+    rng = random.Random(11)
+    catalog = sorted({"".join(rng.choices("ABT10", k=rng.randint(3, 9))) for _ in range(70)})
+    codes = {"".join(rng.choices("ABT1O0I8", k=rng.randint(2, 9))) for _ in range(90)} | {c[:-1] + "Z" for c in catalog[:20]} | {c + "O" for c in catalog[:10]} | {"", "a"}
+    got = {r["code"]: (r["matched_code"], r["match_type"]) for r in matching.match_codes(spark.createDataFrame([(c,) for c in [*codes, None]], "code string"), _catalog(spark, [(c, "") for c in catalog])).collect()}
+    known = dict.fromkeys(catalog, "")
+    assert got == {c: M.map_code(c, known) for c in codes} | {None: (None, "unknown")}
+    assert {"exact", "fuzzy", "unknown"} <= {v[1] for v in got.values()}
+
+
+def test_same_places_needs_no_similarity(spark):
+    forms = spark.createDataFrame([("c", 0, "ABCDEFGH"), ("d", 0, "ABCDEFG"), ("e", 0, "ABCDEF")], "_code string, _i int, _v string")
+    cat = spark.createDataFrame([("ABCDEFGX",), ("ABCDEF",), ("ZZCDEFGH",)], "product_code string")
+    assert {tuple(r) for r in matching.same_places(forms, cat).collect()} == {("c", "ABCDEFGX"), ("d", "ABCDEFGX")}  # 7 of 8; the spelling of e is too short for another place
