@@ -170,9 +170,14 @@ PRICED = f"^(?:[0-9]{{1,2}} +)?({WORD_CODE}) +{NUMBER} *[@x]? *{NUMBER} *=? *{NU
 
 def parse_priced(c: Column) -> Column:
     """struct(code, quantity, rate, amount) of a four-column line whose amount is within 15 % of quantity times rate, else null."""
-    q, r, a = (F.regexp_extract(c, PRICED, k).try_cast("double") for k in (2, 3, 4))
-    good = c.rlike(PRICED) & (F.abs(a - q * r) / F.greatest(q * r, F.lit(1.0)) < 0.15)
-    return F.when(good, F.struct(F.upper(F.regexp_extract(c, PRICED, 1)).alias("code"), q.alias("quantity"), r.alias("rate"), a.alias("amount")))
+    number = lambda k: F.regexp_extract(c, PRICED, k).try_cast("double")
+    groups = F.struct(F.upper(F.regexp_extract(c, PRICED, 1)).alias("code"), number(2).alias("quantity"), number(3).alias("rate"), number(4).alias("amount"))
+
+    def checked(g: Column) -> Column:
+        due = g["quantity"] * g["rate"]
+        return F.when(F.abs(g["amount"] - due) / F.greatest(due, F.lit(1.0)) < 0.15, g)
+
+    return F.transform(F.array(groups), checked)[0]  # every group is extracted once
 
 
 def infer_quantity(rate: Column, amount: Column) -> Column:

@@ -162,14 +162,14 @@ def parse_items(lines: DataFrame, catalog: DataFrame, column: str = "text", code
 
 def parse_lines(lines: DataFrame, code: str = X.CODE) -> DataFrame:
     """Items of text lines: four columns first, then two; skipped, total and unreadable lines give nothing. Codes have the given form."""
-    c = X.glue_numbers(X.clean(F.col("text")))
-    d = lines.withColumn("_c", c).where(~X.is_skipped(F.col("text")) & ~X.is_total(F.col("text")))
-    d = d.withColumn("_p", X.parse_priced(F.col("_c"))).withColumn("_i", F.when(F.col("_p").isNull(), X.parse_item(F.col("_c"), code)))
-    out = d.select(
+    d = lines.where(~X.is_skipped(F.col("text")) & ~X.is_total(F.col("text")))
+    # one generated row a line: a filter on the result isn't pushed below, where it would repeat the parsing
+    parsed = F.transform(F.transform(F.array(X.clean(F.col("text"))), X.glue_numbers), lambda c: F.struct(X.parse_priced(c).alias("_p"), X.parse_item(c, code).alias("_i")))
+    d = d.select("receipt_id", "line_no", "confidence", F.inline_outer(parsed))
+    return d.where("_p IS NOT NULL OR _i IS NOT NULL").select(
         "receipt_id", F.col("line_no").alias("pos"), F.coalesce("_p.code", "_i.code").alias("product_code"), F.coalesce("_p.quantity", "_i.quantity").alias("quantity"),
         F.coalesce("_p.rate", F.lit(0.0)).alias("unit_price"), F.coalesce("_p.amount", F.lit(0.0)).alias("line_total"), "confidence",
     )
-    return out.where("product_code IS NOT NULL")
 
 
 def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
