@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from difflib import SequenceMatcher, get_close_matches
 
 import pandas as pd
@@ -119,22 +120,18 @@ class Alignment:
 
 
 class CodeLines:
-    """Rows (part, piece, text) of a line divided at pipes and before each code but the first, for a list of codes."""
+    """Rows (part, piece, text) of a line divided at strokes and before each code but the first, with a number right before it, for a list of codes."""
 
     def eval(self, text: str, codes: list):
-        known = set(codes or ())
+        known = {c.upper() for c in codes or ()}
         for part, chunk in enumerate((text or "").split("|")):
-            pieces: list[list[str]] = [[]]
-            seen = False
-            for word in chunk.split():
-                if word.upper() in known:
-                    if seen:
-                        pieces.append([])
-                    seen = True
-                pieces[-1].append(word)
-            for k, words in enumerate(pieces):
-                if words:
-                    yield part, k, " ".join(words)
+            spans = [m.span() for m in re.finditer(r"[A-Za-z0-9]+", chunk) if m.group().upper() in known]
+            cuts = [0]
+            for (_, end), (start, _) in zip(spans, spans[1:], strict=False):
+                cuts.append(end + re.search(r"[ \t]*[0-9]*[ \t]*$", chunk[end:start]).start())
+            for k, piece in enumerate(x.strip() for x in (chunk[a:b] for a, b in zip(cuts, [*cuts[1:], len(chunk)], strict=True))):
+                if piece:
+                    yield part, k, piece
 
 
 def register(spark) -> None:

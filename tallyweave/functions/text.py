@@ -9,23 +9,30 @@ from pyspark.sql import functions as F
 CODE = "[A-Za-z]{3,6}|[A-Za-z]{2,4}[A-Za-z0-9]{1,3}"
 #: Code-like words in general; catalogs may have other codes than CODE describes.
 WORD_CODE = "[A-Za-z]{1,4}[A-Za-z0-9]{1,6}"
-TOTAL_WORD = "t[o0][tl]?[ta][li1d]"
-SEP = "[ :=._-]*"
+TOTAL_WORD = "(?:tota[li1]|t0tal|totd|toal|tdal|tetal)"
+QTY_WORD = "(?:quantity|qty|qtv|qly|qiy|qtt|qtyt)"
+GRAND_WORD = "(?:gra[nm]d|grr?amd|grrand)"
+SEP = "[\\s:=_.-]*"
 NUMBER = "([0-9]+(?:\\.[0-9]+)?)"
-HEADER = (
-    "(?i)^[ ]*$|^.$|^[0-9]{1,2}$|^[0-9]{1,2}[/.-][0-9]{1,2}[/.-][0-9]{2,4}$|^[0-9]{1,2}:[0-9]{2}|^[#=_*-]{3,}$|date|invoice|thank|signature|cash|prepared by"
-    "|^(item|product|code|name|quantity|qty|amount|rate|price|unit|sr[.]? *no|s[.]? *no)( |$)|^(store|shop|mart|bill|paid|receipt)$"
-)
-#: Total patterns from the most to the least specific.
-TOTALS = [
-    f"(?i){TOTAL_WORD}{SEP}(?:qty|quantity|qtv|qly){SEP}{NUMBER}",
-    f"(?i)gra[nm]d{SEP}{TOTAL_WORD}{SEP}{NUMBER}",
-    f"(?i)sub{SEP}{TOTAL_WORD}{SEP}{NUMBER}",
-    f"(?i){TOTAL_WORD}[ :=_-]+{NUMBER}",
-    f"(?i)sum[ :=_-]+{NUMBER}",
-    f"(?i){TOTAL_WORD}.*(?:qty|quantity).*?{NUMBER} *$",
-]
-GRAND = [f"(?i)gra[nm]d{SEP}{TOTAL_WORD}[^0-9]*{NUMBER}", f"(?i){TOTAL_WORD}{SEP}(?:amount|amt)[^0-9]*{NUMBER}", f"(?i)(?:bill|net){SEP}{TOTAL_WORD}[^0-9]*{NUMBER}"]
+_OPEN = "([0-9]+[.]?[0-9]*)"
+#: Words of column headers, and what else makes a line a header, a footer or noise.
+_COLUMN = "(?:item\\s*code|s[.]?\\s*no|quantity|amount|price|code|item|rate|unit|qty)"
+HEADER = "(?i)" + "|".join(
+    [
+        "^\\s*$", "^\\s*[^\\p{L}\\p{N}\\s]\\s*$", "^\\s*[0-9]{1,2}\\s*$", "^[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}$", "^[0-9]{1,2}:[0-9]{2}", "^[*_=#-]{3,}$",
+        "invoice|date|time|receipt\\s*#", "change|cash|sign|thank", "^(?:qty|quantity|name|code|product|item|sr[.]?\\s*no)", "^lte[a-z]*$", "^(?:unit|price|rate|amount|paid|bill|mart|shop|store|firma)$",
+        "^(?:qry|qly|qtv|qty|qix|qtx)$", "[(]\\s*(?:only|number|capitals|block)", "^\\s*s[.]?\\s*no\\b", "^\\s*(?:unit|amt|price|rate|amount|receipt\\s*#?)\\s*$", "prepared\\s*by|total\\s*items", f"^\\s*{_COLUMN}(?:\\s+{_COLUMN})+",
+    ]
+)
+#: Remains of a quantity mark that look like a code.
+MARK_LIKE = "^\\s*[IlOo|1][qQtTfF0-9][qQtTfF0-9.]*\\s*$"
+TOTAL_LINE = "(?i)tota[li1]|t0tal|totd|totol|toial|tatal|toal|tdal|tetal|sum"
+NOT_TOTAL = "(?i)(?:total|totd)\\s*(?:items|count|no|number|products|entries)"
+#: Total patterns from the most to the least specific, and what is tried last.
+TOTALS = [f"(?i){p}" for p in (f"{TOTAL_WORD}{SEP}{QTY_WORD}{SEP}{_OPEN}", f"{GRAND_WORD}{SEP}{TOTAL_WORD}{SEP}{_OPEN}", f"sub{SEP}total{SEP}{_OPEN}", f"{TOTAL_WORD}[\\s:=_-]+{_OPEN}", f"sum[\\s:=_-]+{_OPEN}", f"{TOTAL_WORD}.*?{QTY_WORD}.*?{_OPEN}\\s*$")]
+TOTAL_LAST = f"(?i)(?:tota[li1]|t0tal|totd|sum)\\s*(?:quantity|qty|qtv|qly)?[\\s:=_.-]*{_OPEN}"
+GRAND = [f"(?i){p}{SEP}{_OPEN}" for p in (f"{GRAND_WORD}{SEP}{TOTAL_WORD}", f"{TOTAL_WORD}{SEP}am(?:oun)?t", f"bill{SEP}{TOTAL_WORD}", f"net{SEP}{TOTAL_WORD}")]
+GRAND_LINE = f"(?i){GRAND_WORD}{SEP}{TOTAL_WORD}|{TOTAL_WORD}{SEP}am(?:oun)?t|bill{SEP}{TOTAL_WORD}|net{SEP}{TOTAL_WORD}"
 #: A number whose first digit was read as a letter or a stroke.
 MISREAD = "([IlOo|!][0-9IlOo|!]{0,2})"
 #: Words that are quantity marks or units, not codes.
@@ -49,11 +56,10 @@ def extract(c: Column, pattern: str, group: int = 1) -> Column:
 
 
 def clean(c: Column) -> Column:
-    """Text without a leading line number, quantity suffixes and noise, with single blanks."""
-    t = F.regexp_replace(c, "^ *[0-9]{1,2} *[.):] *", "")
-    t = F.regexp_replace(t, "(?i)([0-9]) *(pcs|qt[sy]?|nos|quantity)\\b[.]?", "$1")
-    t = F.regexp_replace(t, "[\\[\\]{}<>~`^|]", " ")
-    return F.trim(F.regexp_replace(t, " +", " "))
+    """Text without a leading line number, quantity suffixes and noise signs, with single blanks. Strokes stay: they may be letters, or divide items."""
+    t = F.regexp_replace(c, "^\\s*[0-9]{1,2}\\s*[.):\u2013\u2014-]\\s*", "")
+    t = F.regexp_replace(F.translate(t, "{}[]&$#_=;", ""), "(?i)([0-9]+[.]?[0-9]*)\\s*(?:qt[sy]?[.]?|quantity)", "$1")
+    return F.trim(F.regexp_replace(t, "\\s+", " "))
 
 
 def letters(c: Column) -> Column:
@@ -87,18 +93,19 @@ def dash_quantity(c: Column) -> Column:
 
 
 def is_skipped(c: Column) -> Column:
-    """Blank, single signs, bare numbers, headers and footers, unless it is a total line."""
-    return c.rlike(HEADER) & ~is_total(c)
+    """Blank, single signs, bare numbers, remains of quantity marks, headers, footers and totals: lines without an item."""
+    return c.isNull() | c.rlike(HEADER) | c.rlike(MARK_LIKE) | is_total(c) | c.rlike(GRAND_LINE)
 
 
 def is_total(c: Column) -> Column:
-    return c.rlike(f"(?i){TOTAL_WORD}|^ *sum\\b") & ~c.rlike("(?i)total *items")
+    """A line with a total word, unless it counts items."""
+    return c.rlike(TOTAL_LINE) & ~c.rlike(NOT_TOTAL)
 
 
 def total_value(c: Column) -> Column:
     """Value by the first pattern that gives one in (0, 99999]."""
     tries = []
-    for p in TOTALS:
+    for p in [*TOTALS, TOTAL_LAST]:
         v = extract(c, p).try_cast("double")
         tries.append(F.when((v > 0) & (v <= 99999), v))
     return F.coalesce(*tries)
@@ -106,11 +113,13 @@ def total_value(c: Column) -> Column:
 
 def total_rank(c: Column) -> Column:
     """Index of the first total pattern that matches, null if none."""
-    return F.coalesce(*[F.when(c.rlike(p), F.lit(k)) for k, p in enumerate(TOTALS)])
+    return F.coalesce(*[F.when(c.rlike(p), F.lit(k)) for k, p in enumerate([*TOTALS, TOTAL_LAST])])
 
 
 def grand_total(c: Column) -> Column:
-    return F.coalesce(*[extract(c, p).try_cast("double") for p in GRAND])
+    """Amount of a grand total line by the first pattern that matches, if it is over 0."""
+    v = F.coalesce(*[extract(c, p).try_cast("double") for p in GRAND])
+    return F.when(v > 0, v)
 
 
 def is_code_like(c: Column) -> Column:
@@ -165,31 +174,37 @@ def parse_item(c: Column, code: str = CODE) -> Column:
     return F.transform(F.array(parse_raw(c, code)), lambda p: F.when(p.isNotNull(), F.struct(p["code"].alias("code"), sane_item_quantity(p["quantity"]).alias("quantity"))))[0]
 
 
-PRICED = f"^(?:[0-9]{{1,2}} +)?({WORD_CODE}) +{NUMBER} *[@x]? *{NUMBER} *=? *{NUMBER} *$"
+def parse_priced(c: Column, code: str = "[A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6}") -> Column:
+    """struct(code, quantity, rate, amount) of a four-column line, else null.
 
+    Columns stand apart, or a sign for times before the rate and one for the sum before the amount. Rate and amount are 1 at least, the quantity is in
+    1..999, and the amount is within 15 % of quantity times rate; the first form that fits counts.
+    """
+    n = "([0-9]+[.]?[0-9]*)"
+    forms = [f"(?i)({code})\\s+{n}\\s+{n}\\s+{n}", f"(?i)({code})\\s+{n}\\s*[@x\u00d7]\\s*{n}\\s*=?\\s*{n}"]
+    number = lambda p, k: F.regexp_extract(c, p, k).try_cast("double")
+    found = F.array(*[F.struct(F.upper(F.regexp_extract(c, p, 1)).alias("code"), number(p, 2).alias("quantity"), number(p, 3).alias("rate"), number(p, 4).alias("amount")) for p in forms])
 
-def parse_priced(c: Column) -> Column:
-    """struct(code, quantity, rate, amount) of a four-column line whose amount is within 15 % of quantity times rate, else null."""
-    number = lambda k: F.regexp_extract(c, PRICED, k).try_cast("double")
-    groups = F.struct(F.upper(F.regexp_extract(c, PRICED, 1)).alias("code"), number(2).alias("quantity"), number(3).alias("rate"), number(4).alias("amount"))
-
-    def checked(g: Column) -> Column:
+    def fits(g: Column) -> Column:
         due = g["quantity"] * g["rate"]
-        return F.when(F.abs(g["amount"] - due) / F.greatest(due, F.lit(1.0)) < 0.15, g)
+        return (g["rate"] >= 1) & (g["amount"] >= 1) & g["quantity"].between(1, 999) & (F.abs(g["amount"] - due) / F.greatest(due, F.lit(1.0)) < 0.15)
 
-    return F.transform(F.array(groups), checked)[0]  # every group is extracted once
+    one = lambda g: F.struct(g["code"].alias("code"), F.bround(g["quantity"], 1).alias("quantity"), g["rate"].alias("rate"), g["amount"].alias("amount"))
+    return F.get(F.transform(F.filter(found, fits), one), F.lit(0))  # every group is extracted once
 
 
 def infer_quantity(rate: Column, amount: Column) -> Column:
-    """Whole quantity that explains amount / rate within 0.05, else null."""
+    """Whole quantity in 1..999 that explains amount / rate to within 0.05, where the rate is 10 at least and at most the amount; else null."""
     q = F.try_divide(amount, rate)
-    return F.when((F.abs(q - F.rint(q)) <= 0.05) & (F.rint(q) >= 1), F.rint(q))
+    return F.when((rate >= 10) & (amount >= rate) & q.between(0.8, 999) & (F.abs(q - F.rint(q)) < 0.05), F.rint(q))
 
 
-def glue_numbers(c: Column) -> Column:
-    """Numbers that a blank tore apart ("180 0"), glued twice, if there are at least four numbers."""
-    once = lambda x: F.regexp_replace(x, "([0-9]{2,}) (0{1,2})( |$)", "$1$2$3")
-    return F.when(F.regexp_count(c, F.lit("[0-9]+")) >= 4, once(once(c))).otherwise(c)
+def glue_numbers(c: Column, code: str = "[A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6}") -> Column:
+    """Numbers after a leading code that a blank tore apart ("1 180 0 3600"), glued twice: two digits or more and one or two that follow."""
+    lead = f"(?is)^(\\s*(?:{code})\\s+)(.*)$"
+    once = lambda x: F.regexp_replace(x, "([0-9]{2,})\\s([0-9]{1,2})(?=\\s|$)", "$1$2")
+    tail = F.regexp_extract(c, lead, 2)
+    return F.when(c.rlike(lead), F.concat(F.regexp_extract(c, lead, 1), once(once(tail)))).otherwise(c)
 
 
 def adaptive_cutoff(n: Column) -> Column:
@@ -205,9 +220,28 @@ def positional_overlap(a: Column, b: Column) -> Column:
     return F.when(F.contains(a, b) | F.contains(b, a), F.greatest(share, F.lit(0.7))).otherwise(share)
 
 
+#: Total words as they are read, in the order in which they are looked for.
+TOTAL_VARIANTS = "total|totai|tota1|t0tal|totol|toial|to7al|tatal|tolal|totel|totd|qtyt|qiy|qtt"
+
+
 def recover_digits(c: Column) -> Column:
-    """Number after a total keyword whose digits were read as letters ("Total Qty II" -> 11)."""
-    return F.regexp_extract(F.translate(F.regexp_extract(c, "(?i)(?:qty|quantity|total)[ :._-]+([IilOoSsBZ|!0-9]{1,4}) *$", 1), "IilOoSsBZ|!", "11100558211"), "^[0-9]+$", 0).try_cast("int")
+    """Number after the first total word, as it stands or, within (0, 99999], with letters read for digits ("Total Qty II" -> 11)."""
+    after = F.regexp_extract(c, f"(?is)(?:{TOTAL_VARIANTS})(.*)$", 1)
+    bare = F.trim(F.regexp_replace(F.regexp_replace(after, "^[\\s:=-]+|[\\s:=-]+$", ""), "(?i)^(?:quantity|qty|qtv|qly)[\\s:=-]*", ""))
+    digits = F.trim(F.regexp_replace(F.translate(bare, "OoIl|!ZzSsGgBTA", "001111225566874"), "[^0-9 .]", ""))
+    plain = F.when(bare.rlike("^[0-9]+[.]?[0-9]*$"), bare.try_cast("double"))
+    misread = F.when(digits.rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), digits.try_cast("double"))
+    return F.coalesce(plain, F.when((misread > 0) & (misread <= 99999), misread))
+
+
+def is_noise_fragment(c: Column) -> Column:
+    """Fragments without information, such as "[." or "%."."""
+    return F.trim(c).rlike("^[\\[(%]?[.]?$|^[\\[(%]\\s*[.]\\s*$")
+
+
+def only_header_words(c: Column, headers: Column) -> Column:
+    """Whether all words of a text are among the headers."""
+    return F.size(F.array_except(F.filter(F.split(c, " "), lambda x: x != ""), headers)) == 0
 
 
 def stripped_number(raw: Column) -> Column:

@@ -65,3 +65,10 @@ def retain(rows: DataFrame, ts: str, as_of: str, hours: float, newest: int = 0)
     t = F.to_timestamp(F.lit(as_of))
     out = rows.where(F.col(ts) >= t - F.make_dt_interval(secs=F.lit(hours * 3600)))
     return out.orderBy(F.desc(ts), rows.columns[0]).limit(newest) if newest else out
+
+
+def same_within(rows: DataFrame, key: str, order: str, window: float) -> DataFrame:
+    """(id, earlier): rows (id, key, order) with each earlier one of the same key at most `window` before; the order is part of the join's key, in steps of the window."""
+    d = rows.select("id", F.col(key).alias("_k"), F.col(order).alias("_o"), F.floor(F.col(order) / window).alias("_s"))
+    a = d.select(F.col("id").alias("earlier"), "_k", F.col("_o").alias("_e"), F.explode(F.array("_s", F.col("_s") + 1)).alias("_s"))
+    return d.join(a, ["_k", "_s"]).where((F.col("_e") < F.col("_o")) & (F.col("_o") - F.col("_e") <= window)).select("id", "earlier")

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from tallyweave.functions.text import TOTAL_VARIANTS, is_noise_fragment, recover_digits
 from tallyweave.operators.grouped import by_group, by_group_lists
+from tallyweave.operators.catalog import small
 from tallyweave.plans.fixtures import half_up
 
 
@@ -35,9 +37,64 @@ def gap_lines(detections: DataFrame, floor: float = 15.0, share: float = 0.03) -
     return d.withColumn("line_no", (F.sum("_new").over(order.rowsBetween(W.unboundedPreceding, 0)) + 1).cast("int")).drop("_new")
 
 
+def without_noise(detections: DataFrame) -> DataFrame:
+    """Detections without fragments of bare punctuation."""
+    return detections.where(~F.coalesce(is_noise_fragment(F.col("text")), F.lit(True)))
+
+
+def coordinate_pairs(flat: Column) -> Column:
+    """Structs (x, y) of a flat list x0, y0, x1, y1, ...; a last number without a partner is left out."""
+    n = F.floor(F.size(flat) / 2).cast("int")
+    return F.when(n > 0, F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: F.struct(F.get(flat, 2 * i).alias("x"), F.get(flat, 2 * i + 1).alias("y")))).otherwise(F.array().cast("array<struct<x:double,y:double>>"))
+
+
+def choose_pass(detections: DataFrame) -> DataFrame:
+    """Per receipt the recognition pass (pass) with most detections, then the higher mean confidence, then the smaller pass."""
+    p = detections.groupBy("receipt_id", "pass").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
+    return p.groupBy("receipt_id").agg(F.min_by(F.struct("pass", "n"), F.struct(-F.col("n"), -F.col("c"), F.col("pass"))).alias("b")).select("receipt_id", "b.pass", "b.n")
+
+
+def skip_second_pass(detections: DataFrame, catalog: DataFrame, least: int = 4, confidence: float = 0.55) -> DataFrame:
+    """Per receipt whether a first pass is good enough: detections that are catalog codes, and mean confidence."""
+    known = small(catalog.select(F.col("product_code").alias("_k"), F.lit(1).alias("_one")).distinct())
+    g = detections.join(known, F.upper(F.trim("text")) == F.col("_k"), "left").groupBy("receipt_id").agg(F.count("_one").alias("n_codes"), F.avg("confidence").alias("c"))
+    return g.select("receipt_id", "n_codes", ((F.col("n_codes") >= least) & (F.col("c") >= confidence)).alias("skip"))
+
+
+def pass_overlap(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Numbers of different (receipt_id, text) that both passes, only the first and only the second have: (part, n)."""
+    key = lambda d, n: d.select("receipt_id", "text").distinct().withColumn(n, F.lit(1))
+    j = key(first, "_a").join(key(second, "_b"), ["receipt_id", "text"], "full")
+    part = F.when(F.col("_b").isNull(), "first").when(F.col("_a").isNull(), "second").otherwise("both")
+    return j.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+
+
+def layout_features(detections: DataFrame, sizes: DataFrame, labels: DataFrame) -> DataFrame:
+    """Per picture the normalised layout of its detections (receipt_id, det_id, bbox, text): places of expected codes and numbers, line heights, character widths, flags.
+
+    sizes: (receipt_id, width, height); labels: (receipt_id, code) of the expected items. Boxes of fewer than four points, blank texts and pictures without a size count for nothing.
+    """
+    box = F.col("bbox")
+    xs, ys = F.transform(box, lambda q: q[0]), F.transform(box, lambda q: q[1])
+    w, h = F.col("width"), F.col("height")
+    d = detections.where(F.size("bbox") >= 4).withColumn("t", F.trim("text")).where("t <> ''").join(sizes.where("width > 0 AND height > 0"), "receipt_id")
+    d = d.select(
+        "receipt_id", "det_id", "t", ((F.array_min(xs) + F.array_max(xs)) / 2 / w).alias("cx"), ((F.array_min(ys) + F.array_max(ys)) / 2 / h).alias("cy"),
+        ((F.array_max(ys) - F.array_min(ys)) / h).alias("bh"), ((F.array_max(xs) - F.array_min(xs)) / w).alias("bw"),
+    )
+    known = labels.select("receipt_id", F.upper(F.trim("code")).alias("_u"), F.lit(True).alias("_code")).distinct()
+    d = d.withColumn("_u", F.upper("t")).join(known, ["receipt_id", "_u"], "left").withColumn("number", F.col("t").rlike("^[0-9]+[.]?[0-9]*$"))
+    ordered = lambda c, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("det_id", c.alias("v"))))), lambda v: v["v"])
+    return d.groupBy("receipt_id").agg(
+        ordered(F.col("cx"), F.col("_code")).alias("code_x"), ordered(F.col("cx"), F.col("number")).alias("qty_x"), ordered(F.col("cy"), F.col("_code")).alias("item_y"),
+        ordered(F.col("bh"), F.col("bh") > 0).alias("line_heights"), ordered(F.col("bw") / F.length("t"), F.col("bw") > 0).alias("char_widths"), F.count("*").alias("detection_count"),
+        F.bool_or(F.coalesce(F.col("number") & (F.col("t").try_cast("double") > 100), F.lit(False))).alias("has_prices"), F.bool_or(F.col("t").rlike("^[0-9]{1,2}[.]$")).alias("has_line_numbers"),
+    )
+
+
 def join_fragments(detections: DataFrame) -> DataFrame:
     """Text of each line, left to right, with mean confidence and y; fragments of bare punctuation are left out."""
-    d = detections.where(~F.col("text").rlike("^[\\[(%]? *[.]?$"))
+    d = without_noise(detections)
     g = d.groupBy("receipt_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"), F.avg("y").alias("y"))
     return g.select("receipt_id", "line_no", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), half_up(F.col("c"), 4).alias("confidence"), half_up(F.col("y"), 2).alias("y_center"))
 
@@ -261,6 +318,22 @@ def pick_total(lines: DataFrame) -> DataFrame:
     return c.withColumn("_r", r).where("_r = 1").drop("_r")
 
 
+def grand_totals(lines: DataFrame) -> DataFrame:
+    """Per receipt the amount of the last line that states a grand total, on itself or as a bare number on the next line: (receipt_id, line_no, value, confidence).
+
+    A number on the next line has the smaller confidence of both.
+    """
+    from tallyweave.functions import text as X
+
+    w = W.partitionBy("receipt_id").orderBy("line_no")
+    bare = F.when(F.col("text").rlike("^\\s*[0-9]+[.]?[0-9]*\\s*$"), F.trim("text").try_cast("double"))
+    d = lines.withColumn("_n", bare).withColumn("_next", F.lead("_n").over(w)).withColumn("_c", F.lead("confidence").over(w))
+    own = X.grand_total(F.col("text"))
+    d = d.where(F.col("text").rlike(X.GRAND_LINE) | F.lit(False)).select("receipt_id", "line_no", F.coalesce(own, F.when(F.col("_next") > 0, F.col("_next"))).alias("value"), F.when(own.isNotNull(), F.col("confidence")).otherwise(F.least("confidence", "_c")).alias("confidence"))
+    last = d.where("value IS NOT NULL").groupBy("receipt_id").agg(F.max_by(F.struct("line_no", "value", "confidence"), "line_no").alias("b"))
+    return last.select("receipt_id", "b.*")
+
+
 def neighbour_number(lines: DataFrame) -> DataFrame:
     """Total lines without a number, with the bare number of the next line, else of the previous one."""
     from tallyweave.functions import text as X
@@ -288,7 +361,6 @@ _VALUE = "([0-9]+[.]?[0-9]*)"
 _TOTAL_FORMS = [f"{_TOTAL}{_SEP}{_QTY}{_SEP}{_VALUE}", f"{_TOTAL}[\\s:=_-]+{_VALUE}", f"sub{_SEP}total{_SEP}{_VALUE}", f"sum[\\s:=_-]+{_VALUE}", f"{_TOTAL}.*?{_QTY}.*?{_VALUE}\\s*$"]
 _NO_TOTAL = "(?:total|totd)\\s*(?:items|count|no|number|products|entries)"
 _MONEY_TOTAL = f"(?:grr?and|grramd|gramd){_SEP}{_TOTAL}"
-_VARIANTS = "total|totai|tota1|t0tal|totol|toial|to7al|tatal|tolal|totel|totd|qtyt|qiy|qtt"
 
 
 def _in_range(v: Column) -> Column:
@@ -301,14 +373,9 @@ def total_of_line(c: Column) -> Column:
     Lines that count items or state amounts of money give null.
     """
     number = lambda p: _in_range(F.regexp_extract(c, f"(?i){p}", 1).try_cast("double"))
-    after = F.regexp_extract(c, f"(?is)(?:{_VARIANTS})(.*)$", 1)
-    bare = F.regexp_replace(F.regexp_replace(after, "^[\\s:=-]+|[\\s:=-]+$", ""), "(?i)^(?:qty|quantity|qtv|qly)[\\s:=-]*", "")
-    digits = F.regexp_replace(F.translate(bare, "OoIl|!ZzSsGgBTA", "001111225566874"), "[^0-9 .]", "")
-    plain = F.when(F.trim(bare).rlike("^[0-9]+[.]?[0-9]*$"), F.trim(bare).try_cast("double"))
-    misread = F.when(F.trim(digits).rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), _in_range(F.trim(digits).try_cast("double")))
-    keyword = c.rlike(f"(?i)(^|\\s)[.:=-]*(?:{_VARIANTS})[.:=-]*(\\s|$)")
+    keyword = c.rlike(f"(?i)(^|\\s)[.:=-]*(?:{TOTAL_VARIANTS})[.:=-]*(\\s|$)")
     near = number(f"(?:total|totai|tota1|t0tal|sub\\s*total|sum)\\s*{_QTY}?[\\s:=-]*{_VALUE}")
-    found = F.coalesce(*[number(p) for p in _TOTAL_FORMS], F.when(keyword, F.coalesce(near, plain, misread)))
+    found = F.coalesce(*[number(p) for p in _TOTAL_FORMS], F.when(keyword, F.coalesce(near, recover_digits(c))))
     return F.when(~c.rlike(f"(?i){_NO_TOTAL}") & ~c.rlike(f"(?i){_MONEY_TOTAL}"), found)
 
 

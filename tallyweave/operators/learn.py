@@ -170,3 +170,8 @@ def session_trend(sessions: DataFrame, order: str, metric: str, last: int = 10)
     recent = sessions.orderBy(F.desc(order)).limit(last).agg(half_up(F.avg(metric), 4).alias("recent_mean"), F.count("*").alias("n_recent"))
     ends = sessions.agg(F.min_by(metric, order).alias("first"), F.max_by(metric, order).alias("latest"))
     return ends.crossJoin(recent).withColumn("change", half_up(F.col("latest") - F.col("first"), 4))
+
+
+def positional_index(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """rows with idx, the place of each within its key by order, from 0."""
+    return rows.withColumn("idx", (F.row_number().over(W.partitionBy(key).orderBy(order)) - 1).cast("long"))

@@ -164,7 +164,7 @@ def parse_lines(lines: DataFrame, code: str = X.CODE) -> DataFrame:
     """Items of text lines: four columns first, then two; skipped, total and unreadable lines give nothing. Codes have the given form."""
     d = lines.where(~X.is_skipped(F.col("text")) & ~X.is_total(F.col("text")))
     # one generated row a line: a filter on the result isn't pushed below, where it would repeat the parsing
-    parsed = F.transform(F.transform(F.array(X.clean(F.col("text"))), X.glue_numbers), lambda c: F.struct(X.parse_priced(c).alias("_p"), X.parse_item(c, code).alias("_i")))
+    parsed = F.transform(F.transform(F.array(X.clean(F.col("text"))), lambda c: X.glue_numbers(c)), lambda c: F.struct((X.parse_priced(c) if code == X.CODE else X.parse_priced(c, code)).alias("_p"), X.parse_item(c, code).alias("_i")))
     d = d.select("receipt_id", "line_no", "confidence", F.inline_outer(parsed))
     return d.where("_p IS NOT NULL OR _i IS NOT NULL").select(
         "receipt_id", F.col("line_no").alias("pos"), F.coalesce("_p.code", "_i.code").alias("product_code"), F.coalesce("_p.quantity", "_i.quantity").alias("quantity"),
@@ -172,28 +172,57 @@ def parse_lines(lines: DataFrame, code: str = X.CODE) -> DataFrame:
     )
 
 
-def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Lines with several catalog codes divided before each code but the first, and lines divided at pipes.
-
-    Tokens meet the catalog in an equi-join, so its size doesn't matter.
-    """
+def pipe_parts(lines: DataFrame) -> DataFrame:
+    """(receipt_id, line_no, part, text) of lines divided at strokes; blank parts are left out."""
+    return lines.select("receipt_id", "line_no", F.posexplode(F.split("text", "[|]")).alias("part", "text")).where(F.trim("text") != "")
 
-    @F.pandas_udf("array<string>")
-    def words(s: pd.Series) -> pd.Series:
-        return s.map(str.split)
 
-    @F.pandas_udf("string")
-    def upper(s: pd.Series) -> pd.Series:
-        return s.str.upper()
+def split_lines(lines: DataFrame, catalog: DataFrame) -> DataFrame:
+    """Lines with several catalog codes divided before each code but the first, together with a number right before it, and lines divided at strokes.
 
+    Runs of letters and digits meet the catalog in an equi-join, so its size doesn't matter. Lines with fewer codes stay whole.
+    """
     line = ["_id", "receipt_id", "line_no", "part"]
-    piped = lines.select("receipt_id", "line_no", F.posexplode(F.split("text", "[|]")).alias("part", "text")).where(F.trim("text") != "")
-    tokens = piped.withColumn("_id", F.monotonically_increasing_id()).select(*line, F.posexplode(words("text")).alias("_pos", "_w"))
-    known = catalog.select(F.col("product_code").alias("_code")).distinct()
-    hits = tokens.withColumn("_u", upper("_w")).join(small(known), F.col("_u") == F.col("_code"), "left")
-    nth = F.count("_code").over(W.partitionBy("_id").orderBy("_pos"))
-    pieces = hits.withColumn("piece", F.greatest(nth - 1, F.lit(0)).cast("int")).groupBy(*line, "piece").agg(F.sort_array(F.collect_list(F.struct("_pos", "_w"))).alias("_t"))
-    return pieces.select("receipt_id", "line_no", "part", "piece", F.concat_ws(" ", F.col("_t._w")).alias("text"))
+    pieces = pipe_parts(lines).withColumn("_id", F.monotonically_increasing_id()).select(*line, F.posexplode(F.regexp_extract_all("text", F.lit("([A-Za-z0-9]+|[^A-Za-z0-9]+)"), F.lit(1))).alias("_pos", "_w"))
+    known = catalog.select(F.upper("product_code").alias("_code")).distinct()
+    hits = pieces.withColumn("_u", F.upper("_w")).join(small(known), F.col("_u") == F.col("_code"), "left")
+    nth = F.greatest(F.count("_code").over(W.partitionBy("_id").orderBy("_pos")) - 1, F.lit(0)).cast("int")
+    # of each stretch from a code to the next, the code and what follows it
+    g = hits.withColumn("piece", nth).groupBy(*line, "piece").agg(F.sort_array(F.collect_list(F.struct("_pos", "_w", F.col("_code").isNotNull().alias("_c")))).alias("_t"))
+    last = F.array_max(F.transform("_t", lambda x, i: F.when(x["_c"], i)))  # the code's place; the first stretch has words before it
+    after = F.concat_ws("", F.transform(F.when(last.isNull(), F.array().cast("array<string>")).otherwise(F.slice("_t._w", last + 2, F.size("_t"))), lambda x: x))
+    order = W.partitionBy("_id").orderBy("piece")
+    moved = F.regexp_extract(after, "(?s)(?:^|[^0-9])([0-9]+[ \t]*)$", 1)
+    d = g.select(*line, "piece", F.concat_ws("", "_t._w").alias("_text"), F.when(F.lead("piece").over(order).isNotNull(), moved).otherwise("").alias("_m"))
+    text = F.concat(F.coalesce(F.lag("_m").over(order), F.lit("")), F.expr("left(_text, length(_text) - length(_m))"))
+    return d.select("receipt_id", "line_no", "part", "piece", F.regexp_replace(text, "^\\s+|\\s+$", "").alias("text")).where("text <> ''")
+
+
+def reglue(lines: DataFrame, catalog: DataFrame, key: tuple[str, ...] = ("receipt_id", "line_no"), column: str = "text") -> DataFrame:
+    """lines with catalog codes put together that blanks divide, from left to right, each word once.
+
+    Two to four letters and a number, or a letter and a number, that are a code together stay as they are written; letters and digits before one or two
+    more digits may also be a spelling of a code, which replaces them.
+    """
+    keys = list(key)
+    words = F.split(F.col(column), " ")
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - 1, F.lit(1))), lambda i: F.struct(i.alias("i"), F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
+    short = lambda x: x["a"].rlike("^[A-Za-z]{2,4}$") & x["b"].rlike("^[A-Za-z]?[0-9]{1,3}$")
+    tail = lambda x: x["a"].rlike("^[A-Za-z]{2,4}[0-9]{1,2}$") & x["b"].rlike("^[0-9]{1,2}$")
+    c = lines.select(*keys, F.explode(F.filter(pairs, lambda x: x["b"].isNotNull() & (short(x) | tail(x)))).alias("x"))
+    c = c.select(*keys, "x.i", F.concat("x.a", "x.b").alias("j"), tail(F.col("x")).alias("spell"))
+    known = small(catalog.select(F.upper("product_code").alias("_k")).distinct())
+    d = c.join(known, F.upper("j") == F.col("_k"), "left")
+    rest = d.where("_k IS NULL AND spell").select("j").distinct().select("j", F.posexplode(M.variant_list("j")).alias("n", "v"))
+    spelt = rest.join(known, F.col("v") == F.col("_k")).groupBy("j").agg(F.min_by("v", "n").alias("v"))
+    hits = d.join(spelt, "j", "left").withColumn("as", F.when(F.col("_k").isNotNull(), F.col("j")).otherwise(F.col("v"))).where("as IS NOT NULL")
+    g = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "as"))).alias("_h"))
+    # from left to right, a word that is taken isn't taken again
+    taken = F.aggregate("_h", F.array().cast("array<struct<i:int,as:string>>"), lambda acc, h: F.when(F.exists(acc, lambda t: t["i"] == h["i"] - 1), acc).otherwise(F.concat(acc, F.array(h))))
+    j = lines.join(g.select(*keys, taken.alias("_h")), keys, "left")
+    at = lambda i: F.filter("_h", lambda t: t["i"] == i)
+    glued = F.transform(words, lambda w, k: F.when(F.size(at(k + 1)) > 0, F.get(at(k + 1), F.lit(0))["as"]).when(F.size(at(k)) > 0, F.lit(None)).otherwise(w))
+    return j.withColumn(column, F.when(F.col("_h").isNull(), F.col(column)).otherwise(F.array_join(F.array_compact(glued), " "))).select(*lines.columns)
 
 
 def _letters(c: str):

@@ -166,7 +166,7 @@ def cloud_route(df: DataFrame) -> DataFrame:
     need = F.when(F.col("is_structured"), 0.85).otherwise(0.88)
     good = (F.col("calibrated") >= need) & (F.col("n_detections") >= 4) & (F.col("catalog_rate") >= 0.3)
     route = F.when(F.col("cached"), "cache").when(~F.col("quality_ok"), "reject").when(good, "local").when(F.col("budget_left") > 0, "cloud").otherwise("local_fallback")
-    return df.withColumn("route", route).withColumn("cacheable", (F.col("n_detections") >= 2) | ((F.col("n_items") > 0) & (F.col("calibrated") > 0.5)))
+    return df.withColumn("route", route).withColumn("cacheable", cache_worthy(F.col("n_detections"), F.col("n_items"), F.col("calibrated")))
 
 
 def calibrate(text: Column, raw: Column) -> Column:
@@ -191,6 +191,24 @@ def calibrate(text: Column, raw: Column) -> Column:
     return F.when(F.coalesce(n, F.lit(0)) == 0, 0.0).otherwise(half_up(F.least(c, raw), 4))
 
 
+def cache_worthy(n_detections: Column, n_items: Column, confidence: Column) -> Column:
+    """Whether a result is worth keeping: two detections, or items read with confidence."""
+    return (n_detections >= 2) | ((n_items > 0) & (confidence > 0.5))
+
+
+def recompute(items: DataFrame, stated: DataFrame) -> DataFrame:
+    """Per receipt after an edit: expected and stated amounts, whether every line holds to within 0.01 (one without an amount does), whether the total does (null if none is stated).
+
+    stated: (receipt_id, grand_total).
+    """
+    q, p, a = _zero("quantity"), _zero("unit_price"), _zero("line_total")
+    due = half_up(q * p, 2)
+    g = items.groupBy("receipt_id").agg(
+        F.sum(q).alias("total_quantity"), half_up(F.sum(a), 2).alias("line_totals"), half_up(F.sum(due), 2).alias("computed_grand_total"), F.bool_and((a <= 0) | (F.abs(a - due) < 0.01)).alias("all_lines_ok"),
+    )
+    return g.join(stated, "receipt_id", "left").select(*g.columns, (F.abs(F.col("grand_total") - F.col("computed_grand_total")) < 0.01).alias("grand_total_match"))
+
+
 def change_detected(old_code: Column, new_code: Column, old_qty: Column, new_qty: Column) -> Column:
     """A correction: the code differs apart from case, or the quantity by more than 0.01."""
     return (F.upper(F.trim(old_code)) != F.upper(F.trim(new_code))) | (F.abs(old_qty - new_qty) > 0.01)

@@ -10,7 +10,7 @@ from tallyweave.functions import hashing as H
 from tallyweave.functions import quantity as Q
 from tallyweave.functions import text as X
 from tallyweave.operators import catalog as C
-from tallyweave.operators import layout, learn, matching, metrics, usage, verify
+from tallyweave.operators import dedup, layout, learn, matching, metrics, usage, verify
 from tallyweave.operators import receipts as R
 from tallyweave.plans.fixtures import half_up
 from tallyweave.plans.queries import _DET, _FILES, _PAIRS, _PASS2, _SQL, _detections, _files, query, r
@@ -114,16 +114,17 @@ def snk20_delete_labels(t):
     return writers.delete_labels(n, n.where("n_regionkey = 2").select("receipt_id")).select(F.col("receipt_id").alias("id"))
 
 
-@query("WITH x AS (SELECT receipt_id, pos, CASE WHEN pos % 3 = 0 THEN '[.' ELSE product_code END AS text FROM items) SELECT receipt_id, pos, text FROM x WHERE NOT regexp_matches(text, '^[\\[(%]? *[.]?$')", "items")
+@query("SELECT receipt_id, pos, text FROM (SELECT receipt_id, pos, CASE pos % 6 WHEN 0 THEN '[.' WHEN 1 THEN ' % . ' WHEN 2 THEN '.' WHEN 3 THEN '[' ELSE product_code || '.' END AS text FROM items) i WHERE trim(text) NOT IN ('[.', '% .', '.', '[')", "items")
 def flt12_noise_fragments(t):
-    d = t.items.select("receipt_id", "pos", F.when(F.col("pos") % 3 == 0, "[.").otherwise(F.col("product_code")).alias("text"))
-    return d.where(~F.col("text").rlike("^[\\[(%]? *[.]?$"))
+    k = F.col("pos") % 6
+    text = F.when(k == 0, "[.").when(k == 1, " % . ").when(k == 2, ".").when(k == 3, "[").otherwise(F.concat("product_code", F.lit(".")))
+    return layout.without_noise(t.items.select("receipt_id", "pos", text.alias("text")))
 
 
-@query("SELECT receipt_id, (count(*) >= 2 OR avg(confidence) > 0.5) AS cacheable FROM items GROUP BY receipt_id", "items")
+@query("SELECT receipt_id, n >= 2 OR (k > 0 AND c > 0.7) AS cacheable FROM (SELECT receipt_id, count(*) AS n, count(*) FILTER (quantity > 10) AS k, avg(confidence) - 0.2 AS c FROM items WHERE pos <= 2 GROUP BY receipt_id) g".replace("c > 0.7", "c > 0.5"), "items")
 def flt17_cacheable(t):
-    g = t.items.groupBy("receipt_id").agg(F.count("*").alias("n"), F.avg("confidence").alias("c"))
-    return g.select("receipt_id", ((F.col("n") >= 2) | (F.col("c") > 0.5)).alias("cacheable"))
+    g = t.items.where("pos <= 2").groupBy("receipt_id").agg(F.count("*").alias("n"), F.count_if(F.col("quantity") > 10).alias("k"), (F.avg("confidence") - 0.2).alias("c"))
+    return g.select("receipt_id", verify.cache_worthy(F.col("n"), F.col("k"), F.col("c")).alias("cacheable"))
 
 
 @query("SELECT vec_id AS id, CAST(list_min([e[1], e[3], e[5]]) AS DOUBLE) AS x0, CAST(list_max([e[2], e[4], e[6]]) AS DOUBLE) AS y1 FROM (SELECT vec_id, embedding AS e FROM embeddings)")
@@ -132,10 +133,9 @@ def prj3_polygon_box(t):
     return t.raw("embeddings").select(F.col("vec_id").alias("id"), b[0][0].alias("x0"), b[2][1].alias("y1"))
 
 
-@query("SELECT vec_id AS id, CAST(list_min(e[1:64:2]) AS DOUBLE) AS x_min, CAST(list_max(e[2:64:2]) AS DOUBLE) AS y_max FROM (SELECT vec_id, embedding AS e FROM embeddings)")
+@query("SELECT vec_id AS id, CAST(list_min(list_transform(range(1, 64, 2), lambda i: embedding[i])) AS DOUBLE) AS x_min, CAST(list_max(list_transform(range(2, 65, 2), lambda i: embedding[i])) AS DOUBLE) AS y_max FROM embeddings")
 def arr7_coordinate_pairs(t):
-    e = F.col("embedding").cast("array<double>")
-    pairs = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.struct(F.get(e, 2 * i).alias("x"), F.get(e, 2 * i + 1).alias("y")))
+    pairs = layout.coordinate_pairs(F.col("embedding").cast("array<double>"))
     return t.raw("embeddings").select(F.col("vec_id").alias("id"), F.array_min(F.transform(pairs, lambda p: p["x"])).alias("x_min"), F.array_max(F.transform(pairs, lambda p: p["y"])).alias("y_max"))
 
 
@@ -146,22 +146,35 @@ def join13_second_pass(t):
     return layout.attach_orphans(items, numbers, consume=True)
 
 
-@query("SELECT receipt_id, (quantity * unit_price) * 0 + count(*) AS n, abs(sum(line_total) - sum(quantity * unit_price)) <= 0.05 AS all_ok FROM items GROUP BY receipt_id, (quantity * unit_price) * 0", "items")
+@query(f"""WITH e AS (SELECT receipt_id, quantity + CASE WHEN pos % 9 = 0 THEN 1 ELSE 0 END AS q, unit_price AS p, CASE WHEN receipt_id % 4 = 0 THEN 0 ELSE line_total END AS a FROM items), g AS (SELECT receipt_id, sum(q) AS total_quantity, {r('sum(a)', 2)} AS line_totals, {r('sum(' + r('q * p', 2) + ')', 2)} AS computed_grand_total, count(*) FILTER (a > 0 AND abs(a - {r('q * p', 2)}) >= 0.01e0) = 0 AS all_lines_ok FROM e GROUP BY receipt_id)
+    SELECT g.*, abs(o_totalprice - computed_grand_total) < 0.01e0 AS grand_total_match FROM g LEFT JOIN orders ON o_orderkey = receipt_id AND o_orderkey % 3 = 0""", "items")
 def agg32_recompute(t):
-    g = t.items.groupBy("receipt_id").agg(F.count("*").cast("double").alias("n"), (F.abs(F.sum("line_total") - F.sum(F.col("quantity") * F.col("unit_price"))) <= 0.05).alias("all_ok"))
-    return g
+    k = F.col("receipt_id")
+    d = t.items.withColumns({"quantity": F.col("quantity") + F.when(F.col("pos") % 9 == 0, 1).otherwise(0), "line_total": F.when(k % 4 == 0, 0.0).otherwise(F.col("line_total"))})
+    return verify.recompute(d, t.receipts.where("id % 3 = 0").select(F.col("id").alias("receipt_id"), F.col("bill_total").alias("grand_total")))
 
 
 @query(
-    f"""SELECT receipt_id, {r('min(y_center) / max(y_center)', 4)} AS start_share, {r('avg(length(text))', 4)} AS mean_chars, bool_or(regexp_matches(text, '[0-9]+ +[0-9]+ +[0-9]+')) AS has_prices FROM lines GROUP BY receipt_id""", "lines"
+    f"""WITH d AS (SELECT receipt_id, pos, CASE pos % 4 WHEN 0 THEN CAST(CAST(quantity * 5 AS INTEGER) AS VARCHAR) WHEN 1 THEN pos || '.' ELSE product_code END AS t, pos * 10.0e0 AS x0, pos * 10.0e0 + 30 AS x1, pos * 20.0e0 AS y0, pos * 20.0e0 + pos % 3 * 5 AS y1 FROM items),
+    want AS (SELECT DISTINCT receipt_id AS rid, product_code AS pc FROM items WHERE pos % 4 > 1 AND pos % 2 = 0)
+    SELECT receipt_id, count(*) AS detection_count, {r('sum((x0 + x1) / 2 / 400) FILTER (code)', 6)} AS code_x, {r('sum((x0 + x1) / 2 / 400) FILTER (pos % 4 < 2)', 6)} AS qty_x, {r('sum((y0 + y1) / 2 / 800) FILTER (code)', 6)} AS item_y, count(*) FILTER (y1 > y0) AS heights, {r('sum(30.0e0 / 400 / length(t))', 6)} AS widths, count(*) FILTER (pos % 4 = 0 AND quantity_of > 100) > 0 AS has_prices, count(*) FILTER (pos % 4 = 1) > 0 AS has_line_numbers
+    FROM (SELECT d.*, TRY_CAST(t AS DOUBLE) AS quantity_of, pc IS NOT NULL AS code FROM d LEFT JOIN want ON rid = receipt_id AND pc = t) e GROUP BY receipt_id""",
+    "items",
 )
 def agg26_layout_features(t):
-    return t.lines.groupBy("receipt_id").agg(half_up(F.min("y_center") / F.max("y_center"), 4).alias("start_share"), half_up(F.avg(F.length("text")), 4).alias("mean_chars"), F.bool_or(F.col("text").rlike("[0-9]+ +[0-9]+ +[0-9]+")).alias("has_prices"))
+    p = F.col("pos")
+    x0, x1, y0, y1 = p * 10.0, p * 10.0 + 30, p * 20.0, p * 20.0 + p % 3 * 5
+    text = F.when(p % 4 == 0, (F.col("quantity") * 5).cast("int").cast("string")).when(p % 4 == 1, F.concat(p.cast("string"), F.lit("."))).otherwise(F.col("product_code"))
+    d = t.items.select("receipt_id", p.alias("det_id"), F.array(F.array(x0, y0), F.array(x1, y0), F.array(x1, y1), F.array(x0, y1)).alias("bbox"), F.concat(F.lit(" "), text).alias("text"))
+    sizes = t.receipts.select(F.col("id").alias("receipt_id"), F.lit(400).alias("width"), F.lit(800).alias("height"))
+    f = layout.layout_features(d, sizes, t.items.where("pos % 4 > 1 AND pos % 2 = 0").select("receipt_id", F.concat("product_code", F.lit(" ")).alias("code")))
+    total = lambda c: half_up(F.when(F.size(c) > 0, F.aggregate(c, F.lit(0.0), lambda a, x: a + x)), 6).alias(c)
+    return f.select("receipt_id", "detection_count", total("code_x"), total("qty_x"), total("item_y"), F.size("line_heights").cast("long").alias("heights"), half_up(F.aggregate("char_widths", F.lit(0.0), lambda a, x: a + x), 6).alias("widths"), "has_prices", "has_line_numbers")
 
 
-@query("SELECT receipt_id, pos, row_number() OVER (PARTITION BY receipt_id ORDER BY pos) - 1 AS idx FROM items", "items")
+@query("SELECT receipt_id, pos, row_number() OVER (PARTITION BY receipt_id ORDER BY pos) - 1 AS idx FROM items WHERE pos % 3 > 0", "items")
 def win11_positional_index(t):
-    return t.items.select("receipt_id", "pos", (F.row_number().over(W.partitionBy("receipt_id").orderBy("pos")) - 1).cast("long").alias("idx"))
+    return learn.positional_index(t.items.where("pos % 3 > 0").select("receipt_id", "pos"), "receipt_id", "pos")
 
 
 @query(f"WITH {_PAIRS} SELECT * FROM pr ORDER BY n DESC, original_code, corrected_code LIMIT 50", "corrections")
@@ -177,15 +190,12 @@ def srt7_last_receipts(t):
 @query(f"WITH {_DET}, {_PASS2}, a AS (SELECT DISTINCT receipt_id, text FROM det), b AS (SELECT DISTINCT receipt_id, text FROM p2) SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "items")
 def set1_pass_overlap(t):
     d = _detections(t).select("receipt_id", "det_id", "text")
-    a = d.select("receipt_id", "text").distinct()
-    b = d.where("det_id % 5 <> 0").select("receipt_id", F.when(F.col("det_id") % 4 == 1, F.concat("text", F.lit("Z"))).otherwise(F.col("text")).alias("text")).distinct()
-    n = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n")
-    return n(a.intersect(b), "both").union(n(a.subtract(b), "first")).union(n(b.subtract(a), "second"))
+    return layout.pass_overlap(d, d.where("det_id % 5 <> 0").withColumn("text", F.when(F.col("det_id") % 4 == 1, F.concat("text", F.lit("Z"))).otherwise(F.col("text"))))
 
 
 @query("SELECT p_partkey AS id, len(list_filter(string_split(p_name, ' '), lambda x: x NOT IN ('ring', 'widget', 'red'))) = 0 AS only_headers FROM part")
 def set5_header_words(t):
-    return t.raw("part").select(F.col("p_partkey").alias("id"), (F.size(F.array_except(F.split("p_name", " "), F.array(F.lit("ring"), F.lit("widget"), F.lit("red")))) == 0).alias("only_headers"))
+    return t.raw("part").select(F.col("p_partkey").alias("id"), X.only_header_words(F.col("p_name"), F.array(F.lit("ring"), F.lit("widget"), F.lit("red"))).alias("only_headers"))
 
 
 @query("SELECT 'unit_price' AS missing")
@@ -299,21 +309,36 @@ def str13_dash_fragment(t):
     return t.noisy.select("id", X.dash_quantity(F.concat(F.lit("-"), F.regexp_replace("text", " ", ""))).alias("q"))
 
 
-@query(
-    """WITH l AS (SELECT p_partkey AS receipt_id, unnest(range(2)) AS part, string_split('P1 2 P' || (p_partkey % 90) || ' 3 | P7 1', '|') AS ps FROM part WHERE p_partkey < 200), w AS (SELECT receipt_id, CAST(part AS INTEGER) AS part, list_filter(string_split(ps[part + 1], ' '), lambda x: x <> '') AS ws FROM l),
-    x AS (SELECT receipt_id, part, i, ws[i] AS word, sum(CASE WHEN ws[i] IN (SELECT product_code FROM products) THEN 1 ELSE 0 END) OVER (PARTITION BY receipt_id, part ORDER BY i) AS n FROM w, range(1, 1 + len(ws)) r(i))
-    SELECT receipt_id, 1 AS line_no, part, CAST(greatest(n - 1, 0) AS INTEGER) AS piece, string_agg(word, ' ' ORDER BY i) AS text FROM x GROUP BY receipt_id, part, greatest(n - 1, 0)""",
-    "products",
-)
+_SPLIT = """l AS (SELECT a.id AS receipt_id, 1 AS line_no, string_split(a.text || '  mno ' || a.id % 30 || ' ' || upper(a.text) || '|ABC 4', '|') AS ps FROM noisy a), p AS (SELECT receipt_id, line_no, unnest(range(len(ps))) AS part, unnest(ps) AS text FROM l), q AS (SELECT receipt_id, part, text, regexp_extract_all(text, '[A-Za-z0-9]+|[^A-Za-z0-9]+') AS ws FROM p WHERE trim(text) <> ''),
+    x AS (SELECT receipt_id, part, i, ws[i] AS w, upper(ws[i]) IN ('ABC', 'MNO', 'PEPW') AS c FROM q, range(1, 1 + len(ws)) r(i)), n AS (SELECT *, greatest(sum(c::INTEGER) OVER (PARTITION BY receipt_id, part ORDER BY i) - 1, 0) AS piece FROM x),
+    g AS (SELECT receipt_id, part, piece, string_agg(w, '' ORDER BY i) AS whole, string_agg(w, '' ORDER BY i) FILTER (i > k) AS after FROM (SELECT *, max(CASE WHEN c THEN i END) OVER (PARTITION BY receipt_id, part, piece) AS k FROM n) m GROUP BY ALL),
+    h AS (SELECT *, CASE WHEN lead(piece) OVER o IS NOT NULL THEN regexp_extract(coalesce(after, ''), '([0-9]+[ \t]*)$', 1) ELSE '' END AS moved FROM g WINDOW o AS (PARTITION BY receipt_id, part ORDER BY piece)),
+    f AS (SELECT receipt_id, part, piece, trim(coalesce(lag(moved) OVER o, '') || left(whole, length(whole) - length(moved)), E' \t') AS text FROM h WINDOW o AS (PARTITION BY receipt_id, part ORDER BY piece))"""
+
+
+@query(f"WITH {_SPLIT} SELECT receipt_id, 1 AS line_no, CAST(part AS INTEGER) AS part, CAST(piece AS INTEGER) AS piece, text FROM f WHERE text <> ''", "noisy")
 def str15_split_lines(t):
-    k = F.col("p_partkey")
-    d = t.raw("part").where("p_partkey < 200").select(k.alias("receipt_id"), F.lit(1).alias("line_no"), F.concat(F.lit("P1 2 P"), k % 90, F.lit(" 3 | P7 1")).alias("text"))
-    return matching.split_lines(d, t.products)
+    text = F.concat("text", F.lit("  mno "), F.col("id") % 30, F.lit(" "), F.upper("text"), F.lit("|ABC 4"))
+    catalog = t.spark.createDataFrame([("ABC",), ("MNO",), ("PEPW",)], "product_code string")
+    return matching.split_lines(t.noisy.select(F.col("id").alias("receipt_id"), F.lit(1).alias("line_no"), text.alias("text")), catalog)
 
 
-@query("SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 11 ELSE 10 END AS n FROM part")
+@query("SELECT id AS receipt_id, 1 AS line_no, ['PEPW20 5', 'a PEPW1 3', 'TEW20', 'TEW2 1', 'TEWIO x', 'PEPW 30', 'TEW1 0', 'PEPW20'][id % 8 + 1] AS text FROM noisy".replace("'TEWIO x'", "'TEW10 x'").replace("'TEW1 0'", "'TEW10'"), "noisy")
+def str1_reglue(t):
+    k = F.col("id")
+    text = F.element_at(F.array(*[F.lit(x) for x in ("PEPW 20 5", "a PEP W1 3", "TEW2 0", "TEW2 1", "TEW1 0 x", "PEPW 30", "TEW1 0", "PEPW20")]), (k % 8 + 1).cast("int"))
+    catalog = t.spark.createDataFrame([("PEPW20",), ("PEPW1",), ("TEW20",), ("TEW10",)], "product_code string")
+    return matching.reglue(t.noisy.select(k.alias("receipt_id"), F.lit(1).alias("line_no"), text.alias("text")), catalog)
+
+
+_READ = ("Total Qty II", "TOTAL: lo", "Total = S", "total qty: 12", "Totol Z z", "Total", "Total x", "Total 0", "sum 5", "qtt 3.5", "Total BG", "subtotal: 7 pcs")
+
+
+@query(f"""WITH z AS (SELECT p_partkey AS id, [{', '.join(repr(x) for x in _READ)}][p_partkey % {len(_READ)} + 1] AS text FROM part), w AS (SELECT id, trim(regexp_replace(trim(regexp_extract(text, '(?i)(total|totai|tota1|t0tal|totol|toial|to7al|tatal|tolal|totel|totd|qtyt|qiy|qtt)(.*)$', 2), ' :=-'), '(?i)^(qty|quantity|qtv|qly)[ :=-]*', '')) AS rest FROM z),
+    d AS (SELECT id, rest, trim(regexp_replace(translate(rest, 'OoIl|!ZzSsGgBTA', '001111225566874'), '[^0-9 .]', '', 'g')) AS dg FROM w) SELECT id, CASE WHEN regexp_full_match(rest, '[0-9]+[.]?[0-9]*') THEN CAST(rest AS DOUBLE) WHEN regexp_full_match(dg, '[0-9]+[.]?[0-9]*') AND CAST(dg AS DOUBLE) BETWEEN 0.000001 AND 99999 THEN CAST(dg AS DOUBLE) END AS n FROM d""")
 def str19_recover_digits(t):
-    return t.raw("part").select(F.col("p_partkey").alias("id"), X.recover_digits(F.when(F.col("p_partkey") % 2 == 0, "Total Qty II").otherwise("TOTAL: lo")).alias("n"))
+    k = F.col("p_partkey")
+    return t.raw("part").select(k.alias("id"), X.recover_digits(F.element_at(F.array(*[F.lit(x) for x in _READ]), (k % len(_READ) + 1).cast("int"))).alias("n"))
 
 
 @query("SELECT p_partkey AS id, 'ABC' AS code, CAST(p_size AS DOUBLE) AS quantity FROM part")
@@ -353,9 +378,7 @@ def stm6_rates_by_label(t):
 
 @query("SELECT b.doc_id AS id, a.doc_id AS earlier FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id < b.doc_id AND b.doc_id - a.doc_id <= 300")
 def stm8_window_duplicates(t):
-    d = t.raw("documents").select("doc_id", F.sha2("text", 256).alias("h"))
-    j = d.select(F.col("doc_id").alias("earlier"), "h").join(d.select(F.col("doc_id").alias("id"), "h"), "h").where("earlier < id AND id - earlier <= 300")
-    return j.select("id", "earlier")
+    return dedup.same_within(t.raw("documents").select(F.col("doc_id").alias("id"), F.sha2("text", 256).alias("h"), "doc_id"), "h", "doc_id", 300)
 
 
 @query("SELECT receipt_id, pos, upper(product_code) <> upper(product_code || '') OR pos % 2 > 0.01 AS changed FROM items", "items")

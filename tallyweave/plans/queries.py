@@ -331,28 +331,29 @@ def flt6_low_confidence(t):
     return t.items.where("confidence < 0.6").select("receipt_id", "pos", half_up(F.col("confidence"), 4).alias("confidence"))
 
 
-_LINES = "SELECT receipt_id, text FROM lines UNION ALL SELECT receipt_id, text FROM total_lines UNION ALL SELECT receipt_id, text FROM date_lines"
+#: Lines of all kinds: headers, footers, totals, noise.
+_KINDS = ("Item Code  Qty", "THANK YOU", "Ltems", "amount", "S. No Rate", "#####", "12/03/2024", "10:45", "7", "%", "Total Items: 4", "Sub total 9", "Tota1 3", "Sum: 4", "Bill-Total 8", "(BLOCK CAPITALS)", "Receipt #", "Io1f", "qly", "Prepared by me", "ABC 2", "Paint 3", "dates", "x", "", "  ", "Grand_Total 5", "Net tdal")
+_KINDS_SQL = "k AS (SELECT p_partkey AS id, [" + ", ".join(f"'{x}'" for x in _KINDS) + f"][p_partkey % {len(_KINDS)} + 1] AS text FROM part)"
+_HEADS = [
+    "^\\s*$", "^[0-9]{1,2}$", "^[0-9]+[/.-][0-9]+[/.-][0-9]{2,4}$", "^[0-9]{1,2}:[0-9][0-9]", "^[-#=_*]{3,}$", "date", "time", "invoice", "receipt\\s*#", "thank", "sign", "cash", "change", "^item", "^product", "^code", "^name", "^qty", "^quantity", "^sr[.]?\\s*no",
+    "^lte[a-z]*$", "^(firma|store|shop|mart|bill|paid|amount|amt|rate|price|unit|qtx|qix|qtv|qly|qry|receipt)$", "\\(\\s*(block|capitals|number|only)", "^s[.]?\\s*no\\b", "prepared\\s*by", "total\\s*items", "^(item\\s*code|amount|rate|price|s[.]?\\s*no|unit)\\s+(item|code|qty|quantity|rate|amount|price|s[.]?\\s*no|unit)", "^.$",
+]
+_ANY_TOTAL = "(regexp_matches(text, '(?i)total|totai|tota1|t0tal|totd|totol|toial|tatal|toal|tdal|tetal|sum') AND NOT regexp_matches(text, '(?i)(total|totd)\\s*(items|count|no|number|products|entries)'))"
+_MONEY = "regexp_matches(text, '(?i)(grand|grramd|gramd|grrand|bill|net)[ :=_.-]*(total|totai|tota1|t0tal|totd|toal|tdal|tetal)|(total|totai|tota1|t0tal|totd|toal|tdal|tetal)[ :=_.-]*(amount|amt)')"
 
 
-def _all_lines(t):
-    return t.lines.select("receipt_id", "text").union(t.total_lines.select("receipt_id", "text")).union(t.date_lines.select("receipt_id", "text"))
+def _kinds(t):
+    return t.raw("part").select(F.col("p_partkey").alias("id"), F.element_at(F.array(*[F.lit(x) for x in _KINDS]), (F.col("p_partkey") % len(_KINDS) + 1).cast("int")).alias("text"))
 
 
-def _rx(p: str) -> str:
-    return p.replace("'", "''")
-
-
-_TOTALQ = f"(regexp_matches(text, '{_rx(f'(?i){X.TOTAL_WORD}|^ *sum' + chr(92) + 'b')}') AND NOT regexp_matches(text, '(?i)total *items'))"
-
-
-@query(f"WITH a AS ({_LINES}) SELECT receipt_id, text FROM a WHERE regexp_matches(text, '{_rx(X.HEADER)}') AND NOT {_TOTALQ}", "lines", "total_lines", "date_lines")
+@query(f"WITH {_KINDS_SQL} SELECT id, text FROM k WHERE {' OR '.join(f'regexp_matches(trim(text), {chr(39)}(?i){x}{chr(39)})' for x in _HEADS[:-1])} OR regexp_full_match(trim(text), '[^a-zA-Z0-9]') OR regexp_full_match(text, '[IlOo|1][qQtTfF0-9][qQtTfF0-9.]*') OR {_ANY_TOTAL} OR {_MONEY}")
 def flt7_skipped_lines(t):
-    return _all_lines(t).where(X.is_skipped(F.col("text")))
+    return _kinds(t).where(X.is_skipped(F.col("text")))
 
 
-@query(f"WITH a AS ({_LINES}) SELECT receipt_id, text FROM a WHERE {_TOTALQ}", "lines", "total_lines", "date_lines")
+@query(f"WITH {_KINDS_SQL} SELECT id, text FROM k WHERE {_ANY_TOTAL}")
 def flt8_total_lines(t):
-    return _all_lines(t).where(X.is_total(F.col("text")))
+    return _kinds(t).where(X.is_total(F.col("text")))
 
 
 @query("SELECT i.receipt_id, i.pos, i.product_code FROM items i JOIN products p USING (product_code) WHERE p.is_active", "items", "products")
@@ -415,13 +416,9 @@ def flt16_image_quality(t):
     return verify.image_quality(d).select("id", "reasons", "passes", "image_score")
 
 
-@query(
-    "WITH p AS (SELECT l_orderkey AS receipt_id, l_linenumber % 2 AS pass, count(*) AS n, sum(l_quantity) AS c FROM lineitem GROUP BY ALL) SELECT receipt_id, CAST(pass AS INTEGER) AS pass, n FROM p QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY n DESC, c DESC, pass) = 1"
-)
+@query("WITH g AS (SELECT l_orderkey AS receipt_id, l_linenumber % 2 AS pass, count(*) AS n, avg(l_quantity) AS c FROM lineitem GROUP BY ALL) SELECT receipt_id, pass, n FROM g QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY n DESC, c DESC, pass) = 1")
 def flt18_pass_choice(t):
-    p = t.raw("lineitem").groupBy(F.col("l_orderkey").alias("receipt_id"), (F.col("l_linenumber") % 2).alias("pass")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("c"))
-    rn = F.row_number().over(W.partitionBy("receipt_id").orderBy(F.desc("n"), F.desc("c"), "pass"))
-    return p.withColumn("_r", rn).where("_r = 1").select("receipt_id", "pass", "n")
+    return layout.choose_pass(t.raw("lineitem").select(F.col("l_orderkey").alias("receipt_id"), (F.col("l_linenumber") % 2).alias("pass"), F.col("l_quantity").alias("confidence")))
 
 
 @query("SELECT product_code, product_name FROM products WHERE is_active", "products")
@@ -898,16 +895,20 @@ def win4_line_threshold(t):
     return layout.line_threshold(_detections(t))
 
 
+_TW, _QW, _SP, _N = "(total|totai|tota1|t0tal|totd|toal|tdal|tetal)", "(qty|quantity|qtv|qly|qtyt|qiy|qtt)", "[ :=_.-]*", "([0-9]+[.]?[0-9]*)"
+_STATED = [(f"{_TW}{_SP}{_QW}{_SP}{_N}", 3), (f"(grand|grramd|gramd|grrand){_SP}{_TW}{_SP}{_N}", 3), (f"sub{_SP}total{_SP}{_N}", 1), (f"{_TW}[ :=_-]+{_N}", 2), (f"sum[ :=_-]+{_N}", 1), (f"{_TW}.*?{_QW}.*?{_N} *$", 3), (f"(total|totai|tota1|t0tal|totd|sum) *(qty|quantity|qtv|qly)?{_SP}{_N}", 3)]
+
+
 def _rank_sql() -> str:
-    return "CASE " + " ".join(f"WHEN regexp_matches(text, '{p}') THEN {k}" for k, p in enumerate(X.TOTALS)) + " END"
+    return "CASE " + " ".join(f"WHEN regexp_matches(text, '(?i){p}') THEN {k}" for k, (p, _) in enumerate(_STATED)) + " END"
 
 
 def _value_sql() -> str:
-    one = lambda p: f"TRY_CAST(nullif(regexp_extract(text, '{p}', 1), '') AS DOUBLE)"
-    return "coalesce(" + ", ".join(f"CASE WHEN {one(p)} > 0 AND {one(p)} <= 99999 THEN {one(p)} END" for p in X.TOTALS) + ")"
+    one = lambda p, g: f"TRY_CAST(nullif(regexp_extract(text, '(?i){p}', {g}), '') AS DOUBLE)"
+    return "coalesce(" + ", ".join(f"CASE WHEN {one(p, g)} > 0 AND {one(p, g)} <= 99999 THEN {one(p, g)} END" for p, g in _STATED) + ")"
 
 
-@query(f"WITH c AS (SELECT receipt_id, line_no, CAST({_rank_sql()} AS INTEGER) AS rank, {_value_sql()} AS value FROM total_lines WHERE {_TOTALQ}) SELECT receipt_id, line_no, rank, value FROM c WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY rank, line_no) = 1", "total_lines")
+@query(f"WITH c AS (SELECT receipt_id, line_no, CAST({_rank_sql()} AS INTEGER) AS rank, {_value_sql()} AS value FROM total_lines WHERE {_ANY_TOTAL}) SELECT receipt_id, line_no, rank, value FROM c WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY rank, line_no) = 1", "total_lines")
 def win5_pick_total(t):
     return layout.pick_total(t.total_lines)
 
@@ -1024,12 +1025,19 @@ def set4_distinct_codes(t):
 
 # ---- scalar functions ----------------------------------------------------------------------------------------
 
-_CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '^ *[0-9]{1,2} *[.):] *', ''), '(?i)([0-9]) *(pcs|qt[sy]?|nos|quantity)\\b[.]?', '\\1', 'g'), '[\\[\\]{}<>~`^|]', ' ', 'g'), ' +', ' ', 'g'))"
+def _clean_sql(x: str) -> str:
+    return f"trim(regexp_replace(regexp_replace(translate(regexp_replace({x}, '^\\s*[0-9]{{1,2}}\\s*[-.):–—]\\s*', ''), '{{}}[]&$#_=;', ''), '(?i)([0-9]+[.]?[0-9]*)\\s*(?:qty[.]?|qts[.]?|qt[.]?|quantity)', '\\1', 'g'), '\\s+', ' ', 'g'))"
+
 
+_CLEAN = _clean_sql("text")
+_NUMBERED = "['3 - ', ' 12) ', '{{', '7', '#1. ', '& '][id % 6 + 1] || text || [' ;', ' 2.5 Qts.', ' 10quantity', '_'][id % 4 + 1]".replace("{{", "{")
 
-@query(f"SELECT receipt_id, line_no, {_CLEAN} AS cleaned FROM lines", "lines")
+
+@query(f"SELECT id, {_clean_sql(_NUMBERED)} AS cleaned FROM noisy", "noisy")
 def str1_clean(t):
-    return t.lines.select("receipt_id", "line_no", X.clean(F.col("text")).alias("cleaned"))
+    k = F.col("id")
+    pick = lambda *xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % len(xs) + 1).cast("int"))
+    return t.noisy.select("id", X.clean(F.concat(pick("3 - ", " 12) ", "{", "7", "#1. ", "& "), "text", pick(" ;", " 2.5 Qts.", " 10quantity", "_"))).alias("cleaned"))
 
 
 @query("SELECT product_code, upper(translate(product_code, '|1!06859()2473_', 'IIIOGBSGCJZATE')) AS letters FROM products", "products")
@@ -1049,26 +1057,40 @@ def str4_parse_item(t):
     return d.select("receipt_id", "line_no", "i.code", "i.quantity")
 
 
-def _priced_sql() -> str:
-    g = lambda k: f"TRY_CAST(regexp_extract(c, '{X.PRICED}', {k}) AS DOUBLE)"
-    return f"SELECT receipt_id, line_no, upper(regexp_extract(c, '{X.PRICED}', 1)) AS code, {g(2)} AS quantity, {g(3)} AS rate, {g(4)} AS amount FROM k WHERE regexp_matches(c, '{X.PRICED}') AND abs({g(4)} - {g(2)} * {g(3)}) / greatest({g(2)} * {g(3)}, 1.0) < 0.15"
+_PRICES = ("TEW1 3 250 750", "1 ABC 2 10.5 21", "PEPW4 3 @ 100 = 301", "ABC 2 x 10 20", "ABC 3 250 999", "ABC 0 10 10", "ABC 1000 1 1000", "ABC 2 0.5 1", "abc 1.26 100 126", "A 3 250 750", "MNO 2 10 30 MNO 2x10=20", "ABC 5 10", "see TEW1 3 250.00 750.00 there")
+
+
+def _priced_sql(p: str) -> str:
+    g = lambda k: f"TRY_CAST(regexp_extract(text, '{p}', {k}) AS DOUBLE)"
+    return f"SELECT id, upper(regexp_extract(text, '{p}', 1)) AS code, {g(2)} AS q, {g(3)} AS rate, {g(4)} AS amount FROM z WHERE regexp_matches(text, '{p}')"
+
 
+_C7 = "([a-z]{2,4}[a-z0-9]{1,3}|[a-z]{3,6})"
 
-@query(f"WITH k AS (SELECT receipt_id, line_no, {_CLEAN} AS c FROM lines) {_priced_sql()}", "lines")
+
+@query(
+    f"""WITH z AS (SELECT p_partkey AS id, [{', '.join(repr(x) for x in _PRICES)}][p_partkey % {len(_PRICES)} + 1] AS text FROM part), a AS (SELECT 1 AS form, * FROM ({_priced_sql(f'(?i){_C7} +{_N} +{_N} +{_N}')}) UNION ALL SELECT 2, * FROM ({_priced_sql(f'(?i){_C7} +{_N} *[@x×] *{_N} *=? *{_N}')}))
+    SELECT id, code, round_even(q, 1) AS quantity, rate, amount FROM a WHERE q >= 1 AND q <= 999 AND rate >= 1 AND amount >= 1 AND abs(amount - q * rate) < 0.15e0 * greatest(q * rate, 1) QUALIFY row_number() OVER (PARTITION BY id ORDER BY form) = 1"""
+)
 def str5_parse_priced(t):
-    d = t.lines.select("receipt_id", "line_no", X.parse_priced(X.clean(F.col("text"))).alias("p")).where("p IS NOT NULL")
-    return d.select("receipt_id", "line_no", "p.*")
+    k = F.col("p_partkey")
+    d = t.raw("part").select(k.alias("id"), X.parse_priced(F.element_at(F.array(*[F.lit(x) for x in _PRICES]), (k % len(_PRICES) + 1).cast("int"))).alias("p")).where("p IS NOT NULL")
+    return d.select("id", "p.*")
 
 
-@query(f"SELECT receipt_id, pos, round_even(line_total / unit_price, 0) AS quantity FROM items WHERE abs(line_total / unit_price - round_even(line_total / unit_price, 0)) <= 0.05 AND round_even(line_total / unit_price, 0) >= 1", "items")
+@query("SELECT receipt_id, pos, round_even(a / p, 0) AS quantity FROM (SELECT receipt_id, pos, CASE WHEN pos % 4 = 0 THEN unit_price / 200 ELSE unit_price END AS p, line_total + pos % 3 * unit_price * 0.03e0 AS a FROM items) i WHERE p >= 10 AND a >= p AND a / p <= 999 AND abs(a / p - round_even(a / p, 0)) < 0.05e0", "items")
 def str6_infer_quantity(t):
-    return t.items.select("receipt_id", "pos", X.infer_quantity(F.col("unit_price"), F.col("line_total")).alias("quantity")).where("quantity IS NOT NULL")
+    p = F.when(F.col("pos") % 4 == 0, F.col("unit_price") / 200).otherwise(F.col("unit_price"))
+    a = F.col("line_total") + F.col("pos") % 3 * F.col("unit_price") * 0.03
+    return t.items.select("receipt_id", "pos", X.infer_quantity(p, a).alias("quantity")).where("quantity IS NOT NULL")
 
 
-@query("WITH z AS (SELECT p_partkey AS id, 'ABC 3 ' || (p_partkey % 90 + 10) || ' 0 ' || (p_partkey % 50 + 10) || ' 00' AS t FROM part) SELECT id, regexp_replace(regexp_replace(t, '([0-9]{2,}) (0{1,2})( |$)', '\\1\\2\\3', 'g'), '([0-9]{2,}) (0{1,2})( |$)', '\\1\\2\\3', 'g') AS t FROM z")
+@query("""WITH z AS (SELECT p_partkey AS id, ['ABC 3 ', 'TEW10 ', 'x ', '3 '][p_partkey % 4 + 1] AS head, (p_partkey % 90 + 10) || ' 0 ' || (p_partkey % 50 + 10) || ' 00 ' || (p_partkey % 7) AS tail FROM part),
+    o AS (SELECT id, head, CASE WHEN head[1] IN ('A', 'T') THEN regexp_replace(regexp_replace(tail, '([0-9]{2,}) ([0-9]{1,2})( |$)', '\\1\\2\\3', 'g'), '([0-9]{2,}) ([0-9]{1,2})( |$)', '\\1\\2\\3', 'g') ELSE tail END AS tail FROM z) SELECT id, head || tail AS t FROM o""")
 def str7_glue_numbers(t):
     k = F.col("p_partkey")
-    return t.raw("part").select(k.alias("id"), X.glue_numbers(F.concat(F.lit("ABC 3 "), k % 90 + 10, F.lit(" 0 "), k % 50 + 10, F.lit(" 00"))).alias("t"))
+    head = F.element_at(F.array(*[F.lit(x) for x in ("ABC 3 ", "TEW10 ", "x ", "3 ")]), (k % 4 + 1).cast("int"))
+    return t.raw("part").select(k.alias("id"), X.glue_numbers(F.concat(head, k % 90 + 10, F.lit(" 0 "), k % 50 + 10, F.lit(" 00 "), k % 7)).alias("t"))
 
 
 _NUM = "CASE WHEN n BETWEEN 1 AND 99 THEN n WHEN n BETWEEN 100 AND 999 THEN coalesce(nullif(CAST(d[1:2] AS INTEGER), 0), nullif(CAST(d[1:3] AS INTEGER), 0), nullif(CAST(d[1:4] AS INTEGER), 0)) END"
@@ -1088,20 +1110,36 @@ def str14_stripped_number(t):
     return t.noisy.select("id", X.stripped_number(F.col("text")).alias("n"))
 
 
-@query("WITH z AS (SELECT p_partkey AS id, 'A' || p_partkey || ' 2| B' || (p_partkey % 7) || ' 3' AS t FROM part) SELECT id, CAST(i - 1 AS INTEGER) AS part, string_split(t, '|')[i] AS t FROM z, range(1, 3) r(i)")
+@query("SELECT id AS receipt_id, 1 AS line_no, CAST(i - 1 AS INTEGER) AS part, string_split('A' || id || '| |' || text || '|B', '|')[i] AS text FROM noisy, range(1, 5) r(i) WHERE trim(string_split('A' || id || '| |' || text || '|B', '|')[i]) <> ''", "noisy")
 def str16_pipe_split(t):
-    k = F.col("p_partkey")
-    return t.raw("part").select(k.alias("id"), F.posexplode(F.split(F.concat(F.lit("A"), k, F.lit(" 2| B"), k % 7, F.lit(" 3")), "[|]")).alias("part", "t"))
+    d = t.noisy.select(F.col("id").alias("receipt_id"), F.lit(1).alias("line_no"), F.concat(F.lit("A"), "id", F.lit("| |"), "text", F.lit("|B")).alias("text"))
+    return matching.pipe_parts(d)
+
+
+_SAYS = ("Total Qty: 11", "Total = 9.5", "Sub-Total 7", "gramd total 25", "Sum_4", "Sum = 4", "Total 0", "Total Qty_ Total Qty_ 24", "Toal 3", "Totalqty12", "TOTAL 100000", "tota1 items 5", "nothing 3", "Grand Total")
 
 
-@query(f"SELECT receipt_id, {_value_sql()} AS value FROM total_lines", "total_lines")
+@query(f"WITH z AS (SELECT p_partkey AS id, [{', '.join(repr(x) for x in _SAYS)}][p_partkey % {len(_SAYS)} + 1] AS text FROM part) SELECT id, {_value_sql()} AS value FROM z")
 def str17_total_value(t):
-    return t.total_lines.select("receipt_id", X.total_value(F.col("text")).alias("value"))
+    k = F.col("p_partkey")
+    return t.raw("part").select(k.alias("id"), X.total_value(F.element_at(F.array(*[F.lit(x) for x in _SAYS]), (k % len(_SAYS) + 1).cast("int"))).alias("value"))
+
+
+_GRANDS = ("Grand Total: 12.5", "Gramd-Total 7", "Total Amount 99", "Bill Total 0", "Net Total = 8", "Grand Total", "Total 5", "total amt. 3")
+_GT = f"CASE WHEN regexp_matches(text, '(?i)(grand|gramd|grramd|grrand|bill|net){_SP}{_TW}{_SP}[0-9]') THEN CAST(regexp_extract(text, '(?i)(grand|gramd|grramd|grrand|bill|net){_SP}{_TW}{_SP}{_N}', 3) AS DOUBLE) WHEN regexp_matches(text, '(?i){_TW}{_SP}(amount|amt){_SP}[0-9]') THEN CAST(regexp_extract(text, '(?i){_TW}{_SP}(amount|amt){_SP}{_N}', 3) AS DOUBLE) END"
 
 
-@query("SELECT receipt_id, TRY_CAST(nullif(regexp_extract(text, '" + X.GRAND[0] + "', 1), '') AS DOUBLE) AS value FROM total_lines WHERE regexp_matches(text, '(?i)grand')", "total_lines")
+@query(
+    f"""WITH z AS (SELECT p_partkey AS receipt_id, i AS line_no, CASE i WHEN 1 THEN [{', '.join(repr(x) for x in _GRANDS)}][p_partkey % 8 + 1] WHEN 2 THEN ['44', 'x', '0'][p_partkey % 3 + 1] ELSE [{', '.join(repr(x) for x in _GRANDS)}][p_partkey % 7 + 1] END AS text, i / 10.0e0 AS confidence FROM part, range(1, 4) r(i)),
+    g AS (SELECT *, {_GT} AS own, lead(text) OVER w AS nt, lead(confidence) OVER w AS nc FROM z WINDOW w AS (PARTITION BY receipt_id ORDER BY line_no)),
+    h AS (SELECT receipt_id, line_no, CASE WHEN own > 0 THEN own WHEN regexp_full_match(nt, '[0-9]+') AND CAST(nt AS DOUBLE) > 0 THEN CAST(nt AS DOUBLE) END AS value, CASE WHEN own > 0 THEN confidence ELSE least(confidence, nc) END AS confidence FROM g WHERE {_MONEY})
+    SELECT receipt_id, CAST(line_no AS INTEGER) AS line_no, value, confidence FROM h WHERE value IS NOT NULL QUALIFY row_number() OVER (PARTITION BY receipt_id ORDER BY line_no DESC) = 1"""
+)
 def str18_grand_total(t):
-    return t.total_lines.where(F.col("text").rlike("(?i)grand")).select("receipt_id", X.grand_total(F.col("text")).alias("value"))
+    k = F.col("p_partkey")
+    pick = lambda xs, n: F.element_at(F.array(*[F.lit(x) for x in xs]), (k % n + 1).cast("int"))
+    rows = F.array(*[F.struct(F.lit(i).alias("line_no"), text.alias("text"), F.lit(i / 10).alias("confidence")) for i, text in ((1, pick(_GRANDS, 8)), (2, pick(("44", "x", "0"), 3)), (3, pick(_GRANDS, 7)))])
+    return layout.grand_totals(t.raw("part").select(k.alias("receipt_id"), F.inline(rows)))
 
 
 @query("SELECT DISTINCT length(product_code) AS n, CASE WHEN length(product_code) <= 3 THEN 0.88 WHEN length(product_code) <= 4 THEN 0.82 WHEN length(product_code) <= 6 THEN 0.72 ELSE 0.65 END::DOUBLE AS cutoff FROM products", "products")

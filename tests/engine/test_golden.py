@@ -96,6 +96,20 @@ def test_priced_lines(spark):
     assert [g and (g.code, g.quantity, g.amount) for g in got] == [("TEW1", 3.0, 750.0), None, ("TEW1", 3.0, 750.0)]
 
 
+def test_priced_forms_by_rule(spark):
+    lines = ["ABC 2 @ 10 20", "ABC 2x10=20", "ABC 0.5 10 5", "ABC 1000 1 1000", "ABC 2 0.5 1", "see TEW1 3 250.00 750.00 there", "ABC 2 10 22.9", "ABC 2 10 23", None]
+    got = column(spark, lines, X.parse_priced)
+    assert [g and (g.code, g.quantity, g.rate, g.amount) for g in got] == [("ABC", 2.0, 10.0, 20.0), ("ABC", 2.0, 10.0, 20.0), None, None, None, ("TEW1", 3.0, 250.0, 750.0), ("ABC", 2.0, 10.0, 22.9), None, None]
+    glued = {"TEW1 1 180 0 3600": "TEW1 1 1800 3600", "TEW1 3 250 750": "TEW1 3 250 750", "3 180 0": "3 180 0", "ABC 32 00": "ABC 3200", "ABC 10 5 20 5": "ABC 105 205"}
+    assert dict(zip(glued, column(spark, list(glued), X.glue_numbers), strict=True)) == glued
+
+
+def test_skipped_lines_by_rule(spark):
+    skipped = ["", "  ", "&", "7", " 12 ", "Iqt", "Date: 1", "Thank you", "12/03/24", "10:45 am", "#####", "Items", "Ltewu", "shop", "qly", "(NUMBER ONLY)", "S.No", "Receipt #", "Total Items: 5", "Item Code  Qty", "Total 5", "Bill Total 9", None]
+    kept = ["ABC 2", "x", "Paint", "523", "hello", "ABC"]
+    assert all(column(spark, skipped, X.is_skipped)) and not any(column(spark, kept, X.is_skipped))
+
+
 def test_totals(spark):
     lines = ["Total Qty: 11", "Grand Total 25", "Sub Total: 7", "TOTAL = 9", "Sum: 4", "Total 0", "Total Items: 8", "Tota1 Quantity 12"]
     assert column(spark, lines, X.total_value) == [11.0, 25.0, 7.0, 9.0, 4.0, None, None, 12.0]

@@ -27,7 +27,7 @@ def test_split_lines_with_a_large_catalog(spark, monkeypatch):
     monkeypatch.setattr(matching, "small", lambda df: df)
     lines = spark.createDataFrame([(1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (1, 1, "AB1 2 cd2 3\tx EF3 | GH4 1"), (2, 1, "one two AB1"), (3, 1, " \t |"), (4, 1, None)], "receipt_id long, line_no long, text string")
     got = sorted(tuple(r) for r in matching.split_lines(lines, _catalog(spark, [(c, "") for c in ("AB1", "CD2", "EF3", "GH4")])).collect())
-    assert got == sorted([(1, 1, 0, 0, "AB1 2"), (1, 1, 0, 1, "cd2 3 x"), (1, 1, 0, 2, "EF3"), (1, 1, 1, 0, "GH4 1")] * 2 + [(2, 1, 0, 0, "one two AB1")])
+    assert got == sorted([(1, 1, 0, 0, "AB1"), (1, 1, 0, 1, "2 cd2 3\tx"), (1, 1, 0, 2, "EF3"), (1, 1, 1, 0, "GH4 1")] * 2 + [(2, 1, 0, 0, "one two AB1")])
 
 
 def test_descriptions_by_contained_code_and_similar_name(spark):
@@ -54,3 +54,19 @@ def test_same_places_needs_no_similarity(spark):
     forms = spark.createDataFrame([("c", 0, "ABCDEFGH"), ("d", 0, "ABCDEFG"), ("e", 0, "ABCDEF")], "_code string, _i int, _v string")
     cat = spark.createDataFrame([("ABCDEFGX",), ("ABCDEF",), ("ZZCDEFGH",)], "product_code string")
     assert {tuple(r) for r in matching.same_places(forms, cat).collect()} == {("c", "ABCDEFGX"), ("d", "ABCDEFGX")}  # 7 of 8; the spelling of e is too short for another place
+
+
+def test_split_lines_keeps_numbers_with_the_next_code(spark):
+    cases = {"9 10 XYZ RST 6": ["9 10 XYZ", "RST 6"], "ABC 2 XYZ 3": ["ABC", "2 XYZ 3"], "ABC-5 xyz": ["ABC-", "5 xyz"], "ABC qt5  XYZ": ["ABC qt", "5  XYZ"], "ABCXYZ 3": ["ABCXYZ 3"], "only XYZ 4": ["only XYZ 4"], "RST,XYZ": ["RST,", "XYZ"]}
+    lines = spark.createDataFrame([(k, 1, x) for k, x in enumerate(cases)], "receipt_id long, line_no int, text string")
+    out: dict[int, list] = {}
+    for r in sorted(matching.split_lines(lines, _catalog(spark, [(c, "") for c in ("ABC", "XYZ", "RST")])).collect()):
+        out.setdefault(r.receipt_id, []).append(r.text)
+    assert [out[k] for k in range(len(cases))] == list(cases.values())
+
+
+def test_reglue_by_rule(spark):
+    cases = {"PEPW 20": "PEPW20", "pep w1 3": "pepw1 3", "TEw2 0": "TEw20", "TEW2 9": "TEW2 9", "a PEPW 20 5 x": "a PEPW20 5 x", "PEPW": "PEPW", "": "", "PEPW 20 20": "PEPW20 20", "TEWI 0": "TEWI 0", "TE1 0 0": "TE1 0 0"}
+    lines = spark.createDataFrame([(k, 1, x) for k, x in enumerate([*cases, None])], "receipt_id long, line_no int, text string")
+    got = {r.receipt_id: r.text for r in matching.reglue(lines, _catalog(spark, [(c, "") for c in ("PEPW20", "PEPW1", "TEW20")])).collect()}
+    assert [got[k] for k in range(len(cases) + 1)] == [*cases.values(), None]
