@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import re
 from difflib import SequenceMatcher, get_close_matches
 
@@ -18,16 +19,36 @@ def cutoff(n: int) -> float:
     return 0.88 if n <= 3 else 0.82 if n <= 4 else 0.72 if n <= 6 else 0.65
 
 
-def variants(token: str, learned: dict[str, str] | None = None) -> list[str]:
-    """Spellings a token may stand for, in order: itself, all letters, each single and each pair of substitutions."""
-    t = token.upper()
-    out = [t, "".join(TO_LETTER.get(c, c) for c in t if c != "_")]
-    tables = [TO_LETTER, TO_DIGIT, HAND, {k.upper(): v.upper() for k, v in (learned or {}).items()}]
-    single = [(i, m[c]) for i, c in enumerate(t) for m in tables if c in m and m[c] != c]
-    out += [t[:i] + x + t[i + 1 :] for i, x in single]
-    for k, (i, x) in enumerate(single):
-        out += [t[:i] + x + t[i + 1 : j] + y + t[j + 1 :] for j, y in single[k + 1 :] if j != i]
-    return list(dict.fromkeys(out))
+#: Spellings of a token beyond which no further pairs of digits are tried, and the numbers of digits for which they are.
+MOST, PAIRED = 15, (2, 4)
+
+
+def variants(token: str, learned: dict[str, str] | None = None, learned_digits: dict[str, str] | None = None, corrections: dict[str, str] | None = None) -> list[str]:
+    """Spellings a token may stand for, in order, each once.
+
+    The token; all signs as letters; these and all handwritten letters; one sign; one handwritten letter; all letters as digits; one
+    letter as a digit; two of them, if two to four may be digits. Then learned letters and digits, one at a time. A learned correction of the whole comes second.
+    """
+    up = token.upper()
+
+    def changed(table: dict[str, str], text: str, key=lambda c: c) -> list[str]:
+        return [(text[:i] + table[key(c)] + text[i + 1 :]).upper() for i, c in enumerate(text) if key(c) in table]
+
+    letters = {**TO_LETTER, "_": ""}
+    out = dict.fromkeys([up, *(x for x in ("".join(letters.get(c, c) for c in token).upper(), "".join(letters[c] if c in letters else HAND.get(c.upper(), c) for c in token).upper()) if x)])
+    out |= dict.fromkeys(x for x in changed(letters, token) + changed(HAND, token, str.upper) if x)
+    out |= dict.fromkeys(["".join(TO_DIGIT.get(c, c) for c in up), *changed(TO_DIGIT, up)])
+    places = [i for i, c in enumerate(up) if c in TO_DIGIT]
+    if PAIRED[0] <= len(places) <= PAIRED[1]:
+        for i, j in itertools.combinations(places, 2):
+            pair = up[:i] + TO_DIGIT[up[i]] + up[i + 1 : j] + TO_DIGIT[up[j]] + up[j + 1 :]
+            if pair not in out:
+                out[pair] = None
+                if len(out) >= MOST:
+                    break
+    out |= dict.fromkeys(x for x in changed(learned or {}, token) + changed(learned_digits or {}, up) if x)
+    whole = (corrections or {}).get(up)
+    return [up, whole, *list(out)[1:]] if whole and whole not in out else list(out)
 
 
 def overlap(a: str, b: str) -> tuple[float, int]:

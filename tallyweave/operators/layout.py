@@ -193,22 +193,27 @@ _CODE_LINE = re.compile(r"\s*([A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6})\s*$")
 _NUMBER_LINE = re.compile(r"[\d\s.]+$")
 
 
-def attach_orphans(items: DataFrame, numbers: DataFrame, share: float = 0.06, consume: bool = True) -> DataFrame:
-    """Quantity of items that have none (1) from the nearest number line within share of the page height, numbers in order of y."""
-    n = numbers.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("y", "value"))).alias("numbers"))
+def attach_orphans(items: DataFrame, numbers: DataFrame, share: float = 0.06, default: float = 100.0) -> DataFrame:
+    """Quantity of items that have none (1) from the nearest number line nearer than share of the page height, numbers in order of y.
+
+    Numbers are those over 1 and up to 999; of equally near items the first gets one. An item with a quantity takes no other. Without a height, which is the largest y of both,
+    the distance is `default`. Places at y 0 are unknown and attract nothing. Where items have needs_review, it is set.
+    """
+    n = numbers.where("value > 1 AND value <= 999 AND y <> 0").groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("y", "value"))).alias("numbers"))
     d = items.join(n, "receipt_id", "left")
+    review = "needs_review" in items.columns
 
     def run(rows: list[dict]) -> list[dict]:
         found = rows[0]["numbers"] or []
-        top = max([r["y"] for r in rows] + [p["y"] for p in found])
-        taken: set[int] = set()
+        top = max([r["y"] or 0.0 for r in rows] + [p["y"] for p in found])
+        limit = top * share if top else default
         for p in found:
-            free = [k for k, r in enumerate(rows) if k not in taken and r["quantity"] == 1 and abs(r["y"] - p["y"]) <= share * top]
+            free = [r for r in rows if r["quantity"] == 1 and r["y"] and abs(r["y"] - p["y"]) < limit]
             if free:
-                k = min(free, key=lambda k: abs(rows[k]["y"] - p["y"]))
-                rows[k]["quantity"] = float(p["value"])
-                if consume:
-                    taken.add(k)
+                nearest = min(free, key=lambda r: abs(r["y"] - p["y"]))
+                nearest["quantity"] = float(p["value"])
+                if review:
+                    nearest["needs_review"] = True
         return rows
 
     return by_group(d, ["receipt_id"], ["pos"], run, items.schema)

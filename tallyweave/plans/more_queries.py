@@ -139,11 +139,11 @@ def arr7_coordinate_pairs(t):
     return t.raw("embeddings").select(F.col("vec_id").alias("id"), F.array_min(F.transform(pairs, lambda p: p["x"])).alias("x_min"), F.array_max(F.transform(pairs, lambda p: p["y"])).alias("y_max"))
 
 
-@query()
+@query("SELECT receipt_id, pos, product_code, CASE WHEN pos % 2 = 1 AND quantity > 1 AND 7 < 0.06e0 * 40 * max(pos) OVER (PARTITION BY receipt_id) THEN quantity ELSE 1.0 END AS quantity, pos * 40.0e0 AS y FROM items", "items")
 def join13_second_pass(t):
     items = t.items.select("receipt_id", "pos", "product_code", F.lit(1.0).alias("quantity"), (F.col("pos") * 40.0).alias("y"))
     numbers = t.items.where("pos % 2 = 1").select("receipt_id", (F.col("pos") * 40.0 - 7).alias("y"), F.col("quantity").alias("value"))
-    return layout.attach_orphans(items, numbers, consume=True)
+    return layout.attach_orphans(items, numbers, default=120.0)
 
 
 @query(f"""WITH e AS (SELECT receipt_id, quantity + CASE WHEN pos % 9 = 0 THEN 1 ELSE 0 END AS q, unit_price AS p, CASE WHEN receipt_id % 4 = 0 THEN 0 ELSE line_total END AS a FROM items), g AS (SELECT receipt_id, sum(q) AS total_quantity, {r('sum(a)', 2)} AS line_totals, {r('sum(' + r('q * p', 2) + ')', 2)} AS computed_grand_total, count(*) FILTER (a > 0 AND abs(a - {r('q * p', 2)}) >= 0.01e0) = 0 AS all_lines_ok FROM e GROUP BY receipt_id)

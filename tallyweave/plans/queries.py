@@ -565,7 +565,7 @@ def join11_best_duplicate(t):
     return dedup.duplicate_of(_hashes(t), 20)
 
 
-@query()
+@query("WITH h AS (SELECT receipt_id, greatest(max(pos) * 40, coalesce(max(pos * 40 + 9) FILTER (pos % 2 = 0 AND quantity > 1), 0)) AS top FROM items GROUP BY receipt_id) SELECT receipt_id, pos, product_code, CASE WHEN pos % 2 = 1 THEN quantity WHEN 9 < 0.06e0 * top THEN quantity ELSE 1.0 END AS quantity, pos * 40.0e0 AS y FROM items JOIN h USING (receipt_id)", "items")
 def join12_orphan_numbers(t):
     items = t.items.select("receipt_id", "pos", "product_code", F.when(F.col("pos") % 2 == 0, 1.0).otherwise(F.col("quantity")).alias("quantity"), (F.col("pos") * 40.0).alias("y"))
     numbers = t.items.where("pos % 2 = 0").select("receipt_id", (F.col("pos") * 40.0 + 9).alias("y"), F.col("quantity").alias("value"))
@@ -584,10 +584,13 @@ def join14_word_confidence(t):
     return layout.word_confidence(lines, words)
 
 
-@query()
+@query(f"WITH {_DET} SELECT receipt_id, CAST(det_id AS BIGINT) AS det_id, x, y, text, confidence FROM det WHERE det_id % 4 > 0 UNION ALL SELECT receipt_id, det_id + 100, x + 12, y + 14.9e0, text || 'Z', confidence + 0.1e0 FROM det WHERE det_id % 4 = 0 UNION ALL SELECT receipt_id, det_id + 200, x + 30, y, text, confidence FROM det WHERE det_id % 5 = 0 AND (det_id + 200) % 4 <> 0", "items")
 def join15_drop_echoes(t):
     d = _detections(t)
-    return layout.drop_echoes(d.unionByName(d.where("det_id % 2 = 0").withColumns({"det_id": F.col("det_id") + 100, "x": F.col("x") + 12, "confidence": F.col("confidence") * 0.9})))
+    far = d.where("det_id % 5 = 0").withColumns({"det_id": F.col("det_id") + 200, "x": F.col("x") + 30})
+    better = d.where("det_id % 4 = 0").withColumns({"det_id": F.col("det_id") + 100, "x": F.col("x") + 12, "y": F.col("y") + 14.9, "text": F.concat("text", F.lit("Z")), "confidence": F.col("confidence") + 0.1})
+    worse = d.where("det_id % 4 = 1").withColumns({"det_id": F.col("det_id") + 300, "x": F.col("x") - 12, "confidence": F.col("confidence") - 0.1})
+    return layout.drop_echoes(d.unionByName(far.where("det_id % 4 <> 0")).unionByName(better).unionByName(worse))
 
 
 _PASS2 = "p2 AS (SELECT receipt_id, CASE WHEN det_id % 4 = 1 THEN text || 'Z' ELSE text END AS text, y, confidence FROM det WHERE det_id % 5 <> 0)"

@@ -207,9 +207,19 @@ def test_alignment_keeps_both_strings(a, b):
     assert "".join(x for x, _ in z if x != "-") == a and "".join(y for _, y in z if y != "-") == b
 
 
-def test_variants_start_with_the_token():
+def test_variants_by_rule():
     v = M.variants("P1O")
     assert v[0] == "P1O" and "PIO" in v and "P10" in v and len(v) == len(set(v))
+    assert M.variants("") == [""] and M.variants("xy") == ["XY"]
+    # all signs; all signs and handwritten letters; one sign; one handwritten letter; all digits; one digit
+    assert M.variants("6n") == ["6N", "GN", "GH", "6H"]
+    assert M.variants("TEWI") == ["TEWI", "TCMI", "TCWI", "TEMI", "73W1", "7EWI", "T3WI", "TEW1", "73WI", "7EW1", "T3W1"]
+    assert M.variants("A_B") == ["A_B", "AB", "OB", "O_B", "4_8", "4_B", "A_8"]
+    many = M.variants("IIIIII")  # six places: no pairs
+    assert "11IIII" not in many and "111111" in many and "1IIIII" in many
+    capped = M.variants("ABGE")  # four places, but pairs only up to fifteen spellings
+    assert len(capped) == 15
+    assert M.variants("AB", {"A": "X"}, {"B": "9"}, {"AB": "ZZ"})[:2] == ["AB", "ZZ"] and {"XB", "A9"} <= set(M.variants("AB", {"A": "X"}, {"B": "9"}))
 
 
 def test_merge_duplicates(spark):
@@ -307,6 +317,14 @@ def test_merge_code_lines(spark):
     assert [r.text for r in layout.merge_code_lines(d).orderBy("line_no").collect()] == ["ABC 3", "XYZ", "Total 3"]
 
 
+def test_orphans_by_rule(spark):
+    items = spark.createDataFrame([(1, 1, 1.0, 100.0, False), (1, 2, 1.0, 112.0, False), (1, 3, 4.0, 120.0, False), (2, 1, 1.0, 0.0, False), (3, 1, 1.0, 940.0, False)], "receipt_id long, pos int, quantity double, y double, needs_review boolean")
+    numbers = spark.createDataFrame([(1, 106.0, 7.0), (1, 121.0, 1.0), (1, 122.0, 5.0), (1, 119.0, 1000.0), (2, 5.0, 3.0), (3, 1000.0, 8.0)], "receipt_id long, y double, value double")
+    got = {(r.receipt_id, r.pos): (r.quantity, r.needs_review) for r in layout.attach_orphans(items, numbers).collect()}
+    # 106 is as near to both: the first; 122 is then 10 from the second, over 6 % of 122; a place at 0 is none; 60 of 1000 is the limit itself
+    assert got == {(1, 1): (7.0, True), (1, 2): (1.0, False), (1, 3): (4.0, False), (2, 1): (1.0, False), (3, 1): (1.0, False)}
+
+
 def test_merge_code_lines_by_rule(spark):
     schema = "receipt_id long, line_no int, text string, y_center double, confidence double"
     rows = [
