@@ -419,10 +419,27 @@ def store_name(lines: DataFrame, headers: tuple[str, ...] = ("item", "code", "qt
 
 
 def resolve_ambiguous(items: DataFrame, catalog: DataFrame) -> DataFrame:
-    """Of codes that repeat in a receipt and were read with a doubtful ending, the later ones take the other catalog reading."""
-    w = W.partitionBy("receipt_id", "product_code").orderBy("pos")
-    other = F.when(F.col("product_code").endswith("0") | F.col("product_code").endswith("1"), F.expr("substring(product_code, 1, length(product_code) - 1)"))
-    d = items.withColumn("_k", F.row_number().over(w)).withColumn("_o", other)
-    j = d.join(catalog.select(F.col("product_code").alias("_c")), F.col("_o") == F.col("_c"), "left")
-    swap = (F.col("match_type") == "ambiguous_oi") & (F.col("_k") > 1) & F.col("_c").isNotNull()
-    return j.select(*[F.when(swap, F.col("_c")).otherwise(F.col(c)).alias(c) if c == "product_code" else F.when(swap, "oi_resolved").otherwise(F.col(c)).alias(c) if c == "match_type" else items[c] for c in items.columns])
+    """Of a code that a receipt has more than once, one item takes the code without its last character, if that is a code the receipt lacks.
+
+    It is the first item with a doubtful ending (ambiguous_oi), which becomes oi_resolved and is to be reviewed; without one, the first
+    whose raw text has the shorter code before an O or I, and the longer one nowhere else, which becomes ocr_variant. Doubtful items that stay are to be reviewed, where
+    the table has needs_review. Codes of fewer than three characters stay.
+    """
+    same = W.partitionBy("receipt_id", "product_code")
+    code, doubtful = F.col("product_code"), F.coalesce(F.col("match_type") == "ambiguous_oi", F.lit(False))
+    shorter = F.when(F.length(code) >= 3, F.expr("left(product_code, length(product_code) - 1)"))
+    d = items.withColumn("_n", F.count("*").over(same)).withColumn("_s", shorter)
+    known = small(catalog.select(F.col("product_code").alias("_s"), F.lit(True).alias("_known")).distinct())
+    present = items.select("receipt_id", F.col("product_code").alias("_s"), F.lit(True).alias("_present")).distinct()
+    d = d.join(known, "_s", "left").join(present, ["receipt_id", "_s"], "left")
+    able = (F.col("_n") > 1) & F.col("_known").isNotNull() & F.col("_present").isNull()
+    raw = F.upper("raw_text") if "raw_text" in items.columns else F.lit("")
+    o, i = F.concat("_s", F.lit("O")), F.concat("_s", F.lit("I"))
+    misread = (F.contains(raw, o) | F.contains(raw, i)) & ~F.contains(F.replace(F.replace(raw, o, F.lit("")), i, F.lit("")), code)
+    d = d.withColumn("_t", F.when(able & doubtful, 1).when(able & misread, 2))
+    d = d.withColumn("_r", F.row_number().over(same.orderBy(F.col("_t").asc_nulls_last(), "pos")))
+    swap = F.col("_t").isNotNull() & (F.col("_r") == 1)
+    new = {"product_code": F.when(swap, F.col("_s")).otherwise(code), "match_type": F.when(swap, F.when(F.col("_t") == 1, "oi_resolved").otherwise("ocr_variant")).otherwise(F.col("match_type"))}
+    if "needs_review" in items.columns:
+        new["needs_review"] = F.coalesce("needs_review", F.lit(False)) | doubtful & ~(swap & (F.col("_t") == 2))
+    return d.select(*[new[c].alias(c) if c in new else F.col(c) for c in items.columns])

@@ -161,14 +161,36 @@ def image_quality(df: DataFrame) -> DataFrame:
     return df.withColumn("reasons", reasons).withColumn("passes", reasons == "").withColumn("image_score", score)
 
 
+def local_suffices() -> Column:
+    """Whether a local screening is good enough: calibrated confidence (0.85 for structured pages, else 0.88), four detections, 30 % of lines with catalog codes."""
+    need = F.when(F.col("is_structured"), 0.85).otherwise(0.88)
+    return (F.col("calibrated") >= need) & (F.col("n_detections") >= 4) & (F.col("catalog_rate") >= 0.3)
+
+
 def cloud_route(df: DataFrame) -> DataFrame:
     """Local results suffice if calibrated confidence, detections and catalog rate are high enough; else budget permits the cloud or not."""
-    need = F.when(F.col("is_structured"), 0.85).otherwise(0.88)
-    good = (F.col("calibrated") >= need) & (F.col("n_detections") >= 4) & (F.col("catalog_rate") >= 0.3)
-    route = F.when(F.col("cached"), "cache").when(~F.col("quality_ok"), "reject").when(good, "local").when(F.col("budget_left") > 0, "cloud").otherwise("local_fallback")
+    route = F.when(F.col("cached"), "cache").when(~F.col("quality_ok"), "reject").when(local_suffices(), "local").when(F.col("budget_left") > 0, "cloud").otherwise("local_fallback")
     return df.withColumn("route", route).withColumn("cacheable", cache_worthy(F.col("n_detections"), F.col("n_items"), F.col("calibrated")))
 
 
+def strategy(df: DataFrame) -> DataFrame:
+    """df with the strategy by which each picture is read, from its mode (auto, local, azure, speculative) and what is known of it.
+
+    cloud says whether the cloud is set up, cloud_ok whether its call succeeded, budget_left what may still be spent. In auto mode the first that holds counts: a cached
+    result, a picture of too low quality, no cloud, a local screening that suffices, no budget, the cloud, and what is local where that failed. A speculative run has both
+    at once, and takes the local one if it suffices.
+    """
+    good, paid = local_suffices(), (F.col("budget_left") > 0) & F.col("cloud")
+    auto = (
+        F.when(F.col("cached"), "auto-cached").when(~F.col("quality_ok"), "auto-quality-gate").when(~F.col("cloud"), "auto-local-only").when(good, "auto-local-skip")
+        .when(~paid, "auto-usage-limited").when(F.col("cloud_ok"), "auto").otherwise("auto-fallback-local")
+    )
+    both = F.when(F.col("cached"), "auto-cached").when(good, "speculative-local-skip").when(paid & F.col("cloud_ok"), "speculative-azure-direct").otherwise("speculative-fallback-local")
+    mode = F.lower(F.coalesce("mode", F.lit("auto")))
+    name = F.when(mode == "local", "local").when(mode == "azure", F.when(F.col("cached"), "azure-only-cached").otherwise("azure-only")).when(mode == "speculative", both).otherwise(auto)
+    return df.withColumn("strategy", name)
+
+
 def calibrate(text: Column, raw: Column) -> Column:
     """Confidence lowered for texts that tend to be misread, never above the raw value, to 4 places; 0 for a blank text.
 

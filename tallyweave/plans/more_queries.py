@@ -121,7 +121,7 @@ def flt12_noise_fragments(t):
     return layout.without_noise(t.items.select("receipt_id", "pos", text.alias("text")))
 
 
-@query("SELECT receipt_id, n >= 2 OR (k > 0 AND c > 0.7) AS cacheable FROM (SELECT receipt_id, count(*) AS n, count(*) FILTER (quantity > 10) AS k, avg(confidence) - 0.2 AS c FROM items WHERE pos <= 2 GROUP BY receipt_id) g".replace("c > 0.7", "c > 0.5"), "items")
+@query("SELECT receipt_id, n >= 2 OR (k > 0 AND c > 0.5) AS cacheable FROM (SELECT receipt_id, count(*) AS n, count(*) FILTER (quantity > 10) AS k, avg(confidence) - 0.2 AS c FROM items WHERE pos <= 2 GROUP BY receipt_id) g", "items")
 def flt17_cacheable(t):
     g = t.items.where("pos <= 2").groupBy("receipt_id").agg(F.count("*").alias("n"), F.count_if(F.col("quantity") > 10).alias("k"), (F.avg("confidence") - 0.2).alias("c"))
     return g.select("receipt_id", verify.cache_worthy(F.col("n"), F.col("k"), F.col("c")).alias("cacheable"))
@@ -198,10 +198,10 @@ def set5_header_words(t):
     return t.raw("part").select(F.col("p_partkey").alias("id"), X.only_header_words(F.col("p_name"), F.array(F.lit("ring"), F.lit("widget"), F.lit("red"))).alias("only_headers"))
 
 
-@query("SELECT 'unit_price' AS missing")
+@query("SELECT p_size AS id, list_sort(list_filter(['p_name', 'p_price', 'p_size', 'unit'], lambda x: NOT list_contains(['p_partkey', 'p_name', 'p_brand', 'p_type', 'p_size', 'p_retailprice'], x))) AS missing FROM (SELECT DISTINCT p_size FROM part) s")
 def set6_missing_headers(t):
-    missing = C.missing_headers(t.products.drop("unit_price"), ("product_code", "unit_price"))
-    return t.spark.createDataFrame([(m,) for m in missing], "missing string")
+    missing = sorted(C.missing_headers(t.raw("part"), ("p_name", "p_price", "p_size", "unit")))
+    return t.raw("part").select(F.col("p_size").alias("id")).distinct().withColumn("missing", F.array(*[F.lit(x) for x in missing]))
 
 
 _ROLE = """CASE WHEN regexp_matches(a, '^[A-Za-z][A-Za-z]') AND NOT regexp_matches(b, '^[A-Za-z][A-Za-z]') THEN 1 WHEN regexp_matches(b, '^[A-Za-z][A-Za-z]') AND NOT regexp_matches(a, '^[A-Za-z][A-Za-z]') THEN 2 WHEN regexp_full_match(a, '[A-Za-z]+') THEN 1 WHEN regexp_full_match(b, '[A-Za-z]+') THEN 2 END"""
@@ -323,7 +323,7 @@ def str15_split_lines(t):
     return matching.split_lines(t.noisy.select(F.col("id").alias("receipt_id"), F.lit(1).alias("line_no"), text.alias("text")), catalog)
 
 
-@query("SELECT id AS receipt_id, 1 AS line_no, ['PEPW20 5', 'a PEPW1 3', 'TEW20', 'TEW2 1', 'TEWIO x', 'PEPW 30', 'TEW1 0', 'PEPW20'][id % 8 + 1] AS text FROM noisy".replace("'TEWIO x'", "'TEW10 x'").replace("'TEW1 0'", "'TEW10'"), "noisy")
+@query("SELECT id AS receipt_id, 1 AS line_no, ['PEPW20 5', 'a PEPW1 3', 'TEW20', 'TEW2 1', 'TEW10 x', 'PEPW 30', 'TEW10', 'PEPW20'][id % 8 + 1] AS text FROM noisy", "noisy")
 def str1_reglue(t):
     k = F.col("id")
     text = F.element_at(F.array(*[F.lit(x) for x in ("PEPW 20 5", "a PEP W1 3", "TEW2 0", "TEW2 1", "TEW1 0 x", "PEPW 30", "TEW1 0", "PEPW20")]), (k % 8 + 1).cast("int"))
@@ -341,15 +341,26 @@ def str19_recover_digits(t):
     return t.raw("part").select(k.alias("id"), X.recover_digits(F.element_at(F.array(*[F.lit(x) for x in _READ]), (k % len(_READ) + 1).cast("int"))).alias("n"))
 
 
-@query("SELECT p_partkey AS id, 'ABC' AS code, CAST(p_size AS DOUBLE) AS quantity FROM part")
+@query("SELECT p_partkey AS id, upper(replace(w, ' ', '')) AS code, CAST(CASE WHEN q > 50 THEN 1 ELSE q END AS DOUBLE) AS quantity FROM (SELECT p_partkey, p_size AS q, ['a B c', 'P E P W', 'x Y Z', 'M n o P Q r'][p_partkey % 4 + 1] AS w FROM part) z")
 def str20_scattered_letters(t):
-    return t.raw("part").select(F.col("p_partkey").alias("id"), Q.scattered_item(F.concat(F.lit("a B c "), F.col("p_size"))).alias("i")).select("id", "i.code", "i.quantity")
+    k = F.col("p_partkey")
+    w = F.element_at(F.array(*[F.lit(x) for x in ("a B c", "P E P W", "x Y Z", "M n o P Q r")]), (k % 4 + 1).cast("int"))
+    return t.raw("part").select(k.alias("id"), Q.scattered_item(F.concat(w, F.lit(" "), F.col("p_size"))).alias("i")).select("id", "i.code", "i.quantity")
+
+
+_DOUBT = """z AS (SELECT receipt_id, pos, CASE WHEN receipt_id % 5 = 1 AND pos = 3 THEN 'P1' WHEN receipt_id % 5 = 4 THEN 'P9999990' ELSE 'P10' END AS code, CASE WHEN receipt_id % 5 IN (0, 1) AND pos > 1 THEN 'ambiguous_oi' ELSE 'exact' END AS mt, CASE WHEN receipt_id % 5 = 2 AND pos = 2 THEN 'p1o 3' WHEN receipt_id % 5 = 3 THEN 'P1O and P10' ELSE 'P10 3' END AS raw FROM items WHERE pos <= 3),
+    y AS (SELECT *, left(code, -1) AS s, count(*) OVER (PARTITION BY receipt_id, code) AS n FROM z), x AS (SELECT *, n > 1 AND length(code) > 2 AND s IN (SELECT product_code FROM products) AND NOT EXISTS (SELECT 1 FROM z WHERE z.receipt_id = y.receipt_id AND z.code = y.s) AS able, regexp_matches(upper(raw), s || '[OI]') AND NOT contains(regexp_replace(upper(raw), s || '[OI]', '', 'g'), code) AS misread FROM y),
+    w AS (SELECT *, CASE WHEN able AND mt = 'ambiguous_oi' THEN 1 WHEN able AND misread THEN 2 ELSE 9 END AS tier FROM x), v AS (SELECT *, tier < 9 AND row_number() OVER (PARTITION BY receipt_id, code ORDER BY tier, pos) = 1 AS take FROM w)"""
 
 
-@query("SELECT receipt_id, pos, 'P' || CASE WHEN pos > 1 THEN 1 ELSE 10 END AS product_code FROM items WHERE pos <= 2", "items")
+@query(f"WITH {_DOUBT} SELECT receipt_id, pos, CASE WHEN take THEN s ELSE code END AS product_code, CASE WHEN take AND tier = 1 THEN 'oi_resolved' WHEN take THEN 'ocr_variant' ELSE mt END AS match_type, mt = 'ambiguous_oi' AS needs_review FROM v", "items", "products")
 def str26_resolve_ambiguous(t):
-    d = t.items.where("pos <= 2").select("receipt_id", "pos", F.lit("P10").alias("product_code"), F.lit("ambiguous_oi").alias("match_type"))
-    return layout.resolve_ambiguous(d, t.products).select("receipt_id", "pos", "product_code")
+    k, p = F.col("receipt_id") % 5, F.col("pos")
+    d = t.items.where("pos <= 3").select(
+        "receipt_id", "pos", F.when((k == 1) & (p == 3), "P1").when(k == 4, "P9999990").otherwise("P10").alias("product_code"), F.when((k < 2) & (p > 1), "ambiguous_oi").otherwise("exact").alias("match_type"),
+        F.when((k == 2) & (p == 2), "p1o 3").when(k == 3, "P1O and P10").otherwise("P10 3").alias("raw_text"), F.lit(False).alias("needs_review"),
+    )
+    return layout.resolve_ambiguous(d, t.products).drop("raw_text")
 
 
 @query("SELECT a.id AS a, b.id AS b, CAST(list_sum(list_transform(list_zip(a.bits, b.bits), lambda z: CAST(z[1] <> z[2] AS INTEGER))) AS INTEGER) AS d FROM (SELECT id, list_transform(pixels, lambda x: x > list_avg(pixels)) AS bits FROM hashes WHERE id < 40) a, (SELECT id, list_transform(pixels, lambda x: x > list_avg(pixels)) AS bits FROM hashes WHERE id < 40) b WHERE a.id < b.id", "hashes")
@@ -571,3 +582,17 @@ def stm14_webhook_alerts(t):
     alert = F.struct(F.when(k % 4 != 0, F.when(k % 2 == 0, "firing").otherwise("resolved")).alias("status"), labels.alias("labels"), F.create_map(F.lit("summary"), F.concat(F.lit("s"), k)).alias("annotations"))
     body = F.to_json(F.struct(F.lit("firing").alias("status"), F.array(alert).alias("alerts")))
     return stateful.alerts(t.raw("events").select(F.when(k % 5 == 0, "{}").otherwise(body).alias("value"))).select("status", "name", "severity", "summary")
+
+
+@query(
+    """WITH g AS (SELECT receipt_id AS k, count(*) AS n, avg(confidence) AS c FROM items GROUP BY receipt_id), f AS (SELECT *, ['auto', 'local', 'azure', 'speculative', NULL][k % 5 + 1] AS mode, n >= 4 AND c >= CASE WHEN k % 2 = 0 THEN 0.85e0 ELSE 0.88e0 END AND (k % 9) / 10.0e0 >= 0.3e0 AS good, k % 17 = 0 AS cached, k % 13 = 0 AS bad, k % 11 = 0 AS none, k % 7 = 0 AS poor, k % 3 = 0 AS failed FROM g)
+    SELECT k AS receipt_id, CASE WHEN mode = 'local' THEN 'local' WHEN mode = 'azure' THEN CASE WHEN cached THEN 'azure-only-cached' ELSE 'azure-only' END WHEN cached THEN 'auto-cached' WHEN mode = 'speculative' THEN CASE WHEN good THEN 'speculative-local-skip' WHEN poor OR none OR failed THEN 'speculative-fallback-local' ELSE 'speculative-azure-direct' END
+        WHEN bad THEN 'auto-quality-gate' WHEN none THEN 'auto-local-only' WHEN good THEN 'auto-local-skip' WHEN poor THEN 'auto-usage-limited' WHEN failed THEN 'auto-fallback-local' ELSE 'auto' END AS strategy FROM f""",
+    "items",
+)
+def src21_strategy(t):
+    k = F.col("receipt_id")
+    g = t.items.groupBy("receipt_id").agg(F.count("*").alias("n_detections"), F.avg("confidence").alias("calibrated"))
+    mode = F.element_at(F.array(F.lit("auto"), F.lit("local"), F.lit("azure"), F.lit("speculative"), F.lit(None)), (k % 5 + 1).cast("int"))
+    d = g.select("*", mode.alias("mode"), (k % 2 == 0).alias("is_structured"), (k % 9 / 10.0).alias("catalog_rate"), (k % 17 == 0).alias("cached"), (k % 13 != 0).alias("quality_ok"), (k % 11 != 0).alias("cloud"), (k % 7).alias("budget_left"), (k % 3 != 0).alias("cloud_ok"))
+    return verify.strategy(d).select("receipt_id", "strategy")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -50,8 +51,8 @@ def src1_catalog_page(t):
 
 @query("SELECT * FROM products WHERE is_active AND product_code IN ('P17', 'P18', 'P19', 'P21')", "products")
 def src2_product_lookup(t):
-    found = [C.by_code(t.products, c) for c in (" p17 ", "P18", "p19", "P21\t".strip())]
-    return found[0].union(found[1]).union(found[2]).union(found[3])
+    found = [C.by_code(t.products, c) for c in (" p17 ", "P18", "p19", "P21")]
+    return reduce(DataFrame.union, found)
 
 
 _DOC = "string_agg(pos || ':' || product_code || ':' || CAST(quantity AS INTEGER), '|' ORDER BY pos)"
@@ -996,7 +997,7 @@ def srt5_similar_codes(t):
     return matching.best_similar(codes, t.products, n=2)
 
 
-@query("SELECT batch_id, max(ts) AS last FROM f GROUP BY batch_id ORDER BY last DESC, batch_id LIMIT 10".join([f"WITH {_FILES} ", ""]))
+@query(f"WITH {_FILES} SELECT batch_id, max(ts) AS last FROM f GROUP BY batch_id ORDER BY last DESC, batch_id LIMIT 10")
 def srt6_latest_batches(t):
     return _files(t).groupBy("batch_id").agg(F.max("ts").alias("last")).orderBy(F.desc("last"), "batch_id").limit(10)
 
@@ -1033,7 +1034,7 @@ def _clean_sql(x: str) -> str:
 
 
 _CLEAN = _clean_sql("text")
-_NUMBERED = "['3 - ', ' 12) ', '{{', '7', '#1. ', '& '][id % 6 + 1] || text || [' ;', ' 2.5 Qts.', ' 10quantity', '_'][id % 4 + 1]".replace("{{", "{")
+_NUMBERED = "['3 - ', ' 12) ', '{', '7', '#1. ', '& '][id % 6 + 1] || text || [' ;', ' 2.5 Qts.', ' 10quantity', '_'][id % 4 + 1]"
 
 
 @query(f"SELECT id, {_clean_sql(_NUMBERED)} AS cleaned FROM noisy", "noisy")

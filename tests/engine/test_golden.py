@@ -29,11 +29,10 @@ def column(spark, values, f, kind="string"):
 
 @pytest.mark.parametrize(
     ("code", "want"),
-    [("ABC", ("ABC", "exact")), ("abc ", ("ABC", "exact")), ("PEPW1O", ("PEPW10", "ambiguous_oi")), ("TEW2O", (None, "unknown")), ("PEPW2O", ("PEPW20", "exact")), ("TEWI", ("TEW1", "exact")), ("TEW1I", ("TEW1", "exact")), ("A8C", ("ABC", "exact")), ("ZZZZZZ", (None, "unknown"))],
+    [("ABC", ("ABC", "exact")), ("abc ", ("ABC", "exact")), ("PEPW1O", ("PEPW10", "ambiguous_oi")), ("TEW2O", ("TEW10", "fuzzy")), ("PEPW2O", ("PEPW20", "exact")), ("TEWI", ("TEW1", "exact")), ("TEW1I", ("TEW1", "exact")), ("A8C", ("ABC", "exact")), ("ZZZZZZ", (None, "unknown"))],
 )
 def test_code_tiers(code, want):
-    got = M.map_code(code, CATALOG)
-    assert got == want or (want[0] is None and got[1] in ("unknown", "fuzzy"))
+    assert M.map_code(code, CATALOG) == want
 
 
 def test_match_codes_equals_function(spark):
@@ -317,6 +316,19 @@ def test_merge_code_lines(spark):
     assert [r.text for r in layout.merge_code_lines(d).orderBy("line_no").collect()] == ["ABC 3", "XYZ", "Total 3"]
 
 
+def test_ambiguous_codes_by_rule(spark):
+    schema = "receipt_id long, pos int, product_code string, match_type string, raw_text string, needs_review boolean"
+    rows = [
+        (1, 1, "PEPW10", "exact", "PEPW10", False), (1, 2, "PEPW10", "ambiguous_oi", "PEPW1O", False), (1, 3, "PEPW10", "ambiguous_oi", "PEPW1O", False),
+        (2, 1, "PEPW10", "ambiguous_oi", "PEPW1O", False), (2, 2, "PEPW10", "exact", "PEPW10", False), (2, 3, "PEPW1", "exact", "PEPW1", False),  # the shorter code is there
+        (3, 1, "PEPW10", "exact", "PEPW10 2", False), (3, 2, "PEPW10", "exact", "pepw1o 3", False), (4, 1, "PEPW20", "ambiguous_oi", "PEPW2O", False), (4, 2, "PEPW20", "exact", "x", False), (5, 1, "PEPW10", "exact", None, None), (5, 2, "PEPW10", None, None, None),
+    ]
+    got = {(r.receipt_id, r.pos): (r.product_code, r.match_type, r.needs_review) for r in layout.resolve_ambiguous(spark.createDataFrame(rows, schema), spark.createDataFrame([(c,) for c in ("PEPW1", "PEPW10", "PEPW20")], "product_code string")).collect()}
+    assert got[1, 1] == ("PEPW10", "exact", False) and got[1, 2] == ("PEPW1", "oi_resolved", True) and got[1, 3] == ("PEPW10", "ambiguous_oi", True)
+    assert got[2, 1] == ("PEPW10", "ambiguous_oi", True) and got[3, 1][0] == "PEPW10" and got[3, 2] == ("PEPW1", "ocr_variant", False)
+    assert got[4, 1] == ("PEPW20", "ambiguous_oi", True) and got[5, 2] == ("PEPW10", None, False)
+
+
 def test_orphans_by_rule(spark):
     items = spark.createDataFrame([(1, 1, 1.0, 100.0, False), (1, 2, 1.0, 112.0, False), (1, 3, 4.0, 120.0, False), (2, 1, 1.0, 0.0, False), (3, 1, 1.0, 940.0, False)], "receipt_id long, pos int, quantity double, y double, needs_review boolean")
     numbers = spark.createDataFrame([(1, 106.0, 7.0), (1, 121.0, 1.0), (1, 122.0, 5.0), (1, 119.0, 1000.0), (2, 5.0, 3.0), (3, 1000.0, 8.0)], "receipt_id long, y double, value double")
