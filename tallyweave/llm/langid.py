@@ -49,16 +49,21 @@ def ngrams(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     points = np.frombuffer(buf.tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32).copy()
     points[(points <= 32) | (points == 0xA0)] = 32
     out = np.zeros((MAX_N, len(points)), np.uint16)
-    acc = np.zeros(len(points), np.uint64)
-    end = np.repeat(bounds[1:], np.diff(bounds))
-    place = np.arange(len(points))
+    acc = np.zeros(len(points), np.uint32)
+    last = np.zeros(len(points), bool)  # places from which an n-gram would leave its text
     for n in range(1, MAX_N + 1):
         if len(points) < n:
             break
-        acc = acc * np.uint64(0x100000001B3)
+        acc *= np.uint32(16777619)
         acc[: len(points) - n + 1] += points[n - 1 :]
-        h = (_text.mix(acc + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.uint16)
-        out[n - 1] = np.where((place + n <= end) & (h > 0), h, 0)
+        h = acc ^ (acc >> np.uint32(15))
+        h += np.uint32(n)
+        h *= np.uint32(0x9E3779B1)
+        out[n - 1] = h >> np.uint32(32 - BITS)
+        if n > 1:
+            at = bounds[1:] - (n - 1)
+            last[at[at >= bounds[:-1]]] = True
+        out[n - 1, last] = 0
     blank = np.zeros(len(points), bool)
     blank[1:] = (points[1:] == 32) & (points[:-1] == 32)
     out[:, blank] = 0
@@ -78,8 +83,9 @@ def _document_frequencies(batches):
                 part = grams[:, bounds[t] : bounds[t + 1]].ravel()
                 if len(part) > 1 << 13:
                     total[np.flatnonzero(np.bincount(part, minlength=1 << BITS))] += 1
-                else:
-                    total[np.unique(part)] += 1
+                elif len(part):
+                    part = np.sort(part)
+                    total[part[np.append(True, part[1:] != part[:-1])]] += 1
     total[0] = n  # bucket 0 holds no n-gram; it carries the number of texts
     if n:
         yield _packed(total)
@@ -143,7 +149,8 @@ def _sample_rows(idf_shared):
 
 class Model:
     def __init__(self, langs: list[str], weights: np.ndarray, bias: np.ndarray, temperature: float):
-        self.langs, self.weights, self.bias, self.temperature = langs, weights, bias, temperature
+        self.langs, self.bias, self.temperature = langs, bias, temperature
+        self.columns = np.ascontiguousarray(weights.T)
 
     def score(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(index of the likeliest language, -1 for none; probability) of each text."""
@@ -151,13 +158,16 @@ class Model:
         for a, b in _text.slices(column, 1 << 20):
             part = column.slice(a, b - a)
             grams, bounds = ngrams(part)
-            words = _text.segment_sum(np.ones(0), np.zeros(len(bounds), np.int64)) if grams.shape[1] == 0 else _text.segment_sum((grams > 0).sum(0), bounds)
+            words = _text.segment_sum(np.count_nonzero(grams, axis=0), bounds)
             seen = pc.fill_null(pc.greater(pc.utf8_length(pc.utf8_trim_whitespace(part)), 0), False).to_numpy(zero_copy_only=False) & (words > 0)
             if not len(self.langs):
                 continue
-            total = np.zeros((b - a, len(self.langs)))
-            for g in grams:
-                total += _text.segment_sum(self.weights[g], bounds)
+            total = np.empty((b - a, len(self.langs)))
+            for k, w in enumerate(self.columns):  # one language at a time: plain gathers from a table that fits the cache
+                places = w[grams[0]]
+                for g in grams[1:]:
+                    places += w[g]
+                total[:, k] = _text.segment_sum(places, bounds)
             logits = (total * (SCALE / np.maximum(1, words))[:, None] + self.bias) / self.temperature
             p = np.exp(logits - logits.max(1, keepdims=True))
             p /= p.sum(1, keepdims=True)
