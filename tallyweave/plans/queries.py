@@ -1057,8 +1057,9 @@ def str3_variants(t):
 
 @query(f"WITH k AS (SELECT receipt_id, line_no, {_CLEAN} AS c FROM lines) SELECT receipt_id, line_no, upper(regexp_extract(c, '(?i)p[0-9]+')) AS code, CAST(CASE WHEN TRY_CAST(regexp_extract(c, '(?i)p[0-9]+[ x-]+([0-9]+)', 1) AS INTEGER) BETWEEN 1 AND 50 THEN TRY_CAST(regexp_extract(c, '(?i)p[0-9]+[ x-]+([0-9]+)', 1) AS INTEGER) ELSE 1 END AS DOUBLE) AS quantity FROM k", "lines")
 def str4_parse_item(t):
-    d = t.lines.select("receipt_id", "line_no", X.parse_item(X.clean(F.col("text")), CATALOG_CODE).alias("i"))
-    return d.select("receipt_id", "line_no", "i.code", "i.quantity")
+    # a generated row, so that the fields don't repeat the parsing
+    item = F.transform(F.array(X.clean(F.col("text"))), lambda c: X.parse_item(c, CATALOG_CODE))
+    return t.lines.select("receipt_id", "line_no", F.inline_outer(item))
 
 
 _PRICES = ("TEW1 3 250 750", "1 ABC 2 10.5 21", "PEPW4 3 @ 100 = 301", "ABC 2 x 10 20", "ABC 3 250 999", "ABC 0 10 10", "ABC 1000 1 1000", "ABC 2 0.5 1", "abc 1.26 100 126", "A 3 250 750", "MNO 2 10 30 MNO 2x10=20", "ABC 5 10", "see TEW1 3 250.00 750.00 there")
