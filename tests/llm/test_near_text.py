@@ -1,9 +1,11 @@
 from __future__ import annotations
 
 import itertools
+import random
 import re
 from collections import Counter, defaultdict
 
+import numpy as np
 import pyarrow as pa
 
 from tallyweave.llm import near_text as N
@@ -131,3 +133,68 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (3, 4), (9, 8), (8, 7), (20, 21), (4, 30)]
     got = {r[0]: r[1] for r in N.components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {2: 1, 3: 1, 4: 1, 30: 1, 8: 7, 9: 7, 21: 20}
+
+
+def by_hand(rows, threshold=0.5):
+    """(doc_id, class_id, links) of documents with different ids, by plain sets of words' 3-grams."""
+    sets = {}
+    for k, t in rows:
+        w = re.findall(r"[a-z0-9_]+", t.lower())
+        sets[k] = {tuple(w[i : i + 3]) for i in range(max(1, len(w) - 2))} if w else set()
+    links = {k: [o for o in sets if o != k and sets[k] & sets[o] and len(sets[k] & sets[o]) >= threshold * len(sets[k] | sets[o])] for k in sets}
+    least = {k: k for k in sets}
+    while any(least[o] < least[k] for k in sets for o in links[k]):
+        least |= {k: min(least[k], *(least[o] for o in links[k])) for k in sets if links[k]}
+    return sorted((k, least[k], len(links[k])) for k in sets)
+
+
+def variants(n=120, seed=3):
+    """Texts whose similarities lie closely around the threshold, some exactly on it, with copies, short and empty ones."""
+    rng = random.Random(seed)
+    bases = [[rng.choice("abcdefghijklmnop") + str(rng.randrange(40)) for _ in range(size)] for size in (4, 9, 30, 80)]
+    rows = []
+    for k in range(n):
+        words = list(rng.choice(bases))
+        for _ in range(rng.randrange(max(2, len(words) // 8))):
+            words[rng.randrange(len(words))] = f"new{rng.randrange(60)}"
+        rows.append((k, " ".join(words[rng.randrange(3) :])))
+    return [*rows, *((n + k, rows[k][1].upper()) for k in range(0, n, 7)), (1000, ""), (1001, "!?"), (1002, "one"), (1003, "one"), (1004, "one two")]
+
+
+def test_no_link_is_left_out(spark, monkeypatch):
+    """Bands of recall 0.95 left some of these pairs out."""
+    rows = variants()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = by_hand(rows)
+    pairs = sum(n for _, _, n in want) // 2
+    assert pairs > 500 and {n for _, _, n in want} > {0, 1}
+    got = sorted(tuple(r) for r in N.near_classes(df).collect())
+    assert got == want
+    assert {(r[0], r[1]) for r in N.expand(N.near_pairs(df)).collect()} == set(brute_force(rows))
+    monkeypatch.setattr(N, "BLOCK", 7)  # homes of several cells
+    monkeypatch.setattr(N._links, "SLICE", 500)
+    monkeypatch.setattr(N._links, "BUCKET", 100)
+    assert sorted(tuple(r) for r in N.near_classes(df).collect()) == want
+    assert {r[0] for r in N.drop_near(df).collect()} == {c for _, c, _ in want}
+
+
+def test_classes_have_a_row_per_document(spark, awkward, empty):
+    rows = [(1, "a b c d e f g h"), (1, "a b c d e f g h"), (2, "a b c d e f g h"), (2, "quite another text of two"), (3, "A B C D E F G x"), (4, None), (4, ""), (None, "a b c d e f g h")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "7 AS class_id", "8 AS links", "9 AS mark")
+    got = N.near_classes(df)
+    assert got.columns == ["doc_id", "class_id", "links"] and set(dict(got.dtypes).values()) == {"bigint"}
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 2), (2, 1, 2), (2, 2, 0), (3, 1, 2), (4, 4, 0), (4, 4, 0)]
+    known = awkward.where("doc_id IS NOT NULL")
+    assert sorted(tuple(r) for r in N.near_classes(awkward).collect()) == sorted((r.doc_id, r.doc_id, 0) for r in known.select("doc_id", "text").distinct().collect())
+    assert N.near_classes(empty).count() == 0
+
+
+def test_common_by_matrix_and_one_by_one(monkeypatch):
+    rng = np.random.default_rng(2)
+    sets = [np.unique(rng.integers(0, 300, rng.integers(1, 90)).astype(np.uint64)) for _ in range(50)]
+    a, b = sets[:20], sets[20:]
+    flat = lambda x: (np.concatenate(x), np.repeat(np.arange(len(x)), [len(s) for s in x]), len(x))
+    want = [[len(np.intersect1d(s, t)) for t in b] for s in a]
+    for share in (0, 0.05, 2):
+        monkeypatch.setattr(N._links, "DENSE", share)
+        assert N._links.common(*flat(a), *flat(b)).tolist() == want
