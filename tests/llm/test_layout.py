@@ -172,3 +172,10 @@ def test_sharding_by_sources_that_begin_alike(spark, monkeypatch):
     # only the source differs enough to be the widest: no shard mixes sources
     same = spark.createDataFrame([(7, "x" * 100, "en", names[k % 4]) for k in range(40)], "doc_id long, text string, lang string, source string")
     assert sorted(r["count"] for r in sharding.shard(same, 1000).groupBy("shard_id").count().collect()) == [10] * 4
+
+
+def test_embedding_classes_have_a_row_per_id(spark):
+    rows = [(1, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, None), (5, [0.0, 0.0]), (6, [0.0, 0.0]), (9, [0.0, 1.0]), (10, [2.0, 0.01]), (11, [2.0, 0.01]), (None, [1.0, 0.0])]
+    got = embeddings.vector_classes(spark.createDataFrame(rows, "vec_id long, embedding array<float>"))
+    assert got.columns == ["vec_id", "class_id", "links"]
+    assert sorted(tuple(r) for r in got.collect()) == [(1, 1, 3), (2, 1, 3), (3, 3, 0), (5, 5, 0), (6, 6, 0), (9, 9, 0), (10, 1, 3), (11, 1, 3)]
