@@ -70,3 +70,24 @@ def test_reglue_by_rule(spark):
     lines = spark.createDataFrame([(k, 1, x) for k, x in enumerate([*cases, None])], "receipt_id long, line_no int, text string")
     got = {r.receipt_id: r.text for r in matching.reglue(lines, _catalog(spark, [(c, "") for c in ("PEPW20", "PEPW1", "TEW20")])).collect()}
     assert [got[k] for k in range(len(cases) + 1)] == [*cases.values(), None]
+
+
+def test_close_pairs_are_few_and_whole(spark):
+    codes, pool = [f"P{k}x" for k in range(7, 2000, 97)], [f"P{k}" for k in range(2000)]
+    c, p = spark.createDataFrame([(x,) for x in codes], "code string"), spark.createDataFrame([(x,) for x in pool], "product_code string")
+    got = {tuple(r) for r in matching.close_pairs(c, p, "code", "product_code", {n: 0.8 for n in range(3, 7)}, [2, 3, 4, 5]).collect()}
+    assert {(x, y) for x in codes for y in pool if SequenceMatcher(None, x, y).ratio() >= 0.8} <= got
+    assert len(got) < 0.05 * len(codes) * len(pool)  # all share letters, so meeting on one compares nearly all pairs
+
+
+def test_searches_too_broad_for_keys_compare_all_pairs(spark, monkeypatch):
+    codes, catalog = ["P12x", "Q123", "PP1234", "ZZZZZZZ"], [(f"P{k}", "") for k in (1, 2, 12, 123, 1234, 12345)]
+    df, cat = spark.createDataFrame([(c,) for c in codes], "code string"), _catalog(spark, catalog)
+
+    def both():
+        return {tuple(r) for r in matching.best_similar(df, cat, n=2).collect()}, {tuple(r) for r in matching.match_codes(df, cat).collect()}
+
+    narrow = both()
+    monkeypatch.setattr(matching, "BROADEST", 4)
+    assert matching.too_broad({6: 0.65}, [4, 5]) == [6]
+    assert both() == narrow and len(narrow[0]) > 4
