@@ -91,3 +91,13 @@ def test_searches_too_broad_for_keys_compare_all_pairs(spark, monkeypatch):
     monkeypatch.setattr(matching, "BROADEST", 4)
     assert matching.too_broad({6: 0.65}, [4, 5]) == [6]
     assert both() == narrow and len(narrow[0]) > 4
+
+
+def test_names_with_one_first_word_are_compared_with_few_texts(spark):
+    catalog = _catalog(spark, [(f"A{k:04}", f"Steel bolt {k:04}") for k in range(1500)] + [("B1", "Steel bolt 0007"), ("A0", "steel"), ("C1", ""), ("C2", None)])
+    texts = spark.createDataFrame([(k, f"a steel bolt {k:04}, please") for k in range(1500)] + [(5000, "xsteel"), (5001, "steel?")], "id long, text string")
+    out = matching.match_descriptions(texts, catalog)
+    got = {r.id: (r.matched_code, r.match_type) for r in out.collect()}
+    assert got == {k: (f"A{k:04}", "contains") for k in range(1500)} | {5000: ("A0", "fuzzy"), 5001: ("A0", "contains")}
+    names = catalog.selectExpr("upper(product_name) AS name")
+    assert matching.substrings(texts.selectExpr("upper(text) AS text").distinct(), names, "name").count() < 40 * 1502  # not 1,500 names a text
