@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyweave.operators.catalog import small
-from tallyweave.plans.fixtures import half_up
+from tallyweave.plans.fixtures import half_up, mean
 
 
 def nest(receipts: DataFrame, items: DataFrame) -> DataFrame:
@@ -27,7 +27,7 @@ def flatten(nested: DataFrame, keep_empty: bool = False) -> DataFrame:
 def header_rollup(items: DataFrame) -> DataFrame:
     """Per receipt: total_items, average confidence, total quantity and bill total."""
     return items.groupBy("receipt_id").agg(
-        F.count("*").alias("total_items"), F.avg("confidence").alias("avg_confidence"), F.sum("quantity").alias("total_quantity"), F.sum("line_total").alias("items_total")
+        F.count("*").alias("total_items"), mean(items, "confidence").alias("avg_confidence"), F.sum("quantity").alias("total_quantity"), F.sum("line_total").alias("items_total")
     )
 
 
@@ -80,7 +80,7 @@ def cascade_delete(ids: DataFrame, *tables: tuple[DataFrame, str]) -> list[DataF
 def audit(receipts: DataFrame, items: DataFrame, newest: int = 0) -> DataFrame:
     """Per receipt: items, average confidence, confident and doubtful items, edited items, quantity; the newest n if given."""
     i = items.groupBy("receipt_id").agg(
-        F.count("*").alias("n_items"), F.avg("confidence").alias("c"), F.count_if(F.col("confidence") >= 0.7).alias("n_high"), F.count_if(F.col("confidence") < 0.5).alias("n_low"),
+        F.count("*").alias("n_items"), mean(items, "confidence").alias("c"), F.count_if(F.col("confidence") >= 0.7).alias("n_high"), F.count_if(F.col("confidence") < 0.5).alias("n_low"),
         F.count_if("manually_edited").alias("n_edited"), F.sum("quantity").alias("q"),
     )
     j = receipts.join(i, receipts["id"] == i["receipt_id"], "left")

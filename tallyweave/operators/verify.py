@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from tallyweave.operators.catalog import small
-from tallyweave.plans.fixtures import half_up
+from tallyweave.plans.fixtures import half_up, mean
 
 
 def _zero(c: str | Column) -> Column:
@@ -148,7 +148,7 @@ def receipt_flags(items: DataFrame) -> DataFrame:
     ok = line_check_parser(F.col("quantity"), F.col("unit_price"), F.col("line_total")) != "mismatch"
     return items.groupBy("receipt_id").agg(
         half_up(F.sum("quantity"), 1).alias("total_quantity"), half_up(F.sum("line_total"), 2).alias("grand_total"), F.bool_and(ok).alias("all_lines_ok"),
-        (F.bool_or(item_flags(items)) | (F.avg("confidence") < 0.85)).alias("needs_review"),
+        (F.bool_or(item_flags(items)) | (mean(items, "confidence") < 0.85)).alias("needs_review"),
     )
 
 

@@ -12,7 +12,7 @@ from tallyweave.functions import text as X
 from tallyweave.operators import catalog as C
 from tallyweave.operators import dedup, layout, learn, matching, metrics, usage, verify
 from tallyweave.operators import receipts as R
-from tallyweave.plans.fixtures import half_up
+from tallyweave.plans.fixtures import half_up, mean
 from tallyweave.plans.queries import _DET, _FILES, _PAIRS, _PASS2, _SQL, _detections, _files, query, r
 from tallyweave.sinks import writers
 from tallyweave.sources import readers
@@ -184,7 +184,7 @@ def srt4_top_pairs(t):
 
 @query("SELECT id, scan_date FROM receipts ORDER BY scan_date DESC, id DESC LIMIT 20", "receipts")
 def srt7_last_receipts(t):
-    return R.audit(t.receipts, t.items, 20).select("id", "scan_date")
+    return R.audit(t.receipts, t.stored_items, 20).select("id", "scan_date")
 
 
 @query(f"WITH {_DET}, {_PASS2}, a AS (SELECT DISTINCT receipt_id, text FROM det), b AS (SELECT DISTINCT receipt_id, text FROM p2) SELECT 'both' AS part, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT 'second', count(*) FROM (SELECT * FROM b EXCEPT SELECT * FROM a)", "items")
@@ -592,7 +592,7 @@ def stm14_webhook_alerts(t):
 )
 def src21_strategy(t):
     k = F.col("receipt_id")
-    g = t.items.groupBy("receipt_id").agg(F.count("*").alias("n_detections"), F.avg("confidence").alias("calibrated"))
+    g = (i := t.stored_items).groupBy("receipt_id").agg(F.count("*").alias("n_detections"), mean(i, "confidence").alias("calibrated"))
     mode = F.element_at(F.array(F.lit("auto"), F.lit("local"), F.lit("azure"), F.lit("speculative"), F.lit(None)), (k % 5 + 1).cast("int"))
     d = g.select("*", mode.alias("mode"), (k % 2 == 0).alias("is_structured"), (k % 9 / 10.0).alias("catalog_rate"), (k % 17 == 0).alias("cached"), (k % 13 != 0).alias("quality_ok"), (k % 11 != 0).alias("cloud"), (k % 7).alias("budget_left"), (k % 3 != 0).alias("cloud_ok"))
     return verify.strategy(d).select("receipt_id", "strategy")

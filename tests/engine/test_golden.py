@@ -424,3 +424,26 @@ def test_grid_and_trend(spark):
     a, b = spark.createDataFrame([(1,), (2,)], "a int"), spark.createDataFrame([(1,), (2,), (3,)], "b int")
     want = [p for k, p in enumerate(itertools.product((1, 2), (1, 2, 3))) if k % 4 == 0]
     assert sorted(map(tuple, learn.grid_sample([a, b], 4).collect())) == want
+
+
+def test_means_follow_the_order_of_the_table(spark, tmp_path):
+    from tallyweave.plans.fixtures import Tables
+
+    rng = random.Random(5)
+    rows = [(k % 40, k, 1, k, 2.0, 3.0, rng.randint(0, 10) / 100, 0.0, "R", "O", None) for k in range(400)]
+    kind = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp"
+    want, plain = {}, {}
+    for k in range(40):
+        xs = [1 - 5 * r[6] for r in rows if r[0] == k]
+        for x in xs:
+            want[k] = want.get(k, 0.0) + x
+        plain[k] = sum(reversed(xs), 0.0)
+    assert want != plain  # the order counts
+    for part, a in enumerate(range(0, 400, 100)):  # a group is spread over files
+        spark.createDataFrame(rows[a : a + 100], kind).coalesce(1).write.parquet(f"{tmp_path}/{part}")
+    (tmp_path / "lineitem.parquet").mkdir()
+    for part in range(4):
+        next((tmp_path / str(part)).glob("*.parquet")).rename(tmp_path / "lineitem.parquet" / f"{part}.parquet")
+    items = Tables(spark, str(tmp_path)).stored_items
+    for df in (items, items.repartition(7, "product_code")):
+        assert {r.receipt_id: r.avg_confidence for r in R.header_rollup(df).collect()} == {k: v / 10 for k, v in want.items()}
