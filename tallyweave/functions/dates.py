@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyweave.functions.text import let
+
 MONTHS = "jan feb mar apr may jun jul aug sep oct nov dec".split()
 
 
@@ -20,18 +22,20 @@ def date_candidate(c: Column) -> Column:
     first = f"(?i){months}[\\s-]*([0-9]{{1,2}})[,\\s]+([0-9]{{4}})"
     table = F.create_map(*[F.lit(x) for k, m in enumerate(MONTHS) for x in (m, k + 1)])
 
-    def part(p: str, k: int) -> Column:
-        return F.regexp_extract(c, p, k).try_cast("int")
+    def search(c: Column) -> Column:
+        part = lambda p, k: F.regexp_extract(c, p, k).try_cast("int")
+        month = lambda p, k: F.try_element_at(table, F.lower(F.regexp_extract(c, p, k)))
+        # what is taken first of a form is a number wherever the form matches
+        forms = [(dmy, 3, lambda p: part(p, 2), 1), (iso, 1, lambda p: part(p, 2), 3), (named, 3, lambda p: month(p, 2), 1), (first, 3, lambda p: month(p, 1), 2)]
+
+        def form(k: int, p: str, year: int, m, day: int) -> Column:
+            dated = lambda g: F.when(g["m"].between(1, 12) & g["d"].between(1, 31), F.struct(F.format_string("%04d-%02d-%02d", g["y"], g["m"], g["d"]).alias("date"), F.lit(k).alias("form")))
+            rest = lambda y: let(F.struct(y.alias("y"), m(p).alias("m"), part(p, day).alias("d")), dated)
+            return let(part(p, year), lambda y: F.when(y.between(1900, 2100), rest(y)))
 
-    def month(p: str, k: int) -> Column:
-        return F.try_element_at(table, F.lower(F.regexp_extract(c, p, k)))
+        return F.coalesce(*[form(k, *f) for k, f in enumerate(forms)])  # later forms are tried only if the ones before give nothing
 
-    forms = [(part(dmy, 3), part(dmy, 2), part(dmy, 1)), (part(iso, 1), part(iso, 2), part(iso, 3)), (part(named, 3), month(named, 2), part(named, 1)), (part(first, 3), month(first, 1), part(first, 2))]
-    out = []
-    for k, (y, m, d) in enumerate(forms):
-        good = m.between(1, 12) & d.between(1, 31) & y.between(1900, 2100)
-        out.append(F.when(good, F.struct(F.format_string("%04d-%02d-%02d", y, m, d).alias("date"), F.lit(k).alias("form"))))
-    return F.coalesce(*out)
+    return let(c, search)
 
 
 def find_date(c: Column, strict: bool = False) -> Column:

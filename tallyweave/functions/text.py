@@ -50,6 +50,11 @@ def item_patterns(code: str = CODE) -> list[str]:
     return [f"(?i){f}" for f in [*forms, f"^{alone}$"]]
 
 
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def extract(c: Column, pattern: str, group: int = 1) -> Column:
     """A group of the first match, null if there is none."""
     return F.nullif(F.regexp_extract(c, pattern, group), F.lit(""))
@@ -106,8 +111,7 @@ def total_value(c: Column) -> Column:
     """Value by the first pattern that gives one in (0, 99999]."""
     tries = []
     for p in [*TOTALS, TOTAL_LAST]:
-        v = extract(c, p).try_cast("double")
-        tries.append(F.when((v > 0) & (v <= 99999), v))
+        tries.append(let(extract(c, p).try_cast("double"), lambda v: F.when((v > 0) & (v <= 99999), v)))
     return F.coalesce(*tries)
 
 
@@ -147,21 +151,24 @@ def roles(a: Column, b: Column) -> tuple[Column, Column]:
 def parse_raw(c: Column, code: str = CODE) -> Column:
     """struct(code, quantity) by the first two-column form that gives both; null if none does. A code alone has quantity 1.
 
-    Keep it as a column of its own before taking fields of it: every group of every form is extracted once then.
+    Keep it as a column of its own before taking fields of it.
     """
     *forms, alone = item_patterns(code)
-    found = F.filter(F.array(*[F.struct(F.regexp_extract(c, p, 1).alias("a"), F.regexp_extract(c, p, 2).alias("b"), F.lit(k == 4).alias("turned")) for k, p in enumerate(forms)]), lambda x: x["a"] != "")
+    known = lambda y: F.when(y["code"].isNotNull() & ~y["code"].rlike(NOT_CODES), y)
+    pair = lambda word, qty: F.struct(word.alias("code"), qty.alias("quantity"))
 
-    def item(x: Column) -> Column:
+    def item(a: Column, b: Column, turned: bool) -> Column:
         if code == CODE:
-            word, qty = roles(x["a"], x["b"])
-        else:  # codes that don't begin with two letters: the form alone tells
-            qty = F.when(x["turned"], as_quantity(x["a"])).otherwise(as_quantity(x["b"]))
-            word = F.when(qty.isNotNull(), F.upper(F.when(x["turned"], x["b"]).otherwise(x["a"])))
-        return F.struct(word.alias("code"), qty.alias("quantity"))
+            return pair(*roles(a, b))
+        # codes that don't begin with two letters: the form alone tells
+        return let(as_quantity(a if turned else b), lambda q: pair(F.when(q.isNotNull(), F.upper(b if turned else a)), q))
+
+    def form(p: str, turned: bool) -> Column:
+        both = lambda a: let(F.regexp_extract(c, p, 2), lambda b: let(item(a, b, turned), known))
+        return let(F.regexp_extract(c, p, 1), lambda a: F.when(a != "", both(a)))
 
-    bare = F.struct(F.nullif(F.upper(F.regexp_extract(c, alone, 1)), F.lit("")).alias("code"), F.lit(1.0).alias("quantity"))
-    return F.get(F.filter(F.concat(F.transform(found, item), F.array(bare)), lambda y: y["code"].isNotNull() & ~y["code"].rlike(NOT_CODES)), F.lit(0))
+    bare = let(pair(F.nullif(F.upper(F.regexp_extract(c, alone, 1)), F.lit("")), F.lit(1.0)), known)
+    return F.coalesce(*[form(p, k == 4) for k, p in enumerate(forms)], bare)  # later forms are tried only if the ones before give nothing
 
 
 def sane_item_quantity(q: Column) -> Column:
@@ -171,7 +178,7 @@ def sane_item_quantity(q: Column) -> Column:
 
 def parse_item(c: Column, code: str = CODE) -> Column:
     """struct(code, quantity) of a cleaned two-column line; null if it has no code. Quantities outside (0, 50] are 1."""
-    return F.transform(F.array(parse_raw(c, code)), lambda p: F.when(p.isNotNull(), F.struct(p["code"].alias("code"), sane_item_quantity(p["quantity"]).alias("quantity"))))[0]
+    return let(parse_raw(c, code), lambda p: F.when(p.isNotNull(), F.struct(p["code"].alias("code"), sane_item_quantity(p["quantity"]).alias("quantity"))))
 
 
 def parse_priced(c: Column, code: str = "[A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6}") -> Column:
@@ -183,14 +190,15 @@ def parse_priced(c: Column, code: str = "[A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{
     n = "([0-9]+[.]?[0-9]*)"
     forms = [f"(?i)({code})\\s+{n}\\s+{n}\\s+{n}", f"(?i)({code})\\s+{n}\\s*[@x\u00d7]\\s*{n}\\s*=?\\s*{n}"]
     number = lambda p, k: F.regexp_extract(c, p, k).try_cast("double")
-    found = F.array(*[F.struct(F.upper(F.regexp_extract(c, p, 1)).alias("code"), number(p, 2).alias("quantity"), number(p, 3).alias("rate"), number(p, 4).alias("amount")) for p in forms])
+    groups = lambda p, word: F.struct(F.upper(word).alias("code"), number(p, 2).alias("quantity"), number(p, 3).alias("rate"), number(p, 4).alias("amount"))
 
     def fits(g: Column) -> Column:
         due = g["quantity"] * g["rate"]
         return (g["rate"] >= 1) & (g["amount"] >= 1) & g["quantity"].between(1, 999) & (F.abs(g["amount"] - due) / F.greatest(due, F.lit(1.0)) < 0.15)
 
     one = lambda g: F.struct(g["code"].alias("code"), F.bround(g["quantity"], 1).alias("quantity"), g["rate"].alias("rate"), g["amount"].alias("amount"))
-    return F.get(F.transform(F.filter(found, fits), one), F.lit(0))  # every group is extracted once
+    form = lambda p: let(F.regexp_extract(c, p, 1), lambda word: F.when(word != "", let(groups(p, word), lambda g: F.when(fits(g), one(g)))))
+    return F.coalesce(*[form(p) for p in forms])  # the second only if the first doesn't fit
 
 
 def infer_quantity(rate: Column, amount: Column) -> Column:
@@ -228,10 +236,11 @@ def recover_digits(c: Column) -> Column:
     """Number after the first total word, as it stands or, within (0, 99999], with letters read for digits ("Total Qty II" -> 11)."""
     after = F.regexp_extract(c, f"(?is)(?:{TOTAL_VARIANTS})(.*)$", 1)
     bare = F.trim(F.regexp_replace(F.regexp_replace(after, "^[\\s:=-]+|[\\s:=-]+$", ""), "(?i)^(?:quantity|qty|qtv|qly)[\\s:=-]*", ""))
-    digits = F.trim(F.regexp_replace(F.translate(bare, "OoIl|!ZzSsGgBTA", "001111225566874"), "[^0-9 .]", ""))
-    plain = F.when(bare.rlike("^[0-9]+[.]?[0-9]*$"), bare.try_cast("double"))
-    misread = F.when(digits.rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), digits.try_cast("double"))
-    return F.coalesce(plain, F.when((misread > 0) & (misread <= 99999), misread))
+    digits = lambda b: F.trim(F.regexp_replace(F.translate(b, "OoIl|!ZzSsGgBTA", "001111225566874"), "[^0-9 .]", ""))
+    plain = lambda b: F.when(b.rlike("^[0-9]+[.]?[0-9]*$"), b.try_cast("double"))
+    misread = lambda d: F.when(d.rlike("^([0-9]+[.]?[0-9]*|[.][0-9]+)$"), d.try_cast("double"))
+    within = lambda m: F.when((m > 0) & (m <= 99999), m)
+    return let(bare, lambda b: F.coalesce(plain(b), let(digits(b), lambda d: let(misread(d), within))))
 
 
 def is_noise_fragment(c: Column) -> Column:

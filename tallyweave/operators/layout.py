@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from tallyweave.functions.text import TOTAL_VARIANTS, is_noise_fragment, recover_digits
+from tallyweave.functions.text import TOTAL_VARIANTS, is_noise_fragment, let, recover_digits
 from tallyweave.operators.grouped import by_group, by_group_lists
 from tallyweave.operators.catalog import small
 from tallyweave.plans.fixtures import half_up
@@ -354,7 +354,9 @@ def pick_date(lines: DataFrame) -> DataFrame:
     """Per receipt the best date: lines with a keyword first, then by the form of the date, then earlier lines."""
     from tallyweave.functions.dates import date_candidate
 
-    c = lines.select("receipt_id", "line_no", date_candidate(F.col("text")).alias("d"), F.when(F.col("text").rlike("(?i)date|dt"), 2).otherwise(1).alias("p")).where("d IS NOT NULL")
+    # a generated row: the filter on it isn't pushed below, where it would search again; the shuffle serves the window too, and divides the search
+    d = F.explode_outer(F.array(date_candidate(F.col("text")))).alias("d")
+    c = lines.repartition("receipt_id").select("receipt_id", "line_no", "text", d).where("d IS NOT NULL").withColumn("p", F.when(F.col("text").rlike("(?i)date|dt"), 2).otherwise(1))
     prio = F.col("p") + 1 / (F.col("d.form") + 1)
     r = F.row_number().over(W.partitionBy("receipt_id").orderBy(prio.desc(), "line_no"))
     return c.withColumn("_r", r).where("_r = 1").select("receipt_id", "line_no", "d.date")
@@ -368,8 +370,8 @@ _NO_TOTAL = "(?:total|totd)\\s*(?:items|count|no|number|products|entries)"
 _MONEY_TOTAL = f"(?:grr?and|grramd|gramd){_SEP}{_TOTAL}"
 
 
-def _in_range(v: Column) -> Column:
-    return F.when((v > 0) & (v <= 99999), v)
+def _in_range(c: Column) -> Column:
+    return let(c, lambda v: F.when((v > 0) & (v <= 99999), v))
 
 
 def total_of_line(c: Column) -> Column:
@@ -381,7 +383,8 @@ def total_of_line(c: Column) -> Column:
     keyword = c.rlike(f"(?i)(^|\\s)[.:=-]*(?:{TOTAL_VARIANTS})[.:=-]*(\\s|$)")
     near = number(f"(?:total|totai|tota1|t0tal|sub\\s*total|sum)\\s*{_QTY}?[\\s:=-]*{_VALUE}")
     found = F.coalesce(*[number(p) for p in _TOTAL_FORMS], F.when(keyword, F.coalesce(near, recover_digits(c))))
-    return F.when(~c.rlike(f"(?i){_NO_TOTAL}") & ~c.rlike(f"(?i){_MONEY_TOTAL}"), found)
+    # every form has one of these words, which most lines lack
+    return F.when(c.rlike(f"(?i){_TOTAL}|sum|{TOTAL_VARIANTS}"), F.when(~c.rlike(f"(?i){_NO_TOTAL}") & ~c.rlike(f"(?i){_MONEY_TOTAL}"), found))
 
 
 def find_total(detections: DataFrame, share: float = 0.3) -> DataFrame:

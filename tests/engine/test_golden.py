@@ -447,3 +447,18 @@ def test_means_follow_the_order_of_the_table(spark, tmp_path):
     items = Tables(spark, str(tmp_path)).stored_items
     for df in (items, items.repartition(7, "product_code")):
         assert {r.receipt_id: r.avg_confidence for r in R.header_rollup(df).collect()} == {k: v / 10 for k, v in want.items()}
+
+
+def _plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_each_form_is_tried_once_and_only_if_needed(spark):
+    lines = spark.range(3).selectExpr("id AS receipt_id", "1 AS line_no", "0.5D AS confidence", "concat('Date 0', id + 1, '/02/2024') AS text")
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    assert _plan(layout.pick_date(lines)).count("regexp_extract(") == 12  # three numbers of each of four forms
+    assert sorted(r["date"] for r in layout.pick_date(lines).collect()) == ["2024-02-01", "2024-02-02", "2024-02-03"]
+    parsed = _plan(matching.parse_lines(lines))
+    assert parsed.count(X.TOTAL_LINE) == 1 and "filter(array" not in parsed  # a filter would have the results of all forms
+    total = _plan(lines.select(layout.total_of_line(F.col("text"))))
+    assert total.count("regexp_extract(") < 20  # each form once, not once for each comparison
