@@ -164,7 +164,10 @@ def merge_code_lines(lines: DataFrame) -> DataFrame:
     """
     means = [c for c in ("confidence", "y_center") if c in lines.columns]
 
-    def run(rows: list[dict]) -> list[dict]:
+    def run(g: dict[str, list]) -> dict[str, list]:
+        if not any(_CODE_LINE.match(x or "") for x in g["text"]):
+            return g
+        rows = [dict(zip(g, v, strict=True)) for v in zip(*g.values(), strict=True)]
         changed = True
         while changed:
             changed = False
@@ -184,9 +187,9 @@ def merge_code_lines(lines: DataFrame) -> DataFrame:
                     changed = True
                 out.append(r)
             rows = out
-        return rows
+        return {c: [r[c] for r in rows] for c in g}
 
-    return by_group(lines, ["receipt_id"], ["line_no"], run, lines.schema)
+    return by_group_lists(lines, ["receipt_id"], ["line_no"], run, lines.schema)
 
 
 _CODE_LINE = re.compile(r"\s*([A-Za-z]{2,4}[A-Za-z0-9]{1,3}|[A-Za-z]{3,6})\s*$")
@@ -199,24 +202,30 @@ def attach_orphans(items: DataFrame, numbers: DataFrame, share: float = 0.06, de
     Numbers are those over 1 and up to 999; of equally near items the first gets one. An item with a quantity takes no other. Without a height, which is the largest y of both,
     the distance is `default`. Places at y 0 are unknown and attract nothing. Where items have needs_review, it is set.
     """
-    n = numbers.where("value > 1 AND value <= 999 AND y <> 0").groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("y", "value"))).alias("numbers"))
-    d = items.join(n, "receipt_id", "left")
-    review = "needs_review" in items.columns
-
-    def run(rows: list[dict]) -> list[dict]:
-        found = rows[0]["numbers"] or []
-        top = max([r["y"] or 0.0 for r in rows] + [p["y"] for p in found])
+    # one stream: the numbers of a receipt come before its items, each once
+    n = numbers.where("value > 1 AND value <= 999 AND y <> 0").select("receipt_id", F.col("y").cast("double").alias("_y"), F.col("value").cast("double").alias("_value"))
+    d = items.withColumn("_item", F.lit(True)).unionByName(n.withColumn("_item", F.lit(False)), allowMissingColumns=True)
+    columns = items.columns
+    review = "needs_review" in columns
+
+    def run(g: dict[str, list]) -> dict[str, list]:
+        k = g["_item"].index(True) if True in g["_item"] else len(g["_item"])
+        found, out = list(zip(g["_y"][:k], g["_value"][:k], strict=True)), {c: v[k:] for c, v in g.items()}
+        ys, quantity = out["y"], out["quantity"]
+        top = max([y or 0.0 for y in ys] + [y for y, _ in found])
         limit = top * share if top else default
-        for p in found:
-            free = [r for r in rows if r["quantity"] == 1 and r["y"] and abs(r["y"] - p["y"]) < limit]
-            if free:
-                nearest = min(free, key=lambda r: abs(r["y"] - p["y"]))
-                nearest["quantity"] = float(p["value"])
+        free = [i for i, q in enumerate(quantity) if q == 1 and ys[i]]
+        for y, value in found:
+            near = [(abs(ys[i] - y), i) for i in free if abs(ys[i] - y) < limit]
+            if near:
+                i = min(near)[1]
+                quantity[i] = value
+                free.remove(i)  # values are over 1
                 if review:
-                    nearest["needs_review"] = True
-        return rows
+                    out["needs_review"][i] = True
+        return {c: out[c] for c in columns}
 
-    return by_group(d, ["receipt_id"], ["pos"], run, items.schema)
+    return by_group_lists(d, ["receipt_id"], ["_item", "pos", "_y", "_value"], run, items.schema)
 
 
 def drop_echoes(detections: DataFrame, dx: float = 30.0, dy: float = 15.0) -> DataFrame:

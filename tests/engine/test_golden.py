@@ -462,3 +462,17 @@ def test_each_form_is_tried_once_and_only_if_needed(spark):
     assert parsed.count(X.TOTAL_LINE) == 1 and "filter(array" not in parsed  # a filter would have the results of all forms
     total = _plan(lines.select(layout.total_of_line(F.col("text"))))
     assert total.count("regexp_extract(") < 20  # each form once, not once for each comparison
+
+
+def test_numbers_reach_python_once_a_receipt(spark, monkeypatch):
+    seen = []
+    grouped = layout.by_group_lists
+    monkeypatch.setattr(layout, "by_group_lists", lambda df, *a: (seen.append(df), grouped(df, *a))[1])
+    items = spark.createDataFrame([(1, p, "A", 1.0, 40.0 * p) for p in range(1, 9)] + [(2, 1, "B", 1.0, 40.0), (3, 1, "C", 2.0, 0.0)], "receipt_id long, pos int, product_code string, quantity double, y double")
+    numbers = spark.createDataFrame([(1, 49.0, 5.0), (1, 51.0, 6.0), (1, 49.0, 4.0), (1, 200.0, 1.0), (4, 40.0, 7.0), (2, 41.0, 3.0)], "receipt_id long, y double, value double")
+    got = {(r.receipt_id, r.pos): r.quantity for r in layout.attach_orphans(items, numbers).collect()}
+    assert got == {(1, p): 4.0 if p == 1 else 1.0 for p in range(1, 9)} | {(2, 1): 3.0, (3, 1): 2.0}
+    assert seen[0].count() == 10 + 5  # rows that are items and rows that are numbers, not the numbers with each item
+    lines = spark.createDataFrame([(1, 1, "one two", 20.0), (1, 2, "7", 40.0), (2, 1, "ABC", 20.0), (2, 2, "7", 40.0)], "receipt_id long, line_no int, text string, y_center double")
+    assert sorted(tuple(r) for r in layout.merge_code_lines(lines).collect()) == [(1, 1, "one two", 20.0), (1, 2, "7", 40.0), (2, 1, "ABC 7", 30.0)]
+    assert len(seen) == 2
