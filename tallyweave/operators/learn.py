@@ -44,9 +44,12 @@ def quantity_stats(items: DataFrame, min_count: int = 2) -> DataFrame:
 
 def compare_items(expected: DataFrame, detected: DataFrame, tolerance: float = 0.01) -> DataFrame:
     """Totals per receipt and code of both sides, and whether each is matched, wrong in quantity, missing or extra."""
-    e = expected.groupBy("receipt_id", F.upper(F.trim("product_code")).alias("code")).agg(F.sum("quantity").alias("expected"))
-    d = detected.groupBy("receipt_id", F.upper(F.trim("product_code")).alias("code")).agg(F.sum("quantity").alias("detected"))
-    j = e.join(d, ["receipt_id", "code"], "full")
+    code = F.upper(F.trim("product_code")).alias("code")
+    none, q = F.lit(None).cast("double"), F.col("quantity").cast("double")
+    both = expected.select("receipt_id", code, q.alias("e"), none.alias("d"), F.lit(0).alias("side")).unionByName(detected.select("receipt_id", code, none.alias("e"), q.alias("d"), F.lit(1).alias("side")))
+    # one aggregation instead of a full join of two: a task sorts nothing; rows without a receipt or a code have no partner
+    alone = F.when(F.col("receipt_id").isNull() | F.col("code").isNull(), F.col("side"))
+    j = both.groupBy("receipt_id", "code", alone.alias("_alone")).agg(F.sum("e").alias("expected"), F.sum("d").alias("detected"))
     status = (
         F.when(F.col("detected").isNull(), "missing").when(F.col("expected").isNull(), "extra")
         .when(F.abs(F.col("expected") - F.col("detected")) <= tolerance, "matched").otherwise("quantity")
