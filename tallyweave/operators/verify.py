@@ -79,14 +79,14 @@ def validate(items: DataFrame, products: DataFrame, history: DataFrame, max_reas
     p = small(products.select("product_code", F.col("unit_price").alias("_cat")))
     h = small(history.select("product_code", F.col("avg_qty").alias("_avg"), F.col("max_qty").alias("_max")))
     j = items.join(p, "product_code", "left").join(h, "product_code", "left")
-    same = W.partitionBy("receipt_id", "product_code")
+    same = W.partitionBy("receipt_id", "product_code").orderBy("pos")
     qty, price, cat = F.col("quantity"), _zero("unit_price"), _zero("_cat")
     zero = qty <= 0
     big = ~zero & (qty > max_reasonable) & (price == 0)
     fill = (price == 0) & (cat > 0)
     off = ~fill & (cat > 0) & (price > 0) & ((F.try_divide(price, cat) > deviation) | (F.try_divide(price, cat) < 1 / deviation))
     bad_line = (price > 0) & (_zero("line_total") > 0) & ~line_check_validator(qty, price, _zero("line_total"))
-    twice = (F.count("*").over(same) > 1) & (F.row_number().over(same.orderBy("pos")) == 1)
+    twice = (F.row_number().over(same) == 1) & F.lead(F.lit(True)).over(same).isNotNull()  # one order for both, so rows are sorted and kept once
     odd = (F.col("_avg") > 0) & (F.col("_max") > 0) & (qty > 3 * F.col("_max"))
     names = [(zero, "zero_quantity", "high"), (big, "suspicious_quantity", "medium"), (off, "price_deviation", "medium"), (bad_line, "line_total_mismatch", "medium"), (twice, "duplicate_item", "low"), (odd, "quantity_anomaly", "medium")]
     none = F.lit(None).cast("string")

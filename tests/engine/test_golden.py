@@ -476,3 +476,19 @@ def test_numbers_reach_python_once_a_receipt(spark, monkeypatch):
     lines = spark.createDataFrame([(1, 1, "one two", 20.0), (1, 2, "7", 40.0), (2, 1, "ABC", 20.0), (2, 2, "7", 40.0)], "receipt_id long, line_no int, text string, y_center double")
     assert sorted(tuple(r) for r in layout.merge_code_lines(lines).collect()) == [(1, 1, "one two", 20.0), (1, 2, "7", 40.0), (2, 1, "ABC 7", 30.0)]
     assert len(seen) == 2
+
+
+def test_items_are_compared_by_one_aggregation(spark):
+    kind = "receipt_id long, product_code string, quantity double"
+    e = spark.createDataFrame([(1, "a", 1.0), (1, " A", 2.0), (1, "B", 1.0), (2, None, 1.0), (None, "C", 1.0), (3, "N", None)], kind)
+    d = spark.createDataFrame([(1, "A", 3.0), (1, "X", 1.0), (2, None, 1.0), (None, "C", 1.0), (3, "N", 1.0)], kind)
+    got = sorted((tuple(r) for r in learn.compare_items(e, d).collect()), key=str)
+    assert got == sorted([(1, "A", 3.0, 3.0, "matched"), (1, "B", 1.0, None, "missing"), (1, "X", None, 1.0, "extra"), (2, None, 1.0, None, "missing"), (2, None, None, 1.0, "extra"), (None, "C", 1.0, None, "missing"), (None, "C", None, 1.0, "extra"), (3, "N", None, 1.0, "extra")], key=str)
+    assert "Join" not in _plan(learn.compare_items(e, d))
+
+
+def test_validation_has_one_window(spark):
+    items = spark.createDataFrame([(1, p, c, 1.0, 2.0, 2.0) for p, c in ((3, "A"), (1, "A"), (2, "A"), (4, "B"))], "receipt_id long, pos int, product_code string, quantity double, unit_price double, line_total double")
+    out = verify.validate(items, spark.createDataFrame([("A", 2.0)], "product_code string, unit_price double"), learn.quantity_stats(items))
+    assert {r.pos: r.warnings for r in out.collect()} == {1: "low:duplicate_item", 2: "", 3: "", 4: ""}
+    assert sum(line.lstrip(" +:-").startswith("Window ") for line in _plan(out).splitlines()) == 1
