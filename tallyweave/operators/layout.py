@@ -84,7 +84,7 @@ def layout_features(detections: DataFrame, sizes: DataFrame, labels: DataFrame)
     )
     known = labels.select("receipt_id", F.upper(F.trim("code")).alias("_u"), F.lit(True).alias("_code")).distinct()
     d = d.withColumn("_u", F.upper("t")).join(known, ["receipt_id", "_u"], "left").withColumn("number", F.col("t").rlike("^[0-9]+[.]?[0-9]*$"))
-    ordered = lambda c, cond: F.transform(F.array_sort(F.collect_list(F.when(cond, F.struct("det_id", c.alias("v"))))), lambda v: v["v"])
+    ordered = lambda c, cond: F.transform(F.sort_array(F.collect_list(F.when(cond, F.struct("det_id", c.alias("v"))))), lambda v: v["v"])
     return d.groupBy("receipt_id").agg(
         ordered(F.col("cx"), F.col("_code")).alias("code_x"), ordered(F.col("cx"), F.col("number")).alias("qty_x"), ordered(F.col("cy"), F.col("_code")).alias("item_y"),
         ordered(F.col("bh"), F.col("bh") > 0).alias("line_heights"), ordered(F.col("bw") / F.length("t"), F.col("bw") > 0).alias("char_widths"), F.count("*").alias("detection_count"),
@@ -95,7 +95,7 @@ def layout_features(detections: DataFrame, sizes: DataFrame, labels: DataFrame)
 def join_fragments(detections: DataFrame) -> DataFrame:
     """Text of each line, left to right, with mean confidence and y; fragments of bare punctuation are left out."""
     d = without_noise(detections)
-    g = d.groupBy("receipt_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"), F.avg("y").alias("y"))
+    g = d.groupBy("receipt_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("x", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"), F.avg("y").alias("y"))
     return g.select("receipt_id", "line_no", F.array_join(F.transform("s", lambda x: x["text"]), " ").alias("text"), half_up(F.col("c"), 4).alias("confidence"), half_up(F.col("y"), 2).alias("y_center"))
 
 
@@ -103,7 +103,7 @@ def line_threshold(detections: DataFrame, structured: bool = False) -> DataFrame
     """Per receipt: distance that separates lines, lowered where the upper median of gaps over 3 px shows a dense layout."""
     order = W.partitionBy("receipt_id").orderBy("y", "x", "det_id")
     gaps = detections.withColumn("gap", F.lead("y").over(order) - F.col("y"))
-    g = gaps.groupBy("receipt_id").agg(F.max("y").alias("max_y"), F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("gap") > 3, F.col("gap")))).alias("gaps"))
+    g = gaps.groupBy("receipt_id").agg(F.max("y").alias("max_y"), F.count("*").alias("n"), F.sort_array(F.collect_list(F.when(F.col("gap") > 3, F.col("gap")))).alias("gaps"))
     base = F.least(F.lit(40.0), F.greatest(F.lit(20.0), F.col("max_y") * 0.02)) if structured else F.least(F.lit(55.0), F.greatest(F.lit(30.0), F.col("max_y") * 0.025))
     mid = F.when((F.col("n") >= 6) & (F.size("gaps") > 0), F.element_at("gaps", (F.floor(F.size("gaps") / 2) + 1).cast("int")))
     dense = F.greatest(F.lit(12.0), mid * 0.7)
@@ -299,7 +299,7 @@ def vote(first: DataFrame, second: DataFrame, bucket: float = 60.0) -> DataFrame
 def cross_verify(primary: DataFrame, other: DataFrame) -> DataFrame:
     """Confidence of primary texts raised by what another engine read: the same text, shared tokens of at least half, or containment."""
     o = other.select("receipt_id", F.upper(F.trim("text")).alias("o")).distinct()
-    per = o.groupBy("receipt_id").agg(F.array_sort(F.collect_list("o")).alias("texts"))
+    per = o.groupBy("receipt_id").agg(F.sort_array(F.collect_list("o")).alias("texts"))
     t = F.upper(F.trim("text"))
     j = primary.join(per, "receipt_id", "left").withColumn("texts", F.coalesce("texts", F.array().cast("array<string>")))
     tokens = F.array_distinct(F.filter(F.split(t, " +"), lambda x: x != ""))
@@ -404,7 +404,7 @@ def find_total(detections: DataFrame, share: float = 0.3) -> DataFrame:
     bare number, the next line before the previous one, with the mean confidence of both (tier 2). Receipts without either have no row.
     """
     d = gap_lines(bottom_region(detections, share))
-    g = d.groupBy("receipt_id", "line_no").agg(F.array_sort(F.collect_list(F.struct("x", "y", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"))
+    g = d.groupBy("receipt_id", "line_no").agg(F.sort_array(F.collect_list(F.struct("x", "y", "det_id", "text"))).alias("s"), F.avg("confidence").alias("c"))
     lines = g.select("receipt_id", "line_no", F.array_join(F.transform("s", lambda v: F.coalesce(v["text"], F.lit(""))), " ").alias("text"), "c")
     t, order = F.col("text"), W.partitionBy("receipt_id").orderBy("line_no")
     bare = _in_range(F.when(t.rlike("^\\s*[0-9]+[.]?[0-9]*\\s*$"), F.trim(t).try_cast("double")))

@@ -13,7 +13,7 @@ from tallyweave.plans.fixtures import half_up, mean
 def nest(receipts: DataFrame, items: DataFrame) -> DataFrame:
     """Each receipt with its items as an array in order of pos; no items give an empty array."""
     fields = [c for c in items.columns if c not in ("receipt_id", "pos")]
-    grouped = items.groupBy("receipt_id").agg(F.array_sort(F.collect_list(F.struct("pos", *fields))).alias("items"))
+    grouped = items.groupBy("receipt_id").agg(F.sort_array(F.collect_list(F.struct("pos", *fields))).alias("items"))
     out = receipts.join(grouped, receipts["id"] == grouped["receipt_id"], "left").drop("receipt_id")
     return out.withColumn("items", F.coalesce("items", F.array()))
 

@@ -492,3 +492,9 @@ def test_validation_has_one_window(spark):
     out = verify.validate(items, spark.createDataFrame([("A", 2.0)], "product_code string, unit_price double"), learn.quantity_stats(items))
     assert {r.pos: r.warnings for r in out.collect()} == {1: "low:duplicate_item", 2: "", 3: "", 4: ""}
     assert sum(line.lstrip(" +:-").startswith("Window ") for line in _plan(out).splitlines()) == 1
+
+
+def test_lists_are_sorted_without_a_comparison_function(spark):
+    d = spark.createDataFrame([(1, 1, 10.0, 400.0, "Total", 0.5), (1, 2, 90.0, 401.0, "12", 0.5)], "receipt_id long, det_id int, x double, y double, text string, confidence double")
+    assert [(r.text, r.total) for r in layout.find_total(d).collect()] == [("Total 12", 12.0)]
+    assert "array_sort(" not in _plan(layout.find_total(d))
